@@ -103,6 +103,20 @@ def nearby_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity:
     return merge_measures(visits.join(found, [place, asof_time]), [entity, asof_time], measures)
 
 
+def nearby_event_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, event_id: str,
+                        event_time: str, asof_time: str, measures: list[Measure], months: int,
+                        max_dist: float | None = None, grain: str = "day") -> DataFrame:
+    """Like :func:`nearby_totals` for edges that lead straight to single events.
+
+    Each event has its own place, so events are handed to their entities first
+    and folded per (entity, day); work is linear in the number of edges.
+    """
+    near = edges if max_dist is None else edges.where(F.col("dist_m") <= max_dist)
+    handed = near.select(entity, event_id).join(events, event_id)
+    totals = window_totals(handed, asof, entity, event_time, asof_time, measures, months=months, grain=grain)
+    return totals.where(F.col(measures[0].name) > 0)
+
+
 def events_in_window(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, place: str,
                      event_id: str, event_time: str, asof_time: str, months: int,
                      max_dist: float) -> DataFrame:

@@ -197,7 +197,11 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], grou
 
 
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``<column>_rank``: SQL ``rank()`` ascending over the whole table, per column."""
+    """Add ``<column>_rank``: SQL ``rank()`` ascending over the whole table, per column.
+
+    The rows are read several times, so they are checkpointed first.
+    """
+    df = stable(df)
     stacked = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
     long = df.select(F.explode(stacked).alias("m")).select("m.metric", "m.v")
     ranks = cumulative_by_value(long, "v", {"n": F.count(F.lit(1))}, groups=["metric"]) \

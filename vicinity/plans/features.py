@@ -60,12 +60,14 @@ class Mean:
 def event_features(ctx: Context, events: DataFrame, place: str, when: str, edges: DataFrame,
                    means: list[Mean] | None = None, sums: list[Measure] | None = None,
                    categories: dict[str, Column] | None = None, levels_from: DataFrame | None = None,
-                   deviation: dict[str, Column] | None = None, bounded: bool = True) -> DataFrame:
+                   deviation: dict[str, Column] | None = None, bounded: bool = True,
+                   single_events: bool = False) -> DataFrame:
     """Count, means, sums and level counts of nearby events before each as-of date.
 
     All measures travel together through one window stage and one final
     aggregate. Levels come from the whole event table unless ``levels_from``
-    limits them (for example to rows known at an earlier date).
+    limits them (for example to rows known at an earlier date). With
+    ``single_events`` the edges lead to events instead of shared places.
     """
     people = ctx.bounded(events, when) if bounded else ctx.population
     counts = level_measures(levels_from if levels_from is not None else events, categories or {})
@@ -76,12 +78,13 @@ def event_features(ctx: Context, events: DataFrame, place: str, when: str, edges
                    Measure(f"_d_n_{name}", whole.isNotNull().cast("int"))]
     measures = [Measure("total", F.lit(1))] + [p for m in means or [] for p in m.parts()] \
         + (sums or []) + counts + spread
-    totals = asof.nearby_totals(people, edges, events, "parcel_id", place, when, "inspection_date",
-                                measures, ctx.months, ctx.metres)
+    gather = asof.nearby_event_totals if single_events else asof.nearby_totals
+    totals = gather(people, edges, events, "parcel_id", place, when, "inspection_date",
+                    measures, ctx.months, ctx.metres)
     devs = []
     for name in deviation or {}:
-        s, q, n = (F.col(f"_d_{k}_{name}").cast("decimal(38,0)") for k in "sqn")
-        devs.append(F.when(n > 1, F.sqrt(((n * q - s * s) / (n * (n - 1))).cast("double"))).alias(name))
+        s, q, n = (F.col(f"_d_{k}_{name}").cast("decimal(18,0)") for k in "sqn")
+        devs.append(F.when(n > 1, F.sqrt((n * q - s * s).cast("double") / (n * (n - 1)).cast("double"))).alias(name))
     out = totals.select(*KEYS, "total", *[m.result() for m in means or []],
                         *[s.name for s in sums or []], *devs, *[c.name for c in counts])
     if ctx.empty == "zero":
@@ -173,7 +176,8 @@ def three11(ctx: Context) -> DataFrame:
     web = F.when(F.col("description") == WEB_REQUEST, 1).otherwise(0)
     out = event_features(
         ctx, events, "event_id", "requested_datetime", ctx.event_edges,
-        sums=[Measure("sum_webrequest", web)], categories={"service_code": level_of("service_code")})
+        sums=[Measure("sum_webrequest", web)], categories={"service_code": level_of("service_code")},
+        single_events=True)
     return out.withColumn("avg_webrequest", F.try_divide(F.col("sum_webrequest").cast("double"), F.col("total")))
 
 

@@ -10,8 +10,9 @@ from datetime import datetime
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,24 +161,30 @@ def _clamped(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
 
 
-def preparation(columns: list[str], label: str = "viol_outcome") -> Pipeline:
-    """Column-mean imputation, assembly and standardisation, fitted on the training rows."""
-    return Pipeline(stages=[
-        Imputer(strategy="mean", inputCols=columns, outputCols=columns),
-        VectorAssembler(inputCols=columns, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-    ])
-
-
 def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+def prepare(train: DataFrame, columns: list[str]) -> PipelineModel:
+    """Column-mean imputation and standardisation by the population deviation, fitted on ``train``."""
+    rows = _doubles(train, columns)
+    n = rows.count()
+    fitted = Pipeline(stages=[
+        Imputer(strategy="mean", inputCols=columns, outputCols=columns),
+        VectorAssembler(inputCols=columns, outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
+    ]).fit(rows)
+    # the scaler divides by the sample deviation
+    widen = ElementwiseProduct(inputCol="_std", outputCol="features",
+                               scalingVec=Vectors.dense([math.sqrt(n / (n - 1)) if n > 1 else 1.0] * len(columns)))
+    return PipelineModel(stages=[*fitted.stages, widen])
+
+
 def fit(train: DataFrame, columns: list[str], name: str, params: dict, label: str = "viol_outcome", seed: int = 0):
     """Fitted ``(preparation, model)``; unlabelled rows are left out of the fit."""
-    rows = _doubles(train.where(F.col(label).isNotNull()), columns)
-    prep = preparation(columns).fit(rows)
-    ready = prep.transform(rows).withColumn("label", F.col(label).cast("double"))
+    rows = train.where(F.col(label).isNotNull())
+    prep = prepare(rows, columns)
+    ready = prep.transform(_doubles(rows, columns)).withColumn("label", F.col(label).cast("double"))
     return prep, estimator(name, params, rows.count(), seed).fit(ready)
 
 
