@@ -91,9 +91,11 @@ def inspection_results(df: DataFrame, entity: str, when: str, outcome: str) -> D
         F.count(F.lit(1)).alias("inspections"))
 
 
-def groups_of(df: DataFrame, key: Column, members: list[str], name: str = "group") -> DataFrame:
-    """Rows gathered by a key expression (for run tables, whose groups are small)."""
-    return df.groupBy(key.alias(name)).agg(F.array_sort(F.collect_list(F.struct(*members))).alias("members"))
+def groups_of(df: DataFrame, key: Column, name: str = "group") -> DataFrame:
+    """Rows tagged with the group of a key expression and its size (no group is gathered)."""
+    tagged = df.withColumn(name, key)
+    sizes = tagged.groupBy(name).agg(F.count(F.lit(1)).alias(f"{name}_size"))
+    return tagged.join(sizes, name)
 
 
 def align_by(df: DataFrame, key: str, period: str, value: str, periods: list, prefix: str) -> DataFrame:

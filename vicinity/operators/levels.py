@@ -45,19 +45,19 @@ def frequent_levels(df: DataFrame, level: Column, n: int = TOP_LEVELS, other: st
 
 
 def frequent_groups(df: DataFrame, column: str, pattern: str, n: int = TOP_LEVELS) -> DataFrame:
-    """Level table of a regex group with the raw codes behind each level.
+    """Level table of a regex group, one row per raw code behind each level.
 
-    Raw codes are made distinct before they are gathered, so a hot code adds
-    one element; the array is as long as the number of different codes.
+    ``(rnum, raw_level, level, count, raw_code, raw_count)``; codes stay rows,
+    so a group with very many codes is never gathered in one place.
     """
-    code = group_code(column, pattern).alias("raw_level")
-    codes = df.groupBy(code, F.col(column).alias("_raw")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = codes.groupBy("raw_level").agg(
-        F.sum("_n").alias("count"), F.array_sort(F.collect_set("_raw")).alias("raw_codes"))
+    codes = df.groupBy(group_code(column, pattern).alias("raw_level"), F.col(column).alias("raw_code")) \
+        .agg(F.count(F.lit(1)).alias("raw_count"))
+    counted = codes.groupBy("raw_level").agg(F.sum("raw_count").alias("count"))
     ranked = numbered(counted, [F.col("count").desc(), F.col("raw_level")], "rnum")
-    return ranked.select(
-        "rnum", "raw_level", "raw_codes", "count",
-        F.when(F.col("rnum") <= n, F.col("raw_level")).otherwise(F.lit("other")).alias("level"))
+    return codes.join(ranked, "raw_level").select(
+        "rnum", "raw_level",
+        F.when(F.col("rnum") <= n, F.col("raw_level")).otherwise(F.lit("other")).alias("level"),
+        "count", "raw_code", "raw_count")
 
 
 def fixed_dummies(df: DataFrame, column: str, domain: list, names: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nearby",)
+MODULES = ("nearby", "history", "ranking", "evaluation")
 
 
 def catalogue() -> dict:
