@@ -237,7 +237,8 @@ def density_rsquare(df: DataFrame, density: str, rate: str, prediction: str = "p
     rows = df.select(density, rate, prediction).where(F.col(prediction).isNotNull())
     rows = median_fill(rows, [density, rate]).withColumn("_both", F.col(density) * F.col(rate))
     wide = VectorAssembler(inputCols=[density, rate, "_both"], outputCol="_x").transform(rows)
-    model = LinearRegression(featuresCol="_x", labelCol=prediction, solver="normal", standardization=True).fit(wide)
+    model = LinearRegression(featuresCol="_x", labelCol=prediction, predictionCol="_fitted",
+                             solver="normal").fit(wide)
     return df.sparkSession.createDataFrame([(float(model.summary.r2),)], "r2 double")
 
 

@@ -302,12 +302,12 @@ def address_canonical(spark, folder):
     part = lambda df, key, rule: df.where(rule).select(F.concat(F.lit("lot "), (F.col(key) % 977).cast("string")).alias("address"),
                                                        F.col(key).alias("id"))
     return dedupe.by_priority([
-        part(t.orders, "o_orderkey", "o_orderkey % 3 = 0"), part(t.part, "p_partkey", "p_size > 10"),
+        part(t.orders, "o_orderkey", "o_totalprice > 250000"), part(t.part, "p_partkey", "p_size > 10"),
         part(t.customer, "c_custkey", "c_acctbal > 0")], ["address"], "id")
 
 
 ADDRESS_CANONICAL = """
-WITH u AS (SELECT 'lot ' || (o_orderkey % 977) AS address, o_orderkey AS id, 0 AS s FROM orders WHERE o_orderkey % 3 = 0
+WITH u AS (SELECT 'lot ' || (o_orderkey % 977) AS address, o_orderkey AS id, 0 AS s FROM orders WHERE o_totalprice > 250000
   UNION ALL SELECT 'lot ' || (p_partkey % 977), p_partkey, 1 FROM part WHERE p_size > 10
   UNION ALL SELECT 'lot ' || (c_custkey % 977), c_custkey, 2 FROM customer WHERE c_acctbal > 0)
 SELECT address, id FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY s, id) AS rn FROM u) WHERE rn = 1"""
