@@ -44,21 +44,18 @@ def merge_measures(df: DataFrame, keys: list, measures: list[Measure]) -> DataFr
     return df.groupBy(*keys).agg(*[_FOLD[m.how](F.col(m.name)).alias(m.name) for m in measures])
 
 
-def window_totals(events: DataFrame, asof: DataFrame, key: str, event_time: str, asof_time: str,
-                  measures: list[Measure], months: int = 0, days: int = 0,
-                  grain: str = "day") -> DataFrame:
-    """Totals over ``[d - window, d)`` per distinct (key, d): ``(key, asof_time, measures...)``.
+def _moment(column: str, grain: str) -> Column:
+    return dates.day_of(F.col(column)) if grain == "day" else dates.as_moment(F.col(column))
 
-    ``grain='day'`` needs as-of moments at midnight and folds events per day;
-    ``'exact'`` keeps full event moments. Pairs without events are left out.
+
+def _read_windows(folded: DataFrame, probes: DataFrame, key: str, asof_time: str, measures: list[Measure],
+                  months: int, days: int, grain: str) -> DataFrame:
+    """Window totals of folded rows ``(key, _at, measures)`` at probes ``(key, _d)``.
+
+    Rows and probes meet in one shuffle on ``key``; rows may repeat a moment.
     """
-    moment = dates.day_of if grain == "day" else dates.as_moment
     step = "CAST('1 day' AS INTERVAL)" if grain == "day" else "CAST('1 microsecond' AS INTERVAL)"
     span = f"CAST('{months} months {days} days' AS INTERVAL)"
-    folded = fold_measures(
-        events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull()),
-        [F.col(key), moment(F.col(event_time)).alias("_at")], measures)
-    probes = asof.select(key, dates.as_moment(F.col(asof_time)).alias("_d")).distinct()
     running = [m for m in measures if m.how == "sum"]
     framed = [m for m in measures if m.how != "sum"]
 
@@ -83,24 +80,66 @@ def window_totals(events: DataFrame, asof: DataFrame, key: str, event_time: str,
     return totals.select(key, asof_time, *[m.name for m in measures])
 
 
+def _fold_events(events: DataFrame, key: str, event_time: str, measures: list[Measure], grain: str) -> DataFrame:
+    known = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
+    return fold_measures(known, [F.col(key), _moment(event_time, grain).alias("_at")], measures)
+
+
+def window_totals(events: DataFrame, asof: DataFrame, key: str, event_time: str, asof_time: str,
+                  measures: list[Measure], months: int = 0, days: int = 0,
+                  grain: str = "day") -> DataFrame:
+    """Totals over ``[d - window, d)`` per distinct (key, d): ``(key, asof_time, measures...)``.
+
+    ``grain='day'`` needs as-of moments at midnight and folds events per day;
+    ``'exact'`` keeps full event moments.
+    """
+    folded = _fold_events(events, key, event_time, measures, grain)
+    probes = asof.select(key, dates.as_moment(F.col(asof_time)).alias("_d")).distinct()
+    return _read_windows(folded, probes, key, asof_time, measures, months, days, grain)
+
+
+def busier_side(asof: DataFrame, folded: DataFrame, entity: str, place: str, asof_time: str) -> str:
+    """Side on which the windows are cheaper to read, from two small aggregates.
+
+    Reading per place costs about one row per (edge, as-of date of the entity),
+    less when all entities share few dates; reading per entity costs one row
+    per (edge, event day of the place).
+    """
+    n, entities, moments = asof.agg(
+        F.count(F.lit(1)), F.approx_count_distinct(entity), F.approx_count_distinct(asof_time)).first()
+    rows, places = folded.agg(F.count(F.lit(1)), F.approx_count_distinct(place)).first()
+    visits, event_days = n / max(entities, 1), rows / max(places, 1)
+    return "entity" if event_days <= 2 * visits and moments > 2 * visits else "place"
+
+
 def nearby_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, place: str,
                   event_time: str, asof_time: str, measures: list[Measure], months: int,
-                  max_dist: float | None = None, grain: str = "day") -> DataFrame:
+                  max_dist: float | None = None, grain: str = "day", side: str = "auto") -> DataFrame:
     """Totals of events near each entity before each as-of date.
 
-    ``edges`` is the proximity table ``(entity, place, dist_m)``. The window is
-    evaluated once per distinct (place, as-of date) and shared by every entity
-    near that place; entity x event rows are never formed. The first measure
-    must be the event count; entities without events are left out.
+    ``edges`` is the proximity table ``(entity, place, dist_m)``. Entity x event
+    rows inside the window are never formed. On the ``place`` side the window
+    is evaluated once per distinct (place, as-of date) and shared by every
+    entity near that place; on the ``entity`` side the day totals of the places
+    are handed to their entities first. The first measure must be the event
+    count; entities without events are left out.
     """
     near = edges if max_dist is None else edges.where(F.col("dist_m") <= max_dist)
-    visits = (
-        asof.select(entity, dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct()
-        .join(near.select(entity, place), entity)
-    )
-    totals = window_totals(events, visits, place, event_time, asof_time, measures, months=months, grain=grain)
+    folded = _fold_events(events, place, event_time, measures, grain)
+    visits = asof.select(entity, dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct()
+    if side == "auto":
+        side = busier_side(visits, folded, entity, place, asof_time)
+    near = near.select(entity, place)
+    if side == "entity":
+        handed = near.join(folded, place).drop(place)
+        probes = visits.withColumnRenamed(asof_time, "_d")
+        totals = _read_windows(handed, probes, entity, asof_time, measures, months, 0, grain)
+        return totals.where(F.col(measures[0].name) > 0)
+    seen = visits.join(near, entity)
+    probes = seen.select(place, F.col(asof_time).alias("_d")).distinct()
+    totals = _read_windows(folded, probes, place, asof_time, measures, months, 0, grain)
     found = totals.where(F.col(measures[0].name) > 0)
-    return merge_measures(visits.join(found, [place, asof_time]), [entity, asof_time], measures)
+    return merge_measures(seen.join(found, [place, asof_time]), [entity, asof_time], measures)
 
 
 def nearby_event_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, event_id: str,

@@ -209,88 +209,100 @@ def density(ctx: Context) -> DataFrame:
     return rows.select(*KEYS, *names, *rates)
 
 
+_SCORE_COUNTS = ["violations", "non_violations", "inspections",
+                 "unique_violations", "unique_non_violations", "unique_inspections"]
+
+
 def neighborhood_score(population: DataFrame, inspections: DataFrame, parcels: DataFrame, metres: float,
                        months: int, ranks: bool = True) -> DataFrame:
     """Inspections and outcomes around each (parcel, date), and houses, with ascending ranks.
 
     ``inspections`` holds ``parcel_id, inspection_date, viol_outcome`` at day
-    grain. Plain counts are window totals. Unique counts (a neighbour counts
-    once per window) turn each inspection into the span of as-of days for which
-    it is the latest of its parcel inside the window; span starts and ends are
-    +1 and -1 events, so a running total gives the number of distinct
-    neighbours without listing them.
+    grain. Every inspection is turned into the span of as-of days whose window
+    holds it; for the unique counts (a neighbour counts once per window) the
+    span ends where the next inspection of the same parcel takes over. Span
+    starts and ends are +1 and -1 steps, so each count is a running total of
+    steps near the parcel, and neither pairs of inspections nor sets of
+    neighbours are formed.
     """
-    place = parcels.select("parcel_id", F.struct("x", "y").alias("place"))
     spots = parcels.select("x", "y").distinct().withColumn("place", F.struct("x", "y"))
     who = parcels.join(population.select("parcel_id").distinct(), "parcel_id", "left_semi")
-    edges = spatial.point_edges(who, spots, ["parcel_id"], ["place"], metres)
-
-    seen = inspections.select("parcel_id", dates.day_of(F.col("inspection_date")).alias("at"), "viol_outcome") \
-        .join(place, "parcel_id")
-    viol, clear = F.col("viol_outcome") == 1, F.col("viol_outcome") == 0
-    counts = [Measure("inspections", F.lit(1)), Measure("violations", viol.cast("int")),
-              Measure("non_violations", clear.cast("int"))]
-    plain = asof.nearby_totals(population, edges, seen, "parcel_id", "place", "at", "inspection_date",
-                               counts, months)
-
-    spans = None
-    for name, rows in (("unique_violations", seen.where(viol)), ("unique_non_violations", seen.where(clear)),
-                       ("unique_inspections", seen)):
-        part = _latest_spans(rows.select("parcel_id", "place", "at"), months).withColumn("_what", F.lit(name))
-        spans = part if spans is None else spans.unionByName(part)
-    unique = _running_at(population, edges, spans, ["unique_violations", "unique_non_violations",
-                                                    "unique_inspections"])
-    subset = plain.select("parcel_id").distinct().join(parcels, "parcel_id")
-    houses = spatial.neighbour_counts(subset, parcels, "parcel_id", "parcel_id", metres, include_self=True) \
+    edges = spatial.point_edges(who, spots, ["parcel_id"], ["place"], metres).select("parcel_id", "place")
+
+    daily = inspections.where(F.col("inspection_date").isNotNull()).groupBy(
+        "parcel_id", F.col("inspection_date").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("inspections"),
+        F.count(F.when(F.col("viol_outcome") == 1, 1)).alias("violations"),
+        F.count(F.when(F.col("viol_outcome") == 0, 1)).alias("non_violations"))
+    steps = _window_steps(daily.join(parcels.select("parcel_id", F.struct("x", "y").alias("place")), "parcel_id"), months)
+    people = population.select("parcel_id", F.col("inspection_date").cast("date").alias("at")).distinct()
+    levels = _levels_at(people, edges, steps, _SCORE_COUNTS)
+    counts = levels.where("inspections > 0").withColumnRenamed("at", "inspection_date") \
+        .withColumn("inspection_date", F.col("inspection_date").cast("timestamp_ntz"))
+
+    houses = spatial.neighbour_counts(who, parcels, "parcel_id", "parcel_id", metres, include_self=True) \
         .withColumnRenamed("parcels", "houses")
-    scores = plain.join(unique, KEYS).join(houses, "parcel_id").select(
-        *KEYS, "violations", "non_violations", "inspections", "unique_violations", "unique_non_violations",
-        "unique_inspections", "houses")
+    scores = counts.join(houses, "parcel_id").select(*KEYS, *_SCORE_COUNTS, "houses")
     if not ranks:
         return scores
     return with_ranks(scores, [c for c in scores.columns if c not in KEYS])
 
 
-def _latest_spans(rows: DataFrame, months: int) -> DataFrame:
-    """Half-open spans of as-of days ``[start, stop)`` in which a day is the latest inside the window.
+def _window_steps(daily: DataFrame, months: int) -> DataFrame:
+    """Steps ``(place, at, counts...)`` whose running total up to day d counts ``d - N months <= t < d``.
 
-    An inspection on day t is in the window of d when ``d - N months <= t < d``.
     The last such d is t + N months, or the month's last day when t is the last
     day of its own month (end-of-month days clamp onto it).
     """
     from pyspark.sql.window import Window
-    daily = rows.distinct()
-    following = F.lead("at").over(Window.partitionBy("parcel_id", "place").orderBy("at"))
-    day = F.col("at").cast("date")
-    moved = F.add_months(day, months)
-    last_in = F.when(day == F.last_day(day), F.last_day(moved)).otherwise(moved)
-    start = F.date_add(day, 1)
-    stop = F.date_add(F.least(last_in, F.coalesce(following.cast("date"), last_in)), 1)
-    spans = daily.select("place", start.alias("start"), stop.alias("stop")).where(F.col("start") < F.col("stop"))
-    marks = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")),
-                    F.struct(F.col("stop").alias("at"), F.lit(-1).alias("step")))
-    return spans.select("place", F.explode(marks).alias("m")).select(
-        "place", F.col("m.at").cast("timestamp_ntz").alias("at"), "m.step")
-
-
-def _running_at(population: DataFrame, edges: DataFrame, steps: DataFrame, names: list[str]) -> DataFrame:
-    """Sum over nearby places of the running totals of ``steps`` up to and including each as-of day."""
-    visits = population.select("parcel_id", dates.as_moment(F.col("inspection_date")).alias("inspection_date")) \
-        .distinct().join(edges.select("parcel_id", "place"), "parcel_id")
-    folded = steps.groupBy("place", "at").agg(*[
-        F.sum(F.when(F.col("_what") == n, F.col("step")).otherwise(0)).alias(n) for n in names])
-    probes = visits.select("place", F.col("inspection_date").alias("at")).distinct()
-    rows = folded.withColumn("_probe", F.lit(0)).unionByName(
-        probes.withColumn("_probe", F.lit(1)), allowMissingColumns=True)
-    order = "PARTITION BY place ORDER BY at, _probe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    level = rows.select("place", "at", "_probe", *[
-        F.expr(f"coalesce(sum({n}) OVER ({order}), 0)").alias(n) for n in names]) \
-        .where("_probe = 1").select("place", F.col("at").alias("inspection_date"), *names)
+    mine = Window.partitionBy("parcel_id").orderBy("day")
+    later = mine.rowsBetween(1, Window.unboundedFollowing)
+    next_with = lambda c: F.min(F.when(F.col(c) > 0, F.col("day"))).over(later)
+    moved = F.add_months("day", months)
+    last_in = F.when(F.col("day") == F.last_day("day"), F.last_day(moved)).otherwise(moved)
+    spans = daily.withColumns({
+        "_last": last_in, "_next_inspections": F.lead("day").over(mine),
+        "_next_violations": next_with("violations"), "_next_non_violations": next_with("non_violations")})
+
+    def row(at: Column, amounts: dict[str, Column]) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.struct(F.date_add(at, 1).alias("at"), *[amounts.get(c, zero).cast("long").alias(c) for c in _SCORE_COUNTS])
+
+    plain = ["violations", "non_violations", "inspections"]
+    present = {f"unique_{c}": F.when(F.col(c) > 0, 1).otherwise(0) for c in plain}
+    marks = [row(F.col("day"), {**{c: F.col(c) for c in plain}, **present}),
+             row(F.col("_last"), {c: -F.col(c) for c in plain})]
+    for c in plain:
+        stop = F.least(F.col("_last"), F.coalesce(F.col(f"_next_{c}"), F.col("_last")))
+        marks.append(row(stop, {f"unique_{c}": -present[f"unique_{c}"]}))
+    return spans.select("place", F.explode(F.array(*marks)).alias("m")).select("place", "m.*") \
+        .groupBy("place", "at").agg(*[F.sum(c).alias(c) for c in _SCORE_COUNTS])
+
+
+def _levels_at(people: DataFrame, edges: DataFrame, steps: DataFrame, names: list[str]) -> DataFrame:
+    """Running totals of the steps near each parcel, up to and including each as-of day.
+
+    Steps are handed to the parcels near them, unless all parcels share few
+    as-of days; then the level of each place is read once per day and shared.
+    """
+    order = "ORDER BY at, _probe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+    def read(rows: DataFrame, probes: DataFrame, key: str) -> DataFrame:
+        laid = rows.withColumn("_probe", F.lit(0)).unionByName(
+            probes.withColumn("_probe", F.lit(1)), allowMissingColumns=True)
+        return laid.select(key, "at", "_probe", *[
+            F.expr(f"coalesce(sum(`{n}`) OVER (PARTITION BY `{key}` {order}), 0)").alias(n) for n in names]) \
+            .where("_probe = 1").drop("_probe")
+
+    if asof.busier_side(people, steps, "parcel_id", "place", "at") == "entity":
+        return read(edges.join(steps, "place").drop("place"), people, "parcel_id")
+    visits = people.join(edges, "parcel_id")
     busy = F.lit(False)
     for n in names:
         busy = busy | (F.col(n) != 0)
-    return visits.join(level.where(busy), ["place", "inspection_date"]) \
-        .groupBy(*KEYS).agg(*[F.sum(n).cast("long").alias(n) for n in names])
+    level = read(steps, visits.select("place", "at").distinct(), "place").where(busy)
+    return visits.join(level, ["place", "at"]).groupBy("parcel_id", "at") \
+        .agg(*[F.sum(n).cast("long").alias(n) for n in names])
 
 
 def inspection_metrics(scores: DataFrame) -> DataFrame:
