@@ -57,7 +57,7 @@ def test_numbering_is_dense_and_ordered(skewed):
 
 def test_cumulative_in_groups(spark):
     df = spark.createDataFrame([("a", i % 5, 1) for i in range(50)] + [("b", i, 2) for i in range(30)], "g string, v int, w int")
-    got = O.cumulative_by_value(df, "v", {"w": F.sum("w")}, ["g"], descending=True, buckets=4).collect()
+    got = O.cumulative_by_value(df, "v", {"w": F.sum("w")}, ["g"], descending=True).collect()
     a = {r["v"]: r["cum_w"] for r in got if r["g"] == "a"}
     b = {r["v"]: r["cum_w"] for r in got if r["g"] == "b"}
     assert a == {4: 10, 3: 20, 2: 30, 1: 40, 0: 50}

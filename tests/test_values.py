@@ -60,8 +60,8 @@ def test_dummies(spark):
 
 def test_levels_with_ties_missing_and_rest(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "b", "a", "a", "c", None]], "v string")
-    assert levels.top_levels(df, levels.level_of("v"), 3) == (["a", "b", "c"], True)
-    assert levels.top_levels(df, levels.level_of("v"), 4) == (["a", "b", "c", "missing"], False)
+    assert levels.top_levels(df, {"x": levels.level_of("v")}, 3) == {"x": (["a", "b", "c"], True)}
+    assert levels.top_levels(df, {"x": levels.level_of("v")}, 4) == {"x": (["a", "b", "c", "missing"], False)}
     names = [m.name for m in pivot.level_measures(df, {"x": levels.level_of("v")}, 2)]
     assert names == ["x_a", "x_b", "x_other"]
 

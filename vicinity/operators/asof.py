@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.functions import dates
+from vicinity.operators.spatial import SALTS, split_hot_keys
 
 
 @dataclass(frozen=True)
@@ -44,17 +45,12 @@ def merge_measures(df: DataFrame, keys: list, measures: list[Measure]) -> DataFr
     return df.groupBy(*keys).agg(*[_FOLD[m.how](F.col(m.name)).alias(m.name) for m in measures])
 
 
-def _moment(column: str, grain: str) -> Column:
-    return dates.day_of(F.col(column)) if grain == "day" else dates.as_moment(F.col(column))
-
-
 def _read_windows(folded: DataFrame, probes: DataFrame, key: str, asof_time: str, measures: list[Measure],
-                  months: int, days: int, grain: str) -> DataFrame:
+                  months: int, days: int) -> DataFrame:
     """Window totals of folded rows ``(key, _at, measures)`` at probes ``(key, _d)``.
 
     Rows and probes meet in one shuffle on ``key``; rows may repeat a moment.
     """
-    step = "CAST('1 day' AS INTERVAL)" if grain == "day" else "CAST('1 microsecond' AS INTERVAL)"
     span = f"CAST('{months} months {days} days' AS INTERVAL)"
     running = [m for m in measures if m.how == "sum"]
     framed = [m for m in measures if m.how != "sum"]
@@ -66,7 +62,7 @@ def _read_windows(folded: DataFrame, probes: DataFrame, key: str, asof_time: str
     laid = rows.unionByName(marks, allowMissingColumns=True)
 
     ordered = f"PARTITION BY `{key}` ORDER BY _at, _side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    ranged = f"PARTITION BY `{key}` ORDER BY _at RANGE BETWEEN {span} PRECEDING AND {step} PRECEDING"
+    ranged = f"PARTITION BY `{key}` ORDER BY _at RANGE BETWEEN {span} PRECEDING AND CAST('1 day' AS INTERVAL) PRECEDING"
     laid = laid.select(
         key, "_d", "_side",
         *[F.expr(f"sum(`{m.name}`) OVER ({ordered})").alias(m.name) for m in running],
@@ -80,26 +76,25 @@ def _read_windows(folded: DataFrame, probes: DataFrame, key: str, asof_time: str
     return totals.select(key, asof_time, *[m.name for m in measures])
 
 
-def _fold_events(events: DataFrame, key: str, event_time: str, measures: list[Measure], grain: str) -> DataFrame:
+def _fold_events(events: DataFrame, key: str, event_time: str, measures: list[Measure]) -> DataFrame:
     known = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
-    return fold_measures(known, [F.col(key), _moment(event_time, grain).alias("_at")], measures)
+    return fold_measures(known, [F.col(key), dates.day_of(F.col(event_time)).alias("_at")], measures)
 
 
 def window_totals(events: DataFrame, asof: DataFrame, key: str, event_time: str, asof_time: str,
-                  measures: list[Measure], months: int = 0, days: int = 0,
-                  grain: str = "day") -> DataFrame:
+                  measures: list[Measure], months: int = 0, days: int = 0,) -> DataFrame:
     """Totals over ``[d - window, d)`` per distinct (key, d): ``(key, asof_time, measures...)``.
 
-    ``grain='day'`` needs as-of moments at midnight and folds events per day;
-    ``'exact'`` keeps full event moments.
+    As-of dates are days at midnight. Events of any moment are folded per day,
+    which is exact for such windows.
     """
-    folded = _fold_events(events, key, event_time, measures, grain)
-    probes = asof.select(key, dates.as_moment(F.col(asof_time)).alias("_d")).distinct()
-    return _read_windows(folded, probes, key, asof_time, measures, months, days, grain)
+    folded = _fold_events(events, key, event_time, measures)
+    probes = asof.select(key, dates.asof_day(F.col(asof_time)).alias("_d")).distinct()
+    return _read_windows(folded, probes, key, asof_time, measures, months, days)
 
 
-def busier_side(asof: DataFrame, folded: DataFrame, entity: str, place: str, asof_time: str) -> str:
-    """Side on which the windows are cheaper to read, from two small aggregates.
+def busier_side(asof: DataFrame, events: DataFrame, entity: str, place: str, asof_time: str) -> str:
+    """Side on which the windows are cheaper to read, from two one-row aggregates.
 
     Reading per place costs about one row per (edge, as-of date of the entity),
     less when all entities share few dates; reading per entity costs one row
@@ -107,14 +102,14 @@ def busier_side(asof: DataFrame, folded: DataFrame, entity: str, place: str, aso
     """
     n, entities, moments = asof.agg(
         F.count(F.lit(1)), F.approx_count_distinct(entity), F.approx_count_distinct(asof_time)).first()
-    rows, places = folded.agg(F.count(F.lit(1)), F.approx_count_distinct(place)).first()
+    rows, places = events.agg(F.count(F.lit(1)), F.approx_count_distinct(place)).first()
     visits, event_days = n / max(entities, 1), rows / max(places, 1)
     return "entity" if event_days <= 2 * visits and moments > 2 * visits else "place"
 
 
 def nearby_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, place: str,
                   event_time: str, asof_time: str, measures: list[Measure], months: int,
-                  max_dist: float | None = None, grain: str = "day", side: str = "auto") -> DataFrame:
+                  max_dist: float | None = None, side: str = "auto") -> DataFrame:
     """Totals of events near each entity before each as-of date.
 
     ``edges`` is the proximity table ``(entity, place, dist_m)``. Entity x event
@@ -125,26 +120,26 @@ def nearby_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity:
     count; entities without events are left out.
     """
     near = edges if max_dist is None else edges.where(F.col("dist_m") <= max_dist)
-    folded = _fold_events(events, place, event_time, measures, grain)
-    visits = asof.select(entity, dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct()
+    folded = _fold_events(events, place, event_time, measures)
+    visits = asof.select(entity, dates.asof_day(F.col(asof_time)).alias(asof_time)).distinct()
     if side == "auto":
-        side = busier_side(visits, folded, entity, place, asof_time)
+        side = busier_side(asof, events, entity, place, asof_time)
     near = near.select(entity, place)
     if side == "entity":
         handed = near.join(folded, place).drop(place)
         probes = visits.withColumnRenamed(asof_time, "_d")
-        totals = _read_windows(handed, probes, entity, asof_time, measures, months, 0, grain)
+        totals = _read_windows(handed, probes, entity, asof_time, measures, months, 0)
         return totals.where(F.col(measures[0].name) > 0)
     seen = visits.join(near, entity)
     probes = seen.select(place, F.col(asof_time).alias("_d")).distinct()
-    totals = _read_windows(folded, probes, place, asof_time, measures, months, 0, grain)
+    totals = _read_windows(folded, probes, place, asof_time, measures, months, 0)
     found = totals.where(F.col(measures[0].name) > 0)
     return merge_measures(seen.join(found, [place, asof_time]), [entity, asof_time], measures)
 
 
 def nearby_event_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, event_id: str,
                         event_time: str, asof_time: str, measures: list[Measure], months: int,
-                        max_dist: float | None = None, grain: str = "day") -> DataFrame:
+                        max_dist: float | None = None) -> DataFrame:
     """Like :func:`nearby_totals` for edges that lead straight to single events.
 
     Each event has its own place, so events are handed to their entities first
@@ -152,7 +147,7 @@ def nearby_event_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, en
     """
     near = edges if max_dist is None else edges.where(F.col("dist_m") <= max_dist)
     handed = near.select(entity, event_id).join(events, event_id)
-    totals = window_totals(handed, asof, entity, event_time, asof_time, measures, months=months, grain=grain)
+    totals = window_totals(handed, asof, entity, event_time, asof_time, measures, months=months)
     return totals.where(F.col(measures[0].name) > 0)
 
 
@@ -173,8 +168,9 @@ def events_in_window(asof: DataFrame, edges: DataFrame, events: DataFrame, entit
         .withColumn("_month", F.explode(F.sequence(month(F.col("_from")), month(F.col(asof_time)))))
     )
     found = events.select(place, event_id, F.col(event_time).alias("_at"), month(F.col(event_time)).alias("_month"))
+    found, visits = split_hot_keys(found, visits, [place, "_month"], [event_id], [entity, asof_time])
     return (
-        visits.join(found, [place, "_month"])
+        visits.join(found, [place, "_month", *SALTS])
         .where((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col(asof_time)))
         .select(entity, asof_time, "dist_m", event_id)
     )
@@ -201,7 +197,7 @@ def lookback_average(asof: DataFrame, series: DataFrame, asof_time: str, series_
     folded = series.groupBy(dates.day_of(F.col(series_time)).alias("_day")).agg(
         *[F.sum(c).alias(f"_s_{n}") for n, c in values.items()],
         *[F.count(c).alias(f"_c_{n}") for n, c in values.items()])
-    wanted = asof.select(dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct() \
+    wanted = asof.select(dates.asof_day(F.col(asof_time)).alias(asof_time)).distinct() \
         .withColumn("_day", F.explode(F.expr(
             f"sequence({asof_time} - make_interval(0, 0, {weeks}), "
             f"{asof_time} - make_interval(0, 0, 0, 1), make_interval(0, 0, 0, 1))")))

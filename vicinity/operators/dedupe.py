@@ -30,8 +30,9 @@ def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def only_unrepeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """Drop every row whose key occurs more than once."""
-    folded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(_packed(df, keys)).alias("_row"))
-    return _unpack(folded.where(F.col("_n") == 1), keys, df.columns)
+    others = [c for c in df.columns if c not in keys]
+    folded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in others])
+    return folded.where(F.col("_n") == 1).select(*df.columns)
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

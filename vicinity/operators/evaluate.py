@@ -158,15 +158,12 @@ def _steps(df: DataFrame, label: str, score: str, groups: list[str] | None = Non
         groups=groups, descending=True)
 
 
-def _totals(steps: DataFrame, groups: list[str]) -> DataFrame:
-    return steps.groupBy(*groups).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-
-
 def _with_totals(steps: DataFrame, groups: list[str]) -> DataFrame:
-    totals = _totals(steps, groups)
+    totals = steps.groupBy(*groups).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     if groups:
         return steps.join(totals, groups)
-    return steps.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    row = totals.first()
+    return steps.withColumns({"_p": F.lit(row["_p"]), "_n": F.lit(row["_n"])})
 
 
 def roc_points(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:

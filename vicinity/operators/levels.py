@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vicinity.operators.order_stats import numbered
 
@@ -21,14 +22,23 @@ def group_code(column: str, pattern: str, missing: str = "missing") -> Column:
     return F.coalesce(matched, F.lit(missing))
 
 
-def top_levels(df: DataFrame, level: Column, n: int = TOP_LEVELS) -> tuple[list[str], bool]:
-    """The ``n`` most frequent levels (ties by name) and whether rarer ones exist.
+def top_levels(df: DataFrame, categories: dict[str, Column], n: int = TOP_LEVELS) -> dict[str, tuple[list[str], bool]]:
+    """Per category the ``n`` most frequent levels (ties by name) and whether rarer ones exist.
 
-    At most ``n + 1`` strings reach the driver.
+    All categories are counted in one pass; at most ``n + 1`` strings per
+    category reach the driver.
     """
-    counted = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    found = [r["level"] for r in counted.orderBy(F.col("n").desc(), "level").limit(n + 1).collect()]
-    return found[:n], len(found) > n
+    if not categories:
+        return {}
+    cells = F.array(*[F.struct(F.lit(k).alias("category"), c.alias("level")) for k, c in categories.items()])
+    counted = df.select(F.explode(cells).alias("c")).groupBy("c.category", "c.level").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("category").orderBy(F.col("n").desc(), F.col("level"))
+    kept = counted.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= n + 1).collect()
+    out = {}
+    for k in categories:
+        mine = [r["level"] for r in sorted((r for r in kept if r["category"] == k), key=lambda r: r["rn"])]
+        out[k] = (mine[:n], len(mine) > n)
+    return out
 
 
 def pruned(level: Column, kept: list[str], other: str = "other") -> Column:

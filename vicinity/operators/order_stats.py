@@ -1,7 +1,7 @@
 """Exact order statistics, global ranks and numbering without a single-task sort.
 
 What reaches the driver is bounded: one bracket per target, at most
-``FETCH_ROWS`` distinct values of a bracket, at most ``BUCKETS`` split points.
+``FETCH_ROWS`` distinct values of a bracket.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 from vicinity.session import stable
 
 FETCH_ROWS = 20_000
-BUCKETS = 200
 _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
 
@@ -139,58 +138,47 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     return out
 
 
-# --- ranks over distinct values ------------------------------------------------
+# --- ordered tables over range partitions ----------------------------------------
 
-def split_points(df: DataFrame, value: str, groups: list[str], buckets: int = BUCKETS) -> dict:
-    """Sorted approximate split points of ``value`` per group key (bounded lists)."""
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    found = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(
-        F.percentile_approx(value, probs, _ACCURACY).alias("_p")).collect()
-    return {tuple(r[g] for g in groups): sorted(set(r["_p"])) for r in found}
+def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in a total order over range partitions, with ``_part`` and their place ``_seq`` inside it.
+
+    The ordered rows are checkpointed once: offsets and rows are then read from
+    the same files, also when tasks run again, and the input is computed once.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = stable(
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id()))
+    return kept.withColumns({"_part": F.shiftright("_at", 33), "_seq": F.col("_at").bitwiseAND((1 << 33) - 1)}) \
+        .drop("_at")
 
 
-def _bucket_of(value: Column, points: list, first: int = 0) -> Column:
-    """Number of split points below ``value`` as a balanced tree of comparisons."""
-    if not points:
-        return F.lit(first)
-    mid = len(points) // 2
-    return F.when(value > F.lit(points[mid]), _bucket_of(value, points[mid + 1:], first + mid + 1)) \
-        .otherwise(_bucket_of(value, points[:mid], first))
+def _offsets(placed: DataFrame, groups: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Totals of the partitions before each partition; one row per partition (and group)."""
+    whole = placed.groupBy(*groups, "_part").agg(*[c.alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return whole.select(*groups, "_part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], groups: list[str] | None = None,
-                        descending: bool = False, buckets: int | None = None) -> DataFrame:
+                        descending: bool = False) -> DataFrame:
     """One row per distinct value with each sum and its running total ``cum_<name>``.
 
-    Rows are folded per value first (hot values become one row). Values are cut
-    into ordered buckets; the running total is a window inside a bucket plus
-    the total of the buckets before it, a table of at most ``buckets`` rows per
-    group. Groups must be few (metrics, classes). Nulls are left out.
+    Rows are folded per value first, so hot values become one row. The running
+    total is a window inside a range partition plus the totals of the
+    partitions before it. Groups must be few (metrics, classes). Nulls are left
+    out.
     """
     groups = groups or []
-    buckets = buckets or min(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    df = df.where(F.col(value).isNotNull())
-    points = split_points(df, value, groups, buckets)
-    bucket = F.lit(0)
-    for key, cuts in points.items():
-        mine = F.lit(True)
-        for g, v in zip(groups, key):
-            mine = mine & F.col(g).eqNullSafe(F.lit(v))
-        bucket = F.when(mine, _bucket_of(F.col(value), cuts)).otherwise(bucket) if groups \
-            else _bucket_of(F.col(value), cuts)
-    if descending:
-        bucket = -bucket
-    per_value = df.groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()]) \
-        .withColumn("_bucket", bucket)
-    whole = per_value.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1) \
-        if groups else Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = whole.select(*groups, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    order = F.col(value).desc() if descending else F.col(value)
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    per_value = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()])
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    placed = _placed(per_value, [*[F.col(g) for g in groups], order])
+    offsets = _offsets(placed, groups, {f"_o_{n}": F.sum(n) for n in sums})
+    inside = Window.partitionBy(*groups, "_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        per_value.join(offsets, [*groups, "_bucket"])
+        placed.join(offsets, [*groups, "_part"])
         .select(*groups, value, *sums, *[
             (F.sum(n).over(inside) + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in sums])
     )
@@ -226,23 +214,12 @@ def percentile_of_score(df: DataFrame, column: str) -> DataFrame:
 # --- numbering -----------------------------------------------------------------
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rn", start: int = 1) -> DataFrame:
-    """Dense global row number in a total order, spread over range partitions.
-
-    The range-partitioned rows are checkpointed once with their place inside
-    the partition, so the partition offsets and the rows agree even when tasks
-    are run again.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stable(
-        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumns({"_part": F.shiftright("_at", 33), "_seq": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    """Dense global row number in a total order, spread over range partitions."""
+    placed = _placed(df, order)
+    offsets = _offsets(placed, [], {"_offset": F.count(F.lit(1))})
     return placed.join(offsets, "_part") \
         .withColumn(name, F.col("_offset") + F.col("_seq") + F.lit(start)) \
-        .drop("_at", "_part", "_seq", "_offset")
+        .drop("_part", "_seq", "_offset")
 
 
 def continue_keys(new_rows: DataFrame, existing: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -34,8 +34,9 @@ def level_measures(df: DataFrame, categories: dict[str, Column], n: int = 15) ->
     events fall into a window.
     """
     out = []
+    found = top_levels(df, categories, n)
     for name, level in categories.items():
-        kept, rest = top_levels(df, level, n)
+        kept, rest = found[name]
         slot = pruned(level, kept)
         for value in sorted(kept + (["other"] if rest and "other" not in kept else [])):
             out.append(Measure(clean_name(f"{name}_{value}"), (slot == F.lit(value)).cast("int")))
@@ -46,6 +47,18 @@ def text_categories(columns: list[str]) -> dict[str, Column]:
     return {c: level_of(c) for c in columns}
 
 
+# Spark's own limit on the values of a pivot.
+MOST_COLUMNS = 10_000
+
+
+def classes_of(df: DataFrame, cls: Column) -> list[str]:
+    """Sorted distinct classes; an unbounded class column is refused, not collected."""
+    found = df.select(cls.alias("c")).distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} classes to pivot")
+    return sorted(r["c"] for r in found)
+
+
 def count_pivot(df: DataFrame, keys: list[str], columns: list[str], values: list | None = None,
                 total: str | None = "total") -> DataFrame:
     """Crosstab of counts, zero-filled, with an optional row total.
@@ -55,7 +68,7 @@ def count_pivot(df: DataFrame, keys: list[str], columns: list[str], values: list
     """
     cls = F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
     if values is None:
-        values = [r["c"] for r in df.select(cls.alias("c")).distinct().orderBy("c").collect()]
+        values = classes_of(df, cls)
     sums = [F.sum((cls == F.lit(v)).cast("long")).alias(clean_name(str(v))) for v in values]
     if total:
         sums.append(F.count(F.lit(1)).alias(total))
@@ -74,7 +87,7 @@ def general_pivot(df: DataFrame, keys: list[str], classes: list[str], value: str
     single = F.assert_true(F.col("_rows") == 1, F.lit("several rows for one pivot cell")).isNull()
     long = long.withColumn("_value", F.when(single, F.col("_value")))
     if values is None:
-        values = [r["c"] for r in df.select(cls.alias("c")).distinct().orderBy("c").collect()]
+        values = classes_of(df, cls)
     wide = long.groupBy(*keys).pivot("_class", values).agg(F.first("_value"))
     return wide.fillna(default, subset=values) if default is not None else wide
 

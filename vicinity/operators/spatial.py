@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vicinity.functions import geo
 
 FEET_PER_METRE = 3.281
-HOT_CELL_ROWS = 50_000
+HOT_CELL_ROWS = 20_000
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -26,30 +26,37 @@ def _around(cell: Column) -> Column:
 
 
 def split_hot_keys(build: DataFrame, probe: DataFrame, keys: list[str], build_id: list[str],
-                   rows_per_split: int = HOT_CELL_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Salt keys that hold more than ``rows_per_split`` build rows.
-
-    Adds ``_salt`` to both sides: build rows of a hot key are spread over its
-    splits by their id, probe rows are repeated once per split. The list of hot
-    keys is a plain join side, so Spark broadcasts it only when it is small.
+                   probe_id: list[str], rows_per_split: int = HOT_CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Split join keys that hold more than ``rows_per_split`` rows on either side.
+
+    Adds ``_salt_b`` and ``_salt_p`` to both sides, to be joined with the keys.
+    Rows of a hot key are spread over the splits of their own side by a hash of
+    their id and repeated over the splits of the other side, so one join task
+    meets at most ``rows_per_split`` rows of each. The list of hot keys is a
+    plain join side: Spark broadcasts it only when it is small at run time.
     """
-    hot = (
-        build.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_split)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
-    )
-    splits = F.coalesce(F.col("_splits"), F.lit(1))
-    salted = (
-        build.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*build_id), splits).cast("int"))
-        .drop("_splits")
-    )
-    repeated = (
-        probe.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
-        .drop("_splits")
-    )
-    return salted, repeated
+    def crowded(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_split) \
+            .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias(name))
+
+    hot = crowded(build, "_splits_b").join(crowded(probe, "_splits_p"), keys, "full")
+    one = F.lit(1)
+    splits_b, splits_p = F.coalesce("_splits_b", one), F.coalesce("_splits_p", one)
+
+    def salted(df: DataFrame, mine: str, mine_splits: Column, other: str, other_splits: Column,
+               ids: list[str]) -> DataFrame:
+        return (
+            df.join(hot, keys, "left")
+            .withColumn(mine, F.pmod(F.xxhash64(*ids), mine_splits).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), other_splits - 1)))
+            .drop("_splits_b", "_splits_p")
+        )
+
+    return (salted(build, "_salt_b", splits_b, "_salt_p", splits_p, build_id),
+            salted(probe, "_salt_p", splits_p, "_salt_b", splits_b, probe_id))
+
+
+SALTS = ["_salt_b", "_salt_p"]
 
 
 def point_edges(left: DataFrame, right: DataFrame, left_cols: list[str], right_cols: list[str],
@@ -71,11 +78,12 @@ def point_edges(left: DataFrame, right: DataFrame, left_cols: list[str], right_c
         )
         .withColumn("_cy", _around(_cell(F.col("_ry"), feet)))
     )
-    build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], ["_lx", "_ly"], rows_per_split)
+    build, probe = split_hot_keys(
+        build, probe, ["_cx", "_cy"], ["_lx", "_ly", *left_cols], ["_rx", "_ry", *right_cols], rows_per_split)
     dx, dy = F.col("_lx") - F.col("_rx"), F.col("_ly") - F.col("_ry")
     squared = dx * dx + dy * dy
     return (
-        build.join(probe, ["_cx", "_cy", "_salt"])
+        build.join(probe, ["_cx", "_cy", *SALTS])
         .where(squared <= F.lit(feet * feet))
         .select(*left_cols, *right_cols, (F.sqrt(squared.cast("double")) / FEET_PER_METRE).alias("dist_m"))
     )
@@ -125,12 +133,12 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_cols: lis
     """Inner join of points with the polygons that contain them (even-odd rule)."""
     probe = _cells_of_box(polygons.select(*polygon_cols, "ring"), cell)
     build = points.withColumn("_cx", _cell(F.col("x"), cell)).withColumn("_cy", _cell(F.col("y"), cell))
-    build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], ["x", "y"])
+    build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], ["x", "y"], polygon_cols)
     x, y = F.col("x"), F.col("y")
     in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
     kept = [c for c in points.columns if c not in polygon_cols]
     return (
-        build.join(probe, ["_cx", "_cy", "_salt"])
+        build.join(probe, ["_cx", "_cy", *SALTS])
         .where(in_box & geo.contains_point(F.col("ring"), x, y))
         .select(*kept, *polygon_cols)
     )
@@ -161,11 +169,12 @@ def polygon_overlaps(left: DataFrame, right: DataFrame, left_cols: list[str], ri
     shape = ["ring", "min_x", "min_y", "max_x", "max_y"]
     a = a.select(*left_cols, "_cx", "_cy", *[F.col(c).alias(f"_l_{c}") for c in shape])
     b = b.select(*right_cols, "_cx", "_cy", *[F.col(c).alias(f"_r_{c}") for c in shape])
+    a, b = split_hot_keys(a, b, ["_cx", "_cy"], left_cols, right_cols)
     low_x, low_y = F.greatest("_l_min_x", "_r_min_x"), F.greatest("_l_min_y", "_r_min_y")
     high_x, high_y = F.least("_l_max_x", "_r_max_x"), F.least("_l_max_y", "_r_max_y")
     home = (F.col("_cx") == _cell(low_x, cell)) & (F.col("_cy") == _cell(low_y, cell))
     return (
-        a.join(b, ["_cx", "_cy"])
+        a.join(b, ["_cx", "_cy", *SALTS])
         .where(home & (low_x < high_x) & (low_y < high_y))
         .select(
             *left_cols, *right_cols,
@@ -228,7 +237,7 @@ def polygon_point_edges(polygons: DataFrame, points: DataFrame, polygon_id: str,
         .withColumn("_cy", F.explode(F.sequence(_cell(F.col("min_y") - feet, size), _cell(F.col("max_y") + feet, size))))
     )
     build = points.select(point_id, "x", "y", _cell(F.col("x"), size).alias("_cx"), _cell(F.col("y"), size).alias("_cy"))
-    build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], [point_id])
-    near = build.join(probe, ["_cx", "_cy", "_salt"])
+    build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], [point_id], [polygon_id])
+    near = build.join(probe, ["_cx", "_cy", *SALTS])
     return with_distance_to(near).where(F.col("dist_m") * FEET_PER_METRE <= feet) \
         .select(polygon_id, point_id, "dist_m")

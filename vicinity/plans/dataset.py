@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.dates import between_days
 from vicinity.operators.impute import median_fill
+from vicinity.session import stable
 
 KEYS = ["parcel_id", "inspection_date"]
 OUTCOME = "viol_outcome"
@@ -93,10 +94,11 @@ def assemble(labels: DataFrame, tables: dict[str, DataFrame], features: list[tup
         missing = [c for c in columns if c not in df.columns]
         if missing:
             raise ValueError(f"unknown features in {table}: {missing}")
-        part = df.groupBy(*keys).agg(F.first(F.struct(*[F.col(c) for c in columns])).alias("_f")) \
-            .select(*keys, *[F.col("_f").getField(c).alias(f"{table}_{c}") for c in columns])
+        part = df.groupBy(*keys).agg(*[F.first(c).alias(f"{table}_{c}") for c in columns])
         out = out.join(part, keys, "left")
         names += [f"{table}_{c}" for c in columns]
+    if impute == "median":
+        out = stable(out)       # read by every pass of the exact medians
     return median_fill(out, names, impute) if impute else out
 
 

@@ -18,7 +18,7 @@ from vicinity.operators import area, asof, panel, spatial
 from vicinity.operators.asof import Measure
 from vicinity.operators.levels import group_code, level_of
 from vicinity.operators.order_stats import with_ranks
-from vicinity.operators.pivot import clean_name, level_measures, text_categories
+from vicinity.operators.pivot import classes_of, clean_name, level_measures, text_categories
 
 KEYS = ["parcel_id", "inspection_date"]
 
@@ -191,7 +191,7 @@ def density(ctx: Context) -> DataFrame:
     subjects = ctx.population.select("parcel_id").distinct().join(parcels, "parcel_id", "left")
     houses = spatial.neighbour_counts(subjects, parcels, "parcel_id", "parcel_id", ctx.metres)
     kind = level_of("event")
-    kinds = [r["k"] for r in events.select(kind.alias("k")).distinct().orderBy("k").collect()]
+    kinds = classes_of(events, kind)
     counts = [Measure(clean_name(k), (kind == F.lit(k)).cast("int")) for k in kinds]
     placed = events.join(parcels.select("parcel_id", "x", "y"), "parcel_id") \
         .select(F.struct("x", "y").alias("place"), "date", "event")

@@ -360,22 +360,21 @@ SELECT parcel_id, inspection_date, round(v, 6) AS avg_value FROM days LEFT JOIN
 
 
 def asof_event_features(spark, folder):
-    """Own events of each user in the month before each of their days, at exact event moments."""
+    """Own events of each user in the three days before each of their days."""
     t = Tables(spark, folder)
-    cents = F.round(F.col("value") * 100).cast("long")
     out = asof.window_totals(
-        t.events, t.events.select("user_id", F.col("ts").alias("seen_at")), "user_id", "ts", "seen_at", [
-            Measure("n", F.lit(1)), Measure("cents", cents), Measure("top", F.col("value"), "max"),
+        t.events, t.events.select("user_id", F.date_trunc("day", "ts").alias("seen_on")), "user_id", "ts", "seen_on", [
+            Measure("n", F.lit(1)), Measure("cents", cents("value")), Measure("top", F.col("value"), "max"),
             Measure("low", F.col("value"), "min"),
-            Measure("clicks", (F.col("event_type") == "click").cast("int"))], days=3, grain="exact")
+            Measure("clicks", (F.col("event_type") == "click").cast("int"))], days=3)
     return out.where("n > 0")
 
 
 ASOF_EVENT_FEATURES = """
-WITH d AS (SELECT DISTINCT user_id, ts AS seen_at FROM events)
-SELECT d.user_id, seen_at, count(*) AS n, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS cents,
+WITH d AS (SELECT DISTINCT user_id, date_trunc('day', ts)::TIMESTAMP AS seen_on FROM events)
+SELECT d.user_id, seen_on, count(*) AS n, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS cents,
   max(value) AS top, min(value) AS low, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks
-FROM d JOIN events e ON e.user_id = d.user_id AND e.ts < seen_at AND e.ts >= seen_at - INTERVAL 3 DAY GROUP BY 1, 2"""
+FROM d JOIN events e ON e.user_id = d.user_id AND e.ts < seen_on AND e.ts >= seen_on - INTERVAL 3 DAY GROUP BY 1, 2"""
 
 
 QUERIES = {
