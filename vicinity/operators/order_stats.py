@@ -145,10 +145,11 @@ def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
 
     The ordered rows are checkpointed once: offsets and rows are then read from
     the same files, also when tasks run again, and the input is computed once.
+    The number of ranges follows the data: adaptive execution merges small
+    neighbours.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = stable(
-        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id()))
     return kept.withColumns({"_part": F.shiftright("_at", 33), "_seq": F.col("_at").bitwiseAND((1 << 33) - 1)}) \
         .drop("_at")
