@@ -42,6 +42,7 @@ def test_ranks_share_ties(skewed):
 @pytest.mark.parametrize("fetch,n", [(20000, 1500), (10, 1500), (10, 2950), (10, 3010), (10, 0)])
 def test_top_n_cuts_inside_ties(skewed, monkeypatch, fetch, n):
     monkeypatch.setattr(O, "FETCH_ROWS", fetch)
+    monkeypatch.setattr(O, "LIMIT_ROWS", fetch)
     values, df = skewed
     order = sorted(range(len(values)), key=lambda i: (values[i] is None, -(values[i] or 0), i))
     assert sorted(r["id"] for r in O.top_n(df, "v", "id", n).collect()) == sorted(order[:n])

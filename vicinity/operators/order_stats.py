@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from vicinity.session import stable
 
 FETCH_ROWS = 20_000
+LIMIT_ROWS = 1_000      # an ordered limit sends this many rows of every task to one task
 _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
 
@@ -232,12 +233,13 @@ def continue_keys(new_rows: DataFrame, existing: DataFrame, key: str, order: lis
 def top_n(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
     """The ``n`` rows with the highest score, ties by ascending key.
 
-    Small ``n`` is a plain ordered limit. Beyond that the exact cut-off score is
-    found first and rows are filtered by it, so no task holds all ``n`` rows.
+    A small ``n`` is a plain ordered limit. Beyond that the exact cut-off score is
+    found first and rows are filtered by it, so no task sees the heads of all
+    others. That takes several passes: give it a stored table.
     """
     if n <= 0:
         return df.limit(0)
-    if n <= FETCH_ROWS:
+    if n <= LIMIT_ROWS:
         return df.orderBy(F.col(score).desc_nulls_last(), F.col(key)).limit(n)
     scored = df.where(F.col(score).isNotNull())
     total = scored.count()

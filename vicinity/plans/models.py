@@ -275,8 +275,13 @@ def run_row(spark: SparkSession, run_id: str, experiment: str, name: str, params
     return wide.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *wide.columns)
 
 
-def log_run(row: DataFrame, path: str) -> None:
-    row.write.mode("append").partitionBy("experiment").parquet(path)
+def log_run(row: DataFrame, path: str, replace: bool = False) -> None:
+    """Append a run; with ``replace`` it takes the place of all runs of its experiment."""
+    writer = row.write.partitionBy("experiment")
+    if replace:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("append").parquet(path)
 
 
 def runs_of(runs: DataFrame, experiment: str) -> DataFrame:
