@@ -31,6 +31,14 @@ def test_drifting_union_and_clean_rows(spark):
         ("1", "x", "TOWN", "-"), ("3", "y", "TOWN", "9")]
 
 
+def test_geocoder_answers_join_back(spark):
+    lines = spark.createDataFrame([('"1","12 Elm St, Town, OH, 45","Match","Exact","12 ELM ST, TOWN, OH, 45211","-84.5,39.1","9","L"',),
+                                   ('"2","x, Town, OH, 45","No_Match"',)], "value string")
+    df = spark.createDataFrame([("12 Elm St", "Town", "OH", "45"), ("x", "Town", "OH", "45")], "address string, city string, state string, zip string")
+    out = files.with_geocodes(df, files.parse_geocoder_lines(lines), ["address", "city", "state", "zip"]).orderBy("address").collect()
+    assert [(r["address"], r["latitude"], r["zip_census"]) for r in out] == [("12 Elm St", 39.1, "45211"), ("x", None, None)]
+
+
 def test_rows_after_mark(spark):
     new = spark.createDataFrame([(datetime(2015, 1, d),) for d in (1, 2, 3)], "t timestamp_ntz")
     assert increment.rows_after_mark(new, None, "t").count() == 3

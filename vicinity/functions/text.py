@@ -64,9 +64,11 @@ def joined_address(number: Column, direction: Column, name: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def display_address(parts: list[Column]) -> Column:
-    """Capitalised parts; a missing part becomes one blank."""
-    return F.concat_ws(" ", *[F.coalesce(F.initcap(p), F.lit(" ")) for p in parts])
+def display_address(number: Column, street: Column, suffix: Column) -> Column:
+    """``number street suffix`` with capitalised words; a missing or empty part becomes one blank."""
+    words = lambda c: F.initcap(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    shown = lambda c: F.coalesce(F.when(c != "", c), F.lit(" "))
+    return F.concat_ws(" ", shown(number), shown(words(street)), shown(words(suffix)))
 
 
 def wide_parcel_id(c: Column) -> Column:

@@ -61,11 +61,12 @@ def organisation_years(wide: DataFrame, asof_time: str, prefix: str = "owner_",
     return wide.withColumn(name, count)
 
 
-def owned_per_owner(holdings: DataFrame, entity: str, owner: str) -> DataFrame:
-    """Number of distinct properties of the owner, per property."""
-    pairs = holdings.select(entity, owner).distinct()
-    counts = pairs.groupBy(owner).agg(F.count(F.lit(1)).alias("num_properties_owned"))
-    return pairs.join(counts, owner).select(entity, owner, "num_properties_owned")
+def properties_owned(population: DataFrame, holdings: DataFrame, entity: str, owner: str) -> DataFrame:
+    """Number of holdings of the owner, for each row of the population and each holding of it."""
+    known = holdings.where(F.col(owner).isNotNull())
+    counts = known.groupBy(owner).agg(F.count(F.lit(1)).alias("num_properties_owned"))
+    return population.join(known.select(entity, owner), entity).join(counts, owner) \
+        .select(*population.columns, "num_properties_owned")
 
 
 def stacked_events(sources: list[tuple[DataFrame, list[tuple[str, str, str]]]], case: str, case_type: str,

@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.operators.dedupe import only_unrepeated
+from vicinity.functions.text import display_address, is_residential_report
+from vicinity.operators.dedupe import first_by, only_unrepeated
 
 # Case type of inspections and the events that decide the label.
 CASE_TYPE = "CBHCODE"
@@ -72,5 +73,20 @@ def any_interaction(parcels: DataFrame, events: DataFrame, parcel: str = "parcel
     return parcels.join(seen, parcel, "left").fillna(False, subset=["any_interaction"])
 
 
+def parcel_info(parcels: DataFrame, areas: DataFrame, events: DataFrame) -> DataFrame:
+    """Report columns per parcel: residential flag, area columns, display address and last event.
+
+    Of several events on the last day the first by name is kept.
+    """
+    latest = events.groupBy("parcel_id").agg(F.max("date").alias("date"))
+    last = first_by(events.join(latest, ["parcel_id", "date"]), ["parcel_id"], [F.col("event"), F.col("comp_type")]).select(
+        "parcel_id", F.col("date").alias("last_interaction"), F.col("comp_type").alias("last_interaction_type"),
+        F.col("event").alias("last_interaction_event"))
+    placed = areas.withColumn("address", display_address(F.col("addrno"), F.col("addrst"), F.col("addrsf"))) \
+        .drop("addrno", "addrst", "addrsf")
+    return parcels.select("parcel_id", is_residential_report(F.col("class")).alias("residential")) \
+        .join(placed, "parcel_id", "left").join(last, "parcel_id", "left")
+
+
 def residential_only(df: DataFrame, parcels: DataFrame, rule: Column, parcel: str = "parcel_id") -> DataFrame:
     return df.join(parcels.where(rule).select(parcel).distinct(), parcel, "left_semi")

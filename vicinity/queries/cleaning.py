@@ -117,14 +117,14 @@ def geocoder_lines(spark, folder):
     t = Tables(spark, folder)
     k = F.col("c_custkey").cast("string")
     line = F.concat(
-        F.lit('"'), k, F.lit('","raw"'), F.when(F.col("c_nationkey") % 2 == 0, F.concat(
+        F.lit('"'), k, F.lit('","'), k, F.lit(' Elm St, Oak Hill,OH, "'), F.when(F.col("c_nationkey") % 2 == 0, F.concat(
             F.lit(',"Match","Exact","'), k, F.lit(" ELM ST, OAK HILL, OH, "), (F.col("c_custkey") + 45000).cast("string"),
             F.lit('","-84.'), k, F.lit(",39."), k, F.lit('","123","L"'))).otherwise(F.lit(',"No_Match"')))
     return files.parse_geocoder_lines(t.customer.select(line.alias("value")))
 
 
 GEOCODER_LINES = """
-SELECT c_custkey::VARCHAR AS id, c_custkey || ' ELM ST' AS address, 'OAK HILL' AS city, 'OH' AS state, (c_custkey + 45000)::VARCHAR AS zip,
+SELECT c_custkey::VARCHAR AS id, c_custkey || ' Elm St,Oak Hill,OH,' AS raw_input, c_custkey || ' ELM ST' AS address, 'OAK HILL' AS city, 'OH' AS state, (c_custkey + 45000)::VARCHAR AS zip,
   CAST('-84.' || c_custkey AS DOUBLE) AS longitude, CAST('39.' || c_custkey AS DOUBLE) AS latitude FROM customer WHERE c_nationkey % 2 = 0"""
 
 
@@ -167,7 +167,7 @@ def joined_addresses(spark, folder):
         F.when(F.col("s_suppkey") % 3 == 0, F.lit("W")).alias("dir"), F.lower("s_name").alias("name"))
     return rows.select(
         "s_suppkey", text.joined_address(F.col("number"), F.col("dir"), F.col("name")).alias("address"),
-        text.display_address([F.col("number"), F.col("dir"), F.lit("MAIN street")]).alias("shown"))
+        text.display_address(F.col("number"), F.col("dir"), F.lit("MAIN  street")).alias("shown"))
 
 
 JOINED_ADDRESSES = """

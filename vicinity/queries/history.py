@@ -305,12 +305,35 @@ FROM v JOIN wide USING (parcel_id)"""
 
 def owner_counts(spark, folder):
     t = Tables(spark, folder)
-    return panel.owned_per_owner(t.lineitem, "l_partkey", "l_suppkey")
+    people = t.part.select(F.col("p_partkey").alias("parcel_id"), "p_brand")
+    holdings = t.lineitem.select(F.col("l_partkey").alias("parcel_id"), F.col("l_suppkey").alias("owner"))
+    return panel.properties_owned(people, holdings, "parcel_id", "owner")
 
 
 OWNER_COUNTS = """
-WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
-SELECT l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_suppkey) AS num_properties_owned FROM p"""
+SELECT p_partkey AS parcel_id, p_brand, n AS num_properties_owned FROM part JOIN lineitem ON l_partkey = p_partkey
+JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (l_suppkey)"""
+
+
+def parcel_info(spark, folder):
+    t = Tables(spark, folder)
+    parcels = t.customer.select(F.col("c_custkey").alias("parcel_id"), (F.col("c_custkey") % 200 + 400).cast("int").alias("class"))
+    areas = t.customer.select(F.col("c_custkey").alias("parcel_id"), F.lower("c_mktsegment").alias("addrst"),
+                              F.col("c_nationkey").cast("string").alias("addrno"), F.lit(None).cast("string").alias("addrsf"),
+                              F.col("c_nationkey").alias("tract"))
+    events = t.orders.where("o_orderstatus = 'F'").select(
+        F.col("o_custkey").alias("parcel_id"), F.col("o_orderdate").alias("date"),
+        F.col("o_orderstatus").alias("comp_type"), F.col("o_orderpriority").alias("event"))
+    return population.parcel_info(parcels, areas, events).withColumn("residential", F.col("residential").cast("int"))
+
+
+PARCEL_INFO = """
+WITH l AS (SELECT o_custkey, o_orderdate, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderdate DESC, o_orderpriority) AS rn FROM orders WHERE o_orderstatus = 'F') WHERE rn = 1)
+SELECT c_custkey AS parcel_id, CASE WHEN c_custkey % 200 + 400 = 423 OR c_custkey % 200 + 400 >= 500 THEN 1 ELSE 0 END AS residential,
+  c_nationkey AS tract, c_nationkey || ' ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || '  ' AS address,
+  o_orderdate AS last_interaction, o_orderstatus AS last_interaction_type, o_orderpriority AS last_interaction_event
+FROM customer LEFT JOIN l ON o_custkey = c_custkey"""
 
 
 def yearly_union(spark, folder):
@@ -463,6 +486,7 @@ QUERIES = {
     "owners_by_year": (owners_by_year, OWNERS_BY_YEAR),
     "organisation_years": (organisation_years, ORGANISATION_YEARS),
     "owner_counts": (owner_counts, OWNER_COUNTS),
+    "parcel_info": (parcel_info, PARCEL_INFO),
     "yearly_union": (yearly_union, YEARLY_UNION),
     "area_population": (area_population, AREA_POPULATION),
     "area_rate_year": (area_rate_year, AREA_RATE_YEAR),

@@ -70,7 +70,7 @@ def clean_rows(df: DataFrame, address: str = "address") -> DataFrame:
 
 
 def parse_geocoder_lines(df: DataFrame, line: str = "value") -> DataFrame:
-    """Matched lines of a batch geocoder answer: id, matched address parts and coordinates.
+    """Matched lines of a batch geocoder answer: id, input, matched address parts and coordinates.
 
     Lines are quoted fields ``id, input, Match, exactness, "street, city, state, zip", "lon,lat", ...``.
     """
@@ -80,11 +80,20 @@ def parse_geocoder_lines(df: DataFrame, line: str = "value") -> DataFrame:
     place = F.split(F.try_element_at("f", F.lit(6)), ",")
     return rows.select(
         F.element_at("f", 1).alias("id"),
+        F.replace(F.element_at("f", 2), F.lit(", "), F.lit(",")).alias("raw_input"),
         *[F.try_element_at(parts, F.lit(i)).alias(n) for i, n in enumerate(("address", "city", "state", "zip"), 1)],
         F.try_element_at(place, F.lit(1)).try_cast("double").alias("longitude"),
         F.try_element_at(place, F.lit(2)).try_cast("double").alias("latitude"))
 
 
+def with_geocodes(df: DataFrame, matches: DataFrame, parts: list[str]) -> DataFrame:
+    """Left-join matched coordinates and address parts (suffix ``_census``) by the comma-joined input."""
+    found = matches.dropDuplicates(["raw_input"]).select("raw_input", "latitude", "longitude", *[
+        F.col(c).alias(f"{c}_census") for c in ("address", "city", "state", "zip")])
+    return df.withColumn("raw_input", F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in parts])) \
+        .join(found, "raw_input", "left").drop("raw_input")
+
+
 def fill_coordinates(df: DataFrame, lat: str, lon: str, other_lat: str, other_lon: str) -> DataFrame:
     """Other latitude when either coordinate is missing, then other longitude by the new latitude."""
     df = df.withColumn(lat, F.when(F.col(lat).isNull() | F.col(lon).isNull(), F.col(other_lat)).otherwise(F.col(lat)))
