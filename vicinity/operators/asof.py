@@ -5,7 +5,7 @@ so a key that owns a third of all events shrinks to one row per day. As-of
 moments are then laid between the events of their key and the totals are read
 from one ordered window. Integer measures use a running total read twice
 (``S(d) - S(d - N)``), which is exact and linear; floating sums and extremes
-use a calendar RANGE frame, so nothing is lost by subtraction.
+are folded over the day rows of the window, so nothing is lost by subtraction.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ class Measure:
 
 
 _FOLD = {"sum": F.sum, "fsum": F.sum, "min": F.min, "max": F.max}
-_SQL = {"fsum": "sum", "min": "min", "max": "max"}
 
 
 def fold_measures(df: DataFrame, keys: list, measures: list[Measure]) -> DataFrame:
@@ -49,33 +48,49 @@ def _read_windows(folded: DataFrame, probes: DataFrame, key: str, asof_time: str
                   months: int, days: int) -> DataFrame:
     """Window totals of folded rows ``(key, _at, measures)`` at probes ``(key, _d)``.
 
-    Rows and probes meet in one shuffle on ``key``; rows may repeat a moment.
+    Rows may repeat a moment. Sums of whole numbers are read from running
+    totals; rows and probes meet in one shuffle on ``key``.
     """
     span = f"CAST('{months} months {days} days' AS INTERVAL)"
     running = [m for m in measures if m.how == "sum"]
     framed = [m for m in measures if m.how != "sum"]
 
-    rows = folded.withColumns({"_d": F.lit(None).cast("timestamp_ntz"), "_side": F.lit(2)})
+    rows = folded.select(key, "_at", *[m.name for m in running]) \
+        .withColumns({"_d": F.lit(None).cast("timestamp_ntz"), "_side": F.lit(2)})
     high = probes.withColumns({"_at": F.col("_d"), "_side": F.lit(1)})
     low = probes.withColumns({"_at": F.expr(f"_d - {span}"), "_side": F.lit(0)})
-    marks = high.unionByName(low) if running else high
-    laid = rows.unionByName(marks, allowMissingColumns=True)
+    laid = rows.unionByName(high.unionByName(low), allowMissingColumns=True)
 
     ordered = f"PARTITION BY `{key}` ORDER BY _at, _side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    ranged = f"PARTITION BY `{key}` ORDER BY _at RANGE BETWEEN {span} PRECEDING AND CAST('1 day' AS INTERVAL) PRECEDING"
-    laid = laid.select(
-        key, "_d", "_side",
-        *[F.expr(f"sum(`{m.name}`) OVER ({ordered})").alias(m.name) for m in running],
-        *[F.expr(f"{_SQL[m.how]}(`{m.name}`) OVER ({ranged})").alias(m.name) for m in framed],
-    ).where(F.col("_side") < 2)
+    laid = laid.select(key, "_d", "_side", *[
+        F.expr(f"sum(`{m.name}`) OVER ({ordered})").alias(m.name) for m in running]).where(F.col("_side") < 2)
     sign = F.when(F.col("_side") == 1, 1).otherwise(-1)
-    totals = laid.groupBy(key, F.col("_d").alias(asof_time)).agg(
-        *[F.sum(F.coalesce(F.col(m.name), F.lit(0)) * sign).cast("long").alias(m.name) for m in running],
-        *[F.max(F.when(F.col("_side") == 1, F.col(m.name))).alias(m.name) for m in framed],
-    )
+    totals = laid.groupBy(key, F.col("_d").alias(asof_time)).agg(*[
+        F.sum(F.coalesce(F.col(m.name), F.lit(0)) * sign).cast("long").alias(m.name) for m in running])
+    if framed:
+        totals = totals.join(_read_frames(folded, probes, key, asof_time, framed, span), [key, asof_time], "left")
     return totals.select(key, asof_time, *[m.name for m in measures])
 
 
+def _month(when: Column) -> Column:
+    return (F.year(when) * 12 + F.month(when)).cast("int")
+
+
+def _read_frames(folded: DataFrame, probes: DataFrame, key: str, asof_time: str, measures: list[Measure],
+                 span: str) -> DataFrame:
+    """Extremes and floating sums of the window, which a difference of totals cannot give.
+
+    Probes meet the day rows of the months they cover: (key, month) holds at
+    most one row per day and place, so no key is hot.
+    """
+    wanted = probes.withColumn("_from", F.expr(f"_d - {span}")) \
+        .withColumn("_month", F.explode(F.sequence(_month(F.col("_from")), _month(F.col("_d")))))
+    rows = folded.select(key, "_at", *[m.name for m in measures], _month(F.col("_at")).alias("_month"))
+    met = wanted.join(rows, [key, "_month"]) \
+        .where((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_d")))
+    return merge_measures(met.withColumnRenamed("_d", asof_time), [key, asof_time], measures)
+
+
 def _fold_events(events: DataFrame, key: str, event_time: str, measures: list[Measure]) -> DataFrame:
     known = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
     return fold_measures(known, [F.col(key), dates.day_of(F.col(event_time)).alias("_at")], measures)
@@ -160,14 +175,13 @@ def events_in_window(asof: DataFrame, edges: DataFrame, events: DataFrame, entit
     :func:`nearby_totals`. As-of dates and events meet on (place, month), then
     the exact half-open window is applied.
     """
-    month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
     visits = (
         asof.select(entity, dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct()
         .join(edges.where(F.col("dist_m") <= max_dist).select(entity, place, "dist_m"), entity)
         .withColumn("_from", dates.months_before(F.col(asof_time), months))
-        .withColumn("_month", F.explode(F.sequence(month(F.col("_from")), month(F.col(asof_time)))))
+        .withColumn("_month", F.explode(F.sequence(_month(F.col("_from")), _month(F.col(asof_time)))))
     )
-    found = events.select(place, event_id, F.col(event_time).alias("_at"), month(F.col(event_time)).alias("_month"))
+    found = events.select(place, event_id, F.col(event_time).alias("_at"), _month(F.col(event_time)).alias("_month"))
     found, visits = split_hot_keys(found, visits, [place, "_month"], [event_id], [entity, asof_time])
     return (
         visits.join(found, [place, "_month", *SALTS])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.operators.asof import Measure
-from vicinity.operators.levels import level_of, pruned, top_levels
+from vicinity.operators.levels import level_of, top_levels
 
 
 def clean_name(name: str) -> str:
@@ -37,9 +37,11 @@ def level_measures(df: DataFrame, categories: dict[str, Column], n: int = 15) ->
     found = top_levels(df, categories, n)
     for name, level in categories.items():
         kept, rest = found[name]
-        slot = pruned(level, kept)
-        for value in sorted(kept + (["other"] if rest and "other" not in kept else [])):
-            out.append(Measure(clean_name(f"{name}_{value}"), (slot == F.lit(value)).cast("int")))
+        for value in sorted(set(kept) | ({"other"} if rest else set())):
+            hit = level == F.lit(value)
+            if rest and value == "other":
+                hit = hit | ~level.isin(kept)
+            out.append(Measure(clean_name(f"{name}_{value}"), hit.cast("int")))
     return out
 
 
