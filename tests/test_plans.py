@@ -1,4 +1,3 @@
-import math
 from datetime import datetime
 
 import pytest

@@ -1,7 +1,5 @@
 """Cleaning expressions, dummies, imputation and scaling on small frames."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 

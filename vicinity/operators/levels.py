@@ -41,10 +41,6 @@ def top_levels(df: DataFrame, categories: dict[str, Column], n: int = TOP_LEVELS
     return out
 
 
-def pruned(level: Column, kept: list[str], other: str = "other") -> Column:
-    return F.when(level.isin(kept), level).otherwise(F.lit(other)) if kept else F.lit(other)
-
-
 def frequent_levels(df: DataFrame, level: Column, n: int = TOP_LEVELS, other: str = "other") -> DataFrame:
     """Level table ``(rnum, raw_level, count, level)`` in falling order of count."""
     counted = df.groupBy(level.alias("raw_level")).agg(F.count(F.lit(1)).alias("count"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.operators.evaluate import precision_at
+from vicinity.operators.order_stats import numbered, top_per_group
 from vicinity.session import stable
 
 _C7 = [0.00001, 0.0001, 0.001, 0.01, 0.1, 1, 10]
@@ -304,7 +305,6 @@ def without_experiment(runs: DataFrame, experiment: str) -> DataFrame:
 def surplus_runs(runs: DataFrame, metric: str, keep: int = 20, group: str = "experiment",
                  key: str = "run_id") -> DataFrame:
     """Runs outside the best ``keep`` of their experiment."""
-    from vicinity.operators.order_stats import top_per_group
     best = top_per_group(runs, group, [F.col(metric).desc_nulls_last(), F.col(key)], keep)
     return runs.join(best.select(key), key, "left_anti")
 
@@ -323,7 +323,6 @@ def model_groups(runs: DataFrame, same: list[str], start: str = "start_date", to
 
 def numbered_groups(groups: DataFrame, key: str = "run_id") -> DataFrame:
     """``model_group`` numbers from 1 in the order of the smallest run id of each group."""
-    from vicinity.operators.order_stats import numbered
     firsts = groups.groupBy("group_key").agg(F.min(key).alias("_first"))
     numbers = numbered(firsts, [F.col("_first"), F.col("group_key")], "model_group").select("group_key", "model_group")
     return groups.join(numbers, "group_key")

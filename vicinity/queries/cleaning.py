@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vicinity.functions import dates, text
-from vicinity.operators import dedupe, profile
+from vicinity.operators import profile
 from vicinity.queries.roles import ADDRESSES, PARCELS, SCORED, Tables, near, rounded
 from vicinity.sources import files, increment
+from vicinity.streaming.incremental import not_loaded_before
 
 
 def fixed_width_parse(spark, folder):
@@ -225,7 +226,6 @@ SELECT o_orderpriority AS table_name, CASE WHEN o_orderpriority = '2-HIGH' THEN
 def redelivered_rows(spark, folder):
     """Back-filled rows whose key has been loaded before are left out."""
     t = Tables(spark, folder)
-    from vicinity.streaming.incremental import not_loaded_before
     loaded = t.events.where("event_type <> 'view'")
     return not_loaded_before(t.events, loaded, ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 

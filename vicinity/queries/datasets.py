@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from vicinity.functions import text
 from vicinity.operators import impute
 from vicinity.operators.asof import Measure, window_totals
+from vicinity.operators.order_stats import top_percent
 from vicinity.plans import dataset, models, population
-from vicinity.queries.roles import INSPECTIONS, Tables, longs, rounded
+from vicinity.queries.roles import INSPECTIONS, Tables, rounded
 
 FEATURES = [("history", "n"), ("history", "spent"), ("size", "balance"), ("history", "late")]
 
@@ -136,7 +137,6 @@ _MODEL_COLUMNS = ["chars", "english", "source_no"]
 
 def train_rank(spark, folder):
     """Train on labelled rows, score all, keep the top fifth."""
-    from vicinity.operators.order_stats import top_percent
     rows = _model_rows(Tables(spark, folder))
     fitted = models.fit(rows, _MODEL_COLUMNS, "RandomForestClassifier", {"n_estimators": 20, "max_depth": 5}, seed=7)
     return top_percent(models.score(fitted, rows, _MODEL_COLUMNS, ["doc_id"]), "prediction", "doc_id", 20)

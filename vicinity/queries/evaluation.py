@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vicinity.operators import evaluate
-from vicinity.queries.roles import LABELLED, SCORED, Tables, longs, rounded
+from vicinity.queries.roles import LABELLED, SCORED, Tables, rounded
 
 _SHARES = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]
 

@@ -9,7 +9,7 @@ from vicinity.operators import area, levels, panel, pivot
 from vicinity.operators.asof import fold_measures
 from vicinity.operators.dedupe import align_by, single_value_cases
 from vicinity.plans import census, population
-from vicinity.queries.roles import INSPECTIONS, Tables, longs, rounded
+from vicinity.queries.roles import INSPECTIONS, Tables, longs
 
 
 def frequent_levels(spark, folder):
@@ -44,10 +44,10 @@ _TYPES = ["click", "error", "purchase", "signup", "view"]
 def dense_category_pivot(spark, folder):
     """All customers with zero-filled event counts per type."""
     t = Tables(spark, folder)
-    measures = levels_of_events = pivot.level_measures(t.events, {"type": levels.level_of("event_type")})
+    measures = pivot.level_measures(t.events, {"type": levels.level_of("event_type")})
     wide = fold_measures(t.events, [F.col("user_id").alias("parcel_id")], measures)
     keys = t.customer.select(F.col("c_custkey").alias("parcel_id"))
-    return pivot.dense_join(keys, wide, ["parcel_id"], empty="zero", zero_columns=[m.name for m in levels_of_events])
+    return pivot.dense_join(keys, wide, ["parcel_id"], empty="zero", zero_columns=[m.name for m in measures])
 
 
 def _counted(column: str, values: dict[str, str]) -> str:
