@@ -90,9 +90,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .select("sha", "equal_texts"))
     groups = (thin.join(often, "fingerprint", "left_semi").groupBy("sha")
               .agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("last")))
-    groups = groups.join(equal, "sha").where("group_size > 1").select(
+    # Stored, so that the last join has an exchange of its own on both sides, whose hot partitions can be split.
+    groups = stable(groups.join(equal, "sha").where("group_size > 1").select(
         "sha", F.when(F.col("group_size") == F.col("equal_texts"), F.col("group_size")).otherwise(
-            F.raise_error(F.lit("texts that differ have one digest"))).alias("group_size"), "last")
+            F.raise_error(F.lit("texts that differ have one digest"))).alias("group_size"), "last"))
     alone = F.col("last").isNull()
     return thin.join(groups, "sha", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("last.doc_id")).alias("keep_id"),
