@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import byte_bpe, exact_dedup, language, packing, quality, token_counts
+from vicinity.llm import byte_bpe, exact_dedup, language, packing, quality, token_counts, vector_search, warc_fixity
 from vicinity.llm.common import table
 
 OP1 = """
@@ -13,6 +13,21 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP7 = """
+WITH a AS (SELECT page_id AS number, page_id >> 10 AS file,
+    concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:record:', page_id, '>',
+           chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+           'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''),
+           chr(13), chr(10), chr(13), chr(10)) AS record FROM pages),
+laid AS (SELECT number, file, record, strlen(record) AS bytes,
+    sum(strlen(record)) OVER (PARTITION BY file ORDER BY number) - strlen(record) AS "offset", sha256(record) AS digest_a FROM a),
+b AS (SELECT number, sha256(CASE WHEN number % 97 = 3 THEN left(record, length(record) - 5) || '?' || right(record, 4)
+    WHEN number % 89 = 7 THEN left(record, length(record) // 2) ELSE record END) AS digest_b FROM a WHERE number % 101 <> 5)
+SELECT file, number, CAST("offset" AS BIGINT) AS "offset", bytes, CASE WHEN digest_b IS NULL THEN 'missing' ELSE 'damaged' END AS status,
+       digest_a, digest_b
+FROM laid LEFT JOIN b USING (number) WHERE digest_b IS DISTINCT FROM digest_a
+"""
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -34,6 +49,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_fixity.warc_records(table(spark, sf_dir, "pages"))
+    return warc_fixity.audit(records, warc_fixity.aged_replica(records))
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -44,5 +68,7 @@ QUERIES = {
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_quality": (op4_quality, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op7_warc_fixity": (op7_warc_fixity, OP7),
+    "op8_vector_search": (op8_vector_search, None),
     "op10_language": (op10_language, None),
 }
