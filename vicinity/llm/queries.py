@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import byte_bpe, exact_dedup, language, packing, quality, token_counts, vector_search, warc_fixity
+from vicinity.llm import byte_bpe, exact_dedup, jaccard_join, language, packing, quality, token_counts, vector_search, warc_fixity
 from vicinity.llm.common import table
 
 OP1 = """
@@ -58,6 +58,10 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,6 @@ QUERIES = {
     "op6_token_counts": (op6_token_counts, None),
     "op7_warc_fixity": (op7_warc_fixity, OP7),
     "op8_vector_search": (op8_vector_search, None),
+    "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_language": (op10_language, None),
 }
