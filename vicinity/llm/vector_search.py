@@ -30,11 +30,11 @@ from vicinity.session import stable
 
 NEAREST, EVERY = 5, 50
 #: Vectors the tree is fitted on, about; children of a node; sample vectors in a leaf.
-SAMPLE_VECTORS, BRANCHES, LEAF_SAMPLE = 20_000, 8, 24
+SAMPLE_VECTORS, BRANCHES, LEAF_SAMPLE = 20_000, 8, 96
 #: Queries compared with all vectors, and the share of their neighbours that must be reached.
 CALIBRATION_QUERIES, TARGET_RECALL = 128, 0.98
-#: Vectors and queries in one block of a leaf.
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
+#: Queries whose visits are handed over at once; vectors and queries in one block of a leaf.
+WALKED, BLOCK_VECTORS, BLOCK_QUERIES = 16, 4096, 1024
 
 
 class Tree:
@@ -205,9 +205,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                leaves = [tree.best_bins(u, visits) for u in unit(matrix(batch["v"]))]
-                yield batch.assign(leaf=leaves).explode("leaf").astype({"leaf": "int64"})
+            for at in range(0, len(batch), WALKED):
+                some = batch.iloc[at:at + WALKED]
+                leaves = [tree.best_bins(u, visits) for u in unit(matrix(some["v"]))]
+                yield some.assign(leaf=leaves).explode("leaf").astype({"leaf": "int64"})
 
     indexed = stable(classes.mapInPandas(put, "v array<double>, ids array<long>, leaf long"))
     probes = stable(asked.select("query", "v").mapInPandas(walk, "query long, v array<double>, leaf long"))
