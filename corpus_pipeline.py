@@ -1,4 +1,79 @@
-"""The corpus pipeline."""
+"""From raw documents to packed training sequences.
 
-QUERIES: dict = {}
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again for the next one. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vicinity.llm import exact_dedup, jaccard_join, packing, quality, suffix_dedup
+from vicinity.llm.common import table
+from vicinity.session import checkpoint_dir
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.judge(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links of 0.8 or more on five-word shingles, the one with the least id."""
+    groups = jaccard_join.jaccard_groups(docs)
+    gone = groups.where("doc_id <> class_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has; a document may become empty."""
+    cut = suffix_dedup.cut_texts(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_passages),
+    ("packing", pack_sequences),
+]
+#: No stage but the second can be stated in SQL.
+ORACLE_SQL = None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this run has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between two stages is removed when the second is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    home = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{home}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        suffix_dedup.release()
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs
+
+
+QUERIES = {"pipeline": (run, ORACLE_SQL)}

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import byte_bpe, exact_dedup, jaccard_join, language, packing, quality, token_counts, vector_search, warc_fixity
+from vicinity.llm import (
+    byte_bpe, exact_dedup, jaccard_join, language, packing, quality, suffix_dedup, token_counts,
+    vector_search, warc_fixity,
+)
 from vicinity.llm.common import table
 
 OP1 = """
@@ -45,6 +48,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -71,6 +78,7 @@ QUERIES = {
     "op2_packing": (op2_packing, None),
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_quality": (op4_quality, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_warc_fixity": (op7_warc_fixity, OP7),
     "op8_vector_search": (op8_vector_search, None),
