@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     sample = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Bounded by sample_rows, whatever the size of the tables.
     read = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(sample), "__id")
-    rows = read.select("__y", features_udf("__text").alias("x")).orderBy("__y", "x").collect()
+    rows = sorted((r[0], list(r[1])) for r in read.select("__y", features_udf("__text").alias("x")).collect())
     y = np.array([r[0] for r in rows])
     if len(set(y)) < 2:
         return None
