@@ -15,9 +15,7 @@ def skewed(spark):
     return values, spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(4)
 
 
-@pytest.mark.parametrize("fetch", [20000, 30])
-def test_quantiles_are_exact(skewed, monkeypatch, fetch):
-    monkeypatch.setattr(O, "FETCH_ROWS", fetch)
+def test_quantiles_are_exact(skewed):
     values, df = skewed
     probs = [0.0, 0.01, 0.25, 0.333, 0.5, 0.9, 1.0]
     want = np.quantile([v for v in values if v is not None], probs)
@@ -36,13 +34,24 @@ def test_ranks_share_ties(skewed):
     first = {}
     for i, v in enumerate(kept, 1):
         first.setdefault(v, i)
-    assert got == {i: None if v is None else first[v] for i, v in enumerate(values)}
+    assert got == {i: len(kept) + 1 if v is None else first[v] for i, v in enumerate(values)}
 
 
-@pytest.mark.parametrize("fetch,n", [(20000, 1500), (10, 1500), (10, 2950), (10, 3010), (10, 0)])
-def test_top_n_cuts_inside_ties(skewed, monkeypatch, fetch, n):
-    monkeypatch.setattr(O, "FETCH_ROWS", fetch)
-    monkeypatch.setattr(O, "LIMIT_ROWS", fetch)
+def test_nan_is_missing_everywhere(spark):
+    rng = random.Random(9)
+    values = [float("nan") if i % 7 == 0 else None if i % 11 == 0 else float(rng.randint(0, 60)) for i in range(2000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(5)
+    kept = sorted(v for v in values if v is not None and v == v)
+    assert O.kth_smallest(df, {"v": [1, 900, len(kept), len(kept) + 1]}) == {
+        ("v", 1): kept[0], ("v", 900): kept[899], ("v", len(kept)): kept[-1]}
+    assert O.exact_quantiles(df, ["v"], [0.5])["v"] == pytest.approx([np.quantile(kept, 0.5)])
+    order = sorted(range(2000), key=lambda i: (values[i] is None or values[i] != values[i], -(values[i] or 0), i))
+    for n in (700, 1800):
+        assert sorted(r["id"] for r in O.top_n(df, "v", "id", n).collect()) == sorted(order[:n])
+
+
+@pytest.mark.parametrize("n", [1, 700, 1500, 2950, 3010, 5000, 0])
+def test_top_n_cuts_inside_ties(skewed, n):
     values, df = skewed
     order = sorted(range(len(values)), key=lambda i: (values[i] is None, -(values[i] or 0), i))
     assert sorted(r["id"] for r in O.top_n(df, "v", "id", n).collect()) == sorted(order[:n])

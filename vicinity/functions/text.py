@@ -28,20 +28,21 @@ def capture(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+#: A location cell as a whole: city and zip in the first line, coordinates in brackets in the next; each part may be absent.
+LOCATION = r"(?s)^(?:(?<city>[^\n]*?)\s(?<zip>\d{5})\b)?[^\n]*(?:\n\(\s*(?<lat>[^,()]*?)\s*,\s*(?<lon>[^,()]*?)\s*\).*)?$"
+_LOCATION_PARTS = {"zip": 2, "city": 1, "delivered_latitude": 3, "delivered_longitude": 4}
+
+
 def split_location(location: Column, city_names: dict[str, str] | None = None) -> dict[str, Column]:
-    """Zip, city, latitude and longitude out of ``CITY 12345\\n(lat, lon)`` cells.
+    """Zip, city, latitude and longitude out of ``CITY 12345\\n(lat, lon)`` cells; null for an absent part.
 
     ``city_names`` maps abbreviated city tags to full names.
     """
-    city = F.upper(capture(location, r"(?m)\A(.*)\s\d{5}"))
+    parts = {name: F.nullif(F.regexp_extract(location, LOCATION, i), F.lit("")) for name, i in _LOCATION_PARTS.items()}
+    parts["city"] = F.upper(parts["city"])
     if city_names:
-        city = F.coalesce(mapped(city, city_names), city)
-    return {
-        "zip": capture(location, r"\s(\d{5})"),
-        "city": city,
-        "delivered_latitude": F.trim(capture(location, r"\n\((.*),")),
-        "delivered_longitude": F.trim(capture(location, r",\s(.*)\)")),
-    }
+        parts["city"] = F.coalesce(mapped(parts["city"], city_names), parts["city"])
+    return parts
 
 
 def or_default(c: Column, default: str) -> Column:
@@ -98,7 +99,7 @@ def whole_number(c: Column) -> Column:
 
 def fee_amount(c: Column) -> Column:
     """Amount after a leading currency sign; null when it is not a number."""
-    return F.substring(c, 2, 1000).try_cast("double")
+    return F.substr(c, F.lit(2)).try_cast("double")
 
 
 def owner_name(line1: Column, line2: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.geo import great_circle_km
 from vicinity.operators.impute import median_fill
-from vicinity.operators.order_stats import cumulative_by_value, kth_smallest, top_n
+from vicinity.operators.order_stats import cumulative_by_value, known, kth_smallest, top_n, with_known
 
 
 def cut_index(rows: int, share: float) -> int:
@@ -21,27 +21,29 @@ def cut_index(rows: int, share: float) -> int:
     return max(int(rows * share) - 1, 0)
 
 
-def cutoffs(df: DataFrame, score: str, shares: list[float], index=cut_index) -> dict[float, float]:
-    """Score at the cut-off row of each share, largest scores first."""
-    n = df.select(score).agg(F.count(score)).first()[0]
-    ranks = {p: n - index(n, p) for p in shares}
-    found = kth_smallest(df, {score: list(ranks.values())}, {score: n})
-    return {p: found[(score, k)] for p, k in ranks.items()}
+def cutoffs(df: DataFrame, score: str, shares: list[float], index=cut_index) -> dict[float, float | None]:
+    """Score at the cut-off row of each share of all rows, largest scores first, missing ones last.
+
+    None where the row has no score: everything is at or above such a cut-off.
+    """
+    n, scored = df.agg(F.count(F.lit(1)), F.count(known(df, score))).first()
+    ranks = {p: scored - index(n, p) for p in shares}
+    found = kth_smallest(df, {score: list(ranks.values())})
+    return {p: found.get((score, k)) for p, k in ranks.items()}
 
 
-def _cut_rows(df: DataFrame, cuts: dict[float, float]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(float(p), float(c)) for p, c in cuts.items()], "share double, cutoff double")
+def at_or_above(df: DataFrame, score: str, cut: Column) -> Column:
+    return F.coalesce(known(df, score) >= cut, cut.isNull())
 
 
 def _per_share(df: DataFrame, cuts: dict[float, float], measures) -> DataFrame:
     """One output row per share from a single aggregate over the rows."""
     aggs, fields = [], []
     for i, (share, cut) in enumerate(cuts.items()):
-        parts = measures(F.lit(cut))
+        parts = measures(F.lit(cut).cast("double"))
         aggs += [e.alias(f"{n}_{i}") for n, e in parts.items()]
         fields.append(F.struct(
-            F.lit(float(share)).alias("share"), F.lit(float(cut)).alias("cutoff"),
+            F.lit(float(share)).alias("share"), F.lit(cut).cast("double").alias("cutoff"),
             *[F.col(f"{n}_{i}").alias(n) for n in parts]))
     return df.agg(*aggs).select(F.explode(F.array(*fields)).alias("r")).select("r.*")
 
@@ -57,7 +59,7 @@ def precision_at(df: DataFrame, label: str, score: str, shares: list[float], ign
     if not ignore_nulls:
         clean = F.assert_true(y.isNotNull(), F.lit("unlabelled rows: use ignore_nulls")).isNull()
         y = F.when(clean, y)
-    picked = lambda cut: (F.col(score) >= cut) & y.isNotNull()
+    picked = lambda cut: at_or_above(df, score, cut) & y.isNotNull()
     counted = _per_share(df, cutoffs(df, score, shares, index), lambda cut: {
         "hits": F.count(F.when(picked(cut) & (y == 1), 1)), "picked": F.count(F.when(picked(cut), 1))})
     return counted.select("share", "cutoff", F.coalesce(
@@ -71,13 +73,13 @@ def precision_at_share(df: DataFrame, label: str, score: str, shares: list[float
 
 def binarised_at(df: DataFrame, score: str, share: float, name: str = "predicted") -> DataFrame:
     cut = cutoffs(df, score, [share])[share]
-    return df.withColumn(name, (F.col(score) >= F.lit(cut)).cast("int"))
+    return df.withColumn(name, at_or_above(df, score, F.lit(cut).cast("double")).cast("int"))
 
 
 def confusion_at(df: DataFrame, label: str, score: str, shares: list[float]) -> DataFrame:
     """True and false positives and negatives per share; unlabelled rows are in none."""
     y = F.col(label)
-    above = lambda cut: F.col(score) >= cut
+    above = lambda cut: at_or_above(df, score, cut)
     return _per_share(df, cutoffs(df, score, shares), lambda cut: {
         "tp": F.count(F.when(above(cut) & (y == 1), 1)), "fp": F.count(F.when(above(cut) & (y == 0), 1)),
         "tn": F.count(F.when(~above(cut) & (y == 0), 1)), "fn": F.count(F.when(~above(cut) & (y == 1), 1))})
@@ -95,13 +97,16 @@ def labels_at(df: DataFrame, label: str, score: str, key: str, share: float, nor
 def precision_curve(df: DataFrame, label: str, score: str, shares: list[float] | None = None) -> DataFrame:
     """Precision at many shares from one pass: ``(share, cutoff, precision)``."""
     shares = shares or [0.01 * i for i in range(1, 101)]
-    n = df.count()
-    steps = cumulative_by_value(df, score, {
-        "n": F.count(F.lit(1)), "pos": F.sum(F.when(F.col(label) == 1, 1).otherwise(0))}, descending=True)
+    df = with_known(df, score)
+    positive = F.sum(F.when(F.col(label) == 1, 1).otherwise(0))
+    n, scored, positives = df.agg(F.count(F.lit(1)), F.count(score), positive).first()
+    steps = cumulative_by_value(df, score, {"n": F.count(F.lit(1)), "pos": positive}, descending=True)
     places = F.array(*[F.struct(F.lit(p).alias("share"), F.lit(cut_index(n, p) + 1).alias("place")) for p in shares])
     here = F.filter(places, lambda s: (s.place > F.col("cum_n") - F.col("n")) & (s.place <= F.col("cum_n")))
-    return steps.select(F.explode(here).alias("s"), F.col(score).cast("double").alias("cutoff"), "cum_n", "cum_pos") \
+    curve = steps.select(F.explode(here).alias("s"), F.col(score).cast("double").alias("cutoff"), "cum_n", "cum_pos") \
         .select("s.share", "cutoff", (F.col("cum_pos") / F.col("cum_n")).alias("precision"))
+    beyond = [(float(p), None, positives / n) for p in shares if n and cut_index(n, p) + 1 > scored]
+    return curve.unionByName(df.sparkSession.createDataFrame(beyond, curve.schema)) if beyond else curve
 
 
 # --- classification summaries ----------------------------------------------------

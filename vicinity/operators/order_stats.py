@@ -1,13 +1,14 @@
 """Exact order statistics, global ranks and numbering without a single-task sort.
 
-What reaches the driver is bounded: one bracket per target, at most
-``FETCH_ROWS`` distinct values of a bracket.
+A missing value is a null or a NaN, here and everywhere in the library: it has no
+place among quantiles and cut-offs and comes last in rankings and top lists. There
+is one way for every size: rows are folded per value, values are laid over range
+partitions with running counts, and only the asked places reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,121 +16,44 @@ from pyspark.sql.window import Window
 
 from vicinity.session import stable
 
-FETCH_ROWS = 20_000
-LIMIT_ROWS = 1_000      # an ordered limit sends this many rows of every task to one task
-_ACCURACY = 10_000
-_MARGIN = 3.0 / _ACCURACY
-
-
-@dataclass
-class _Target:
-    column: str
-    rank: int          # 1-based rank from the smallest value inside the bracket
-    rows: int          # rows inside the bracket
-    low: object = None
-    high: object = None
-    value: object = None
-
-    def inside(self) -> Column:
-        c = F.col(self.column)
-        held = c.isNotNull()
-        if self.low is not None:
-            held = held & (c >= F.lit(self.low))
-        if self.high is not None:
-            held = held & (c <= F.lit(self.high))
-        return held
-
-
-def _narrow(df: DataFrame, open_targets: list[_Target]) -> None:
-    """One pass for tighter brackets around each rank, one pass to count inside them."""
-    picks = []
-    for i, t in enumerate(open_targets):
-        at = (t.rank - 0.5) / t.rows
-        low, high = max(at - _MARGIN, 0.0), min(at + _MARGIN, 1.0)
-        picks.append(F.percentile_approx(
-            F.when(t.inside(), F.col(t.column)), F.array(F.lit(low), F.lit(high)), _ACCURACY).alias(f"b{i}"))
-    brackets = df.agg(*picks).first()
-    counts = []
-    for i, t in enumerate(open_targets):
-        low, high = brackets[f"b{i}"]
-        c = F.col(t.column)
-        counts.append(F.count(F.when(t.inside() & (c < F.lit(low)), 1)).alias(f"l{i}"))
-        counts.append(F.count(F.when(t.inside() & (c <= F.lit(high)), 1)).alias(f"h{i}"))
-    counted = df.agg(*counts).first()
-    for i, t in enumerate(open_targets):
-        low, high = brackets[f"b{i}"]
-        below, upto = counted[f"l{i}"], counted[f"h{i}"]
-        if below < t.rank <= upto:
-            t.low, t.high, t.rank, t.rows = low, high, t.rank - below, upto - below
-        elif t.rank <= below:       # the sketch missed: keep the side that holds the rank
-            t.high = low
-            t.rows = df.where(t.inside()).count()
-        else:
-            skipped = df.where(t.inside() & (F.col(t.column) < F.lit(high))).count()
-            t.low, t.rank = high, t.rank - skipped
-            t.rows = df.where(t.inside()).count()
-        if t.low is not None and t.low == t.high:
-            t.value = t.low
-
-
-def _fetch(df: DataFrame, targets: list[_Target]) -> None:
-    """Read the distinct values of small brackets and walk to the rank."""
-    typed = df.schema
-    groups: dict[str, list[_Target]] = {}
-    for t in targets:
-        groups.setdefault(typed[t.column].dataType.simpleString(), []).append(t)
-    for group in groups.values():
-        marked = F.array_compact(F.array(*[
-            F.when(t.inside(), F.struct(F.lit(i).alias("i"), F.col(t.column).alias("v")))
-            for i, t in enumerate(group)]))
-        held = (
-            df.select(F.explode(marked).alias("m"))
-            .groupBy("m.i", "m.v").agg(F.count(F.lit(1)).alias("n")).collect()
-        )
-        for i, t in enumerate(group):
-            seen = 0
-            for v, n in sorted((r["v"], r["n"]) for r in held if r["i"] == i):
-                seen += n
-                if seen >= t.rank:
-                    t.value = v
-                    break
-
-
-def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int] | None = None) -> dict:
-    """Exact k-th smallest non-null values: ``{(column, k): value}``.
-
-    Brackets around each rank shrink by three orders of magnitude per round,
-    each round being two map-side combined aggregates over the rows.
-    """
-    columns = list(wanted)
-    df = df.select(*columns)
-    if counts is None:
-        counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    targets = {(c, k): _Target(c, k, counts[c]) for c in columns for k in set(wanted[c]) if 1 <= k <= counts[c]}
-    while True:
-        wide = [t for t in targets.values() if t.value is None and t.rows > FETCH_ROWS // max(len(targets), 1)]
-        if not wide:
-            break
-        before = [(t.rows, t.low, t.high) for t in wide]
-        _narrow(df, wide)
-        if before == [(t.rows, t.low, t.high) for t in wide]:
-            break
-    small = [t for t in targets.values() if t.value is None]
-    if small:
-        _fetch(df, small)
-    return {key: t.value for key, t in targets.items()}
+
+def known(df: DataFrame, column: str) -> Column:
+    """The column with NaN read as null."""
+    c = F.col(column)
+    return F.when(~F.isnan(c), c) if df.schema[column].dataType.typeName() in ("double", "float") else c
+
+
+def with_known(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: known(df, c) for c in columns})
+
+
+def kth_smallest(df: DataFrame, wanted: dict[str, list[int]]) -> dict:
+    """Exact k-th smallest of the values that are not missing: ``{(column, k): value}``; places beyond them are left out."""
+    found: dict = {}
+    by_type: dict[str, list[str]] = {}
+    for c in wanted:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for columns in by_type.values():
+        stacked = F.array(*[F.struct(F.lit(c).alias("metric"), known(df, c).alias("v")) for c in columns])
+        long = df.select(F.explode(stacked).alias("m")).select("m.metric", "m.v")
+        steps = cumulative_by_value(long, "v", {"n": F.count(F.lit(1))}, groups=["metric"])
+        places = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(k).alias("k")) for c in columns for k in sorted(set(wanted[c]))])
+        here = F.filter(places, lambda p: (p.metric == F.col("metric")) & (p.k > F.col("cum_n") - F.col("n")) & (p.k <= F.col("cum_n")))
+        rows = steps.select("v", F.explode(here).alias("p")).select("p.metric", "p.k", "v").collect()
+        found.update({(r["metric"], r["k"]): r["v"] for r in rows})
+    return found
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list]:
-    """Quantiles with linear interpolation, nulls left out: ``{column: [value per prob]}``."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    """Quantiles with linear interpolation, missing values left out: ``{column: [value per prob]}``."""
+    counts = df.agg(*[F.count(known(df, c)).alias(c) for c in columns]).first().asDict()
     wanted, plan = {}, {}
     for c in columns:
         n = counts[c]
         spots = [(n - 1) * p for p in probs] if n else []
         plan[c] = [(math.floor(s) + 1, math.ceil(s) + 1, s - math.floor(s)) for s in spots]
         wanted[c] = sorted({k for low, high, _ in plan[c] for k in (low, high)})
-    found = kth_smallest(df, {c: ks for c, ks in wanted.items() if ks}, counts) if any(wanted.values()) else {}
+    found = kth_smallest(df, {c: ks for c, ks in wanted.items() if ks}) if any(wanted.values()) else {}
     out = {}
     for c in columns:
         out[c] = [
@@ -187,24 +111,27 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], grou
 
 
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``<column>_rank``: SQL ``rank()`` ascending over the whole table, per column.
+    """Add ``<column>_rank``: SQL ``rank()`` ascending, missing values last, over the whole table, per column.
 
     The rows are read several times, so they are checkpointed first.
     """
     df = stable(df)
-    stacked = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
+    held = df.agg(*[F.count(known(df, c)).alias(c) for c in columns]).first()
+    stacked = F.array(*[F.struct(F.lit(c).alias("metric"), known(df, c).cast("double").alias("v")) for c in columns])
     long = df.select(F.explode(stacked).alias("m")).select("m.metric", "m.v")
     ranks = cumulative_by_value(long, "v", {"n": F.count(F.lit(1))}, groups=["metric"]) \
         .select("metric", "v", (F.col("cum_n") - F.col("n") + 1).alias("_rank"))
     out = df
     for c in columns:
         mine = ranks.where(F.col("metric") == c).select(F.col("v").alias(f"_v_{c}"), F.col("_rank").alias(f"{c}_rank"))
-        out = out.join(mine, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+        out = out.join(mine, known(df, c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
+            .withColumn(f"{c}_rank", F.coalesce(f"{c}_rank", F.lit(held[c] + 1)))
     return out
 
 
 def percentile_of_score(df: DataFrame, column: str) -> DataFrame:
     """Add ``<column>_percentile``: mean of the strict and weak percentile rank, in percent."""
+    df = with_known(df, column)
     total = df.where(F.col(column).isNotNull()).count()
     ranks = cumulative_by_value(df, column, {"n": F.count(F.lit(1))})
     below, upto = F.col("cum_n") - F.col("n"), F.col("cum_n")
@@ -231,29 +158,25 @@ def continue_keys(new_rows: DataFrame, existing: DataFrame, key: str, order: lis
 
 
 def top_n(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the highest score, ties by ascending key.
+    """The ``n`` rows with the highest score, missing scores last, ties by ascending key.
 
-    A small ``n`` is a plain ordered limit. Beyond that the exact cut-off score is
-    found first and rows are filtered by it, so no task sees the heads of all
-    others. That takes several passes: give it a stored table.
+    The exact cut-off score comes from running counts over the distinct scores; rows
+    above it are a filter and only those at it are numbered, so no task holds the list.
     """
     if n <= 0:
         return df.limit(0)
-    if n <= LIMIT_ROWS:
-        return df.orderBy(F.col(score).desc_nulls_last(), F.col(key)).limit(n)
-    scored = df.where(F.col(score).isNotNull())
-    total = scored.count()
-    if n >= total:
-        missing = numbered(df.where(F.col(score).isNull()), [F.col(key)], "_rn") \
-            .where(F.col("_rn") <= n - total).drop("_rn")
-        return scored.unionByName(missing)
-    cut = kth_smallest(scored, {score: [total - n + 1]}, {score: total})[(score, total - n + 1)]
-    above = scored.where(F.col(score) > F.lit(cut))
-    level = scored.where(F.col(score) == F.lit(cut))
-    short = n - above.count()
-    if short < level.count():
+    rows = stable(df.withColumn("_score", known(df, score)))
+    steps = cumulative_by_value(rows, "_score", {"n": F.count(F.lit(1))}, descending=True)
+    cut = steps.where((F.col("cum_n") - F.col("n") < n) & (F.col("cum_n") >= n)).first()
+    if cut is None:
+        above = rows.where(F.col("_score").isNotNull())
+        level, short, there = rows.where(F.col("_score").isNull()), n - above.count(), None
+    else:
+        above, level = rows.where(F.col("_score") > F.lit(cut["_score"])), rows.where(F.col("_score") == F.lit(cut["_score"]))
+        short, there = n - (cut["cum_n"] - cut["n"]), cut["n"]
+    if short != there:
         level = numbered(level, [F.col(key)], "_rn").where(F.col("_rn") <= short).drop("_rn")
-    return above.unionByName(level)
+    return above.unionByName(level).drop("_score")
 
 
 def top_percent(df: DataFrame, score: str, key: str, percent: float) -> DataFrame:

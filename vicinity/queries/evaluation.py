@@ -245,13 +245,12 @@ def pairwise_distance(spark, folder):
     return rounded(evaluate.mean_pair_distance(rows, "lat", "lon", ["c_mktsegment"]), ["mean_km"], 5)
 
 
-_UP = "radians(90.0 - {})"
-_COS = (f"sin({_UP.format('a.lat')})*sin({_UP.format('b.lat')})*cos(radians(a.lon)-radians(b.lon)) "
-        f"+ cos({_UP.format('a.lat')})*cos({_UP.format('b.lat')})")
+_HAVERSINE = ("pow(sin(radians(b.lat - a.lat) / 2), 2) "
+              "+ cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)")
 PAIRWISE_DISTANCE = f"""
 WITH c AS (SELECT c_mktsegment, c_nationkey * 3.0::DOUBLE - 30 AS lat, (c_nationkey * 7.0::DOUBLE) % 50 - 25 AS lon, count(*) AS w
   FROM customer GROUP BY ALL),
-d AS (SELECT a.c_mktsegment, sum(a.w * b.w * acos(least(greatest({_COS}, -1.0), 1.0)) * 6373.0) AS t FROM c a JOIN c b
+d AS (SELECT a.c_mktsegment, sum(a.w * b.w * 2 * 6373.0 * asin(sqrt(least({_HAVERSINE}, 1.0)))) AS t FROM c a JOIN c b
   ON a.c_mktsegment = b.c_mktsegment AND (a.lat, a.lon) < (b.lat, b.lon) GROUP BY 1)
 SELECT c_mktsegment, round(t / (n * (n - 1) / 2), 5) AS mean_km FROM d
 JOIN (SELECT c_mktsegment, count(*)::DOUBLE AS n FROM customer GROUP BY 1) USING (c_mktsegment)"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,7 @@ def build_session(app: str = "vicinity", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -28,21 +32,34 @@ def build_session(app: str = "vicinity", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the cluster's own setting, else one for this run."""
+    """Folder for reliable checkpoints: the cluster's own setting.
+
+    Where it is unset, a folder of this run under the warehouse is used in local
+    mode; on a cluster, where machines do not share local folders, that is an error.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
     if configured:
-        if context.getCheckpointDir() is None:
+        if current is None:
             context.setCheckpointDir(configured)
         return configured
-    current = context.getCheckpointDir()
     if current is None:
-        current = tempfile.mkdtemp(prefix="vicinity-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        home = re.sub("^file:/*", "/", spark.conf.get("spark.sql.warehouse.dir"))
+        os.makedirs(home, exist_ok=True)
+        current = tempfile.mkdtemp(prefix="checkpoint-", dir=home)
         context.setCheckpointDir(current)
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     return current
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that two readers see the same rows."""
+    """Cut the lineage with a reliable checkpoint, so that two readers see the same rows.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` (set by ``build_session``)
+    Spark deletes the files when nothing refers to the rows any more.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
