@@ -52,12 +52,7 @@ def run_experiment(config: dict, store: FeatureStore, runs_path: str, prediction
     """
     spark = store.spark
     name = config["experiment_name"]
-    try:
-        known = models.run_exists(spark.read.parquet(runs_path), name)
-    except Exception as error:      # no run log yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        known = False
+    known = models.has_run_log(spark, runs_path) and models.run_exists(spark.read.parquet(runs_path), name)
     if known and not overwrite:
         raise ValueError(f"experiment {name!r} has been run before")
 
@@ -78,7 +73,7 @@ def run_experiment(config: dict, store: FeatureStore, runs_path: str, prediction
                 rows.write.mode("overwrite").option("header", "true").csv(f"{dump_path}/{name}_{part}")
 
     done = []
-    for model, params in models.runs_for(config["models"], config.get("grid_size", "small")):
+    for model, params in models.runnable(models.runs_for(config["models"], config.get("grid_size", "small"))):
         run = uuid.uuid4().hex
         fitted = models.fit(train, columns, model, params, seed=seed)
         scored = models.score(fitted, test, columns, [*dataset.KEYS, dataset.OUTCOME])

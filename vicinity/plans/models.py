@@ -20,37 +20,34 @@ from vicinity.operators.evaluate import precision_at
 from vicinity.operators.order_stats import numbered, top_per_group
 from vicinity.session import stable
 
-_C7 = [0.00001, 0.0001, 0.001, 0.01, 0.1, 1, 10]
-_C5, _C3 = _C7[2:], [0.01, 0.1, 1]
-_TREES = [10, 100, 1000, 5000]
-
 # Parameter grids per size.
 GRIDS: dict[str, dict[str, dict[str, list]]] = {
     "big": {
-        "RandomForestClassifier": {"n_estimators": _TREES, "criterion": ["gini", "entropy"],
+        "RandomForestClassifier": {"n_estimators": [10, 100, 1000, 5000], "criterion": ["gini", "entropy"],
                                    "max_depth": [1, 5, 10, 20, 50, 100], "max_features": ["sqrt", "log2"],
                                    "min_samples_split": [2, 5, 10]},
-        "AdaBoostClassifier": {"algorithm": ["SAMME", "SAMME.R"], "n_estimators": _TREES},
-        "LogisticRegression": {"penalty": ["l1", "l2"], "C": _C7},
-        "SVC": {"C": _C7, "kernel": ["linear"]},
-        "GradientBoostingClassifier": {"n_estimators": _TREES, "learning_rate": [0.001, 0.01, 0.05, 0.1, 0.5],
+        "AdaBoostClassifier": {"algorithm": ["SAMME", "SAMME.R"], "n_estimators": [10, 100, 1000, 5000]},
+        "LogisticRegression": {"penalty": ["l1", "l2"],
+                               "C": [0.00001, 0.0001, 0.001, 0.01, 0.1, 1, 10]},
+        "SVC": {"C": [0.00001, 0.0001, 0.001, 0.01, 0.1, 1, 10], "kernel": ["linear"]},
+        "GradientBoostingClassifier": {"n_estimators": [10, 100, 1000, 5000], "learning_rate": [0.001, 0.01, 0.05, 0.1, 0.5],
                                        "subsample": [0.1, 0.5, 1.0], "max_depth": [1, 3, 5, 10, 20, 50, 100]},
     },
     "medium": {
-        "RandomForestClassifier": {"n_estimators": _TREES, "criterion": ["gini", "entropy"],
+        "RandomForestClassifier": {"n_estimators": [10, 100, 1000, 5000], "criterion": ["gini", "entropy"],
                                    "max_depth": [10, 50, 100], "max_features": ["sqrt", "log2"],
                                    "min_samples_split": [2, 5, 10]},
-        "AdaBoostClassifier": {"algorithm": ["SAMME", "SAMME.R"], "n_estimators": _TREES},
-        "LogisticRegression": {"penalty": ["l1", "l2"], "C": _C5},
-        "SVC": {"C": _C5, "kernel": ["linear"]},
-        "GradientBoostingClassifier": {"n_estimators": _TREES, "learning_rate": [0.01, 0.05, 0.1],
+        "AdaBoostClassifier": {"algorithm": ["SAMME", "SAMME.R"], "n_estimators": [10, 100, 1000, 5000]},
+        "LogisticRegression": {"penalty": ["l1", "l2"], "C": [0.001, 0.01, 0.1, 1, 10]},
+        "SVC": {"C": [0.001, 0.01, 0.1, 1, 10], "kernel": ["linear"]},
+        "GradientBoostingClassifier": {"n_estimators": [10, 100, 1000, 5000], "learning_rate": [0.01, 0.05, 0.1],
                                        "subsample": [0.1, 0.5, 1.0], "max_depth": [5, 10, 50]},
     },
     "small": {
         "RandomForestClassifier": {"n_estimators": [1000, 5000], "max_features": ["sqrt", "log2"]},
         "AdaBoostClassifier": {"algorithm": ["SAMME", "SAMME.R"], "n_estimators": [1000, 5000]},
-        "LogisticRegression": {"penalty": ["l1", "l2"], "C": _C3},
-        "SVC": {"C": _C3, "kernel": ["linear"]},
+        "LogisticRegression": {"penalty": ["l1", "l2"], "C": [0.01, 0.1, 1]},
+        "SVC": {"C": [0.01, 0.1, 1], "kernel": ["linear"]},
         "GradientBoostingClassifier": {"n_estimators": [1000, 5000], "learning_rate": [0.05, 0.1]},
     },
     "single": {
@@ -80,19 +77,51 @@ def runs_for(models: list, size: str = "small") -> list[tuple[str, dict]]:
     return out
 
 
+#: Spark's trees grow no deeper.
+DEEPEST = 30
+
+
+def used_parameters(name: str, params: dict) -> dict:
+    """The parameters as Spark ML will really use them, which is what the run log must say.
+
+    A forest without a depth grows as deep as Spark allows, and so does one asked to go deeper.
+    Spark has no least number of rows for a split; that parameter is left out.
+    """
+    used = dict(params)
+    if name == "RandomForestClassifier":
+        used["max_depth"] = min(used.get("max_depth") or DEEPEST, DEEPEST)
+        used.pop("min_samples_split", None)
+    if name == "GradientBoostingClassifier":
+        used["max_depth"] = min(used.get("max_depth") or 3, DEEPEST)
+    return used
+
+
+def runnable(runs: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
+    """Runs with the parameters really used, each once: grid rows that become the same model count once."""
+    out: list[tuple[str, dict]] = []
+    for name, params in runs:
+        run = name, used_parameters(name, params)
+        if run not in out:
+            out.append(run)
+    return out
+
+
 def estimator(name: str, params: dict, rows: int, seed: int = 0):
-    """Spark ML estimator for a run; regularisation C is turned into lambda = 1 / (C * rows)."""
+    """Spark ML estimator for a run; regularisation C is turned into lambda = 1 / (C * rows).
+
+    Takes parameters that Spark can follow (``used_parameters``) and refuses others.
+    """
+    if params != {**params, **used_parameters(name, params)} and ("max_depth" in params or "min_samples_split" in params):
+        raise ValueError(f"Spark cannot follow {params} for {name}; see used_parameters")
+    params = used_parameters(name, params)
     common = {"featuresCol": "features", "labelCol": "label"}
-    depth = min(params.get("max_depth", 5), 30)      # Spark trees stop at depth 30
     if name == "RandomForestClassifier":
         return RandomForestClassifier(
-            numTrees=params.get("n_estimators", 10), maxDepth=depth, impurity=params.get("criterion", "gini"),
-            featureSubsetStrategy=params.get("max_features", "sqrt"), seed=seed,
-            minInstancesPerNode=max(1, params.get("min_samples_split", 2) // 2), **common)
+            numTrees=params.get("n_estimators", 10), maxDepth=params["max_depth"], impurity=params.get("criterion", "gini"),
+            featureSubsetStrategy=params.get("max_features", "sqrt"), seed=seed, **common)
     if name == "GradientBoostingClassifier":
         return GBTClassifier(maxIter=params.get("n_estimators", 100), stepSize=params.get("learning_rate", 0.1),
-                             subsamplingRate=params.get("subsample", 1.0),
-                             maxDepth=min(params.get("max_depth", 3), 30), seed=seed, **common)
+                             subsamplingRate=params.get("subsample", 1.0), maxDepth=params["max_depth"], seed=seed, **common)
     strength = 1.0 / (params.get("C", 1.0) * max(rows, 1))
     if name == "LogisticRegression":
         return LogisticRegression(regParam=strength, elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0,
@@ -105,61 +134,79 @@ def estimator(name: str, params: dict, rows: int, seed: int = 0):
     raise ValueError(f"unknown model {name!r}")
 
 
+class Stump:
+    """A fitted tree of one split: feature, threshold and the chance of class 1 on either side."""
+
+    def __init__(self, model):
+        root = model._call_java("rootNode")
+        chance = lambda node: (lambda w: w[1] / (w[0] + w[1]))(list(node.impurityStats().stats()))
+        leaf = root.numDescendants() == 0
+        self.feature = 0 if leaf else root.split().featureIndex()
+        self.threshold = 0.0 if leaf else root.split().threshold()
+        self.low, self.high = (chance(root),) * 2 if leaf else (chance(root.leftChild()), chance(root.rightChild()))
+        self.importances = model.featureImportances.toArray()
+
+    def votes(self, alpha: float, real: bool) -> tuple[int, float, float, float]:
+        def vote(p: float) -> float:
+            q = min(max(p, 1e-7), 1 - 1e-7)
+            return math.log(q / (1 - q)) / 2 if real else alpha if p > 0.5 else -alpha
+        return self.feature, self.threshold, vote(self.low), vote(self.high)
+
+
+def _margin(votes: list[tuple[int, float, float, float]]) -> Column:
+    """Sum of all stumps' votes in one expression, however many there are."""
+    if not votes:
+        return F.lit(0.0)
+    stumps = F.from_json(F.lit(json.dumps([dict(zip("ftlh", v)) for v in votes])), "array<struct<f:int,t:double,l:double,h:double>>")
+    x = vector_to_array("features")
+    return F.aggregate(stumps, F.lit(0.0), lambda total, s: total + F.when(F.get(x, s.f) <= s.t, s.l).otherwise(s.h))
+
+
 class Samme:
-    """Boosted stumps: each round refits a weighted stump and reweights the rows it got wrong."""
+    """Boosted stumps: each round refits a weighted stump and reweights the rows it got wrong.
+
+    The rows are stored once; a round's weights are an expression over the stumps so far.
+    """
+
+    def __init__(self, rounds: int, seed: int = 0, real: bool = False):
+        self.rounds, self.seed, self.real = rounds, seed, real
+        self.stages: list[tuple[float, Stump]] = []
 
-    def __init__(self, rounds: int, seed: int = 0, real: bool = False, checkpoint_every: int = 10):
-        self.rounds, self.seed, self.real, self.checkpoint_every = rounds, seed, real, checkpoint_every
-        self.stages: list[tuple[float, object]] = []
+    def _votes(self) -> list[tuple[int, float, float, float]]:
+        return [stump.votes(alpha, self.real) for alpha, stump in self.stages]
 
     def fit(self, df: DataFrame) -> "Samme":
-        rows = df.select("features", "label").withColumn("_w", F.lit(1.0))
+        rows = stable(df.select("features", "label"))
+        signed = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
         for i in range(self.rounds):
-            stump = DecisionTreeClassifier(maxDepth=1, featuresCol="features", labelCol="label", weightCol="_w",
-                                           seed=self.seed + i).fit(rows)
-            seen = stump.transform(rows)
+            # A wrong vote weighs exp(alpha) and a right one 1, or in the real variant exp(-vote).
+            against = -signed * _margin(self._votes())
+            given = F.lit(float(sum(a for a, _ in self.stages)))
+            weighed = rows.withColumn("_w", F.exp(against if self.real else (against + given) / 2))
+            total = weighed.agg(F.sum("_w")).first()[0]
+            weighed = weighed.withColumn("_w", F.col("_w") / F.lit(total))
+            stump = Stump(DecisionTreeClassifier(maxDepth=1, featuresCol="features", labelCol="label", weightCol="_w",
+                                                 seed=self.seed + i).fit(weighed))
             if self.real:
-                p = _clamped(vector_to_array("probability")[1])
                 self.stages.append((1.0, stump))
-                signed = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
-                moved = seen.withColumn("_w", F.col("_w") * F.exp(-0.5 * signed * F.log(p / (1 - p))))
-            else:
-                wrong = (F.col("prediction") != F.col("label")).cast("double")
-                miss, total = seen.agg(F.sum(F.col("_w") * wrong), F.sum("_w")).first()
-                error = miss / total
-                if error <= 0:
-                    self.stages.append((1.0, stump))
-                    break
-                if error >= 0.5:
-                    break
-                alpha = math.log((1 - error) / error)
-                self.stages.append((alpha, stump))
-                moved = seen.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * wrong))
-            total = moved.agg(F.sum("_w")).first()[0]
-            rows = moved.select("features", "label", (F.col("_w") / F.lit(total)).alias("_w"))
-            if (i + 1) % self.checkpoint_every == 0:
-                rows = stable(rows)
+                continue
+            wrong = _margin([stump.votes(1.0, False)]) * signed < 0
+            error = weighed.agg(F.sum(F.when(wrong, F.col("_w")).otherwise(0.0))).first()[0]
+            if error <= 0:
+                self.stages.append((1.0, stump))
+                break
+            if error >= 0.5:
+                break
+            self.stages.append((math.log((1 - error) / error), stump))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_margin", F.lit(0.0))
-        for alpha, stump in self.stages:
-            p = _clamped(vector_to_array("probability")[1])
-            vote = F.log(p / (1 - p)) / 2 if self.real else \
-                F.when(F.col("prediction") == 1, F.lit(alpha)).otherwise(F.lit(-alpha))
-            out = stump.transform(out).withColumn("_margin", F.col("_margin") + vote) \
-                .drop("rawPrediction", "probability", "prediction")
-        return out.withColumnRenamed("_margin", "prediction")
+        return df.withColumn("prediction", _margin(self._votes()))
 
     @property
     def featureImportances(self):
         total = sum(a for a, _ in self.stages) or 1.0
-        return sum((s.featureImportances.toArray() * (a / total) for a, s in self.stages[1:]),
-                   self.stages[0][1].featureImportances.toArray() * (self.stages[0][0] / total))
-
-
-def _clamped(p: Column) -> Column:
-    return F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+        return sum(s.importances * (a / total) for a, s in self.stages)
 
 
 def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,7 +233,7 @@ def fit(train: DataFrame, columns: list[str], name: str, params: dict, label: st
     rows = train.where(F.col(label).isNotNull())
     prep = prepare(rows, columns)
     ready = prep.transform(_doubles(rows, columns)).withColumn("label", F.col(label).cast("double"))
-    return prep, estimator(name, params, rows.count(), seed).fit(ready)
+    return prep, estimator(name, used_parameters(name, params), rows.count(), seed).fit(ready)
 
 
 def score(fitted, df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -285,6 +332,12 @@ def log_run(row: DataFrame, path: str, replace: bool = False) -> None:
         writer.mode("append").parquet(path)
 
 
+def has_run_log(spark: SparkSession, path: str) -> bool:
+    """Whether the folder of the run log is there, asked of its own file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def runs_of(runs: DataFrame, experiment: str) -> DataFrame:
     return runs.where(F.col("experiment") == experiment)
 
