@@ -102,6 +102,11 @@ def fee_amount(c: Column) -> Column:
     return F.substr(c, F.lit(2)).try_cast("double")
 
 
+def taxes_are_paid(c: Column) -> Column:
+    """Rows of the yearly tax tables that stay: the paid amount does not begin with a zero; unknown amounts go."""
+    return ~c.startswith("0")
+
+
 def owner_name(line1: Column, line2: Column) -> Column:
     """Two owner lines joined, cut at ``&``, each word capitalised, single blanks."""
     both = F.concat(F.coalesce(line1, F.lit("")), F.lit(" "), F.coalesce(line2, F.lit("")))

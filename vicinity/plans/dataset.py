@@ -81,8 +81,8 @@ def assemble(labels: DataFrame, tables: dict[str, DataFrame], features: list[tup
              impute: str | None = "median") -> DataFrame:
     """Left-join the chosen features of every table to the labels, columns named ``table_column``.
 
-    Tables keyed only by parcel join on the parcel. Duplicate keys of a table
-    keep one row. Missing values are filled per column from the joined rows.
+    Tables keyed only by parcel join on the parcel. Of rows that repeat a key the
+    first in the order of the chosen columns counts, nulls last. Missing values are filled per column from the joined rows.
     """
     grouped: dict[str, list[str]] = {}
     for table, column in features:
@@ -94,7 +94,8 @@ def assemble(labels: DataFrame, tables: dict[str, DataFrame], features: list[tup
         missing = [c for c in columns if c not in df.columns]
         if missing:
             raise ValueError(f"unknown features in {table}: {missing}")
-        part = df.groupBy(*keys).agg(*[F.first(c).alias(f"{table}_{c}") for c in columns])
+        picked = F.min(F.struct(*[e for c in columns for e in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c))])).alias("_p")
+        part = df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_p.{c}").alias(f"{table}_{c}") for c in columns])
         out = out.join(part, keys, "left")
         names += [f"{table}_{c}" for c in columns]
     if impute == "median":

@@ -402,6 +402,6 @@ def generate(store, ctx: Context, names: list[str]) -> list[str]:
     for name in names:
         f = REGISTRY[name]
         table = table_name(name, int(ctx.metres), ctx.months) if f.windowed else name
-        store.write(f.build(ctx), table, bucket_by="parcel_id")
+        store.write(f.build(ctx), table)
         written.append(table)
     return written

@@ -147,9 +147,9 @@ SELECT p_partkey, lat, CASE WHEN lat IS NULL OR lon IS NULL THEN -2 ELSE lon END
 def drifting_union(spark, folder):
     t = Tables(spark, folder)
     frames = [
-        t.lineitem.where(dates.year_range("l_shipdate", 1996)).select(
+        t.lineitem.where(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select(
             F.col("l_orderkey").alias("ID"), F.col("l_returnflag").alias("STREET_ADDRESS"), F.lit(1).alias("incident_guid")),
-        t.lineitem.where(dates.year_range("l_shipdate", 1997)).select(
+        t.lineitem.where(dates.from_year("l_shipdate", 1997) & ~dates.from_year("l_shipdate", 2001)).select(
             F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("address"), F.lit("ELSEWHERE").alias("City")),
         t.lineitem.where(dates.from_year("l_shipdate", 2001)).select(F.col("l_orderkey").alias("id"), F.lit("9").alias("zip")),
     ]
@@ -157,8 +157,8 @@ def drifting_union(spark, folder):
 
 
 DRIFTING_UNION = """
-SELECT l_orderkey AS id, l_returnflag AS address, 'TOWN' AS city, NULL AS zip FROM lineitem WHERE year(l_shipdate) = 1996
-UNION ALL SELECT l_orderkey, l_linestatus, 'ELSEWHERE', NULL FROM lineitem WHERE year(l_shipdate) = 1997
+SELECT l_orderkey AS id, l_returnflag AS address, 'TOWN' AS city, NULL AS zip FROM lineitem WHERE year(l_shipdate) < 1997
+UNION ALL SELECT l_orderkey, l_linestatus, 'ELSEWHERE', NULL FROM lineitem WHERE year(l_shipdate) BETWEEN 1997 AND 2000
 UNION ALL SELECT l_orderkey, NULL, 'TOWN', '9' FROM lineitem WHERE year(l_shipdate) >= 2001"""
 
 

@@ -158,8 +158,9 @@ def run_log_row(spark, folder):
     """The log row of one run: precision and cut-off at four shares."""
     t = Tables(spark, folder)
     scored = t.scored.select(F.col("label").alias("viol_outcome"), F.col("score").cast("double").alias("prediction"))
-    return models.run_row(spark, "r1", "baseline", "chars", {"depth": 1}, {"fake_today": "01Jan2015"}, scored) \
-        .select("run_id", "prec_at_1", "prec_at_5", "prec_at_10", "prec_at_20", "cutoff_at_1", "cutoff_at_20")
+    return models.run_row(spark, "r1", "baseline", "chars", {"depth": 1}, {"fake_today": "01Jan2015", "window": {"months": 3}}, scored) \
+        .select("run_id", "experiment", "name", "parameters", "config", "fake_today",
+                *[f"{n}_at_{p}" for n in ("prec", "cutoff") for p in (1, 5, 10, 20)])
 
 
 def _at(p: int) -> str:
@@ -170,9 +171,10 @@ def _at(p: int) -> str:
 
 RUN_LOG_ROW = f"""
 WITH s AS (SELECT n_chars, quality FROM documents LEFT JOIN labels USING (doc_id))
-SELECT 'r1' AS run_id, {', '.join(
+SELECT 'r1' AS run_id, 'baseline' AS experiment, 'chars' AS name, '{{"depth": 1}}' AS parameters,
+  '{{"fake_today": "01Jan2015", "window.months": 3}}' AS config, '01Jan2015' AS fake_today, {', '.join(
     f"(SELECT coalesce(count(CASE WHEN quality = 1 THEN 1 END)::DOUBLE / nullif(count(quality), 0), 0) FROM s WHERE n_chars >= {_at(p)}) AS prec_at_{p}"
-    for p in (1, 5, 10, 20))}, {_at(1)}::DOUBLE AS cutoff_at_1, {_at(20)}::DOUBLE AS cutoff_at_20"""
+    for p in (1, 5, 10, 20))}, {', '.join(f"{_at(p)}::DOUBLE AS cutoff_at_{p}" for p in (1, 5, 10, 20))}"""
 
 
 QUERIES = {

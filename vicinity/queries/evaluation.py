@@ -163,10 +163,13 @@ WITH {_STEPS}, pts AS (SELECT pos / p AS w, cp / (cp + cn) AS here,
 SELECT round(sum(w * (here + before) / 2), 9) AS pr_auc, round(sum(w * here), 9) AS average_precision FROM pts"""
 
 
+_CLASSES = 10   # all labels of the embeddings table
+
+
 def _classes(t: Tables):
     rows = t.embeddings.select("label", *[
-        F.element_at("embedding", i + 1).alias(f"s{i}") for i in range(4)])
-    return evaluate.per_class(rows, "label", {i: f"s{i}" for i in range(4)})
+        F.element_at("embedding", i + 1).alias(f"s{i}") for i in range(_CLASSES)])
+    return evaluate.per_class(rows, "label", {i: f"s{i}" for i in range(_CLASSES)})
 
 
 def class_curves(spark, folder):
@@ -180,7 +183,7 @@ def class_curves(spark, folder):
 CLASS_CURVES = f"""
 WITH lo AS ({' UNION ALL '.join(
     f"SELECT '{i}' AS c, CASE WHEN label = {i} THEN 1 ELSE 0 END AS label, embedding[{i + 1}]::DOUBLE AS score FROM embeddings WHERE label IS NOT NULL"
-    for i in range(4))}),
+    for i in range(_CLASSES))}),
 al AS (SELECT * FROM lo UNION ALL SELECT 'micro', label, score FROM lo),
 st AS (SELECT c, score, count(CASE WHEN label = 1 THEN 1 END) AS pos, count(CASE WHEN label = 0 THEN 1 END) AS neg FROM al GROUP BY 1, 2),
 cu AS (SELECT *, sum(pos) OVER (PARTITION BY c ORDER BY score DESC)::BIGINT AS cp, sum(neg) OVER (PARTITION BY c ORDER BY score DESC)::BIGINT AS cn,

@@ -339,14 +339,15 @@ FROM customer LEFT JOIN l ON o_custkey = c_custkey"""
 def yearly_union(spark, folder):
     """Yearly tables with one projection each, equal rows once."""
     t = Tables(spark, folder)
-    tables = {y: t.lineitem.where(dates.year_range("l_shipdate", y)) for y in range(1995, 2002)}
+    first, last = t.lineitem.agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
+    tables = {y: t.lineitem.where(dates.year_range("l_shipdate", y)) for y in range(first, last + 1)}
     return panel.yearly_union(tables, {"parcel_id": F.col("l_suppkey"), "class": F.col("l_returnflag"),
                                        "units": F.col("l_linenumber").cast("long")})
 
 
 YEARLY_UNION = """
 SELECT DISTINCT year(l_shipdate)::INT AS year, l_suppkey AS parcel_id, l_returnflag AS class,
-  CAST(l_linenumber AS BIGINT) AS units FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001"""
+  CAST(l_linenumber AS BIGINT) AS units FROM lineitem WHERE l_shipdate IS NOT NULL"""
 
 
 # --- areas -------------------------------------------------------------------------

@@ -67,8 +67,8 @@ def digitize_priority(spark, folder):
     scored = t.part.select("p_partkey", F.col("p_retailprice").alias("probability"))
     scored = scored.withColumn("probability_rank", shortlist.probability_rank(scored, "probability")) \
         .select("p_partkey", "probability_rank")
-    owned = t.lineitem.where("l_quantity > 40").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-        shortlist.owner_rank(F.count(F.lit(1))).alias("targeting_rank"))
+    owned = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        shortlist.owner_rank(F.count_if(F.col("l_quantity") > 40)).alias("targeting_rank"))
     out = shortlist.priorities(scored, owned, ["p_partkey"])
     return longs(out, ["probability_rank", "targeting_rank", "rank"])
 
@@ -76,7 +76,7 @@ def digitize_priority(spark, folder):
 DIGITIZE_PRIORITY = f"""
 WITH e AS (SELECT quantile_cont(p_retailprice, [{', '.join(repr(p) for p in shortlist.PROBABILITY_STEPS)}]) AS q FROM part),
 s AS (SELECT p_partkey, CAST(len(list_filter(q, lambda x: x <= p_retailprice)) AS BIGINT) AS p FROM part, e),
-o AS (SELECT l_partkey AS p_partkey, count(*) AS c FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
+o AS (SELECT l_partkey AS p_partkey, count(CASE WHEN l_quantity > 40 THEN 1 END) AS c FROM lineitem GROUP BY 1),
 t AS (SELECT p_partkey, CAST((c >= 1)::INT + (c >= 2)::INT + (c >= 5)::INT + (c >= 10)::INT AS BIGINT) AS t FROM o)
 SELECT p_partkey, p AS probability_rank, coalesce(t, 1) AS targeting_rank, p * 4 + coalesce(t, 1) - 1 AS rank
 FROM s LEFT JOIN t USING (p_partkey)"""
@@ -299,17 +299,17 @@ SELECT l_orderkey, l_suppkey, l_partkey FROM (SELECT *, row_number() OVER (PARTI
 
 def address_canonical(spark, folder):
     t = Tables(spark, folder)
-    part = lambda df, key, rule: df.where(rule).select(F.concat(F.lit("lot "), (F.col(key) % 977).cast("string")).alias("address"),
+    part = lambda df, key: df.select(F.concat(F.lit("lot "), (F.col(key) % 977).cast("string")).alias("address"),
                                                        F.col(key).alias("id"))
     return dedupe.by_priority([
-        part(t.orders, "o_orderkey", "o_totalprice > 250000"), part(t.part, "p_partkey", "p_size > 10"),
-        part(t.customer, "c_custkey", "c_acctbal > 0")], ["address"], "id")
+        part(t.orders, "o_orderkey"), part(t.part, "p_partkey"),
+        part(t.customer, "c_custkey")], ["address"], "id")
 
 
 ADDRESS_CANONICAL = """
-WITH u AS (SELECT 'lot ' || (o_orderkey % 977) AS address, o_orderkey AS id, 0 AS s FROM orders WHERE o_totalprice > 250000
-  UNION ALL SELECT 'lot ' || (p_partkey % 977), p_partkey, 1 FROM part WHERE p_size > 10
-  UNION ALL SELECT 'lot ' || (c_custkey % 977), c_custkey, 2 FROM customer WHERE c_acctbal > 0)
+WITH u AS (SELECT 'lot ' || (o_orderkey % 977) AS address, o_orderkey AS id, 0 AS s FROM orders
+  UNION ALL SELECT 'lot ' || (p_partkey % 977), p_partkey, 1 FROM part
+  UNION ALL SELECT 'lot ' || (c_custkey % 977), c_custkey, 2 FROM customer)
 SELECT address, id FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY s, id) AS rn FROM u) WHERE rn = 1"""
 
 
@@ -338,14 +338,14 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0"""
 
 def surrogate_keys(spark, folder):
     t = Tables(spark, folder)
-    new = t.orders.where("o_totalprice > 100000").select("o_orderkey")
+    new = t.orders.select("o_orderkey")
     return order_stats.continue_keys(new, t.customer, "c_custkey", [F.col("o_orderkey")]) \
         .select("o_orderkey", F.col("c_custkey").alias("address_id"))
 
 
 SURROGATE_KEYS = """
 SELECT o_orderkey, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY o_orderkey) AS address_id
-FROM orders WHERE o_totalprice > 100000"""
+FROM orders"""
 
 
 def runs_by_setting(spark, folder):

@@ -41,12 +41,13 @@ class FeatureStore:
     def exists(self, table: str) -> bool:
         return self.spark.catalog.tableExists(self._full(table))
 
-    def write(self, df: DataFrame, table: str, bucket_by: str | None = None, buckets: int = 64) -> None:
-        """Replace a table; bucketing by the entity key lets assembly join without a shuffle."""
-        writer = df.write.mode("overwrite").format("parquet")
-        if bucket_by:
-            writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
-        writer.saveAsTable(self._full(table))
+    def write(self, df: DataFrame, table: str) -> None:
+        """Replace a table."""
+        df.write.mode("overwrite").format("parquet").saveAsTable(self._full(table))
+
+    def drop(self) -> None:
+        """Remove the namespace with its tables."""
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.space} CASCADE")
 
     def build_if_absent(self, table: str, build, **kwargs) -> DataFrame:
         if not self.exists(table):
