@@ -26,10 +26,13 @@ def near_events_brute(visits, edges, events, months):
     return out
 
 
-@pytest.mark.parametrize("months", [1, 3, 13])
-def test_nearby_totals_against_brute_force(spark, months):
+@pytest.mark.parametrize("side", ["place", "entity"])
+@pytest.mark.parametrize("hours", [0, 24])
+@pytest.mark.parametrize("months", [1, 13])
+def test_nearby_totals_against_brute_force(spark, months, hours, side):
     rng = random.Random(months)
-    visits = [(rng.randrange(6), day(rng)) for _ in range(60)] + [(1, datetime(2016, 3, 31)), (1, datetime(2016, 2, 29))]
+    moment = lambda: day(rng) + timedelta(hours=rng.randrange(hours) if hours else 0)
+    visits = [(rng.randrange(6), moment()) for _ in range(60)] + [(1, datetime(2016, 3, 31)), (1, datetime(2016, 2, 29))]
     edges = [(p, a) for p in range(6) for a in range(8) if rng.random() < 0.4]
     # one place holds a third of all events
     events = [(0 if rng.random() < 0.33 else rng.randrange(8), day(rng) + timedelta(hours=rng.randrange(24)), rng.randrange(9))
@@ -40,7 +43,7 @@ def test_nearby_totals_against_brute_force(spark, months):
         spark.createDataFrame([(p, a, 1.0) for p, a in edges], "parcel_id long, a long, dist_m double"),
         spark.createDataFrame(events, "a long, t timestamp_ntz, v int"), "parcel_id", "a", "t", "d",
         [Measure("n", F.lit(1)), Measure("s", F.col("v")), Measure("lo", F.col("v"), "min"), Measure("hi", F.col("v"), "max")],
-        months)
+        months, side=side)
     got = {(r["parcel_id"], r["d"]): (r["n"], r["s"], r["lo"], r["hi"]) for r in got.collect()}
     assert got == near_events_brute(visits, edges, events, months)
 

@@ -1,9 +1,10 @@
 """As-of windows: totals of events in ``[d - N, d)`` for each as-of moment ``d``.
 
-Events are first folded to one row per (key, moment), with a map-side combine,
-so a key that owns a third of all events shrinks to one row per day. As-of
-moments are then laid between the events of their key and the totals are read
-from one ordered window. Integer measures use a running total read twice
+Only events that some window can reach are read. They are folded to one row per
+(key, day), with a map-side combine, so a key that owns a third of all events
+shrinks to one row per day. As-of moments are then laid between the days of their
+key and the totals are read from one ordered window; the two days at the ends of a
+window are read event by event where as-of moments have a time of day. Integer measures use a running total read twice
 (``S(d) - S(d - N)``), which is exact and linear; floating sums and extremes
 are folded over the day rows of the window, so nothing is lost by subtraction.
 """
@@ -44,31 +45,68 @@ def merge_measures(df: DataFrame, keys: list, measures: list[Measure]) -> DataFr
     return df.groupBy(*keys).agg(*[_FOLD[m.how](F.col(m.name)).alias(m.name) for m in measures])
 
 
+@dataclass(frozen=True)
+class _Reach:
+    """What one look at the as-of rows says: their span, and whether some have a time of day."""
+
+    low: object
+    high: object
+    moments: bool
+
+
+def _reach(asof: DataFrame, asof_time: str) -> _Reach:
+    at = dates.as_moment(F.col(asof_time))
+    row = asof.agg(F.min(at).alias("low"), F.max(at).alias("high"), F.max(at != F.date_trunc("day", at)).alias("moments")).first()
+    return _Reach(row["low"], row["high"], bool(row["moments"]))
+
+
+def _span(months: int, days: int) -> str:
+    return f"CAST('{months} months {days} days' AS INTERVAL)"
+
+
+def _within_reach(events: DataFrame, event_time: str, reach: _Reach, months: int, days: int) -> DataFrame:
+    """Events that some window can hold; the range is on the raw column, so it reaches the scan."""
+    if reach.low is None:
+        return events.limit(0)
+    first = F.expr(f"TIMESTAMP_NTZ '{reach.low}' - {_span(months, days)}")
+    return events.where((F.col(event_time) >= first) & (F.col(event_time) < F.expr(f"TIMESTAMP_NTZ '{reach.high}'")))
+
+
 def _read_windows(folded: DataFrame, probes: DataFrame, key: str, asof_time: str, measures: list[Measure],
-                  months: int, days: int) -> DataFrame:
-    """Window totals of folded rows ``(key, _at, measures)`` at probes ``(key, _d)``.
+                  months: int, days: int, events: DataFrame | None = None) -> DataFrame:
+    """Window totals of day rows ``(key, _at, measures)`` at probes ``(key, _d)``.
 
-    Rows may repeat a moment. Sums of whole numbers are read from running
-    totals; rows and probes meet in one shuffle on ``key``.
+    Sums of whole numbers are read from running totals of whole days; rows and
+    probes meet in one shuffle on ``key``. Where probes have a time of day,
+    ``events`` ``(key, _t, measures)`` add what lies between midnight and either
+    end of the window, so only the two edge days are read event by event.
     """
-    span = f"CAST('{months} months {days} days' AS INTERVAL)"
+    span = _span(months, days)
     running = [m for m in measures if m.how == "sum"]
     framed = [m for m in measures if m.how != "sum"]
+    midnight = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
 
     rows = folded.select(key, "_at", *[m.name for m in running]) \
         .withColumns({"_d": F.lit(None).cast("timestamp_ntz"), "_side": F.lit(2)})
-    high = probes.withColumns({"_at": F.col("_d"), "_side": F.lit(1)})
-    low = probes.withColumns({"_at": F.expr(f"_d - {span}"), "_side": F.lit(0)})
+    high = probes.withColumns({"_at": midnight(F.col("_d")), "_side": F.lit(1)})
+    low = probes.withColumns({"_at": midnight(F.expr(f"_d - {span}")), "_side": F.lit(0)})
     laid = rows.unionByName(high.unionByName(low), allowMissingColumns=True)
 
     ordered = f"PARTITION BY `{key}` ORDER BY _at, _side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     laid = laid.select(key, "_d", "_side", *[
         F.expr(f"sum(`{m.name}`) OVER ({ordered})").alias(m.name) for m in running]).where(F.col("_side") < 2)
     sign = F.when(F.col("_side") == 1, 1).otherwise(-1)
-    totals = laid.groupBy(key, F.col("_d").alias(asof_time)).agg(*[
-        F.sum(F.coalesce(F.col(m.name), F.lit(0)) * sign).cast("long").alias(m.name) for m in running])
+    laid = laid.select(key, "_d", *[(F.coalesce(F.col(m.name), F.lit(0)) * sign).cast("long").alias(m.name) for m in running])
+    if events is not None:
+        ends = F.array(F.struct(F.col("_d").alias("_until"), F.lit(1).alias("_sign")),
+                       F.struct(F.expr(f"_d - {span}").alias("_until"), F.lit(-1).alias("_sign")))
+        edges = probes.select(key, "_d", F.inline(ends)).withColumn("_day", midnight(F.col("_until"))).where("_until > _day")
+        parts = edges.join(events.withColumn("_day", midnight(F.col("_t"))), [key, "_day"]).where("_t < _until")
+        laid = laid.unionByName(parts.groupBy(key, "_d").agg(*[
+            F.sum(F.coalesce(F.col(m.name), F.lit(0)) * F.col("_sign")).cast("long").alias(m.name) for m in running]))
+    totals = laid.groupBy(key, F.col("_d").alias(asof_time)).agg(*[F.sum(m.name).cast("long").alias(m.name) for m in running])
     if framed:
-        totals = totals.join(_read_frames(folded, probes, key, asof_time, framed, span), [key, asof_time], "left")
+        totals = totals.join(_read_frames(folded, probes, key, asof_time, framed, span, events), [key, asof_time], "left")
     return totals.select(key, asof_time, *[m.name for m in measures])
 
 
@@ -77,17 +115,26 @@ def _month(when: Column) -> Column:
 
 
 def _read_frames(folded: DataFrame, probes: DataFrame, key: str, asof_time: str, measures: list[Measure],
-                 span: str) -> DataFrame:
+                 span: str, events: DataFrame | None) -> DataFrame:
     """Extremes and floating sums of the window, which a difference of totals cannot give.
 
     Probes meet the day rows of the months they cover: (key, month) holds at
-    most one row per day and place, so no key is hot.
+    most one row per day and place, so no key is hot. Days that a window holds
+    only in part are read event by event.
     """
+    names = [m.name for m in measures]
     wanted = probes.withColumn("_from", F.expr(f"_d - {span}")) \
         .withColumn("_month", F.explode(F.sequence(_month(F.col("_from")), _month(F.col("_d")))))
-    rows = folded.select(key, "_at", *[m.name for m in measures], _month(F.col("_at")).alias("_month"))
-    met = wanted.join(rows, [key, "_month"]) \
-        .where((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_d")))
+    rows = folded.select(key, "_at", *names, _month(F.col("_at")).alias("_month"))
+    whole = (F.col("_from") <= F.col("_at")) & (F.expr("_at + INTERVAL 1 DAY") <= F.col("_d"))
+    met = wanted.join(rows, [key, "_month"]).where(whole).select(key, "_d", *names)
+    if events is not None:
+        midnight = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+        ends = probes.withColumn("_from", F.expr(f"_d - {span}")) \
+            .withColumn("_day", F.explode(F.array_distinct(F.array(midnight(F.col("_from")), midnight(F.col("_d"))))))
+        ends = ends.where("_from > _day OR _d < _day + INTERVAL 1 DAY")
+        parts = ends.join(events.withColumn("_day", midnight(F.col("_t"))), [key, "_day"]).where("_from <= _t AND _t < _d")
+        met = met.unionByName(parts.select(key, "_d", *names))
     return merge_measures(met.withColumnRenamed("_d", asof_time), [key, asof_time], measures)
 
 
@@ -96,58 +143,52 @@ def _fold_events(events: DataFrame, key: str, event_time: str, measures: list[Me
     return fold_measures(known, [F.col(key), dates.day_of(F.col(event_time)).alias("_at")], measures)
 
 
-def window_totals(events: DataFrame, asof: DataFrame, key: str, event_time: str, asof_time: str,
-                  measures: list[Measure], months: int = 0, days: int = 0,) -> DataFrame:
-    """Totals over ``[d - window, d)`` per distinct (key, d): ``(key, asof_time, measures...)``.
-
-    As-of dates are days at midnight. Events of any moment are folded per day,
-    which is exact for such windows.
-    """
-    folded = _fold_events(events, key, event_time, measures)
-    probes = asof.select(key, dates.asof_day(F.col(asof_time)).alias("_d")).distinct()
-    return _read_windows(folded, probes, key, asof_time, measures, months, days)
-
+def _single_events(events: DataFrame, key: str, event_time: str, measures: list[Measure]) -> DataFrame:
+    return events.where(F.col(key).isNotNull()).select(
+        key, dates.as_moment(F.col(event_time)).alias("_t"), *[m.expr.alias(m.name) for m in measures])
 
-def busier_side(asof: DataFrame, events: DataFrame, entity: str, place: str, asof_time: str) -> str:
-    """Side on which the windows are cheaper to read, from two one-row aggregates.
 
-    Reading per place costs about one row per (edge, as-of date of the entity),
-    less when all entities share few dates; reading per entity costs one row
-    per (edge, event day of the place).
-    """
-    n, entities, moments = asof.agg(
-        F.count(F.lit(1)), F.approx_count_distinct(entity), F.approx_count_distinct(asof_time)).first()
-    rows, places = events.agg(F.count(F.lit(1)), F.approx_count_distinct(place)).first()
-    visits, event_days = n / max(entities, 1), rows / max(places, 1)
-    return "entity" if event_days <= 2 * visits and moments > 2 * visits else "place"
+def window_totals(events: DataFrame, asof: DataFrame, key: str, event_time: str, asof_time: str,
+                  measures: list[Measure], months: int = 0, days: int = 0) -> DataFrame:
+    """Totals over ``[d - window, d)`` per distinct (key, d): ``(key, asof_time, measures...)``; d is any moment."""
+    reach = _reach(asof, asof_time)
+    events = _within_reach(events, event_time, reach, months, days)
+    folded = _fold_events(events, key, event_time, measures)
+    probes = asof.select(key, dates.as_moment(F.col(asof_time)).alias("_d")).distinct()
+    single = _single_events(events, key, event_time, measures) if reach.moments else None
+    return _read_windows(folded, probes, key, asof_time, measures, months, days, single)
 
 
 def nearby_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, place: str,
                   event_time: str, asof_time: str, measures: list[Measure], months: int,
-                  max_dist: float | None = None, side: str = "auto") -> DataFrame:
-    """Totals of events near each entity before each as-of date.
+                  max_dist: float | None = None, side: str = "place") -> DataFrame:
+    """Totals of events near each entity before each as-of moment.
 
     ``edges`` is the proximity table ``(entity, place, dist_m)``. Entity x event
-    rows inside the window are never formed. On the ``place`` side the window
-    is evaluated once per distinct (place, as-of date) and shared by every
-    entity near that place; on the ``entity`` side the day totals of the places
-    are handed to their entities first. The first measure must be the event
-    count; entities without events are left out.
+    rows inside the window are never formed. ``side`` is the caller's choice by
+    the meaning of the data: on the ``place`` side the window is read once per
+    distinct (place, as-of moment) and shared by every entity near that place,
+    which suits busy places; on the ``entity`` side the day totals of the places
+    are handed to their entities and folded per (entity, day) first, which suits
+    places with few event days. The first measure must be the event count;
+    entities without events are left out.
     """
     near = edges if max_dist is None else edges.where(F.col("dist_m") <= max_dist)
-    folded = _fold_events(events, place, event_time, measures)
-    visits = asof.select(entity, dates.asof_day(F.col(asof_time)).alias(asof_time)).distinct()
-    if side == "auto":
-        side = busier_side(asof, events, entity, place, asof_time)
     near = near.select(entity, place)
+    reach = _reach(asof, asof_time)
+    events = _within_reach(events, event_time, reach, months, 0)
+    folded = _fold_events(events, place, event_time, measures)
+    single = _single_events(events, place, event_time, measures) if reach.moments else None
+    visits = asof.select(entity, dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct()
     if side == "entity":
-        handed = near.join(folded, place).drop(place)
+        handed = merge_measures(near.join(folded, place), [entity, "_at"], measures)
+        single = None if single is None else near.join(single, place).drop(place)
         probes = visits.withColumnRenamed(asof_time, "_d")
-        totals = _read_windows(handed, probes, entity, asof_time, measures, months, 0)
+        totals = _read_windows(handed, probes, entity, asof_time, measures, months, 0, single)
         return totals.where(F.col(measures[0].name) > 0)
     seen = visits.join(near, entity)
     probes = seen.select(place, F.col(asof_time).alias("_d")).distinct()
-    totals = _read_windows(folded, probes, place, asof_time, measures, months, 0)
+    totals = _read_windows(folded, probes, place, asof_time, measures, months, 0, single)
     found = totals.where(F.col(measures[0].name) > 0)
     return merge_measures(seen.join(found, [place, asof_time]), [entity, asof_time], measures)
 
@@ -222,14 +263,12 @@ def lookback_average(asof: DataFrame, series: DataFrame, asof_time: str, series_
 
 def date_bounds(inspections: DataFrame, events: DataFrame, inspection_time: str, event_time: str,
                 months: int) -> tuple[str, str]:
-    """First and last inspection day for which events cover the look-back window."""
-    first_i, last_i = inspections.agg(F.min(inspection_time), F.max(inspection_time)).first()
-    span = events.agg(
-        F.min(dates.as_moment(F.col(event_time))).alias("lo"), F.max(dates.as_moment(F.col(event_time))).alias("hi"))
-    first_e, last_e, shifted = span.select(
-        "lo", "hi", F.col("lo") + F.make_interval(months=F.lit(months))).first()
-    earliest = inspections.sparkSession.range(1).select(
-        dates.months_before(F.lit(first_i).cast("timestamp_ntz"), months)).first()[0]
+    """First and last inspection day for which events cover the look-back window; one aggregate per table."""
+    at, when = dates.as_moment(F.col(inspection_time)), dates.as_moment(F.col(event_time))
+    first_i, last_i, earliest = inspections.agg(
+        F.min(at), F.max(at), dates.months_before(F.min(at), months)).first()
+    first_e, last_e, shifted = events.agg(
+        F.min(when), F.max(when), F.min(when) + F.make_interval(months=F.lit(months))).first()
     low = first_i if first_e <= earliest else shifted
     high = last_i if last_i <= last_e else last_e
     return f"{low:%Y-%m-%d}", f"{high:%Y-%m-%d}"

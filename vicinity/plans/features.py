@@ -203,7 +203,7 @@ def density(ctx: Context) -> DataFrame:
     edges = spatial.point_edges(who, spots, ["parcel_id"], ["place"], ctx.metres)
     people = ctx.bounded(events, "date")
     near = asof.nearby_totals(people, edges, placed, "parcel_id", "place", "date", "inspection_date",
-                              [Measure("total", F.lit(1)), *counts], ctx.months)
+                              [Measure("total", F.lit(1)), *counts], ctx.months, side="entity")
     names = [c.name for c in counts]
     rows = ctx.population.select("parcel_id", dates.as_moment(F.col("inspection_date")).alias("inspection_date")) \
         .distinct().join(houses, "parcel_id").join(near, KEYS, "left").fillna(0, subset=names)
@@ -283,8 +283,7 @@ def _window_steps(daily: DataFrame, months: int) -> DataFrame:
 def _levels_at(people: DataFrame, edges: DataFrame, steps: DataFrame, names: list[str]) -> DataFrame:
     """Running totals of the steps near each parcel, up to and including each as-of day.
 
-    Steps are handed to the parcels near them, unless all parcels share few
-    as-of days; then the level of each place is read once per day and shared.
+    Steps are handed to the parcels near them and folded per (parcel, day).
     """
     order = "ORDER BY at, _probe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -295,15 +294,8 @@ def _levels_at(people: DataFrame, edges: DataFrame, steps: DataFrame, names: lis
             F.expr(f"coalesce(sum(`{n}`) OVER (PARTITION BY `{key}` {order}), 0)").alias(n) for n in names]) \
             .where("_probe = 1").drop("_probe")
 
-    if asof.busier_side(people, steps, "parcel_id", "place", "at") == "entity":
-        return read(edges.join(steps, "place").drop("place"), people, "parcel_id")
-    visits = people.join(edges, "parcel_id")
-    busy = F.lit(False)
-    for n in names:
-        busy = busy | (F.col(n) != 0)
-    level = read(steps, visits.select("place", "at").distinct(), "place").where(busy)
-    return visits.join(level, ["place", "at"]).groupBy("parcel_id", "at") \
-        .agg(*[F.sum(n).cast("long").alias(n) for n in names])
+    handed = edges.join(steps, "place").groupBy("parcel_id", "at").agg(*[F.sum(n).alias(n) for n in names])
+    return read(handed, people, "parcel_id")
 
 
 def inspection_metrics(scores: DataFrame) -> DataFrame:
