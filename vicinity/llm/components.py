@@ -1,4 +1,4 @@
-"""Connected components of a stored edge table, by least labels and pointer jumping."""
+"""Connected components of an edge table, by contraction to least neighbours."""
 
 from __future__ import annotations
 
@@ -8,23 +8,34 @@ from pyspark.sql import functions as F
 from vicinity.session import stable
 
 
+def _undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Each edge once, from its lesser to its greater end, without loops."""
+    return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (its least node), for every node that has an edge.
 
-    A round takes the least label among a node's neighbours and then that label's
-    own label, so that long chains shorten by jumps; labels are stored after every
-    round and only the number of changed labels comes to the driver.
+    A round gives every node the least of itself and its neighbours, follows these
+    labels twice, and replaces both ends of each edge by their labels; edges inside
+    a label vanish. Groups around one node are done in one round and chains shrink
+    to a fraction in each. What a round leaves is stored; only whether edges are
+    left comes to the driver.
     """
-    there = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
-    pairs = stable(there.union(there.select("other", "node")).distinct())
-    labels = stable(pairs.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
-    while True:
-        near = pairs.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("component").alias("jumped"))
-        moved = stable(lower.join(jump, "least", "left").select(
-            "node", "component", F.least("least", F.coalesce("jumped", "least")).alias("lowest")))
-        changed = moved.where("lowest <> component").limit(1).count()
-        labels = moved.select("node", F.col("lowest").alias("component"))
-        if not changed:
-            return labels
+    left = stable(_undirected(edges, a, b))
+    found = None
+    while found is None or not left.isEmpty():
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        labels = stable(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+        for _ in range(2):
+            onward = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = labels.join(onward, "label").select("node", F.col("next").alias("label"))
+        labels = stable(labels)
+        if found is None:
+            found = labels.select("node", F.col("label").alias("component"))
+        else:
+            onward = labels.select(F.col("node").alias("component"), "label")
+            found = stable(found.join(onward, "component", "left").select("node", F.coalesce("label", "component").alias("component")))
+        of_a, of_b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+        left = stable(_undirected(left.join(of_a, "a").join(of_b, "b"), "label_a", "label_b"))
+    return found

@@ -125,11 +125,10 @@ def sign(words: int, trees: int, levels: int):
 
 
 class Forest:
-    """Union of numbers 0..n-1, and the edges that joined different trees."""
+    """Union of numbers 0..n-1; a root is the least number of its tree."""
 
     def __init__(self, n: int):
         self.parent = list(range(n))
-        self.edges: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -139,9 +138,11 @@ class Forest:
 
     def join(self, x: int, y: int) -> None:
         a, b = self.root(x), self.root(y)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.edges.append((x, y))
+        self.parent[max(a, b)] = min(a, b)
+
+    def stars(self) -> list[tuple[int, int]]:
+        """The root of each number that is none. The same root leads in many nodes and blocks, so few edges stay distinct."""
+        return [(r, x) for x in range(len(self.parent)) if (r := self.root(x)) != x]
 
 
 def blocked(rows: DataFrame, group: str, blocks: str, keep: list[str]) -> DataFrame:
@@ -161,6 +162,7 @@ def node_edges(similarity: float):
         for (_, i, j), part in rows.groupby(["node", "i", "j"], sort=False):
             if len(part) < 2:
                 continue
+            part = part.sort_values("class")
             names, blocks = part["class"].tolist(), part["block"].to_numpy()
             signs = np.array([np.frombuffer(s, np.uint32) for s in part["signature"]])
             left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
@@ -170,8 +172,9 @@ def node_edges(similarity: float):
                 for y in right[alike].tolist():
                     if x != y:
                         forest.join(x, y)
-            a += [names[x] for x, _ in forest.edges]
-            b += [names[y] for _, y in forest.edges]
+            stars = forest.stars()
+            a += [names[x] for x, _ in stars]
+            b += [names[y] for _, y in stars]
         return pd.DataFrame({"a": a, "b": b})
     return run
 
@@ -200,6 +203,7 @@ def block_links(similarity: float):
         for (_, i, j), part in rows.groupby(["cluster", "i", "j"], sort=False):
             if len(part) < 2:
                 continue
+            part = part.sort_values("class")
             names, blocks, weight = part["class"].tolist(), part["block"].to_numpy(), part["size"].to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
             left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
@@ -213,7 +217,7 @@ def block_links(similarity: float):
                 for y in near.tolist():
                     forest.join(x, y)
             out += [(names[x], None, int(docs[x]), int(others[x])) for x in np.flatnonzero(others).tolist()]
-            out += [(names[x], names[y], 0, 0) for x, y in forest.edges]
+            out += [(names[x], names[y], 0, 0) for x, y in forest.stars()]
         return pd.DataFrame(out, columns=["class", "other", "docs", "classes"])
     return run
 
@@ -241,8 +245,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     length = prefix_length(similarity, trees, levels, target)
     node = F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(signature, t * {4 * levels} + 1, {4 * length})))")
     prefixes = classes.select("class", F.explode(node).alias("node"))
-    shared = prefixes.groupBy("node").count().where("count > 1").select(
-        "node", F.ceil(F.col("count") / NODE_BLOCK).cast("int").alias("blocks"))
+    # Stored, so that the join with it has an exchange of its own, whose hot nodes can be split.
+    shared = stable(prefixes.groupBy("node").count().where("count > 1").select(
+        "node", F.ceil(F.col("count") / NODE_BLOCK).cast("int").alias("blocks")))
     members = prefixes.join(shared, "node").join(classes.select("class", "signature"), "class")
     near = stable(blocked(members, "node", "blocks", ["class", "signature"]))
     edges = grouped(near, ["node", "i", "j"], NODE_ROWS).groupBy("deal").applyInPandas(node_edges(MAY_BE_NEAR), "a binary, b binary")
