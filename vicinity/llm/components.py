@@ -17,20 +17,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (its least node), for every node that has an edge.
 
     A round gives every node the least of itself and its neighbours, follows these
-    labels twice, and replaces both ends of each edge by their labels; edges inside
-    a label vanish. Groups around one node are done in one round and chains shrink
-    to a fraction in each. What a round leaves is stored; only whether edges are
-    left comes to the driver.
+    labels to their ends by doubling, and replaces both ends of each edge by their
+    labels; edges inside a label vanish. At least half of the nodes vanish in a
+    round, a group around its least node or a sorted chain is done in one. What a
+    round leaves is stored; only whether labels moved and edges are left comes to
+    the driver.
     """
     left = stable(_undirected(edges, a, b))
     found = None
     while found is None or not left.isEmpty():
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         labels = stable(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
-        for _ in range(2):
+        while True:
             onward = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = labels.join(onward, "label").select("node", F.col("next").alias("label"))
-        labels = stable(labels)
+            labels = stable(labels.join(onward, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            if labels.where("moved").isEmpty():
+                break
+            labels = labels.drop("moved")
         if found is None:
             found = labels.select("node", F.col("label").alias("component"))
         else:
