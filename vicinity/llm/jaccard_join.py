@@ -43,7 +43,7 @@ MAY_BE_NEAR = 0.55
 NODE_BLOCK, SET_BLOCK = 512, 256
 #: Rows that one group of a Python task gets, about.
 NODE_ROWS, SET_ROWS = 20_000, 2_000
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -34,7 +34,7 @@ END_ID = 1
 #: Pieces that one task packs together; one group leaves about one window that is not full.
 GROUP_PIECES = 8192
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, padding long"
 

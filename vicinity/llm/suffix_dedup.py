@@ -41,7 +41,7 @@ from vicinity.session import stable
 
 WINDOW = 50
 #: Bytes of text from which a block is closed, bytes that are hashed at a time, and keys in a bucket, about.
-BLOCK_BYTES, PIECE_BYTES, BUCKET_KEYS = 2_000_000, 2_000_000, 500_000
+BLOCK_BYTES, PIECE_BYTES, BUCKET_KEYS = 2_000_000, 500_000, 500_000
 NO_ID = np.iinfo(np.int64).max
 BLOCK = "block long, bytes long, ids binary, lengths binary, payload binary, rest binary"
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
