@@ -225,3 +225,11 @@ def test_plane_projection_against_the_zone_origin(spark):
     df = spark.createDataFrame([(-82.5, 38.0)], "lon double, lat double").select(geo.to_plane(F.col("lon"), F.col("lat")).alias("p"))
     p = df.first()["p"]
     assert (p["x"], p["y"]) == (pytest.approx(1968500.0, abs=1e-3), pytest.approx(0.0, abs=1e-3))
+
+
+def test_runs_are_logged_as_they_are_run():
+    deep = [("RandomForestClassifier", {"max_depth": d, "min_samples_split": m}) for d in (20, 50, 100) for m in (2, 5)]
+    assert models.runnable(deep) == [("RandomForestClassifier", {"max_depth": 20}), ("RandomForestClassifier", {"max_depth": 30})]
+    with pytest.raises(ValueError):
+        models.estimator("RandomForestClassifier", {"max_depth": 50}, 10)
+    assert models.estimator("RandomForestClassifier", {}, 10).getMaxDepth() == 30
