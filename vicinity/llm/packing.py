@@ -36,7 +36,7 @@ GROUP_PIECES = 8192
 #: Words whose ids a task remembers before it starts anew.
 REMEMBERED = 120_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PACKED = PIECES + ", sequence_id long, offset long, padding long"
+PACKED = PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long, padding long"
 
 
 class RoomTree:
@@ -208,4 +208,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     pieces = stable(read.mapInArrow(encode_pieces(path, window, end_id), PIECES))
     groups = max(1, math.ceil(pieces.count() / group_pieces))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(lambda g: pack_group(g, groups, window), PACKED)
+    # Ids as text: pandas would turn whole numbers among nulls into floating ones.
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    packed = dealt.groupBy("group").applyInPandas(lambda g: pack_group(g, groups, window), PACKED)
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -31,6 +31,8 @@ from vicinity.session import stable
 
 #: Labelled rows the classifier is fitted on, about; 24 bytes each when their ids are sent to the executors.
 SAMPLE_ROWS = 10_000
+#: Paths up to which their table goes to every executor, some 100 bytes each.
+BROADCAST_SITES = 20_000
 #: Posterior from which a document is kept.
 KEEP_FROM = 0.5
 #: Evidence is held within these log odds, so that no document is beyond its site's reach.
@@ -166,7 +168,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not carry:
         scored = stable(scored)
     sites = stable(site_priors(scored.select("__h", "__p", "__e"), "__h", "__p", "__e", model.prior))
+    few = sites.count() <= BROADCAST_SITES
     sites = sites.toDF("__sh", "__sp", "site_docs", "host_prior", "site_prior")
+    # A checked number of short rows spares the texts a shuffle; beyond it both sides are shuffled and hot sites split.
+    sites = F.broadcast(sites) if few else sites
     joined = scored.join(sites, F.col("__h").eqNullSafe(F.col("__sh")) & F.col("__p").eqNullSafe(F.col("__sp")), "left")
     odds = F.col("__e") + F.log(F.col("site_prior") / (1 - F.col("site_prior")))
     posterior = 1 / (1 + F.exp(-odds))

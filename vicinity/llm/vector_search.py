@@ -105,7 +105,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def cosines(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of a vector with each row, in double precision and always summed in one order."""
-    query, x = query / np.abs(query).max(), x / np.abs(x).max(1, keepdims=True)
+    # Scaled by powers of two, which changes no digit but keeps squares from overflow.
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return (x * query).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((query * query).sum()))
 
 
