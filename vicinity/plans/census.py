@@ -1,4 +1,4 @@
-"""Census ratios per block group, generated from a table of numerators and denominators."""
+"""Census ratios per block group, from a table of numerators and denominators."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _run(prefix: str, first: int, last: int) -> list[str]:
-    return [f"{prefix}{i:04d}" for i in range(first, last + 1)]
-
-
 HOMES, HOUSEHOLDS, PEOPLE = "H0030001", "P0180001", "P0010001"
 OWNED, RENTED = "H0140002", "H0040004"
 
@@ -27,7 +23,12 @@ RATIOS: dict[str, tuple[list[str], str]] = {
     "rate_asian_householder": (["H0060005"], HOUSEHOLDS),
     "rate_other_race_householder": (["H0060007"], HOUSEHOLDS),
     "rate_pop_occupied_units": (["H0100001"], PEOPLE),
-    **{f"rate_{n}_per_household": ([f"H013000{n + 1}"], HOUSEHOLDS) for n in range(1, 7)},
+    "rate_1_per_household": (["H0130002"], HOUSEHOLDS),
+    "rate_2_per_household": (["H0130003"], HOUSEHOLDS),
+    "rate_3_per_household": (["H0130004"], HOUSEHOLDS),
+    "rate_4_per_household": (["H0130005"], HOUSEHOLDS),
+    "rate_5_per_household": (["H0130006"], HOUSEHOLDS),
+    "rate_6_per_household": (["H0130007"], HOUSEHOLDS),
     "rate_7_plus_per_household": (["H0130008"], HOUSEHOLDS),
     "rate_owner_occupied": ([OWNED], HOMES),
     "rate_owner_occupied_white": (["H0140003"], OWNED),
@@ -51,16 +52,17 @@ RATIOS: dict[str, tuple[list[str], str]] = {
     "rate_asian_pop": (["P0030005"], PEOPLE),
     "rate_other_race_pop": (["P0030007"], PEOPLE),
     "rate_pop_over_18": (["P0110001"], PEOPLE),
-    "rate_male_under_18": (_run("P012", 3, 6), PEOPLE),
-    "rate_male_18_35": (_run("P012", 7, 12), PEOPLE),
-    "rate_male_35_50": (_run("P012", 13, 15), PEOPLE),
-    "rate_male_50_75": (_run("P012", 16, 22), PEOPLE),
-    "rate_male_over_75": (_run("P012", 23, 25), PEOPLE),
-    "rate_female_under_18": (_run("P012", 27, 30), PEOPLE),
-    "rate_female_18_35": (_run("P012", 31, 36), PEOPLE),
-    "rate_female_35_50": (_run("P012", 37, 39), PEOPLE),
-    "rate_female_50_75": (_run("P012", 40, 46), PEOPLE),
-    "rate_female_over_75": (_run("P012", 47, 49), PEOPLE),
+    "rate_male_under_18": (["P0120003", "P0120004", "P0120005", "P0120006"], PEOPLE),
+    "rate_male_18_35": (["P0120007", "P0120008", "P0120009", "P0120010", "P0120011", "P0120012"], PEOPLE),
+    "rate_male_35_50": (["P0120013", "P0120014", "P0120015"], PEOPLE),
+    "rate_male_50_75": (["P0120016", "P0120017", "P0120018", "P0120019", "P0120020", "P0120021", "P0120022"], PEOPLE),
+    "rate_male_over_75": (["P0120023", "P0120024", "P0120025"], PEOPLE),
+    "rate_female_under_18": (["P0120027", "P0120028", "P0120029", "P0120030"], PEOPLE),
+    "rate_female_18_35": (["P0120031", "P0120032", "P0120033", "P0120034", "P0120035", "P0120036"], PEOPLE),
+    "rate_female_35_50": (["P0120037", "P0120038", "P0120039"], PEOPLE),
+    "rate_female_50_75": (["P0120040", "P0120041", "P0120042", "P0120043",
+                           "P0120044", "P0120045", "P0120046"], PEOPLE),
+    "rate_female_over_75": (["P0120047", "P0120048", "P0120049"], PEOPLE),
     "rate_households": ([HOUSEHOLDS], HOMES),
 }
 

@@ -407,22 +407,31 @@ SELECT c.*, CAST(events AS DOUBLE) / population AS rate FROM c LEFT JOIN pop USI
 
 
 def census_ratios(spark, folder):
+    """All ratios, on counts of customers that stand in for the census columns; some are unknown in some areas."""
     t = Tables(spark, folder)
-    people = F.count(F.lit(1))
-    rows = t.customer.groupBy("c_nationkey").agg(
-        people.alias("P0010001"),
-        *[F.count(F.when(F.col("c_mktsegment") == s, 1)).alias(c) for c, s in _SEGMENTS.items()])
-    return census.ratios(rows, ["c_nationkey"], _CENSUS)
+    counts = {c: F.count_if((F.col("c_custkey") * (i + 3)) % 11 < 5) for i, c in enumerate(_CENSUS_COLUMNS)}
+    rows = t.customer.groupBy("c_nationkey").agg(*[
+        (F.when(F.col("c_nationkey") % 5 != 0, n) if i % 9 == 4 else n).alias(c) for i, (c, n) in enumerate(counts.items())])
+    return census.ratios(rows, ["c_nationkey"])
+
+
+_CENSUS_COLUMNS = sorted({c for parts, whole in census.RATIOS.values() for c in (*parts, whole)} | {"H0190006"})
+
+
+def _census_count(i: int, column: str) -> str:
+    n = f"count(CASE WHEN (c_custkey * {i + 3}) % 11 < 5 THEN 1 END)"
+    return f"{f'CASE WHEN c_nationkey % 5 <> 0 THEN {n} END' if i % 9 == 4 else n} AS {column}"
+
+
+def _census_share(name: str, parts: list[str], whole: str) -> str:
+    skipping = len(parts) > 2 and name != "rate_male_under_18"
+    return f"({' + '.join(f'coalesce({p}, 0)' if skipping else p for p in parts)})::DOUBLE / nullif({whole}, 0) AS {name}"
 
 
-_SEGMENTS = {"P0030002": "BUILDING", "P0030003": "MACHINERY", "P0030004": "FURNITURE", "P0030005": "HOUSEHOLD",
-             "P0030006": "AUTOMOBILE"}
-_CENSUS = {k: v for k, v in census.RATIOS.items() if k in ("rate_white_pop", "rate_black_pop", "rate_native_pop", "rate_asian_pop")}
-_N = lambda s: f"count(CASE WHEN c_mktsegment = '{_SEGMENTS[s]}' THEN 1 END)"
 CENSUS_RATIOS = f"""
-SELECT c_nationkey, {_N('P0030002')} / count(*) AS rate_white_pop, {_N('P0030003')} / count(*) AS rate_black_pop,
-  ({_N('P0030004')} + {_N('P0030006')}) / count(*) AS rate_native_pop, {_N('P0030005')} / count(*) AS rate_asian_pop
-FROM customer GROUP BY 1"""
+WITH b AS (SELECT c_nationkey, {', '.join(_census_count(i, c) for i, c in enumerate(_CENSUS_COLUMNS))} FROM customer GROUP BY 1)
+SELECT c_nationkey, {', '.join(_census_share(n, p, w) for n, (p, w) in census.RATIOS.items())},
+  1.0::DOUBLE - H0190006::DOUBLE / nullif(H0040004, 0) AS rate_renter_occupied_no_children FROM b"""
 
 
 # --- dummies -----------------------------------------------------------------------
