@@ -253,13 +253,16 @@ def mean_pair_distance(df: DataFrame, lat: str, lon: str, group: list[str] | Non
     of about ``block_rows``; block pairs meet by an equi-join and each adds only
     its own sum, so no pair becomes a row.
     """
-    group = group or []
+    named, group = bool(group), group or ["_all"]
+    if not named:
+        df = df.withColumn("_all", F.lit(0))
     places = df.groupBy(*group, lat, lon).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    blocks = max(1, -(-places.count() // block_rows))
-    packed = places.withColumn("_b", F.pmod(F.xxhash64(lat, lon), F.lit(blocks)).cast("int")) \
-        .groupBy(*group, "_b").agg(F.collect_list(F.struct(
+    # Each group has its own number of blocks, so that a small group is not repeated for the blocks of a large one.
+    many = places.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    packed = places.join(many, group).withColumn("_b", F.pmod(F.xxhash64(lat, lon), F.col("_blocks")).cast("int")) \
+        .groupBy(*group, "_blocks", "_b").agg(F.collect_list(F.struct(
             F.col(lat).alias("lat"), F.col(lon).alias("lon"), "w")).alias("ps"))
-    left = packed.withColumn("_to", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))))
+    left = packed.withColumn("_to", F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1)))
     right = packed.select(*group, F.col("_b").alias("_to"), F.col("ps").alias("qs"))
     summed = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
     total = summed(F.transform("ps", lambda p: summed(F.transform("qs", lambda q: F.when(
@@ -269,7 +272,5 @@ def mean_pair_distance(df: DataFrame, lat: str, lon: str, group: list[str] | Non
     part = F.when(F.col("_b") == F.col("_to"), total / 2).otherwise(total)
     sums = left.join(right, [*group, "_to"]).groupBy(*group).agg(F.sum(part).alias("_d"))
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("_k"))
-    joined = sums.join(sizes, group) if group else \
-        sums.withColumn("_one", F.lit(1)).join(sizes.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(*group, F.try_divide(
+    return sums.join(sizes, group).select(*(group if named else []), F.try_divide(
         F.col("_d"), F.col("_k") * (F.col("_k") - 1) / 2).alias("mean_km"))
