@@ -27,6 +27,8 @@ from vicinity.session import stable
 
 #: Quotient bits in a block; a block is sized so that a quotient has about one remainder.
 QUOTIENT_BITS = 18
+#: Repeated fingerprints up to which they go to every executor, 8 bytes each.
+BROADCAST_FINGERPRINTS = 1_000_000
 FILTER = "block long, quotients binary, runs binary, remainders binary, counts binary"
 
 
@@ -85,6 +87,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = read.select("doc_id", "text", F.xxhash64("text").alias("fingerprint"), F.sha2("text", 256).alias("sha"))
     thin = stable(read.select("doc_id", "fingerprint", "sha", F.monotonically_increasing_id().alias("row")))
     often = stable(repeated_fingerprints(thin, "fingerprint", thin.count()))
+    # A checked number of fingerprints spares the other texts a shuffle; beyond it both sides are shuffled.
+    often = F.broadcast(often) if often.count() <= BROADCAST_FINGERPRINTS else often
     # Verification: grouping by the text itself compares bytes; the map-side combine folds hot groups.
     equal = (read.join(often, "fingerprint", "left_semi").groupBy("sha", "text").agg(F.count("*").alias("equal_texts"))
              .select("sha", "equal_texts"))
