@@ -272,7 +272,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = found.groupBy("class").agg(F.sum("docs").alias("link_docs"), F.sum("classes").alias("n_text_links"))
     joined = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))).select(
         F.col("node").alias("class"), "component")
-    least = joined.join(classes.select("class", "copy_id"), "class").groupBy("component").agg(F.min("copy_id").alias("class_id"))
+    # Stored, like the nodes above, so that a hot component can be split in the join with it.
+    least = stable(joined.join(classes.select("class", "copy_id"), "class").groupBy("component").agg(F.min("copy_id").alias("class_id")))
     per_class = stable(classes.select("class", "copy_id", "size").join(links, "class", "left").join(
         joined.join(least, "component").select("class", "class_id"), "class", "left"))
     out = thin.select("doc_id", "class").join(per_class, "class", "left")
