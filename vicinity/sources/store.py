@@ -41,9 +41,17 @@ class FeatureStore:
     def exists(self, table: str) -> bool:
         return self.spark.catalog.tableExists(self._full(table))
 
-    def write(self, df: DataFrame, table: str) -> None:
-        """Replace a table."""
-        df.write.mode("overwrite").format("parquet").saveAsTable(self._full(table))
+    def write(self, df: DataFrame, table: str, bucket_by: str | list[str] | None = None, buckets: int = 64) -> None:
+        """Replace a table.
+
+        Tables bucketed by all keys of a join, in the same number of buckets, are joined without a
+        shuffle; bucketing by fewer keys does not spare it.
+        """
+        writer = df.write.mode("overwrite").format("parquet")
+        if bucket_by:
+            keys = [bucket_by] if isinstance(bucket_by, str) else bucket_by
+            writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+        writer.saveAsTable(self._full(table))
 
     def drop(self) -> None:
         """Remove the namespace with its tables."""
