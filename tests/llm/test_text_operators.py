@@ -182,6 +182,22 @@ def test_language(spark):
     assert {x["lang_pred"] for x in language.identify(spark.createDataFrame(rows[:5], DOCS).withColumn("lang", language.F.lit(None))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned_at_every_size(spark):
+    r = random.Random(6)
+    words = {"aa": ["kala", "mila", "soto"], "bb": ["krst", "brzn", "vlck"], "cc": ["ouai", "eaux", "iere"]}
+    say = lambda x: " ".join(r.choice(words[x]) for _ in range(20))
+    rare = [(i, say("bb"), "bb", "s", 1, "", "") for i in range(40)] + [(50, "123", "dd", "s", 1, "", "")]
+    for hot in (10, 4000):
+        rows = rare + [(100 + i, say("aa"), "aa", "s", 1, "", "") for i in range(hot)]
+        rows += [(None, "ouai eaux iere", "cc", "s", 1, "", "")] * (hot // 10)
+        table = spark.createDataFrame(rows, DOCS).repartition(3)
+        drawn = language.sampled(table, 60).groupBy("lang").count().collect()
+        assert {x["lang"]: x["count"] for x in drawn if x["lang"] != "aa"} == {"bb": 40, "cc": 1}
+        assert next(x["count"] for x in drawn if x["lang"] == "aa") < 1000
+        assert language.learn(table, 60).languages == ["aa", "bb", "cc"]
+        assert {x["lang_pred"] for x in language.identify(table, sample_docs=60).where("doc_id < 40").collect()} == {"bb"}
+
+
 def test_codewords_differ_in_many_bits():
     for n in (2, 3, 4, 9, 40):
         code = language.codewords(n)

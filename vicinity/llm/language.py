@@ -8,16 +8,21 @@ margin for each bit, and the codeword with the least weighted loss wins: a bit
 weighs as much as its classifier was right on the training rows. A second
 codeword nearly as close flags the text as ambiguous.
 
-The classifiers are fitted on a bounded sample of the training rows, chosen by a
-hash of the id and spread over languages as they come.
+The languages are all those of the training rows, whatever the size of the table.
+The classifiers are fitted on a sample that is bounded for each language, chosen
+by a hash of the id and the text; a language with fewer rows than its bound is
+learned whole, and rows of other languages do not change which of its rows are drawn
+except through the number of languages.
 
 Rows: a null text, or one without any letter, is ``und`` with score 0. Rows with
-a null language are never learned from. Without anything to learn every text is
+a null language, or without any letter, are never learned from; rows that repeat
+an id and its text are learned from once. Without anything to learn every text is
 ``und``. With one language only, every text with a letter is of it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.common import shuffle_partitions
 
-#: Documents the classifiers are fitted on, about, and slots of the n-gram table.
-SAMPLE_DOCS, SLOTS = 20_000, 1 << 15
+#: Documents the classifiers are fitted on, about; those of each language however many there are; and slots of the n-gram table.
+SAMPLE_DOCS, LEAST_DOCS, SLOTS = 20_000, 500, 1 << 15
 #: Bits beyond those that tell languages apart; up to 4 languages get every useful column.
 MOST_BITS = 31
 #: Loss between the best codewords, per bit, below which a text is ambiguous.
@@ -96,11 +101,23 @@ class LanguageModel:
         return self.languages[order[0]], float(1 / odds.sum()), bool(close)
 
 
+def sampled(training: DataFrame, sample_docs: int) -> DataFrame:
+    """lang and text of about the same number of rows of each language, and of at least one."""
+    spread = 1 << 62
+    # Signs that this Java does not know yet may be letters to Python, which decides in the end.
+    rows = training.where("lang is not null and text rlike '[\\\\p{L}\\\\p{Cn}]'").select(
+        "lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(17)), 2).alias("place"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts"), F.min("place").alias("first")).collect()
+    each = max(LEAST_DOCS, math.ceil(sample_docs / max(1, len(found))))
+    # One short row for each language, as the model has one long row for each.
+    limits = training.sparkSession.createDataFrame(
+        [(r["lang"], max(r["first"], int(min(1.0, each / max(1, r["texts"])) * (spread - 1)))) for r in found], "lang string, last long")
+    return rows.join(F.broadcast(limits), "lang").where("place <= last").dropDuplicates(["lang", "place"]).select("text", "lang")
+
+
 def learn(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel | None:
-    """Model of a bounded sample of ``training`` (doc_id, text, lang)."""
-    rows = training.where("lang is not null and text is not null")
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """Model of ``training`` (doc_id, text, lang): all its languages, fitted on a bounded sample of each."""
+    sample = sampled(training, sample_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -114,7 +131,7 @@ def learn(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel
                 [pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()])], ["lang", "counts"])
 
     total: dict[str, np.ndarray] = {}
-    few = sample.select("text", "lang").coalesce(min(8, shuffle_partitions(training.sparkSession)))
+    few = sample.coalesce(min(8, shuffle_partitions(training.sparkSession)))
     for row in few.mapInArrow(count, "lang string, counts binary").orderBy("lang", "counts").collect():
         total[row["lang"]] = total.get(row["lang"], 0) + np.frombuffer(row["counts"])
     if not total:
