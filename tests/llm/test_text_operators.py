@@ -198,6 +198,19 @@ def test_rare_languages_are_learned_at_every_size(spark):
         assert {x["lang_pred"] for x in language.identify(table, sample_docs=60).where("doc_id < 40").collect()} == {"bb"}
 
 
+def test_sample_is_stored_before_it_is_read_by_few_tasks(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+    rows = [(i, "kala mila" if i % 2 else "krst brzn", "ab"[i % 2], "s", 1, "", "") for i in range(50)]
+    table = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert language.learn(table.mapInArrow(counted, table.schema)).languages == ["a", "b"]
+    assert read.value == 2 * 50
+
+
 def test_codewords_differ_in_many_bits():
     for n in (2, 3, 4, 9, 40):
         code = language.codewords(n)

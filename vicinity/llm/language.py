@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm.common import shuffle_partitions
+from vicinity.session import stable
 
 #: Documents the classifiers are fitted on, about; those of each language however many there are; and slots of the n-gram table.
 SAMPLE_DOCS, LEAST_DOCS, SLOTS = 20_000, 500, 1 << 15
@@ -117,7 +118,8 @@ def sampled(training: DataFrame, sample_docs: int) -> DataFrame:
 
 def learn(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel | None:
     """Model of ``training`` (doc_id, text, lang): all its languages, fitted on a bounded sample of each."""
-    sample = sampled(training, sample_docs)
+    # Stored as the scan's own tasks draw it; only what was drawn goes through few tasks, twice.
+    sample = stable(sampled(training, sample_docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
