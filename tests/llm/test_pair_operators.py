@@ -54,6 +54,43 @@ def test_cut_digests(spark, block_bytes):
     assert sorted((tuple(r) for r in got.collect()), key=str) == cut_by_hand(passages())
 
 
+@pytest.mark.parametrize("hot_runs, block_bytes", [(0, 3000), (0, 2_000_000), (30, 3000)])
+def test_cut_digests_where_keys_are_hot(spark, monkeypatch, hot_runs, block_bytes):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_WINDOWS", 100)
+    r = random.Random(8)
+    around = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    line = around(40)
+    rows = passages() + [(100 + i, around(60) + (r.choice("xyz") * 8 + line + r.choice("xyz") * 8) + around(60)) for i in range(60)]
+    got = suffix_dedup.cut_digests(frame(spark, rows), block_bytes=block_bytes, hot_runs=hot_runs)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == cut_by_hand(rows)
+
+
+def test_runs_around_a_hot_key_are_spread():
+    import pandas as pd
+    import zstandard
+    r = random.Random(9)
+    around = lambda n: bytes(r.choice(b"abcdefghijklmnop") for _ in range(n))
+    line = around(30)
+    texts = [around(60) + line + around(60) for _ in range(400)]
+    row = {"block": 0, "bytes": 1, "ids": np.arange(400).tobytes(), "lengths": np.full(400, 150).tobytes(),
+           "payload": zstandard.ZstdCompressor().compress(b"".join(texts))}
+
+    def fullest(hot_runs):
+        block = suffix_dedup.Block(row, 4, 50, 16)
+        def answers(ask, schema, answer):
+            asked = pd.DataFrame(list(ask(block)), columns=[c.split()[0] for c in schema.split(", ")])
+            found = pd.concat([answer(part) for _, part in asked.groupby("bucket")]).to_dict("records")
+            return found, asked
+        row["first"], _ = answers(suffix_dedup.ask_keys, suffix_dedup.KEYS, suffix_dedup.answer_keys(hot_runs))
+        row["second"], entries = answers(suffix_dedup.ask_entries, suffix_dedup.ENTRIES, suffix_dedup.answer_entries(4))
+        _, details = answers(suffix_dedup.ask_details, suffix_dedup.DETAILS, suffix_dedup.answer_details(50))
+        return max(len(s) // 8 for s in entries["shapes"]), max(sum(w) for w in details["windows"])
+
+    together, apart = fullest(10 ** 9), fullest(100)
+    assert together[0] >= 100 and together[1] >= 400
+    assert apart[0] < together[0] / 4 and apart[1] < together[1] / 3
+
+
 def test_cut_texts_keeps_columns_and_signs(spark):
     rows = passages()
     got = suffix_dedup.cut_texts(frame(spark, rows))
