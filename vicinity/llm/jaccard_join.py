@@ -1,9 +1,11 @@
 """Operator 9: Jaccard join on word n-grams by a MinHash LSH forest.
 
 Documents with the same set of shingles form a class, which is signed once. Each
-tree of the forest is a prefix trie over its own part of the signatures. Matched
-prefixes are shortened, level by level, until a pair at the wanted similarity
-shares a prefix in some tree with the target probability. Within such a trie node
+tree of the forest has its own part of the signatures. One prefix length holds for
+all trees and rows: the longest, of at most ``levels`` labels, at which a pair at
+the wanted similarity shares a prefix in some tree with the target probability. So
+the forest is reduced to bands of fixed length; no trie is built and no prefix is
+shortened row by row. Within such a band's node
 signatures are compared and a spanning forest of the pairs that may be near is
 kept; its components are clusters that hold every near pair. In a cluster all
 pairs are verified on their shingle sets, block against block, and only counts
