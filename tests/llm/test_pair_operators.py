@@ -183,6 +183,17 @@ def test_prefixes_shorten_until_the_target():
     assert jaccard_join.prefix_length(0.8, 2, 6, 0.999) == 1
 
 
+def test_filter_follows_the_arguments(spark):
+    assert 0.55 - 1 / 96 < jaccard_join.may_be_near(0.8, 96) <= 0.55
+    for similarity, labels in ((0.5, 96), (0.6, 96), (0.8, 24)):
+        least = jaccard_join.may_be_near(similarity, labels)
+        equal = np.random.default_rng(1).binomial(labels, similarity, 100_000) / labels
+        assert (equal >= least).all()
+    assert jaccard_join.may_be_near(0.2, 10) == 0
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_groups(frame(spark, near_copies()), similarity=0.3)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 50), (60, 60)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())

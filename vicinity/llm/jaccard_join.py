@@ -39,8 +39,8 @@ from vicinity.session import stable
 WORDS, SIMILARITY = 5, 0.8
 #: Trees and labels in each; probability with which a pair at the similarity must meet.
 TREES, LEVELS, TARGET = 24, 4, 0.99999
-#: Signatures this much alike may be near: for a pair at 0.8 the share of equal labels among 96 is six deviations higher.
-MAY_BE_NEAR = 0.55
+#: Deviations by which a near pair's share of equal labels may fall below its similarity.
+DEVIATIONS = 6.15
 #: Members of a trie node, and sets of a cluster, that one task compares with as many others.
 NODE_BLOCK, SET_BLOCK = 512, 256
 #: Rows that one group of a Python task gets, about.
@@ -112,6 +112,11 @@ def prefix_length(similarity: float, trees: int, levels: int, target: float) ->
     return 1
 
 
+def may_be_near(similarity: float, labels: int) -> float:
+    """Share of equal labels from which signatures may be those of a pair at the similarity."""
+    return max(0.0, similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / labels))
+
+
 def sign(words: int, trees: int, levels: int):
     """mapInArrow function: class and signature of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +242,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     doc_id, class_id (least id among all documents joined by chains of links), copy_id (least id with the
     same shingles), copies, n_links (other documents at the similarity or above, copies counted) and
-    n_text_links (other classes at the similarity or above).
+    n_text_links (other classes at the similarity or above). An error tells where no prefix length gives
+    a pair at the similarity the target probability of being found.
     """
+    length = prefix_length(similarity, trees, levels, target)
+    if 1 - (1 - similarity ** length) ** trees < target:
+        raise ValueError(f"{trees} trees do not find pairs at {similarity} with a probability of {target}")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     thin = stable(read.mapInArrow(sign(words, trees, levels), "doc_id long, class binary, signature binary"))
     classes = stable(thin.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("copy_id"), F.count("*").alias("size"), F.first("signature").alias("signature")))
 
-    length = prefix_length(similarity, trees, levels, target)
     node = F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(signature, t * {4 * levels} + 1, {4 * length})))")
     prefixes = classes.select("class", F.explode(node).alias("node"))
     # Stored, so that the join with it has an exchange of its own, whose hot nodes can be split.
@@ -252,7 +260,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "node", F.ceil(F.col("count") / NODE_BLOCK).cast("int").alias("blocks")))
     members = prefixes.join(shared, "node").join(classes.select("class", "signature"), "class")
     near = stable(blocked(members, "node", "blocks", ["class", "signature"]))
-    edges = grouped(near, ["node", "i", "j"], NODE_ROWS).groupBy("deal").applyInPandas(node_edges(MAY_BE_NEAR), "a binary, b binary")
+    edges = grouped(near, ["node", "i", "j"], NODE_ROWS).groupBy("deal").applyInPandas(node_edges(may_be_near(similarity, trees * levels)), "a binary, b binary")
     clusters = components(stable(edges.distinct())).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
 
     counts = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
