@@ -96,6 +96,15 @@ def test_packing(spark):
         assert at <= 64 and rows[0]["padding"] == (0 if at & (at - 1) == 0 else 64 - at)
 
 
+def test_equal_pieces_are_dealt_over_groups(spark):
+    rows = [(None, "same text")] * 2000
+    got = packing.pack(docs(spark, rows), window=64, group_pieces=50).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["sequence_id"] % 40] = sizes.get(r["sequence_id"] % 40, 0) + 1
+    assert len(got) == 2000 and max(sizes.values()) < 150
+
+
 def test_best_fit_takes_the_tightest_window():
     import numpy as np
     numbers, offsets, used = packing.best_fit_decreasing(np.array([6, 5, 4, 3, 2]), 10)

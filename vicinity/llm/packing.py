@@ -207,7 +207,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     pieces = stable(read.mapInArrow(encode_pieces(path, window, end_id), PIECES))
     groups = max(1, math.ceil(pieces.count() / group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # The place of the stored row lets equal pieces, as of repeated rows, fall into different groups.
+    dealt = pieces.withColumn("group", F.pmod(
+        F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     # Ids as text: pandas would turn whole numbers among nulls into floating ones.
     dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
     packed = dealt.groupBy("group").applyInPandas(lambda g: pack_group(g, groups, window), PACKED)
