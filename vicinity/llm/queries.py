@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vicinity.llm import (
-    byte_bpe, exact_dedup, jaccard_join, language, packing, quality, suffix_dedup, token_counts,
-    vector_search, warc_fixity,
+    byte_bpe, chat_format, exact_dedup, jaccard_join, language, packing, quality, suffix_dedup, token_alignment,
+    token_counts, vector_search, warc_fixity,
 )
 from vicinity.llm.common import table
 
@@ -31,6 +31,21 @@ SELECT file, number, CAST("offset" AS BIGINT) AS "offset", bytes, CASE WHEN dige
 FROM laid LEFT JOIN b USING (number) WHERE digest_b IS DISTINCT FROM digest_a
 """
 
+OP13 = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    length(regexp_replace(text, '(<)(\\*)(s>|/s>)|(\[)(\\*)(INST\]|/INST\]|AND\])', '\1\4\\\2\5\3\6', 'g')) AS text_chars,
+    length(regexp_replace(role, '(<)(\\*)(s>|/s>)|(\[)(\\*)(INST\]|/INST\]|AND\])', '\1\4\\\2\5\3\6', 'g')) AS role_chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(length('<s>') + length('</s>') + sum(text_chars + CASE WHEN before = role THEN length('[AND]')
+        ELSE length('[INST]') + role_chars + length('[/INST]') + CASE WHEN before IS NULL THEN 0 ELSE length('</s>') END END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -73,6 +88,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    return chat_format.read_back(chat_format.format_chats(turns.unionByName(own)))
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1),
     "op2_packing": (op2_packing, None),
@@ -84,4 +110,6 @@ QUERIES = {
     "op8_vector_search": (op8_vector_search, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_language": (op10_language, None),
+    "op11_token_alignment": (op11_token_alignment, None),
+    "op13_chat_format": (op13_chat_format, OP13),
 }
