@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vicinity.llm import (
-    byte_bpe, chat_format, exact_dedup, jaccard_join, language, packing, quality, suffix_dedup, token_alignment,
-    token_counts, vector_search, warc_fixity,
+    byte_bpe, chat_format, conversation_repair, exact_dedup, jaccard_join, language, packing, quality, suffix_dedup,
+    token_alignment, token_counts, vector_search, warc_fixity,
 )
 from vicinity.llm.common import table
 
@@ -92,6 +92,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "</s>[INST] ok [/INST]"
@@ -111,5 +115,6 @@ QUERIES = {
     "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_language": (op10_language, None),
     "op11_token_alignment": (op11_token_alignment, None),
+    "op12_conversation_repair": (op12_conversation_repair, None),
     "op13_chat_format": (op13_chat_format, OP13),
 }
