@@ -83,3 +83,71 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, folder)
     key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole.collect())) == sorted(map(key, packed))
+
+
+EDGES = "doc_id long, text string, lang string, source string, keep string, evidence long, posterior string, site_docs int, first string"
+
+
+def edge_rows():
+    """Without n_chars, with clashing names, null and repeated ids, empty and very long texts, repeated rows."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(80)]
+    near = lambda k: " ".join(base[:10 + 9 * k] + [word()] + base[11 + 9 * k:])
+    clean = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    texts = [(5, " ".join(base)), (7, near(0)), (7, clean[0]), (None, near(1)), (None, near(2)), (None, clean[1]), (None, clean[1]),
+             (9, None), (10, ""), (11, " \n "), (12, clean[2]), (12, clean[2]), (13, "long " * 60_000 + clean[3]), (5, " ".join(base)), (5, "  ".join(base))]
+    return [(i, t, None, "h", "k", 4, "p", 6, "f") for i, t in texts], {"clean": clean, "base": " ".join(base)}
+
+
+@pytest.fixture
+def edges(spark, tmp_path):
+    spark.createDataFrame([(5, 1, 0), (7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows, texts = edge_rows()
+    return spark.createDataFrame(rows, EDGES).repartition(3), str(tmp_path), rows, texts
+
+
+def test_every_stage_on_edge_rows(spark, edges):
+    docs, folder, rows, _ = edges
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        found = out.collect()
+        assert number == 4 or out.columns == docs.columns
+        if number < 4:
+            assert all((r["keep"], r["evidence"], r["posterior"], r["site_docs"], r["first"]) == ("k", 4, "p", 6, "f") for r in found)
+        assert stage(spark, docs.limit(0), folder).collect() == []
+    assert len({(r["doc_id"], r["start"]) for r in found}) > 1
+
+
+def test_quality_rejects_rows_one_by_one(spark, edges):
+    docs, folder, rows, _ = edges
+    judged = corpus_pipeline.quality.judge(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert set(corpus_pipeline.quality.VERDICTS) <= set(judged.columns) and len(judged.columns) == len(set(judged.columns))
+    kept = corpus_pipeline.keep_good(spark, docs, folder).collect()
+    assert len(kept) == judged.where("keep").count()
+
+
+def test_near_copies_are_rows_not_ids(spark, edges):
+    docs, folder, rows, texts = edges
+    kept = corpus_pipeline.drop_near_copies(spark, docs, folder).collect()
+    # One row of the near copies stays, that with the least (id, hash): id 5 has two forms with the same words.
+    of_group = [r for r in kept if (r["text"] or "").split()[:5] == texts["base"].split()[:5]]
+    assert len(of_group) == 1 and of_group[0]["doc_id"] == 5
+    ids = [(r["doc_id"], r["text"]) for r in kept if r not in of_group]
+    want = [(7, texts["clean"][0]), (None, texts["clean"][1]), (9, None), (10, ""), (11, " \n "), (12, texts["clean"][2])]
+    assert sorted(map(str, ids)) == sorted(map(str, want + [(13, rows[12][1])]))
+
+
+def test_exact_copies_on_edge_rows(spark, edges):
+    docs, folder, rows, _ = edges
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, docs, folder).collect()]
+    assert len(kept) == len({t or "" for _, t, *_ in rows}) and sum(not t for _, t in kept) == 1
+
+
+def test_many_rows_without_ids(spark):
+    """Rows without ids meet only the rows with their text."""
+    r = random.Random(3)
+    rows = [(None, " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(30)), "", "s", 1) for _ in range(400)]
+    docs = spark.createDataFrame(rows + rows, DOCS).repartition(4)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r["text"] for r in kept) == sorted(t for _, t, *_ in rows)

@@ -16,7 +16,10 @@ copies is.
 Rows: words are split at white space; a text with fewer words than a shingle has
 one shingle of all its words. Null, empty and wordless texts have none: each is a
 class of its own and has no links. Repeated rows and equal texts share a class.
-A null id is treated like other ids and sorts above them. Other columns are not read.
+A null id is treated like other ids and sorts above them. A row is known by its id
+and the hash of its text, so rows that share an id, or have none, are told apart;
+the first row of a group by (id, hash) is the one that stays, of repeated rows one.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -126,8 +129,8 @@ def sign(words: int, trees: int, levels: int):
                 found = shingles(cell.as_py(), words)
                 classes.append(class_of(found) if len(found) else None)
                 signatures.append(signature(found, trees * levels).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())],
-                                             ["doc_id", "class", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], batch.column(2), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())],
+                                             ["doc_id", "text_hash", "class", "signature"])
     return run
 
 
@@ -241,17 +244,28 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``.
 
     doc_id, class_id (least id among all documents joined by chains of links), copy_id (least id with the
-    same shingles), copies, n_links (other documents at the similarity or above, copies counted) and
-    n_text_links (other classes at the similarity or above). An error tells where no prefix length gives
-    a pair at the similarity the target probability of being found.
+    same shingles), copies, n_links (other documents at the similarity or above, copies counted),
+    n_text_links (other classes at the similarity or above). An error tells where no prefix length
+    gives a pair at the similarity the target probability of being found.
+    """
+    return rows_of_groups(docs, id_col, text_col, words, similarity, trees, levels, target).drop("text_hash", "first")
+
+
+def rows_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
+                   trees: int = TREES, levels: int = LEVELS, target: float = TARGET) -> DataFrame:
+    """``jaccard_groups`` with text_hash and first: whether no row of its group has a lesser (id, text_hash).
+
+    Rows that repeat both are all first.
     """
     length = prefix_length(similarity, trees, levels, target)
     if 1 - (1 - similarity ** length) ** trees < target:
         raise ValueError(f"{trees} trees do not find pairs at {similarity} with a probability of {target}")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    thin = stable(read.mapInArrow(sign(words, trees, levels), "doc_id long, class binary, signature binary"))
+    read = read.withColumn("text_hash", F.xxhash64("text"))
+    thin = stable(read.mapInArrow(sign(words, trees, levels), "doc_id long, text_hash long, class binary, signature binary"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = stable(thin.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("copy_id"), F.count("*").alias("size"), F.first("signature").alias("signature")))
+        F.min(row).alias("copy"), F.count("*").alias("size"), F.first("signature").alias("signature")))
 
     node = F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(signature, t * {4 * levels} + 1, {4 * length})))")
     prefixes = classes.select("class", F.explode(node).alias("node"))
@@ -264,7 +278,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clusters = components(stable(edges.distinct())).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
 
     counts = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
-    wanted = stable(clusters.join(counts, "cluster").join(classes.select("class", "copy_id", "size"), "class"))
+    wanted = stable(clusters.join(counts, "cluster").join(classes.select(
+        "class", F.col("copy.doc_id").alias("copy_id"), F.col("copy.text_hash").alias("copy_hash"), "size"), "class"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +289,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             whole = pa.RecordBatch.from_arrays([*batch.columns[1:], data], ["class", "cluster", "blocks", "size", "shingles"])
             yield whole.filter(right)
 
-    texts = read.join(wanted, read["doc_id"].eqNullSafe(wanted["copy_id"])).select("text", "class", "cluster", "blocks", "size")
+    same_row = (F.col("text_hash") == F.col("copy_hash")) & F.col("doc_id").eqNullSafe(F.col("copy_id"))
+    texts = read.join(wanted, same_row).select("text", "class", "cluster", "blocks", "size")
     with_sets = texts.mapInArrow(sets, "class binary, cluster binary, blocks int, size long, shingles binary").dropDuplicates(["class"])
     pairs = stable(blocked(with_sets, "cluster", "blocks", ["class", "size", "shingles"]))
     found = stable(grouped(pairs, ["cluster", "i", "j"], SET_ROWS).groupBy("deal").applyInPandas(
@@ -283,12 +299,33 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))).select(
         F.col("node").alias("class"), "component")
     # Stored, like the nodes above, so that a hot component can be split in the join with it.
-    least = stable(joined.join(classes.select("class", "copy_id"), "class").groupBy("component").agg(F.min("copy_id").alias("class_id")))
-    per_class = stable(classes.select("class", "copy_id", "size").join(links, "class", "left").join(
-        joined.join(least, "component").select("class", "class_id"), "class", "left"))
-    out = thin.select("doc_id", "class").join(per_class, "class", "left")
+    least = stable(joined.join(classes.select("class", "copy"), "class").groupBy("component").agg(F.min("copy").alias("least")))
+    per_class = stable(classes.select("class", "copy", "size").join(links, "class", "left").join(
+        joined.join(least, "component").select("class", "least"), "class", "left").withColumn("least", F.coalesce("least", "copy")))
+    out = thin.select("doc_id", "text_hash", "class").join(per_class, "class", "left")
     return out.select(
-        "doc_id", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        "doc_id", F.coalesce("least.doc_id", "doc_id").alias("class_id"), F.coalesce("copy.doc_id", "doc_id").alias("copy_id"),
         F.coalesce("size", F.lit(1)).alias("copies"),
         (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("link_docs", F.lit(0))).alias("n_links"),
-        F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+        F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), "text_hash",
+        (F.col("least").isNull() | row.eqNullSafe(F.col("least"))).alias("first"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` with one row of each group: the first by (id, hash of the text); all columns stay as they are.
+
+    Texts without words are groups of their own and all stay. ``settings`` are those of ``jaccard_groups``.
+    """
+    groups = stable(rows_of_groups(docs, id_col, text_col, **settings).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "first", "copies"))
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    at = {c: names[i] for i, c in reversed(list(enumerate(docs.columns)))}
+    plain = docs.toDF(*names).withColumn("__key", F.xxhash64(text_of(at[text_col])))
+    same = F.col(at[id_col]).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash"))
+    repeated = stable(groups.where("first and copies > 1").groupBy("__id", "__hash").count().where("count > 1").drop("count"))
+    gone = groups.where("not first").select("__id", "__hash").distinct()
+    kept = plain.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        one = plain.join(repeated, same, "left_semi").dropDuplicates([at[id_col], "__key"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(one)
+    return kept.select(*names).toDF(*docs.columns)

@@ -143,17 +143,24 @@ def site_priors(scored: DataFrame, host: str, path: str, evidence: str, base: fl
     return both.select(F.col(host), F.col(path), F.col("docs").alias("site_docs"), "host_prior", prior.alias("site_prior"))
 
 
+#: Columns that a judgement adds.
+VERDICTS = ("evidence", "site_docs", "host_prior", "site_prior", "posterior", "keep")
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None,
           path: Column | None = None, label_col: str = "quality", keep_from: float = KEEP_FROM,
           sample_rows: int = SAMPLE_ROWS, carry: bool = True) -> DataFrame:
     """``docs`` (or, without ``carry``, only their ids) with evidence, site_docs, host_prior, site_prior, posterior and keep.
 
     ``host`` and ``path`` are expressions over ``docs``; by default the source is the host and
-    its section in one language the path.
+    its section in one language the path. A column of ``docs`` with the name of a verdict column
+    is left out (``good_documents`` keeps it). Null and empty texts are judged like others, rows without
+    a host or path share one, repeated rows are judged each on their own, and an empty table gives no
+    rows. Without labels of both classes all are kept.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    columns = docs.columns if carry else [id_col]
+    columns = [c for c in docs.columns if c not in VERDICTS] if carry else [id_col]
     names = [f"__{i}" for i in range(len(columns))]
     read = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], text_of(text_col).alias("__text"),
                        host.cast("string").alias("__h"), path.cast("string").alias("__p"))
@@ -177,3 +184,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     posterior = 1 / (1 + F.exp(-odds))
     return joined.select(*known, F.col("__e").alias("evidence"), "site_docs", "host_prior", "site_prior",
                          posterior.alias("posterior"), (posterior >= keep_from).alias("keep"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """``docs`` without the rows that ``judge`` rejects; all columns stay as they are, also those named like a verdict."""
+    held = {c: f"__held_{i}" for i, c in enumerate(docs.columns) if c in VERDICTS}
+    verdicts = judge(docs.withColumnsRenamed(held), labels, **settings).where("keep").drop(*VERDICTS)
+    return verdicts.withColumnsRenamed({new: old for old, new in held.items()}).select(*docs.columns)
