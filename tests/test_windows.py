@@ -110,6 +110,62 @@ def test_neighbourhood_unique_counts(spark):
     assert got == want
 
 
+def test_neighbourhood_at_moments(spark):
+    """Times of day count on both sides, also where month ends clamp onto one day."""
+    rng = random.Random(4)
+    spots = {p: (rng.randrange(300), rng.randrange(300)) for p in range(8)}
+    at = lambda: day(rng, 120).replace(hour=rng.choice([0, 0, 8, 18]), minute=rng.choice([0, 30]))
+    insp = [(rng.randrange(8), at(), rng.choice([0, 1, None])) for _ in range(160)]
+    insp += [(p, datetime(2015, 2, 28, h), p % 2) for p in range(4) for h in (0, 6, 12, 23)]
+    asks = [(p, datetime(2015, 3, d, h)) for p in range(4) for d in (28, 29, 30, 31) for h in (0, 6, 7, 13)] + [(1, datetime(2015, 4, 1))]
+    asks += [(2, datetime(2015, 1, 20, 8)), (2, datetime(2015, 1, 20, 18)), (None, datetime(2015, 1, 1)), (3, None)]
+    insp += [(2, datetime(2015, 1, 20, 12), 1), (1, None, 1)]
+    parcels = spark.createDataFrame([(p, x, y) for p, (x, y) in spots.items()], "parcel_id long, x long, y long")
+    table = spark.createDataFrame(insp, "parcel_id long, inspection_date timestamp_ntz, viol_outcome int")
+    people = spark.createDataFrame(asks, "parcel_id long, inspection_date timestamp_ntz")
+    got = features.neighborhood_score(people, table, parcels, 50, 1, ranks=False)
+    got = {(r["parcel_id"], r["inspection_date"]): tuple(r)[2:] for r in got.collect()}
+    far = (50 * 3.281) ** 2
+    close = lambda a, b: (spots[a][0] - spots[b][0]) ** 2 + (spots[a][1] - spots[b][1]) ** 2 <= far
+    want = {}
+    for p, d in {(p, d) for p, d in asks if p is not None and d is not None}:
+        m = [(q, y) for q, t, y in insp if t is not None and close(p, q) and d - relativedelta(months=1) <= t < d]
+        if m:
+            u = set(m)
+            want[(p, d)] = (sum(y == 1 for _, y in m), sum(y == 0 for _, y in m), len(m), sum(y == 1 for _, y in u),
+                            sum(y == 0 for _, y in u), len({q for q, _ in m}), sum(close(p, q) for q in spots))
+    assert got == want
+    assert got[2, datetime(2015, 1, 20, 8)] != got[2, datetime(2015, 1, 20, 18)]
+
+
+def test_totals_around_with_crowded_cells(spark, monkeypatch):
+    """Splitting crowded (cell, slice) keys changes nothing."""
+    rng = random.Random(6)
+    visits = [(i % 7, day(rng, 200), 10 * (i % 7), 5) for i in range(60)]
+    events = [(10 * rng.randrange(9), 5, day(rng, 200)) for _ in range(200)] + [(None, 5, day(rng, 200)), (10, 5, None)]
+    v = spark.createDataFrame(visits, "id long, d timestamp_ntz, x long, y long")
+    e = spark.createDataFrame(events, "x long, y long, t timestamp_ntz")
+    ask = lambda: {(r["id"], r["d"]): r["n"] for r in A.totals_around(
+        v, e, "id", "d", "t", [Measure("n", F.lit(1))], 2, 6).collect()}
+    plain = ask()
+    monkeypatch.setattr(A, "split_hot_keys", lambda *a: spatial.split_hot_keys(*a, rows_per_split=3))
+    split = ask()
+    want = {}
+    for i, d, x, _ in set(visits):
+        n = sum(1 for u, _, t in events if u is not None and t is not None and abs(u - x) <= 6 * 3.281 and d - relativedelta(months=2) <= t < d)
+        if n:
+            want[i, d] = n
+    assert plain == split == want
+
+
+def test_lookback_at_moments(spark):
+    visits = spark.createDataFrame([(1, datetime(2015, 5, 1, 8)), (2, datetime(2015, 5, 1, 18)), (3, None)], "parcel_id long, d timestamp_ntz")
+    series = spark.createDataFrame([(datetime(2015, 5, 1, 12), 4.0), (datetime(2015, 4, 20), 2.0), (datetime(2015, 4, 24, 9), 6.0),
+                                    (datetime(2015, 4, 24, 7), 100.0), (datetime(2015, 4, 30), float("nan"))], "t timestamp_ntz, v double")
+    got = {r["parcel_id"]: r["m"] for r in A.lookback_average(visits, series, "d", "t", {"m": "v"}, weeks=1).collect()}
+    assert got == {1: 6.0, 2: 4.0, 3: None}
+
+
 def test_date_bounds(spark):
     insp = spark.createDataFrame([(datetime(2015, 1, 10),), (datetime(2015, 12, 31),)], "d timestamp_ntz")
     events = spark.createDataFrame([(datetime(2015, 1, 1),), (datetime(2015, 10, 5, 7),)], "t timestamp_ntz")

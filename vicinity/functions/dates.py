@@ -20,13 +20,6 @@ def day_of(when: Column) -> Column:
     return F.date_trunc("day", when).cast("timestamp_ntz")
 
 
-def asof_day(when: Column) -> Column:
-    """As-of date as a zone-free timestamp; a time of day fails the query, since windows are read per day."""
-    moment = as_moment(when)
-    whole = moment.isNull() | (moment == F.date_trunc("day", moment))
-    return F.when(F.assert_true(whole, F.lit("as-of dates must be days at midnight")).isNull(), moment)
-
-
 def days_between(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier)
 

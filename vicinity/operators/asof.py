@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.functions import dates
-from vicinity.operators.spatial import SALTS, split_hot_keys
+from vicinity.operators.order_stats import known
+from vicinity.operators.spatial import FEET_PER_METRE, SALTS, around, cell_of, split_hot_keys
 
 
 @dataclass(frozen=True)
@@ -207,6 +208,36 @@ def nearby_event_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, en
     return totals.where(F.col(measures[0].name) > 0)
 
 
+def totals_around(visits: DataFrame, events: DataFrame, entity: str, asof_time: str, event_time: str,
+                  measures: list[Measure], months: int, metres: float) -> DataFrame:
+    """Totals of events at most ``metres`` from a visit in ``[d - N months, d)``, for sparse events.
+
+    ``visits`` (entity, asof_time, x, y) and ``events`` (x, y, event_time, ...)
+    meet on (grid cell, slice of N months): a window touches two or three slices, so a
+    visit meets little else than what its window holds. Pairs are summed where
+    they meet and never leave that stage; cells that are crowded in a slice are
+    split on both sides. Measures may compare event columns with the visit's
+    moment ``_d``. Both ends of a window are moments, with the months counted on
+    the calendar (end-of-month days clamp). Only visits with events come back.
+    """
+    feet, length = metres * FEET_PER_METRE, max(months, 1)
+    reach = _reach(visits, asof_time)
+    slice_of = lambda when: F.floor(_month(when) / length).cast("int")
+    asked = visits.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
+        entity, dates.as_moment(F.col(asof_time)).alias("_d"), F.col("x").alias("_vx"), F.col("y").alias("_vy")).distinct()
+    asked = asked.where("_d is not null").withColumn("_from", dates.months_before(F.col("_d"), months)).select(
+        "*", cell_of(F.col("_vx"), feet).alias("_cx"), cell_of(F.col("_vy"), feet).alias("_cy"),
+        F.explode(F.sequence(slice_of(F.col("_from")), slice_of(F.col("_d")))).alias("_slice"))
+    held = _within_reach(events.drop(entity), event_time, reach, months, 0).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    held = held.withColumn("_t", dates.as_moment(F.col(event_time))).withColumn("_slice", slice_of(F.col("_t"))) \
+        .withColumn("_cx", around(cell_of(F.col("x"), feet))).withColumn("_cy", around(cell_of(F.col("y"), feet)))
+    asked, held = split_hot_keys(asked, held, ["_cx", "_cy", "_slice"], [entity, "_d"], ["x", "y", "_t"])
+    dx, dy = F.col("_vx") - F.col("x"), F.col("_vy") - F.col("y")
+    near = (dx * dx + dy * dy <= F.lit(feet * feet)) & (F.col("_from") <= F.col("_t")) & (F.col("_t") < F.col("_d"))
+    met = asked.join(held, ["_cx", "_cy", "_slice", *SALTS]).where(near)
+    return fold_measures(met, [F.col(entity), F.col("_d").alias(asof_time)], measures)
+
+
 def events_in_window(asof: DataFrame, edges: DataFrame, events: DataFrame, entity: str, place: str,
                      event_id: str, event_time: str, asof_time: str, months: int,
                      max_dist: float) -> DataFrame:
@@ -216,13 +247,14 @@ def events_in_window(asof: DataFrame, edges: DataFrame, events: DataFrame, entit
     :func:`nearby_totals`. As-of dates and events meet on (place, month), then
     the exact half-open window is applied.
     """
+    events = _within_reach(events, event_time, _reach(asof, asof_time), months, 0)
     visits = (
         asof.select(entity, dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct()
         .join(edges.where(F.col("dist_m") <= max_dist).select(entity, place, "dist_m"), entity)
         .withColumn("_from", dates.months_before(F.col(asof_time), months))
         .withColumn("_month", F.explode(F.sequence(_month(F.col("_from")), _month(F.col(asof_time)))))
     )
-    found = events.select(place, event_id, F.col(event_time).alias("_at"), _month(F.col(event_time)).alias("_month"))
+    found = events.select(place, event_id, dates.as_moment(F.col(event_time)).alias("_at"), _month(F.col(event_time)).alias("_month"))
     found, visits = split_hot_keys(found, visits, [place, "_month"], [event_id], [entity, asof_time])
     return (
         visits.join(found, [place, "_month", *SALTS])
@@ -242,22 +274,32 @@ def prior_years(asof: DataFrame, panel: DataFrame, entity: str, asof_time: str,
 
 def lookback_average(asof: DataFrame, series: DataFrame, asof_time: str, series_time: str,
                      values: dict[str, str], weeks: int = 6) -> DataFrame:
-    """Average of a single series over the weeks before each as-of row.
+    """Average of a single series over the weeks before each as-of row: rows in ``[d - N weeks, d)``.
 
     ``values`` maps output name to series column. The series is folded to one
-    row per day and averages are formed once per distinct as-of date (days at
-    midnight); both are bounded by the calendar, and all as-of rows keep their
-    date even without series rows.
+    row per day and averages are formed once per distinct as-of moment: from the
+    days that lie whole in its window and, where moments have a time of day, the
+    rows of the two days that do not. Null and NaN values are missing. All as-of
+    rows keep their moment even without series rows.
     """
-    folded = series.groupBy(dates.day_of(F.col(series_time)).alias("_day")).agg(
-        *[F.sum(c).alias(f"_s_{n}") for n, c in values.items()],
-        *[F.count(c).alias(f"_c_{n}") for n, c in values.items()])
-    wanted = asof.select(dates.asof_day(F.col(asof_time)).alias(asof_time)).distinct() \
-        .withColumn("_day", F.explode(F.expr(
-            f"sequence({asof_time} - make_interval(0, 0, {weeks}), "
-            f"{asof_time} - make_interval(0, 0, 0, 1), make_interval(0, 0, 0, 1))")))
-    means = wanted.join(folded, "_day").groupBy(asof_time).agg(
-        *[F.try_divide(F.sum(f"_s_{n}"), F.sum(f"_c_{n}")).alias(n) for n in values])
+    sums = [*[F.sum(known(series, c)).alias(f"_s_{n}") for n, c in values.items()],
+            *[F.count(known(series, c)).alias(f"_c_{n}") for n, c in values.items()]]
+    parts = [c for n in values for c in (f"_s_{n}", f"_c_{n}")]
+    reach = _reach(asof, asof_time)
+    near = _within_reach(series, series_time, reach, 0, 7 * weeks)
+    folded = near.groupBy(dates.day_of(F.col(series_time)).alias("_day")).agg(*sums)
+    wanted = asof.select(dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct().where(F.col(asof_time).isNotNull()) \
+        .withColumn("_from", F.col(asof_time) - F.make_interval(weeks=F.lit(weeks)))
+    days = F.sequence(dates.day_of(F.col("_from")), dates.day_of(F.col(asof_time)), F.expr("INTERVAL 1 DAY"))
+    spread = wanted.withColumn("_day", F.explode(days))
+    whole = (F.col("_from") <= F.col("_day")) & (F.expr("_day + INTERVAL 1 DAY") <= F.col(asof_time))
+    met = spread.where(whole).join(folded, "_day").select(asof_time, *parts)
+    if reach.moments:
+        at = dates.as_moment(F.col(series_time))
+        single = near.groupBy(at.alias("_t")).agg(*sums).withColumn("_day", dates.day_of(F.col("_t")))
+        met = met.unionByName(spread.where(~whole).join(single, "_day").where(
+            (F.col("_from") <= F.col("_t")) & (F.col("_t") < F.col(asof_time))).select(asof_time, *parts))
+    means = met.groupBy(asof_time).agg(*[F.try_divide(F.sum(f"_s_{n}"), F.sum(f"_c_{n}")).alias(n) for n in values])
     return asof.withColumn(asof_time, dates.as_moment(F.col(asof_time))).join(means, asof_time, "left")
 
 

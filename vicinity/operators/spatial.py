@@ -17,11 +17,11 @@ FEET_PER_METRE = 3.281
 HOT_CELL_ROWS = 20_000
 
 
-def _cell(value: Column, size: float) -> Column:
+def cell_of(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size))).cast("long")
 
 
-def _around(cell: Column) -> Column:
+def around(cell: Column) -> Column:
     return F.explode(F.sequence(cell - 1, cell + 1))
 
 
@@ -69,14 +69,14 @@ def point_edges(left: DataFrame, right: DataFrame, left_cols: list[str], right_c
     feet = metres * FEET_PER_METRE
     build = left.select(
         *left_cols, F.col("x").alias("_lx"), F.col("y").alias("_ly"),
-        _cell(F.col("x"), feet).alias("_cx"), _cell(F.col("y"), feet).alias("_cy"),
+        cell_of(F.col("x"), feet).alias("_cx"), cell_of(F.col("y"), feet).alias("_cy"),
     )
     probe = (
         right.select(
             *right_cols, F.col("x").alias("_rx"), F.col("y").alias("_ry"),
-            _around(_cell(F.col("x"), feet)).alias("_cx"),
+            around(cell_of(F.col("x"), feet)).alias("_cx"),
         )
-        .withColumn("_cy", _around(_cell(F.col("_ry"), feet)))
+        .withColumn("_cy", around(cell_of(F.col("_ry"), feet)))
     )
     build, probe = split_hot_keys(
         build, probe, ["_cx", "_cy"], ["_lx", "_ly", *left_cols], ["_rx", "_ry", *right_cols], rows_per_split)
@@ -123,8 +123,8 @@ def _cells_of_box(df: DataFrame, size: float) -> DataFrame:
     boxed = geo.with_bounds(df)
     return (
         boxed
-        .withColumn("_cx", F.explode(F.sequence(_cell(F.col("min_x"), size), _cell(F.col("max_x"), size))))
-        .withColumn("_cy", F.explode(F.sequence(_cell(F.col("min_y"), size), _cell(F.col("max_y"), size))))
+        .withColumn("_cx", F.explode(F.sequence(cell_of(F.col("min_x"), size), cell_of(F.col("max_x"), size))))
+        .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("min_y"), size), cell_of(F.col("max_y"), size))))
     )
 
 
@@ -132,7 +132,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_cols: lis
                        cell: float) -> DataFrame:
     """Inner join of points with the polygons that contain them (even-odd rule)."""
     probe = _cells_of_box(polygons.select(*polygon_cols, "ring"), cell)
-    build = points.withColumn("_cx", _cell(F.col("x"), cell)).withColumn("_cy", _cell(F.col("y"), cell))
+    build = points.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
     build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], ["x", "y"], polygon_cols)
     x, y = F.col("x"), F.col("y")
     in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
@@ -172,7 +172,7 @@ def polygon_overlaps(left: DataFrame, right: DataFrame, left_cols: list[str], ri
     a, b = split_hot_keys(a, b, ["_cx", "_cy"], left_cols, right_cols)
     low_x, low_y = F.greatest("_l_min_x", "_r_min_x"), F.greatest("_l_min_y", "_r_min_y")
     high_x, high_y = F.least("_l_max_x", "_r_max_x"), F.least("_l_max_y", "_r_max_y")
-    home = (F.col("_cx") == _cell(low_x, cell)) & (F.col("_cy") == _cell(low_y, cell))
+    home = (F.col("_cx") == cell_of(low_x, cell)) & (F.col("_cy") == cell_of(low_y, cell))
     return (
         a.join(b, ["_cx", "_cy", *SALTS])
         .where(home & (low_x < high_x) & (low_y < high_y))
@@ -233,10 +233,10 @@ def polygon_point_edges(polygons: DataFrame, points: DataFrame, polygon_id: str,
     boxed = geo.with_bounds(polygons.select(polygon_id, "ring"))
     probe = (
         boxed
-        .withColumn("_cx", F.explode(F.sequence(_cell(F.col("min_x") - feet, size), _cell(F.col("max_x") + feet, size))))
-        .withColumn("_cy", F.explode(F.sequence(_cell(F.col("min_y") - feet, size), _cell(F.col("max_y") + feet, size))))
+        .withColumn("_cx", F.explode(F.sequence(cell_of(F.col("min_x") - feet, size), cell_of(F.col("max_x") + feet, size))))
+        .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("min_y") - feet, size), cell_of(F.col("max_y") + feet, size))))
     )
-    build = points.select(point_id, "x", "y", _cell(F.col("x"), size).alias("_cx"), _cell(F.col("y"), size).alias("_cy"))
+    build = points.select(point_id, "x", "y", cell_of(F.col("x"), size).alias("_cx"), cell_of(F.col("y"), size).alias("_cy"))
     build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], [point_id], [polygon_id])
     near = build.join(probe, ["_cx", "_cy", *SALTS])
     return with_distance_to(near).where(F.col("dist_m") * FEET_PER_METRE <= feet) \

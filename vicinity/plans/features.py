@@ -187,23 +187,20 @@ def density(ctx: Context) -> DataFrame:
     """Nearby inspection events by type, and the same regularised by the number of houses.
 
     Keys outside the date bounds keep zero counts. Needs tables ``parcels``
-    (parcel_id, x, y) and ``events_parcel`` (parcel_id, date, event).
+    (parcel_id, x, y) and ``events_parcel`` (parcel_id, date, event). Events of
+    one point and moment are one row.
     """
     parcels, events = ctx.tables["parcels"], ctx.tables["events_parcel"]
-    subjects = ctx.population.select("parcel_id").distinct().join(parcels, "parcel_id", "left")
+    known = parcels.select("parcel_id", "x", "y")
+    subjects = ctx.population.select("parcel_id").distinct().join(known, "parcel_id", "left")
     houses = spatial.neighbour_counts(subjects, parcels, "parcel_id", "parcel_id", ctx.metres)
     kind = level_of("event")
     kinds = classes_of(events, kind)
     counts = [Measure(clean_name(k), (kind == F.lit(k)).cast("int")) for k in kinds]
-    placed = events.join(parcels.select("parcel_id", "x", "y"), "parcel_id") \
-        .select(F.struct("x", "y").alias("place"), "date", "event")
-    known = parcels.select("parcel_id", "x", "y")
-    who = known.join(ctx.population.select("parcel_id").distinct(), "parcel_id", "left_semi")
-    spots = parcels.select("x", "y").distinct().withColumn("place", F.struct("x", "y"))
-    edges = spatial.point_edges(who, spots, ["parcel_id"], ["place"], ctx.metres)
-    people = ctx.bounded(events, "date")
-    near = asof.nearby_totals(people, edges, placed, "parcel_id", "place", "date", "inspection_date",
-                              [Measure("total", F.lit(1)), *counts], ctx.months, side="entity")
+    placed = asof.fold_measures(events.join(known, "parcel_id"), ["x", "y", "date"], counts)
+    people = ctx.bounded(events, "date").join(known, "parcel_id")
+    near = asof.totals_around(people, placed, "parcel_id", "inspection_date", "date",
+                              [Measure(c.name, F.col(c.name)) for c in counts], ctx.months, ctx.metres)
     names = [c.name for c in counts]
     rows = ctx.population.select("parcel_id", dates.as_moment(F.col("inspection_date")).alias("inspection_date")) \
         .distinct().join(houses, "parcel_id").join(near, KEYS, "left").fillna(0, subset=names)
@@ -217,31 +214,29 @@ _SCORE_COUNTS = ["violations", "non_violations", "inspections",
 
 def neighborhood_score(population: DataFrame, inspections: DataFrame, parcels: DataFrame, metres: float,
                        months: int, ranks: bool = True) -> DataFrame:
-    """Inspections and outcomes around each (parcel, date), and houses, with ascending ranks.
-
-    ``inspections`` holds ``parcel_id, inspection_date, viol_outcome`` at day
-    grain. Every inspection is turned into the span of as-of days whose window
-    holds it; for the unique counts (a neighbour counts once per window) the
-    span ends where the next inspection of the same parcel takes over. Span
-    starts and ends are +1 and -1 steps, so each count is a running total of
-    steps near the parcel, and neither pairs of inspections nor sets of
+    """Inspections and outcomes around each (parcel, moment), and houses, with ascending ranks.
+
+    ``inspections`` holds ``parcel_id, inspection_date, viol_outcome``; the window
+    ``[d - N months, d)`` is read at moments on both sides. For the unique counts
+    a neighbour counts once per window: by its last inspection before d, that is
+    the one whose successor at the same parcel (of any outcome, or of the same
+    one) does not come before d. So all six counts are sums, and no sets of
     neighbours are formed.
     """
-    spots = parcels.select("x", "y").distinct().withColumn("place", F.struct("x", "y"))
-    who = parcels.join(population.select("parcel_id").distinct(), "parcel_id", "left_semi")
-    edges = spatial.point_edges(who, spots, ["parcel_id"], ["place"], metres).select("parcel_id", "place")
-
-    daily = inspections.where(F.col("inspection_date").isNotNull()).groupBy(
-        "parcel_id", F.col("inspection_date").cast("date").alias("day")).agg(
+    known = parcels.select("parcel_id", "x", "y")
+    single = inspections.where(F.col("inspection_date").isNotNull()).groupBy(
+        "parcel_id", dates.as_moment(F.col("inspection_date")).alias("at")).agg(
         F.count(F.lit(1)).alias("inspections"),
         F.count(F.when(F.col("viol_outcome") == 1, 1)).alias("violations"),
         F.count(F.when(F.col("viol_outcome") == 0, 1)).alias("non_violations"))
-    steps = _window_steps(daily.join(parcels.select("parcel_id", F.struct("x", "y").alias("place")), "parcel_id"), months)
-    people = population.select("parcel_id", F.col("inspection_date").cast("date").alias("at")).distinct()
-    levels = _levels_at(people, edges, steps, _SCORE_COUNTS)
-    counts = levels.where("inspections > 0").withColumnRenamed("at", "inspection_date") \
-        .withColumn("inspection_date", F.col("inspection_date").cast("timestamp_ntz"))
-
+    plain = ["violations", "non_violations", "inspections"]
+    later = Window.partitionBy("parcel_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    single = single.withColumns({f"_next_{c}": F.min(F.when(F.col(c) > 0, F.col("at"))).over(later) for c in plain})
+    last = lambda c: (F.col(c) > 0) & (F.col(f"_next_{c}").isNull() | (F.col(f"_next_{c}") >= F.col("_d")))
+    measures = [*[Measure(c, F.col(c)) for c in plain], *[Measure(f"unique_{c}", last(c).cast("int")) for c in plain]]
+    counts = asof.totals_around(population.join(known, "parcel_id"), single.join(known, "parcel_id"), "parcel_id",
+                                "inspection_date", "at", measures, months, metres)
+    who = known.join(population.select("parcel_id").distinct(), "parcel_id", "left_semi")
     houses = spatial.neighbour_counts(who, parcels, "parcel_id", "parcel_id", metres, include_self=True) \
         .withColumnRenamed("parcels", "houses")
     scores = counts.join(houses, "parcel_id").select(*KEYS, *_SCORE_COUNTS, "houses")
@@ -250,54 +245,6 @@ def neighborhood_score(population: DataFrame, inspections: DataFrame, parcels: D
     return with_ranks(scores, [c for c in scores.columns if c not in KEYS])
 
 
-def _window_steps(daily: DataFrame, months: int) -> DataFrame:
-    """Steps ``(place, at, counts...)`` whose running total up to day d counts ``d - N months <= t < d``.
-
-    The last such d is t + N months, or the month's last day when t is the last
-    day of its own month (end-of-month days clamp onto it).
-    """
-    mine = Window.partitionBy("parcel_id").orderBy("day")
-    later = mine.rowsBetween(1, Window.unboundedFollowing)
-    next_with = lambda c: F.min(F.when(F.col(c) > 0, F.col("day"))).over(later)
-    moved = F.add_months("day", months)
-    last_in = F.when(F.col("day") == F.last_day("day"), F.last_day(moved)).otherwise(moved)
-    spans = daily.withColumns({
-        "_last": last_in, "_next_inspections": F.lead("day").over(mine),
-        "_next_violations": next_with("violations"), "_next_non_violations": next_with("non_violations")})
-
-    def row(at: Column, amounts: dict[str, Column]) -> Column:
-        zero = F.lit(0).cast("long")
-        return F.struct(F.date_add(at, 1).alias("at"), *[amounts.get(c, zero).cast("long").alias(c) for c in _SCORE_COUNTS])
-
-    plain = ["violations", "non_violations", "inspections"]
-    present = {f"unique_{c}": F.when(F.col(c) > 0, 1).otherwise(0) for c in plain}
-    marks = [row(F.col("day"), {**{c: F.col(c) for c in plain}, **present}),
-             row(F.col("_last"), {c: -F.col(c) for c in plain})]
-    for c in plain:
-        stop = F.least(F.col("_last"), F.coalesce(F.col(f"_next_{c}"), F.col("_last")))
-        marks.append(row(stop, {f"unique_{c}": -present[f"unique_{c}"]}))
-    return spans.select("place", F.explode(F.array(*marks)).alias("m")).select("place", "m.*") \
-        .groupBy("place", "at").agg(*[F.sum(c).alias(c) for c in _SCORE_COUNTS])
-
-
-def _levels_at(people: DataFrame, edges: DataFrame, steps: DataFrame, names: list[str]) -> DataFrame:
-    """Running totals of the steps near each parcel, up to and including each as-of day.
-
-    Steps are handed to the parcels near them and folded per (parcel, day).
-    """
-    order = "ORDER BY at, _probe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-
-    def read(rows: DataFrame, probes: DataFrame, key: str) -> DataFrame:
-        laid = rows.withColumn("_probe", F.lit(0)).unionByName(
-            probes.withColumn("_probe", F.lit(1)), allowMissingColumns=True)
-        return laid.select(key, "at", "_probe", *[
-            F.expr(f"coalesce(sum(`{n}`) OVER (PARTITION BY `{key}` {order}), 0)").alias(n) for n in names]) \
-            .where("_probe = 1").drop("_probe")
-
-    handed = edges.join(steps, "place").groupBy("parcel_id", "at").agg(*[F.sum(n).alias(n) for n in names])
-    return read(handed, people, "parcel_id")
-
-
 def inspection_metrics(scores: DataFrame) -> DataFrame:
     """Inspection density, violation rate and violations per house from the neighbourhood counts."""
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))

@@ -326,6 +326,27 @@ WITH {PARCELS}, {INSPECTIONS}, {VISITS}, {_scores(METRES, MONTHS)}
 SELECT scores.*, {', '.join(f"rank() OVER (ORDER BY {m}) AS {m}_rank" for m in _METRICS)} FROM scores"""
 
 
+def _with_hours(inspections):
+    """Inspections at a time of day: whole hours by the order's number, midnight included."""
+    return inspections.withColumn("inspection_date", F.expr("inspection_date + make_interval(0, 0, 0, 0, CAST(order_id % 24 AS INT))"))
+
+
+INSPECTIONS_WITH_HOURS = INSPECTIONS.replace("o_orderdate AS", "o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS")
+
+
+def neighborhood_moments(spark, folder):
+    t = Tables(spark, folder)
+    inspections = _with_hours(t.inspections)
+    return features.neighborhood_score(
+        inspections.select("parcel_id", "inspection_date"), inspections,
+        t.parcels.select("parcel_id", "x", "y"), METRES, MONTHS, ranks=False)
+
+
+NEIGHBORHOOD_MOMENTS = f"""
+WITH {PARCELS}, {INSPECTIONS_WITH_HOURS}, {VISITS}, {_scores(METRES, MONTHS)}
+SELECT * FROM scores"""
+
+
 def inspection_metrics(spark, folder):
     t = Tables(spark, folder)
     latest = t.inspections.groupBy("parcel_id").agg(F.max("inspection_date").alias("inspection_date"))
@@ -359,6 +380,22 @@ m AS (SELECT inspection_date, avg(value) AS v FROM (SELECT DISTINCT inspection_d
 SELECT parcel_id, inspection_date, round(v, 6) AS avg_value FROM days LEFT JOIN m USING (inspection_date)"""
 
 
+def weather_moments(spark, folder):
+    t = Tables(spark, folder)
+    moments = t.events.select(F.col("user_id").alias("parcel_id"), F.date_trunc("hour", "ts").alias("inspection_date")).distinct()
+    series = t.events.select(F.col("ts").alias("date"), F.when(F.col("value") < 5, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return rounded(asof.lookback_average(moments, series, "inspection_date", "date", {"avg_value": "value"}, weeks=1)
+                   .select("parcel_id", "inspection_date", "avg_value"), ["avg_value"])
+
+
+WEATHER_MOMENTS = """
+WITH moments AS (SELECT DISTINCT user_id AS parcel_id, date_trunc('hour', ts)::TIMESTAMP AS inspection_date FROM events),
+hours AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, sum(value) FILTER (value >= 5) AS s, count(*) FILTER (value >= 5) AS c FROM events GROUP BY 1),
+m AS (SELECT inspection_date, sum(s) / sum(c) AS v FROM (SELECT DISTINCT inspection_date FROM moments) d
+  JOIN hours ON h < inspection_date AND h >= inspection_date - INTERVAL 7 DAY GROUP BY 1)
+SELECT parcel_id, inspection_date, round(v, 6) AS avg_value FROM moments LEFT JOIN m USING (inspection_date)"""
+
+
 def asof_event_features(spark, folder):
     """Own events of each user in the three days before each of their days."""
     t = Tables(spark, folder)
@@ -390,7 +427,9 @@ QUERIES = {
     "three11_features": (three11_features, THREE11_FEATURES),
     "density_regularized": (density_regularized, DENSITY_REGULARIZED),
     "neighborhood_score": (neighborhood_score, NEIGHBORHOOD_SCORE),
+    "neighborhood_moments": (neighborhood_moments, NEIGHBORHOOD_MOMENTS),
     "inspection_metrics": (inspection_metrics, INSPECTION_METRICS),
+    "weather_moments": (weather_moments, WEATHER_MOMENTS),
     "weather_lookback": (weather_lookback, WEATHER_LOOKBACK),
     "asof_event_features": (asof_event_features, ASOF_EVENT_FEATURES),
 }
