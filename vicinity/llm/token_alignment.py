@@ -6,30 +6,31 @@ id lists go into two dictionaries from end to index; the intersection of their
 keys, sorted, cuts both lists into groups, and inside a group the tokens whose
 byte ranges overlap are linked.
 
+How often a pair of ids is linked is counted by *books*: a task numbers the pairs
+it meets and keeps for each text the numbers of its links. A full book is handed
+over with its pairs and their totals, and a new one begins. Totals are summed over
+books; a book asks once for each of its pairs, and the answers go to the book, not
+to its documents. So a task holds one book and one text, and what is shuffled for
+the counts are pairs, not links.
+
 Both vocabularies end a token before a single space between two characters that
-are not white space, and neither looks across it. So the words between such
-spaces are aligned on their own and remembered: equal words have equal groups. A
-text is then a list of word numbers in a *book*, the words that a task has met
-since its last book was full. How often a pair of ids is linked is summed per
-book before anything is shuffled; a book asks once for each of its pairs, and the
-answers go to the book, not to its documents. Books are bounded, so no task holds
-more than ``BOOK_WORDS`` words and ``BOOK_LINKS`` links besides one text, and a
-text may go over several books.
+are not white space, and neither looks across it: there long texts are cut into
+parts that are encoded and aligned one after the other.
 
 Rows: a null or empty text has no tokens and zeros, as has a text whose tokens do
 not give its bytes back (the piece vocabulary reads U+2581 as a space). Rows with
 a null or repeated id and repeated rows are aligned each on its own and count
-each. Very long texts are read word by word. Other columns are not read. An empty
+each. Very long texts are read part by part. Other columns are not read. An empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import accumulate, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -41,44 +42,50 @@ from vicinity.llm.packing import byte_signs, word_encoder
 from vicinity.llm.token_counts import SPACE_MARK, splits_at_spaces
 from vicinity.session import stable
 
-#: Words and links of a full book, and words of a text that are looked up at a time; numbers of words have 16 bits.
-BOOK_WORDS, BOOK_LINKS, CHUNK_WORDS = 3 << 14, 1 << 20, 1 << 14
-#: Characters up to which a word is remembered.
-WORD_CHARS = 256
+#: Pairs of a full book, and groups that a task remembers before it starts anew.
+BOOK_PAIRS, REMEMBERED = 1 << 20, 1 << 17
+#: Characters of a part that is encoded at once, and parts of a text that go into one row.
+PART_CHARS, ROW_PARTS = 1 << 15, 64
 #: A single space between characters that are neither white space nor the mark of one.
 BETWEEN = re.compile(rf"(?<=[^\s{SPACE_MARK}]) (?=[^\s{SPACE_MARK}])")
 #: A pair of ids as one number: a * PAIR + b.
 PAIR = 1 << 32
 NOTES = ("book long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-         "words binary, pairs array<long>, totals array<long>, starts binary, links binary")
+         "links binary, pairs array<long>, totals array<long>")
 SUMS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def align(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups (first and last index in A, in B, half open) and the linked index pairs of two id lists over the same bytes."""
-    at_a = dict(zip(accumulate(a_sizes), count(1)))
-    at_b = dict(zip(accumulate(b_sizes), count(1)))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        p, q = at_a[end], at_b[end]
-        groups.append((i, p, j, q))
-        if p - i == 1 or q - j == 1:
-            links += [(x, y) for x in range(i, p) for y in range(j, q)]
+def common_ends(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups begin and end in both lists (one place more than groups): dictionaries from cumulative end to index, intersected."""
+    at_a, at_b = (dict(zip(sizes.cumsum().tolist(), count(1))) for sizes in (a_sizes, b_sizes))
+    ends = sorted(at_a.keys() & at_b.keys())
+    return tuple(np.fromiter(chain((0,), map(at.__getitem__, ends)), np.int64, len(ends) + 1) for at in (at_a, at_b))
+
+
+def overlapping(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
+    """Index pairs that overlap in a group, inside which no ends are equal: the list whose token ends first goes on."""
+    if len(a_sizes) == 1 or len(b_sizes) == 1:
+        return [(x, y) for x in range(len(a_sizes)) for y in range(len(b_sizes))]
+    x = y = 0
+    pairs, left = [(0, 0)], a_sizes[0] - b_sizes[0]
+    while x < len(a_sizes) - 1 or y < len(b_sizes) - 1:
+        if left > 0:
+            y += 1
+            left -= b_sizes[y]
         else:
-            x, y, left = i, j, a_sizes[i] - b_sizes[j]
-            links.append((x, y))
-            # Inside a group no ends are equal: the list whose token ends first goes on.
-            while x < p - 1 or y < q - 1:
-                if left > 0:
-                    y += 1
-                    left -= b_sizes[y]
-                else:
-                    x += 1
-                    left += a_sizes[x]
-                links.append((x, y))
-        i, j = p, q
-    return groups, links
+            x += 1
+            left += a_sizes[x]
+        pairs.append((x, y))
+    return pairs
+
+
+def byte_level(tokenizer) -> bool:
+    """Whether a tokenizer only cuts the bytes of a text, by the usual pattern and merges."""
+    parts = json.loads(tokenizer.to_str())
+    cutter = parts["pre_tokenizer"] or {}
+    return (parts["normalizer"] is None and parts["post_processor"] is None and cutter.get("type") == "ByteLevel"
+            and not cutter.get("add_prefix_space") and cutter.get("use_regex", True))
 
 
 class Pair:
@@ -91,178 +98,174 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         signs = byte_signs()
-        self.a_bytes = {i: bytes(signs[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()
-                        if all(c in signs for c in token)}
+        names = {i: token for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [bytes(signs.get(c, 0) for c in names.get(i, "")) for i in range(self.a.get_vocab_size())]
         self.b_bytes = [self.piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        # Words may be taken one by one where no piece crosses their border and the model only puts a space in front.
-        self.by_words = splits_at_spaces(self.b) and self.b.encode("a  b", out_type=str) == self.b.encode("a", out_type=str) + [
-            SPACE_MARK, SPACE_MARK + "b"] and self.a.normalizer is None and self.a.post_processor is None
-        self.a_word = word_encoder(bytes_path, self.a) if self.by_words else lambda text: self.a.encode(text, add_special_tokens=False).ids
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_lengths, self.b_lengths = np.array(self.a_sizes), np.array(self.b_sizes)
+        # Parts may be taken one by one where no piece crosses a border and the model only puts a space in front.
+        self.by_parts = splits_at_spaces(self.b) and self.b.encode("a  b", out_type=str) == self.b.encode("a", out_type=str) + [
+            SPACE_MARK, SPACE_MARK + "b"] and byte_level(self.a)
+        encode = word_encoder(bytes_path, self.a) if self.by_parts else None
+        self.a_encode = encode or (lambda text: self.a.encode(text, add_special_tokens=False).ids)
 
     @staticmethod
     def piece_bytes(piece: str) -> bytes:
         byte = BYTE_PIECE.fullmatch(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE_MARK, " ").encode()
 
-    def words(self, text: str) -> list[str]:
-        return BETWEEN.split(text) if self.by_words else [text]
-
-    def ids(self, words: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of each word with a space in front, by A and by B; None where the bytes differ."""
-        out = []
-        for word, b_ids in zip(words, self.b.encode(words, num_threads=1)):
-            a_ids, data = self.a_word(" " + word), (" " + word).encode()
-            same = (b"".join(map(self.a_bytes.__getitem__, a_ids)) == data
-                    and b"".join(map(self.b_bytes.__getitem__, b_ids)) == data)
-            out.append((a_ids, b_ids) if same else None)
-        return out
-
-    def align(self, a_ids: list[int], b_ids: list[int]):
-        return align(a_ids, b_ids, [len(self.a_bytes[i]) for i in a_ids], [len(self.b_bytes[i]) for i in b_ids])
-
-
-def groups_text(a_ids: list[int], b_ids: list[int], groups: list[tuple[int, int, int, int]]) -> str:
-    return ";".join(f"{','.join(map(str, a_ids[i:p]))}|{','.join(map(str, b_ids[j:q]))}" for i, p, j, q in groups)
-
-
-class Book:
-    """Words met so far: their groups and links, and how often they occur."""
-
-    def __init__(self, number: int, pair: Pair):
-        self.number, self.pair = number, pair
-        self.places: dict[str, int] = {}
-        self.facts: list[tuple[int, int, int, int, str] | None] = []
-        self.links, self.starts = array("q"), array("q", [0])
-        self.seen = np.zeros(0, np.int64)
-
-    def full(self) -> bool:
-        return len(self.facts) >= BOOK_WORDS or len(self.links) >= BOOK_LINKS
-
-    def add(self, word: str, ids: tuple[list[int], list[int]] | None) -> int:
-        place = len(self.facts)
-        if ids is None:
-            self.facts.append(None)
+    def parts(self, text: str) -> list[str]:
+        """The text cut before safe spaces, without these; each part is encoded with one in front."""
+        parts, at = [], 0
+        while self.by_parts and len(text) - at > PART_CHARS:
+            found = BETWEEN.search(text, at + PART_CHARS)
+            if not found:
+                break
+            parts.append(text[at:found.start()])
+            at = found.end()
+        return [*parts, text[at:]] if text else []
+
+    def ids(self, part: str) -> tuple[list[int], list[int]] | None:
+        """Ids of a part with a space in front, by A and by B; None where the bytes differ."""
+        a_ids, b_ids, data = self.a_encode(" " + part), self.b.encode(part, num_threads=1), (" " + part).encode()
+        # A byte-level vocabulary only ever cuts the bytes it is given.
+        same = self.by_parts or b"".join(map(self.a_bytes.__getitem__, a_ids)) == data
+        return (a_ids, b_ids) if same and b"".join(map(self.b_bytes.__getitem__, b_ids)) == data else None
+
+    def cuts(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return common_ends(self.a_lengths[a_ids], self.b_lengths[b_ids])
+
+
+class Groups(dict):
+    """What is written and linked for a group: by its pair number where both sides have one id, else by both sides' ids."""
+
+    def __init__(self, pair: Pair):
+        super().__init__()
+        self.pair = pair
+
+    def __missing__(self, group: int | tuple) -> str | tuple[str, list[int]]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if isinstance(group, int):
+            self[group] = found = "{}|{}".format(*divmod(group, PAIR))
         else:
-            groups, links = self.pair.align(*ids)
-            self.links.extend(ids[0][x] * PAIR + ids[1][y] for x, y in links)
-            self.facts.append((len(ids[0]), len(ids[1]), len(groups), len(links), groups_text(*ids, groups)))
-        self.starts.append(len(self.links))
-        if len(word) <= WORD_CHARS:
-            self.places[word] = place
-        return place
-
-    def look_up(self, words: list[str]) -> list[int]:
-        """Numbers of the words; those not met yet are encoded in one call."""
-        found = [self.places.get(w, -1) for w in words]
-        if -1 in found:
-            new = list(dict.fromkeys(w for w, n in zip(words, found) if n < 0))
-            numbers = {w: self.add(w, ids) for w, ids in zip(new, self.pair.ids(new))}
-            found = [numbers[w] if n < 0 else n for w, n in zip(words, found)]
+            a, b = group
+            links = overlapping([self.pair.a_sizes[i] for i in a], [self.pair.b_sizes[i] for i in b])
+            self[group] = found = f"{','.join(map(str, a))}|{','.join(map(str, b))}", [a[x] * PAIR + b[y] for x, y in links]
         return found
 
-    def count(self, numbers: np.ndarray) -> None:
-        if len(self.seen) < len(self.facts):
-            self.seen = np.concatenate([self.seen, np.zeros(max(4096, len(self.facts) - len(self.seen)), np.int64)])
+    def of(self, a_ids: list[int], b_ids: list[int]) -> tuple[int, str, list[int]]:
+        """Number of groups, their text, and the links, each list sliced at the common ends."""
+        a, b = np.array(a_ids), np.array(b_ids)
+        p, q = self.pair.cuts(a, b)
+        single = (np.diff(p) == 1) & (np.diff(q) == 1)
+        links = (a[p[:-1]] * PAIR + b[q[:-1]]).tolist()
+        many = np.flatnonzero(~single)
+        if not len(many):
+            return len(links), ";".join(map(self.__getitem__, links)), links
+        slices = [self[tuple(a_ids[i:e]), tuple(b_ids[j:f])] for i, e, j, f in zip(
+            p[many].tolist(), p[many + 1].tolist(), q[many].tolist(), q[many + 1].tolist())]
+        texts, own, at = [], [], 0
+        for k, (text, found) in zip(many.tolist(), slices):
+            texts += map(self.__getitem__, links[at:k])
+            texts.append(text)
+            own += links[at:k]
+            own += found
+            at = k + 1
+        texts += map(self.__getitem__, links[at:])
+        return len(links), ";".join(texts), own + links[at:]
+
+
+class Book(dict):
+    """Numbers of pairs, in the order in which they were met, and how often each was linked."""
+
+    def __init__(self, number: int):
+        super().__init__()
+        self.number, self.seen = number, np.zeros(1024, np.int64)
+
+    def __missing__(self, pair: int) -> int:
+        self[pair] = number = len(self)
+        return number
+
+    def take(self, links: list[int]) -> bytes:
+        """The numbers of the links, counted: two bytes each while they suffice, else four."""
+        numbers = np.fromiter(map(self.__getitem__, links), np.int64, len(links))
+        if len(self) > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros(2 * len(self) - len(self.seen), np.int64)])
         np.add.at(self.seen, numbers, 1)
+        return numbers.astype(np.uint16 if len(self) <= 1 << 16 else np.uint32).tobytes()
 
     def note(self) -> dict:
-        """The book's own row: each pair once with its total, and each word's links as places among the pairs."""
-        links, starts = np.frombuffer(self.links, np.int64) if self.links else np.zeros(0, np.int64), np.frombuffer(self.starts, np.int64)
-        pairs, places = np.unique(links, return_inverse=True)
-        often = np.zeros(len(self.facts), np.int64)
-        often[:min(len(often), len(self.seen))] = self.seen[:len(often)]
-        totals = np.zeros(len(pairs), np.int64)
-        np.add.at(totals, places, np.repeat(often, np.diff(starts)))
-        return {"book": self.number, "pairs": pairs.tolist(), "totals": totals.tolist(),
-                "starts": starts.tobytes(), "links": places.astype(np.int32).tobytes()}
+        return {"book": self.number, "pairs": list(self), "totals": self.seen[:len(self)].tolist()}
 
 
 def take_notes(bytes_path: str, pieces_path: str):
-    """mapInArrow function: rows of documents, or of their parts, as word numbers, and rows of books."""
+    """mapInArrow function: rows of documents, or of their parts, with numbered links, and rows of books."""
     schema = pa.schema([("book", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
-                        ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("words", pa.binary()),
-                        ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64())), ("starts", pa.binary()), ("links", pa.binary())])
+                        ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.binary()),
+                        ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         pair = Pair(bytes_path, pieces_path)
-        first = TaskContext.get().partitionId() << 32
-        book = Book(first, pair)
-
-        def part(row, doc_id, chunks: list[np.ndarray], numbers, sha) -> dict:
-            words = np.concatenate(chunks) if chunks else np.zeros(0, np.int64)
-            book.count(words)
-            return dict(zip(schema.names, (book.number, row, doc_id, *numbers, sha, words.astype(np.uint16).tobytes())))
+        groups = Groups(pair)
+        book = Book(TaskContext.get().partitionId() << 32)
 
         def aligned(row: int, doc_id: int | None, text: str) -> Iterator[dict]:
-            """Rows of one text: the last one has its numbers; one more before it for each book that became full."""
+            """Rows of one text; the last one has its digest. Nothing is counted before all of the text is known to fit."""
             nonlocal book
-            words = pair.words(text) if text else []
-            if SPACE_MARK in text or not pair.by_words or len(words) > CHUNK_WORDS:
-                # Nothing of a text may be counted before all of it is known to fit.
-                if not all(ids for k in range(0, len(words), CHUNK_WORDS) for ids in pair.ids(words[k:k + CHUNK_WORDS])):
-                    words = []
-            numbers, digest, chunks = np.zeros(4, np.int64), hashlib.sha256(), []
-            for k in range(0, len(words), CHUNK_WORDS):
-                if k and book.full():
-                    yield part(row, doc_id, chunks, (0, 0, 0, 0), "")
-                    yield book.note()
-                    book, chunks = Book(book.number + 1, pair), []
-                places = book.look_up(words[k:k + CHUNK_WORDS])
-                facts = [book.facts[p] for p in places]
-                if None in facts:
-                    # Only in the first chunk of a short text: longer ones are known to fit.
-                    words, chunks = [], []
+            parts = pair.parts(text)
+            if len(parts) > ROW_PARTS and not all(pair.ids(part) for part in parts):
+                parts = []
+            digest, numbers, links = hashlib.sha256(), [0, 0, 0, 0], []
+            for k, part in enumerate(parts):
+                if k and k % ROW_PARTS == 0:
+                    yield dict(zip(schema.names, (book.number, row, doc_id, *numbers, "", book.take(links))))
+                    numbers, links = [0, 0, 0, 0], []
+                    if len(book) >= BOOK_PAIRS:
+                        yield book.note()
+                        book = Book(book.number + 1)
+                ids = pair.ids(part)
+                if ids is None:
+                    parts, numbers, links = [], [0, 0, 0, 0], []
                     break
-                a, b, groups, links, texts = zip(*facts)
-                numbers += (sum(a), sum(b), sum(groups), sum(links))
-                digest.update(((";" if k else "") + ";".join(texts)).encode())
-                chunks.append(np.array(places, np.int64))
-            yield part(row, doc_id, chunks, numbers.tolist(), digest.hexdigest() if words else "")
-
-        def written(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema)
+                n_groups, written, found = groups.of(*ids)
+                digest.update(((";" if k else "") + written).encode())
+                numbers = [n + more for n, more in zip(numbers, (len(ids[0]), len(ids[1]), n_groups, len(found)))]
+                links += found
+            sha = digest.hexdigest() if parts else ""
+            yield dict(zip(schema.names, (book.number, row, doc_id, *numbers, sha, book.take(links))))
 
         for batch in batches:
             out = []
             for row, doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 out += aligned(row, doc_id, cell.as_py())
-                if book.full():
+                if len(book) >= BOOK_PAIRS:
                     out.append(book.note())
-                    book = Book(book.number + 1, pair)
-                    yield written(out)
-                    out = []
+                    book = Book(book.number + 1)
             if out:
-                yield written(out)
-        yield written([book.note()])
+                yield pa.RecordBatch.from_pylist(out, schema)
+        yield pa.RecordBatch.from_pylist([book.note()], schema)
     return run
 
 
-def per_segment(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of values between neighbouring starts."""
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values)])
-    return total[starts[1:]] - total[starts[:-1]]
-
-
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A book's answers come before its documents: the sums of each word, then those of each document."""
-    of = best = counts = None
+    """A book's answers come before its documents, whose links are looked up in them."""
+    of = counts = best = None
     names = ("book", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     for batch in batches:
         out, columns = [], [batch.column(n).to_pylist() for n in names]
         for k, (book, row, doc_id, *numbers, sha) in enumerate(zip(*columns)):
             if row is None:
                 answers = batch.column("answers")[k].values
-                each, sure = answers.field("count").to_numpy(), answers.field("best").to_numpy(zero_copy_only=False)
-                starts = np.frombuffer(batch.column("starts")[k].as_py(), np.int64)
-                links = np.frombuffer(batch.column("links")[k].as_py(), np.int32)
-                of, best, counts = book, per_segment(sure[links].astype(np.int64), starts), per_segment(each[links], starts)
+                of, counts, best = book, answers.field("count").to_numpy(), answers.field("best").to_numpy(zero_copy_only=False).astype(np.int64)
                 continue
-            words = np.frombuffer(batch.column("words")[k].as_py(), np.uint16)
             n_best = count_sum = 0
-            if len(words):
+            if numbers[-1]:
                 assert of == book, "the book of a document must come before it"
-                n_best, count_sum = int(best[words].sum()), int(counts[words].sum())
+                data = batch.column("links")[k].as_py()
+                links = np.frombuffer(data, np.uint16 if len(data) == 2 * numbers[-1] else np.uint32)
+                n_best, count_sum = int(best[links].sum()), int(counts[links].sum())
             out.append((row, doc_id, *numbers, n_best, count_sum, sha))
         if out:
             kinds = [pa.int64()] * 8 + [pa.string()]
@@ -301,11 +304,11 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pair = Pair(bytes_path, pieces_path)
         for batch in batches:
             for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out, words = [], pair.words(cell.as_py()) if cell.as_py() else []
-                ids = [found for k in range(0, len(words), CHUNK_WORDS) for found in pair.ids(words[k:k + CHUNK_WORDS])]
+                ids, out = [pair.ids(part) for part in pair.parts(cell.as_py())], []
                 for a_ids, b_ids in ids if all(ids) else ():
-                    for i, p, j, q in pair.align(a_ids, b_ids)[0]:
-                        out.append((doc_id, len(out), a_ids[i:p], b_ids[j:q], b"".join(map(pair.a_bytes.__getitem__, a_ids[i:p]))))
+                    p, q = (x.tolist() for x in pair.cuts(np.array(a_ids), np.array(b_ids)))
+                    for i, e, j, f in zip(p, p[1:], q, q[1:]):
+                        out.append((doc_id, len(out), a_ids[i:e], b_ids[j:f], b"".join(map(pair.a_bytes.__getitem__, a_ids[i:e]))))
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
