@@ -1,3 +1,4 @@
+import bisect
 import random
 
 import numpy as np
@@ -83,3 +84,35 @@ def test_percentile_of_score(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (4,)], "v int")
     got = {r["v"]: r["v_percentile"] for r in O.percentile_of_score(df, "v").collect()}
     assert got == {1: 25.0, 2: 62.5, 4: 100.0}
+
+
+@pytest.mark.parametrize("rows", [1 << 14, 5])
+def test_places_by_narrowing(spark, monkeypatch, rows):
+    """With small brackets every place is found by sketches and counts, also among hot and few values."""
+    monkeypatch.setattr(O, "BRACKET_ROWS", rows)
+    monkeypatch.setattr(O, "ACCURACY", 20)
+    rng = random.Random(3)
+    values = [rng.choice([1.5, 1.5, 2.0, float("nan"), None, rng.expovariate(1e-9), -rng.expovariate(1e6)]) for _ in range(700)]
+    whole = [rng.randrange(-3, 3) * 10 ** rng.randrange(18) if rng.random() < 0.9 else None for _ in range(700)]
+    df = spark.createDataFrame(list(zip(values, whole)), "v double, w long")
+    kept = sorted(v for v in values if v is not None and v == v)
+    kept_w = sorted(w for w in whole if w is not None)
+    places = [1, 2, 100, 350, len(kept) - 1, len(kept)]
+    got = O.kth_smallest(df, {"v": [*places, 0, len(kept) + 1], "w": [1, 300, len(kept_w)]})
+    assert got == {**{("v", k): kept[k - 1] for k in places}, **{("w", k): kept_w[k - 1] for k in (1, 300, len(kept_w))}}
+
+
+def test_places_of_text(spark):
+    df = spark.createDataFrame([(c,) for c in "hbxabb"] + [(None,)], "v string")
+    assert O.kth_smallest(df, {"v": [1, 4, 9]}) == {("v", 1): "a", ("v", 4): "b"}
+
+
+def test_ranks_of_runs_over_partitions(spark):
+    """A value with most rows lies in several partitions; every row of it has the same rank."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice([5.0, 5.0, 5.0, 5.0, 1.0, 7.0, None, float("nan"), rng.random() * 10]), rng.randrange(3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, v double, w int").repartition(6)
+    got = {r["id"]: (r["v_rank"], r["w_rank"]) for r in O.with_ranks(df, ["v", "w"]).collect()}
+    key = lambda v: float("inf") if v is None or v != v else v
+    vs, ws = sorted(key(v) for _, v, _ in rows), sorted(w for *_, w in rows)
+    assert got == {i: (bisect.bisect_left(vs, key(v)) + 1, bisect.bisect_left(ws, w) + 1) for i, v, w in rows}

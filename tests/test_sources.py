@@ -113,11 +113,32 @@ def test_stream_edges_and_redelivery(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "edges")).select("event_id").collect()) == [0, 1, 2]
 
     events.repartition(1).write.mode("append").parquet(src)     # delivered again
-    fresh = incremental.without_redelivery(incremental.stream_files(spark, src, events.schema), ["event_id"], "t", "7 days")
+    fresh = incremental.without_redelivery(incremental.stream_files(spark, src, events.schema), ["event_id"])
     incremental.load_new_files(fresh, str(tmp_path / "once"), str(tmp_path / "ck2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "once")).count() == 5
 
 
+@pytest.mark.parametrize("how", ["state", "target"])
+def test_back_filled_rows_stay_and_repeated_ones_go(spark, tmp_path, how):
+    """Three runs: new rows, then an older one with a repeated one, then all again."""
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    rows = [[(1, datetime(2024, 1, 1)), (2, datetime(2024, 5, 1)), (2, datetime(2024, 6, 1))],
+            [(3, datetime(2023, 1, 1)), (1, datetime(2024, 1, 1)), (None, datetime(2024, 7, 1))],
+            [(3, datetime(2023, 1, 1)), (4, datetime(2020, 1, 1)), (None, datetime(2024, 7, 1))]]
+    for part in rows:
+        new = spark.createDataFrame(part, "id long, t timestamp_ntz").coalesce(1)
+        new.write.mode("append").parquet(src)
+        stream = incremental.stream_files(spark, src, new.schema)
+        if how == "state":
+            incremental.load_new_files(incremental.without_redelivery(stream, ["id"]), out, mark).awaitTermination()
+        else:
+            incremental.load_once(stream, ["id"], out, mark, buckets=4).awaitTermination()
+    found = spark.read.parquet(out).select("id", "t").collect()
+    assert sorted((r["id"] or 0) for r in found) == [0, 1, 2, 3, 4]
+    if how == "target":
+        assert {r["id"]: r["t"] for r in found}[2] == datetime(2024, 5, 1)
+
+
 def test_dedupe_variants(spark, rows):
     df = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (2, 7, "c"), (None, 8, "d")], "k int, s int, v string")
     assert rows(dedupe.only_unrepeated(df, ["k"]), "k", "v") == [(None, "d"), (2, "c")]

@@ -2,11 +2,12 @@
 
 Only events that some window can reach are read. They are folded to one row per
 (key, day), with a map-side combine, so a key that owns a third of all events
-shrinks to one row per day. As-of moments are then laid between the days of their
+shrinks to one row per day. As-of days are then laid between the days of their
 key and the totals are read from one ordered window; the two days at the ends of a
-window are read event by event where as-of moments have a time of day. Integer measures use a running total read twice
-(``S(d) - S(d - N)``), which is exact and linear; floating sums and extremes
-are folded over the day rows of the window, so nothing is lost by subtraction.
+window are read event by event where as-of moments have a time of day. Sums are
+differences of running totals (``S(d) - S(d - N)``) of whole numbers, which is
+exact and linear: a floating sum is kept as three of them. Extremes come from an
+ordered frame.
 """
 
 from __future__ import annotations
@@ -73,42 +74,79 @@ def _within_reach(events: DataFrame, event_time: str, reach: _Reach, months: int
     return events.where((F.col(event_time) >= first) & (F.col(event_time) < F.expr(f"TIMESTAMP_NTZ '{reach.high}'")))
 
 
+#: A floating sum is kept as whole numbers: whole part, and 31 and 31 more bits behind the point.
+_LIMBS, _BITS = ("a", "b", "c"), 31
+
+
+def _whole_numbers(measures: list[Measure]) -> list[Measure]:
+    """Sums of whole numbers that stand for ``sum`` and ``fsum`` measures, so that differences of totals lose nothing.
+
+    Floating values are exact down to 2^-62 and up to 2^53; null and NaN are left out.
+    """
+    out = []
+    for m in measures:
+        if m.how == "sum":
+            out.append(m)
+        elif m.how == "fsum":
+            v = F.nanvl(m.expr.cast("double"), F.lit(None).cast("double"))
+            scale = F.lit(float(1 << _BITS))
+            first = (v - F.floor(v)) * scale
+            parts = [F.floor(v), F.floor(first), F.floor((first - F.floor(first)) * scale)]
+            out += [Measure(f"_{limb}_{m.name}", part.cast("long")) for limb, part in zip(_LIMBS, parts)]
+            out.append(Measure(f"_n_{m.name}", v.isNotNull().cast("int")))
+    return out
+
+
+def _floating(name: str) -> Column:
+    """The floating sum of its parts; null without any value."""
+    a, b, c = (F.col(f"_{limb}_{name}") for limb in _LIMBS)
+    return F.when(F.col(f"_n_{name}") > 0, a + (b + c / F.lit(float(1 << _BITS))) / F.lit(float(1 << _BITS)))
+
+
 def _read_windows(folded: DataFrame, probes: DataFrame, key: str, asof_time: str, measures: list[Measure],
                   months: int, days: int, events: DataFrame | None = None) -> DataFrame:
     """Window totals of day rows ``(key, _at, measures)`` at probes ``(key, _d)``.
 
-    Sums of whole numbers are read from running totals of whole days; rows and
-    probes meet in one shuffle on ``key``. Where probes have a time of day,
-    ``events`` ``(key, _t, measures)`` add what lies between midnight and either
+    Sums are read from running totals of whole days: one row per day with events
+    and, as probes are folded to their days, at most two per day that is asked,
+    so a key has no more rows than the calendar has days. Measures travel as one
+    struct, which is null in the rows that only ask. Where probes have a time of
+    day, ``events`` ``(key, _t, measures)`` add what lies between midnight and either
     end of the window, so only the two edge days are read event by event.
     """
     span = _span(months, days)
-    running = [m for m in measures if m.how == "sum"]
-    framed = [m for m in measures if m.how != "sum"]
+    running = _whole_numbers(measures)
+    framed = [m for m in measures if m.how in ("min", "max")]
+    names = [m.name for m in running]
     midnight = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
 
-    rows = folded.select(key, "_at", *[m.name for m in running]) \
-        .withColumns({"_d": F.lit(None).cast("timestamp_ntz"), "_side": F.lit(2)})
-    high = probes.withColumns({"_at": midnight(F.col("_d")), "_side": F.lit(1)})
-    low = probes.withColumns({"_at": midnight(F.expr(f"_d - {span}")), "_side": F.lit(0)})
-    laid = rows.unionByName(high.unionByName(low), allowMissingColumns=True)
+    rows = folded.select(key, "_at", F.lit(2).alias("_side"), F.struct(*names).alias("_m"), F.lit(None).cast("timestamp_ntz").alias("_d"))
+    ends = [(1, F.col("_d")), (0, F.expr(f"_d - {span}"))]
+    asked = [probes.select(key, midnight(at).alias("_at"), F.lit(side).alias("_side"), "_d") for side, at in ends]
+    if events is not None:  # several moments of one day ask for the same totals
+        asked = [a.drop("_d").distinct() for a in asked]
+    laid = rows.unionByName(asked[0].unionByName(asked[1]), allowMissingColumns=True).repartition(key)
 
     ordered = f"PARTITION BY `{key}` ORDER BY _at, _side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    laid = laid.select(key, "_d", "_side", *[
-        F.expr(f"sum(`{m.name}`) OVER ({ordered})").alias(m.name) for m in running]).where(F.col("_side") < 2)
+    laid = laid.select(key, "_at", "_d", "_side", *[
+        F.expr(f"sum(_m.`{n}`) OVER ({ordered})").alias(n) for n in names]).where(F.col("_side") < 2)
+    if events is not None:
+        both = [probes.select(F.col(key).alias("_key"), "_d", midnight(at).alias("_day"), F.lit(side).alias("_end")) for side, at in ends]
+        at = both[0].unionByName(both[1])
+        laid = at.join(laid.drop("_d"), (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_day")) & (F.col("_side") == F.col("_end")))
     sign = F.when(F.col("_side") == 1, 1).otherwise(-1)
-    laid = laid.select(key, "_d", *[(F.coalesce(F.col(m.name), F.lit(0)) * sign).cast("long").alias(m.name) for m in running])
+    laid = laid.select(key, "_d", *[(F.coalesce(F.col(n), F.lit(0)) * sign).cast("long").alias(n) for n in names])
     if events is not None:
         ends = F.array(F.struct(F.col("_d").alias("_until"), F.lit(1).alias("_sign")),
                        F.struct(F.expr(f"_d - {span}").alias("_until"), F.lit(-1).alias("_sign")))
         edges = probes.select(key, "_d", F.inline(ends)).withColumn("_day", midnight(F.col("_until"))).where("_until > _day")
         parts = edges.join(events.withColumn("_day", midnight(F.col("_t"))), [key, "_day"]).where("_t < _until")
         laid = laid.unionByName(parts.groupBy(key, "_d").agg(*[
-            F.sum(F.coalesce(F.col(m.name), F.lit(0)) * F.col("_sign")).cast("long").alias(m.name) for m in running]))
-    totals = laid.groupBy(key, F.col("_d").alias(asof_time)).agg(*[F.sum(m.name).cast("long").alias(m.name) for m in running])
+            F.sum(F.coalesce(F.col(n), F.lit(0)) * F.col("_sign")).cast("long").alias(n) for n in names]))
+    totals = laid.groupBy(key, F.col("_d").alias(asof_time)).agg(*[F.sum(n).cast("long").alias(n) for n in names])
     if framed:
         totals = totals.join(_read_frames(folded, probes, key, asof_time, framed, span, events), [key, asof_time], "left")
-    return totals.select(key, asof_time, *[m.name for m in measures])
+    return totals.select(key, asof_time, *[(_floating(m.name) if m.how == "fsum" else F.col(m.name)).alias(m.name) for m in measures])
 
 
 def _month(when: Column) -> Column:
@@ -117,36 +155,45 @@ def _month(when: Column) -> Column:
 
 def _read_frames(folded: DataFrame, probes: DataFrame, key: str, asof_time: str, measures: list[Measure],
                  span: str, events: DataFrame | None) -> DataFrame:
-    """Extremes and floating sums of the window, which a difference of totals cannot give.
+    """Extremes of the window, which a difference of totals cannot give.
 
-    Probes meet the day rows of the months they cover: (key, month) holds at
-    most one row per day and place, so no key is hot. Days that a window holds
-    only in part are read event by event.
+    As-of days lie among the day rows of their key, and one ordered frame reaches
+    back over the window. Where probes have a time of day, windows of a key
+    need not begin in the order in which they end: probes then meet the day rows
+    of the months they cover, and days that a window holds only in part are read
+    event by event.
     """
     names = [m.name for m in measures]
+    if events is None:
+        rows = folded.select(key, "_at", F.struct(*names).alias("_m"), F.lit(False).alias("_asks"))
+        laid = rows.unionByName(probes.select(key, F.col("_d").alias("_at"), F.lit(True).alias("_asks")), allowMissingColumns=True).repartition(key)
+        frame = f"PARTITION BY `{key}` ORDER BY _at RANGE BETWEEN {span} PRECEDING AND {_span(0, 1)} PRECEDING"
+        return laid.select(key, F.col("_at").alias(asof_time), "_asks", *[
+            F.expr(f"{m.how}(_m.`{m.name}`) OVER ({frame})").alias(m.name) for m in measures]).where("_asks").drop("_asks")
     wanted = probes.withColumn("_from", F.expr(f"_d - {span}")) \
         .withColumn("_month", F.explode(F.sequence(_month(F.col("_from")), _month(F.col("_d")))))
     rows = folded.select(key, "_at", *names, _month(F.col("_at")).alias("_month"))
     whole = (F.col("_from") <= F.col("_at")) & (F.expr("_at + INTERVAL 1 DAY") <= F.col("_d"))
     met = wanted.join(rows, [key, "_month"]).where(whole).select(key, "_d", *names)
-    if events is not None:
-        midnight = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
-        ends = probes.withColumn("_from", F.expr(f"_d - {span}")) \
-            .withColumn("_day", F.explode(F.array_distinct(F.array(midnight(F.col("_from")), midnight(F.col("_d"))))))
-        ends = ends.where("_from > _day OR _d < _day + INTERVAL 1 DAY")
-        parts = ends.join(events.withColumn("_day", midnight(F.col("_t"))), [key, "_day"]).where("_from <= _t AND _t < _d")
-        met = met.unionByName(parts.select(key, "_d", *names))
+    midnight = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    ends = probes.withColumn("_from", F.expr(f"_d - {span}")) \
+        .withColumn("_day", F.explode(F.array_distinct(F.array(midnight(F.col("_from")), midnight(F.col("_d"))))))
+    ends = ends.where("_from > _day OR _d < _day + INTERVAL 1 DAY")
+    parts = ends.join(events.withColumn("_day", midnight(F.col("_t"))), [key, "_day"]).where("_from <= _t AND _t < _d")
+    met = met.unionByName(parts.select(key, "_d", *names))
     return merge_measures(met.withColumnRenamed("_d", asof_time), [key, asof_time], measures)
 
 
 def _fold_events(events: DataFrame, key: str, event_time: str, measures: list[Measure]) -> DataFrame:
-    known = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
-    return fold_measures(known, [F.col(key), dates.day_of(F.col(event_time)).alias("_at")], measures)
+    held = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
+    extremes = [m for m in measures if m.how in ("min", "max")]
+    return fold_measures(held, [F.col(key), dates.day_of(F.col(event_time)).alias("_at")], [*_whole_numbers(measures), *extremes])
 
 
 def _single_events(events: DataFrame, key: str, event_time: str, measures: list[Measure]) -> DataFrame:
+    extremes = [m for m in measures if m.how in ("min", "max")]
     return events.where(F.col(key).isNotNull()).select(
-        key, dates.as_moment(F.col(event_time)).alias("_t"), *[m.expr.alias(m.name) for m in measures])
+        key, dates.as_moment(F.col(event_time)).alias("_t"), *[m.expr.alias(m.name) for m in [*_whole_numbers(measures), *extremes]])
 
 
 def window_totals(events: DataFrame, asof: DataFrame, key: str, event_time: str, asof_time: str,
@@ -182,7 +229,8 @@ def nearby_totals(asof: DataFrame, edges: DataFrame, events: DataFrame, entity:
     single = _single_events(events, place, event_time, measures) if reach.moments else None
     visits = asof.select(entity, dates.as_moment(F.col(asof_time)).alias(asof_time)).distinct()
     if side == "entity":
-        handed = merge_measures(near.join(folded, place), [entity, "_at"], measures)
+        parts = [*_whole_numbers(measures), *[m for m in measures if m.how in ("min", "max")]]
+        handed = merge_measures(near.join(folded, place), [entity, "_at"], parts)
         single = None if single is None else near.join(single, place).drop(place)
         probes = visits.withColumnRenamed(asof_time, "_d")
         totals = _read_windows(handed, probes, entity, asof_time, measures, months, 0, single)

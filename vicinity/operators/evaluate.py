@@ -224,11 +224,14 @@ def per_class(df: DataFrame, label: str, scores: dict) -> DataFrame:
 
 
 def top_flags(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Flags for the top 1 and 10 percent and their true and false positives."""
+    """Flags for the top 1 and 10 percent and their true and false positives.
+
+    The cut-off is one of all rows; rows without a score (null or NaN) are not at or above a score.
+    """
     cuts = cutoffs(df, score, [0.01, 0.1])
     out = {}
     for name, share in (("top_1", 0.01), ("top_10", 0.1)):
-        top = F.col(score) >= F.lit(cuts[share])
+        top = at_or_above(df, score, F.lit(cuts[share]).cast("double"))
         out[name] = top.cast("int")
         out[f"tp_{name}"] = (top & (F.col(label) == 1)).cast("int")
         out[f"fp_{name}"] = (top & (F.col(label) == 0)).cast("int")
@@ -247,8 +250,10 @@ def density_rsquare(df: DataFrame, density: str, rate: str, prediction: str = "p
 
 def mean_pair_distance(df: DataFrame, lat: str, lon: str, group: list[str] | None = None,
                        block_rows: int = 500) -> DataFrame:
-    """Mean great-circle distance over all pairs of rows of a group.
+    """Mean great-circle distance over all pairs of rows of a group that have both coordinates.
 
+    Rows with a null or NaN coordinate are left out and not counted; a group with
+    fewer than two rows left has no mean.
     Equal places are folded to one weighted place. Places are packed into blocks
     of about ``block_rows``; block pairs meet by an equi-join and each adds only
     its own sum, so no pair becomes a row.
@@ -256,7 +261,9 @@ def mean_pair_distance(df: DataFrame, lat: str, lon: str, group: list[str] | Non
     named, group = bool(group), group or ["_all"]
     if not named:
         df = df.withColumn("_all", F.lit(0))
-    places = df.groupBy(*group, lat, lon).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    df = df.withColumns({"_lat": known(df, lat), "_lon": known(df, lon)})
+    held = df.where("_lat IS NOT NULL AND _lon IS NOT NULL")
+    places = held.groupBy(*group, F.col("_lat").alias(lat), F.col("_lon").alias(lon)).agg(F.count(F.lit(1)).cast("double").alias("w"))
     # Each group has its own number of blocks, so that a small group is not repeated for the blocks of a large one.
     many = places.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
     packed = places.join(many, group).withColumn("_b", F.pmod(F.xxhash64(lat, lon), F.col("_blocks")).cast("int")) \
@@ -271,6 +278,8 @@ def mean_pair_distance(df: DataFrame, lat: str, lon: str, group: list[str] | Non
     # a block met with itself sees each pair twice
     part = F.when(F.col("_b") == F.col("_to"), total / 2).otherwise(total)
     sums = left.join(right, [*group, "_to"]).groupBy(*group).agg(F.sum(part).alias("_d"))
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("_k"))
-    return sums.join(sizes, group).select(*(group if named else []), F.try_divide(
-        F.col("_d"), F.col("_k") * (F.col("_k") - 1) / 2).alias("mean_km"))
+    sizes = df.groupBy(*group).agg(F.count(F.when(F.col("_lat").isNotNull() & F.col("_lon").isNotNull(), 1)).cast("double").alias("_k"))
+    same = [F.col(f"_g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(group)]
+    sums = sums.toDF(*[f"_g{i}" for i in range(len(group))], "_d")
+    return sizes.join(sums, same, "left").select(*(group if named else []), F.try_divide(
+        F.when(F.col("_k") > 1, F.col("_d")), F.col("_k") * (F.col("_k") - 1) / 2).alias("mean_km"))

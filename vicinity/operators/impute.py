@@ -6,7 +6,7 @@ from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.operators.order_stats import exact_quantiles
+from vicinity.operators.order_stats import exact_quantiles, known
 
 
 def finite(column: str) -> Column:
@@ -16,12 +16,15 @@ def finite(column: str) -> Column:
 
 
 def median_fill(df: DataFrame, columns: list[str], strategy: str = "median") -> DataFrame:
-    """Fill missing values with the column median of the loaded rows (or zero)."""
+    """Fill missing values (null and NaN) with the column median of the loaded rows (or zero).
+
+    A column without any value stays as it is.
+    """
     if strategy == "zero":
         return df.fillna(0, subset=columns)
     medians = exact_quantiles(df, columns, [0.5])
     fills = {c: v[0] for c, v in medians.items() if v[0] is not None}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in fills.items()})
+    return df.withColumns({c: F.coalesce(known(df, c).cast("double"), F.lit(v)) for c, v in fills.items()})
 
 
 def mean_fill_flagged(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -49,7 +52,7 @@ def fit_mean_imputer(train: DataFrame, columns: list[str]):
 
 
 class StandardScale:
-    """Centre and divide by the population standard deviation; constant columns are only centred."""
+    """Centre and divide by the population standard deviation; constant columns are only centred, missing values stay."""
 
     def __init__(self, columns: list[str]):
         self.columns = columns
@@ -58,7 +61,7 @@ class StandardScale:
     def fit(self, df: DataFrame) -> "StandardScale":
         aggs = []
         for c in self.columns:
-            aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+            aggs += [F.avg(known(df, c)).alias(f"m_{c}"), F.stddev_pop(known(df, c)).alias(f"s_{c}")]
         row = df.agg(*aggs).first()
         self.stats = {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in self.columns}
         return self

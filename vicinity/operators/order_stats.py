@@ -1,9 +1,11 @@
 """Exact order statistics, global ranks and numbering without a single-task sort.
 
 A missing value is a null or a NaN, here and everywhere in the library: it has no
-place among quantiles and cut-offs and comes last in rankings and top lists. There
-is one way for every size: rows are folded per value, values are laid over range
-partitions with running counts, and only the asked places reach the driver.
+place among quantiles and cut-offs and comes last in rankings and top lists.
+
+Single places (quantiles, cut-offs) are found by narrowing a bracket with mergeable
+sketches and exact counts: rows are never sorted or shuffled, a few values reach the
+driver. Ranks, curves and numbering lay rows over range partitions with running counts.
 """
 
 from __future__ import annotations
@@ -27,23 +29,105 @@ def with_known(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: known(df, c) for c in columns})
 
 
-def kth_smallest(df: DataFrame, wanted: dict[str, list[int]]) -> dict:
-    """Exact k-th smallest of the values that are not missing: ``{(column, k): value}``; places beyond them are left out."""
+#: Values of a bracket that are read one by one, and the accuracy of the sketch that narrows larger ones.
+BRACKET_ROWS, ACCURACY = 1 << 14, 10_000
+_SKETCHED = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "decimal")
+
+
+def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], held: dict[str, int] | None = None) -> dict:
+    """Exact k-th smallest of the values that are not missing: ``{(column, k): value}``; places beyond them are left out.
+
+    ``held`` may give the number of values of each column. A round asks a sketch for
+    two values close around each place and counts exactly what lies below and at
+    them: the place is one of the two, or its bracket shrinks to one side of them. What a sketch
+    errs only costs rounds. Brackets with few rows are folded per value and read.
+    """
     found: dict = {}
-    by_type: dict[str, list[str]] = {}
+    sketched = [c for c in wanted if df.schema[c].dataType.simpleString().split("(")[0] in _SKETCHED]
     for c in wanted:
-        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-    for columns in by_type.values():
-        stacked = F.array(*[F.struct(F.lit(c).alias("metric"), known(df, c).alias("v")) for c in columns])
-        long = df.select(F.explode(stacked).alias("m")).select("m.metric", "m.v")
-        steps = cumulative_by_value(long, "v", {"n": F.count(F.lit(1))}, groups=["metric"])
-        places = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(k).alias("k")) for c in columns for k in sorted(set(wanted[c]))])
-        here = F.filter(places, lambda p: (p.metric == F.col("metric")) & (p.k > F.col("cum_n") - F.col("n")) & (p.k <= F.col("cum_n")))
-        rows = steps.select("v", F.explode(here).alias("p")).select("p.metric", "p.k", "v").collect()
-        found.update({(r["metric"], r["k"]): r["v"] for r in rows})
+        if c not in sketched:
+            found.update(_kth_by_order(df, c, wanted[c]))
+    if not any(wanted[c] for c in sketched):
+        return found
+    held = held or df.agg(*[F.count(known(df, c)).alias(c) for c in sketched]).first().asDict()
+    # (column, k): values above ``low`` and below ``high``, how many are at or below ``low``, how many lie between.
+    brackets = {(c, k): (None, None, 0, held[c]) for c in sketched for k in wanted[c] if 1 <= k <= held[c]}
+    while brackets:
+        few = {at: b for at, b in brackets.items() if b[3] <= BRACKET_ROWS}
+        found.update(_read_brackets(df, few))
+        brackets = {at: b for at, b in brackets.items() if at not in few}
+        if brackets:
+            brackets, hit = _narrowed(df, brackets)
+            found.update(hit)
+    return found
+
+
+def _inside(value: Column, low, high) -> Column:
+    rule = value.isNotNull()
+    rule = rule if low is None else rule & (value > F.lit(low))
+    return rule if high is None else rule & (value < F.lit(high))
+
+
+def _read_brackets(df: DataFrame, brackets: dict) -> dict:
+    """Places of brackets with few rows, from their values."""
+    found = {}
+    columns = sorted({c for c, _ in brackets})
+    for kind in sorted({df.schema[c].dataType.simpleString() for c in columns}):
+        ranges = sorted({(c, b) for (c, _), b in brackets.items() if df.schema[c].dataType.simpleString() == kind}, key=str)
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(_inside(known(df, c), *b[:2]), known(df, c)).alias("v"))
+                          for i, (c, b) in enumerate(ranges)])
+        rows = df.select(F.explode(cells).alias("m")).where("m.v IS NOT NULL").groupBy("m.i", "m.v").agg(F.count(F.lit(1)).alias("n")).collect()
+        values = {i: sorted((r["v"], r["n"]) for r in rows if r["i"] == i) for i in range(len(ranges))}
+        for (c, k), b in brackets.items():
+            if (c, b) in ranges:
+                upto = b[2]
+                for v, n in values[ranges.index((c, b))]:
+                    upto += n
+                    if upto >= k:
+                        found[c, k] = v
+                        break
     return found
 
 
+def _narrowed(df: DataFrame, brackets: dict) -> tuple[dict, dict]:
+    """One round: smaller brackets, and the places that were hit."""
+    places = list(brackets)
+    asked = []
+    for i, (c, k) in enumerate(places):
+        low, high, below, rows = brackets[c, k]
+        near = [min(max((k - below + off) / rows, 0.0), 1.0) for off in (-2 * rows / ACCURACY, 2 * rows / ACCURACY)]
+        asked.append(F.percentile_approx(F.when(_inside(known(df, c), low, high), known(df, c)), near, ACCURACY).alias(f"p{i}"))
+    pivots = df.agg(*asked).first()
+    counts = []
+    for i, (c, _) in enumerate(places):
+        for j, v in enumerate(pivots[f"p{i}"]):
+            counts += [F.count(F.when(known(df, c) < F.lit(v), 1)).alias(f"lt{j}_{i}"), F.count(F.when(known(df, c) <= F.lit(v), 1)).alias(f"le{j}_{i}")]
+    seen = df.agg(*counts).first()
+    smaller, hit = {}, {}
+    for i, (c, k) in enumerate(places):
+        low, high, below, rows = brackets[c, k]
+        (first, last), n = pivots[f"p{i}"], lambda name: seen[f"{name}_{i}"]  # noqa: B023
+        if k <= n("lt0"):
+            smaller[c, k] = (low, first, below, n("lt0") - below)
+        elif k <= n("le0"):
+            hit[c, k] = first
+        elif k <= n("lt1"):
+            smaller[c, k] = (first, last, n("le0"), n("lt1") - n("le0"))
+        elif k <= n("le1"):
+            hit[c, k] = last
+        else:
+            smaller[c, k] = (last, high, n("le1"), below + rows - n("le1"))
+    return smaller, hit
+
+
+def _kth_by_order(df: DataFrame, column: str, places: list[int]) -> dict:
+    """The same for types that no sketch takes, from running counts over the ordered values."""
+    steps = cumulative_by_value(df.select(F.col(column).alias("v")), "v", {"n": F.count(F.lit(1))})
+    asked = F.array(*[F.lit(k) for k in sorted(set(places))])
+    here = F.filter(asked, lambda k: (k > F.col("cum_n") - F.col("n")) & (k <= F.col("cum_n")))
+    return {(column, r["k"]): r["v"] for r in steps.select("v", F.explode(here).alias("k")).collect()}
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list]:
     """Quantiles with linear interpolation, missing values left out: ``{column: [value per prob]}``."""
     counts = df.agg(*[F.count(known(df, c)).alias(c) for c in columns]).first().asDict()
@@ -53,7 +137,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
         spots = [(n - 1) * p for p in probs] if n else []
         plan[c] = [(math.floor(s) + 1, math.ceil(s) + 1, s - math.floor(s)) for s in spots]
         wanted[c] = sorted({k for low, high, _ in plan[c] for k in (low, high)})
-    found = kth_smallest(df, {c: ks for c, ks in wanted.items() if ks}) if any(wanted.values()) else {}
+    found = kth_smallest(df, {c: ks for c, ks in wanted.items() if ks}, counts) if any(wanted.values()) else {}
     out = {}
     for c in columns:
         out[c] = [
@@ -113,31 +197,49 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], grou
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<column>_rank``: SQL ``rank()`` ascending, missing values last, over the whole table, per column.
 
-    The rows are read several times, so they are checkpointed first.
+    All columns go through one range partitioning by (column, value, row): the row
+    spreads equal values over partitions, so no value is hot. The rank of a row is
+    the place where the run of its value begins: inside its partition, or, for the
+    run that goes on from the partition before, in an earlier one; where that is
+    follows from one row per partition and column.
     """
-    df = stable(df)
-    held = df.agg(*[F.count(known(df, c)).alias(c) for c in columns]).first()
-    stacked = F.array(*[F.struct(F.lit(c).alias("metric"), known(df, c).cast("double").alias("v")) for c in columns])
-    long = df.select(F.explode(stacked).alias("m")).select("m.metric", "m.v")
-    ranks = cumulative_by_value(long, "v", {"n": F.count(F.lit(1))}, groups=["metric"]) \
-        .select("metric", "v", (F.col("cum_n") - F.col("n") + 1).alias("_rank"))
-    out = df
-    for c in columns:
-        mine = ranks.where(F.col("metric") == c).select(F.col("v").alias(f"_v_{c}"), F.col("_rank").alias(f"{c}_rank"))
-        out = out.join(mine, known(df, c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
-            .withColumn(f"{c}_rank", F.coalesce(f"{c}_rank", F.lit(held[c] + 1)))
-    return out
+    rows = stable(df).withColumn("_row", F.monotonically_increasing_id())
+    cells = F.array(*[F.struct(F.lit(i).alias("metric"), known(df, c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = rows.select("_row", F.struct(*[F.col(c) for c in df.columns]).alias("_whole"), F.inline(cells)).select(
+        "metric", "v", "_row", F.when(F.col("metric") == 0, F.col("_whole")).alias("_whole"))
+    placed = _placed(long, [F.col("metric"), F.col("v").asc_nulls_last(), F.col("_row")])
+    run = Window.partitionBy("_part", "metric", "v")
+    runs = placed.withColumn("_run", F.min("_seq").over(run))
+    # One row per partition and column from here.
+    per_part = placed.groupBy("metric", "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_seq").alias("lead"),
+        F.min_by(F.struct("v"), "_seq").alias("first"), F.max_by(F.struct("v"), "_seq").alias("last"))
+    last_run = placed.join(per_part.select("metric", "_part", "last"), ["metric", "_part"]).where(F.col("last.v").eqNullSafe(F.col("v"))) \
+        .groupBy("metric", "_part").agg(F.min("_seq").alias("last_run"))
+    along = Window.partitionBy("metric").orderBy("_part")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = per_part.join(last_run, ["metric", "_part"]).withColumn("before", before) \
+        .withColumn("goes_on", F.coalesce(F.lag("last").over(along).eqNullSafe(F.col("first")), F.lit(False)))
+    only = F.col("first").eqNullSafe(F.col("last"))
+    begun = F.when(~(only & F.col("goes_on")), F.col("before") + F.col("last_run") - F.col("lead"))
+    parts = parts.withColumn("_begun", begun).withColumn(
+        "carried", F.last("_begun", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))) \
+        .select("metric", "_part", "lead", "before", "goes_on", "carried")
+    own = F.col("before") + F.col("_run") - F.col("lead")
+    place = F.when(F.col("goes_on") & (F.col("_run") == F.col("lead")), F.col("carried")).otherwise(own) + 1
+    ranked = runs.join(parts, ["metric", "_part"]).select("_row", "metric", "_whole", place.alias("_rank"))
+    ranks = [F.max(F.when(F.col("metric") == i, F.col("_rank"))).alias(f"{c}_rank") for i, c in enumerate(columns)]
+    return ranked.groupBy("_row").agg(F.first("_whole", ignorenulls=True).alias("_whole"), *ranks).select("_whole.*", *[f"{c}_rank" for c in columns])
 
 
 def percentile_of_score(df: DataFrame, column: str) -> DataFrame:
-    """Add ``<column>_percentile``: mean of the strict and weak percentile rank, in percent."""
-    df = with_known(df, column)
-    total = df.where(F.col(column).isNotNull()).count()
-    ranks = cumulative_by_value(df, column, {"n": F.count(F.lit(1))})
-    below, upto = F.col("cum_n") - F.col("n"), F.col("cum_n")
+    """Add ``<column>_percentile``: mean of the strict and weak percentile rank, in percent; none for missing values."""
+    both = df.withColumns({"_up": known(df, column), "_down": -known(df, column)})
+    total = both.agg(F.count("_up")).first()[0]
+    ranked = with_ranks(both, ["_up", "_down"])
+    below, upto = F.col("_up_rank") - 1, F.lit(total) - F.col("_down_rank") + 1
     score = (below + upto + 1) * F.lit(50.0) / F.lit(float(max(total, 1)))
-    return df.join(ranks.select(column, score.alias(f"{column}_percentile")), column, "left") \
-        .select(*df.columns, f"{column}_percentile")
+    return ranked.select(*df.columns, F.when(F.col("_up").isNotNull(), score).alias(f"{column}_percentile"))
 
 
 # --- numbering -----------------------------------------------------------------

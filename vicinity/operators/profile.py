@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.operators.order_stats import exact_quantiles
+from vicinity.operators.order_stats import exact_quantiles, known
 
 
 def bounds(df: DataFrame, column: str) -> DataFrame:
@@ -16,9 +16,9 @@ def bounds(df: DataFrame, column: str) -> DataFrame:
 
 
 def null_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Share of missing values per column, long."""
+    """Share of missing values (null and NaN) per column, long."""
     columns = columns or df.columns
-    wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    wide = df.agg(*[F.avg(known(df, c).isNull().cast("double")).alias(c) for c in columns])
     return wide.unpivot([], columns, "column", "null_share")
 
 
@@ -34,10 +34,11 @@ def column_profile(df: DataFrame, numeric: list[str], text: list[str]) -> DataFr
     """One row per column: count, missing share, distinct, top, freq, mean, std, quartiles, extremes.
 
     Distinct values are folded per (column, value) before they are counted, so
-    frequent values cost one row; quartiles are exact and interpolated.
+    frequent values cost one row; quartiles are exact and interpolated. Null and
+    NaN are missing everywhere.
     """
     columns = numeric + text
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), known(df, c).cast("string").alias("v")) for c in columns])
     values = df.select(F.explode(cells).alias("m")).groupBy("m.column", "m.v").agg(F.count(F.lit(1)).alias("n"))
     held = F.col("v").isNotNull()
     shape = values.groupBy("column").agg(
@@ -46,7 +47,7 @@ def column_profile(df: DataFrame, numeric: list[str], text: list[str]) -> DataFr
         F.count(F.when(held, 1)).alias("distinct"),
         F.min_by(F.when(held, F.col("v")), F.when(held, F.struct(-F.col("n"), F.col("v")))).alias("top"),
         F.max(F.when(held, F.col("n"))).alias("freq"))
-    typed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in numeric])
+    typed = F.array(*[F.struct(F.lit(c).alias("column"), known(df, c).cast("double").alias("v")) for c in numeric])
     moments = df.select(F.explode(typed).alias("m")).groupBy("m.column").agg(
         F.avg("m.v").alias("mean"), F.stddev_samp("m.v").alias("std"),
         F.min("m.v").alias("min"), F.max("m.v").alias("max"))

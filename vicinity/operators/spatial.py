@@ -118,28 +118,59 @@ def neighbour_counts(subjects: DataFrame, places: DataFrame, subject_id: str, pl
     )
 
 
-def _cells_of_box(df: DataFrame, size: float) -> DataFrame:
-    """Repeat each polygon row over the grid cells its bounding box touches."""
-    boxed = geo.with_bounds(df)
-    return (
-        boxed
-        .withColumn("_cx", F.explode(F.sequence(cell_of(F.col("min_x"), size), cell_of(F.col("max_x"), size))))
-        .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("min_y"), size), cell_of(F.col("max_y"), size))))
-    )
+def _leveled(df: DataFrame, size: float) -> DataFrame:
+    """Add the bounds and the level: cells of ``size * 2^level`` are as large as the box, so it touches at most 2 x 2 of them."""
+    boxed = geo.with_bounds(df).where("min_x IS NOT NULL")
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(float(size)))
+    return boxed.withColumn("_level", F.ceil(F.log2(extent / F.lit(float(size)))).cast("int"))
+
+
+def _levels_in(df: DataFrame) -> list[int]:
+    """The levels of a table's polygons: a few numbers, as a level doubles the size."""
+    return sorted(r[0] for r in df.select("_level").distinct().collect())
+
+
+def _at_level(value: Column, size: float, level: Column) -> Column:
+    return F.floor(value / (F.lit(float(size)) * F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _box_cells(df: DataFrame, size: float, level: str = "_level") -> DataFrame:
+    """Repeat each polygon row over the cells of a level that its bounding box touches."""
+    span = lambda low, high: F.explode(F.sequence(*[_at_level(F.col(c), size, F.col(level)) for c in (low, high)]))
+    return df.withColumn("_cx", span("min_x", "max_x")).withColumn("_cy", span("min_y", "max_y"))
+
+
+def _strips(df: DataFrame, size: float) -> DataFrame:
+    """Repeat each polygon row over the vertical strips it touches: ``_strip`` and ``_edges``, its edges there."""
+    span = F.sequence(cell_of(F.col("min_x"), size), cell_of(F.col("max_x"), size))
+    low = F.col("_strip") * F.lit(float(size))
+    return df.withColumn("_all", geo.sloped_edges(F.col("ring"))).drop("ring").withColumn("_strip", F.explode(span)) \
+        .withColumn("_edges", F.filter("_all", lambda e: (e.x0 < low + float(size)) & (e.x1 > low))).drop("_all")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_cols: list[str],
                        cell: float) -> DataFrame:
-    """Inner join of points with the polygons that contain them (even-odd rule)."""
-    probe = _cells_of_box(polygons.select(*polygon_cols, "ring"), cell)
-    build = points.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
-    build, probe = split_hot_keys(build, probe, ["_cx", "_cy"], ["x", "y"], polygon_cols)
+    """Inner join of points with the polygons that contain them (even-odd rule).
+
+    Polygons lie on levels by their size. A polygon has one row per strip of
+    ``cell`` feet and cell of its level, with its edges in the strip, so a large
+    polygon has as many rows as it has strips, however many points it holds; a
+    point has one row per level and is tested against the edges of its strip only.
+    """
+    shaped = _leveled(polygons.select(*polygon_cols, "ring"), cell)
+    span = F.sequence(*[_at_level(F.col(c), cell, F.col("_level")) for c in ("min_y", "max_y")])
+    probe = _strips(shaped, cell).where(F.size("_edges") > 0).withColumn("_cy", F.explode(span))
+    levels = F.array(*[F.lit(n) for n in _levels_in(shaped)]).cast("array<int>")
+    build = points.withColumn("_level", F.explode(levels)).withColumn("_strip", cell_of(F.col("x"), cell)) \
+        .withColumn("_cy", _at_level(F.col("y"), cell, F.col("_level")))
+    keys = ["_level", "_strip", "_cy"]
+    build, probe = split_hot_keys(build, probe, keys, ["x", "y"], polygon_cols)
     x, y = F.col("x"), F.col("y")
     in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
     kept = [c for c in points.columns if c not in polygon_cols]
     return (
-        build.join(probe, ["_cx", "_cy", *SALTS])
-        .where(in_box & geo.contains_point(F.col("ring"), x, y))
+        build.join(probe, [*keys, *SALTS])
+        .where(in_box & (geo.edges_above(F.col("_edges"), x, y) % 2 == 1))
         .select(*kept, *polygon_cols)
     )
 
@@ -156,33 +187,89 @@ def polygons_within(inner: DataFrame, outer: DataFrame, inner_cols: list[str], o
     return shared.where(whole).select(*inner_cols, *outer_cols)
 
 
+def _meeting_boxes(left: DataFrame, right: DataFrame, left_cols: list[str], right_cols: list[str], cell: float) -> DataFrame:
+    """Pairs of leveled polygons whose boxes overlap, columns of the sides as ``_l_`` and ``_r_``.
+
+    A pair meets on the level of its larger polygon, in the cell that holds the
+    lower corner of the shared box, so each pair comes once. A polygon has at most
+    four rows for each level of the other table.
+    """
+    box = ["_level", "min_x", "min_y", "max_x", "max_y"]
+
+    def spread(df: DataFrame, cols: list[str], side: str, levels: list[int]) -> DataFrame:
+        own = df.select(*cols, *[F.col(c).alias(f"{side}{c}") for c in [*box, "_area"]], *box[1:])
+        larger = F.filter(F.array(*[F.lit(n) for n in levels]).cast("array<int>"), lambda n: n > F.col(f"{side}_level"))
+        at = own.withColumn("_at", F.explode(F.array_union(F.array(f"{side}_level"), larger)))
+        return _box_cells(at, cell, "_at").drop(*box[1:])
+
+    a = spread(left, left_cols, "_l_", _levels_in(right))
+    b = spread(right, right_cols, "_r_", _levels_in(left))
+    a, b = split_hot_keys(a, b, ["_at", "_cx", "_cy"], left_cols, right_cols)
+    low_x, low_y = F.greatest("_l_min_x", "_r_min_x"), F.greatest("_l_min_y", "_r_min_y")
+    high_x, high_y = F.least("_l_max_x", "_r_max_x"), F.least("_l_max_y", "_r_max_y")
+    home = (F.col("_at") == F.greatest("_l__level", "_r__level")) \
+        & (F.col("_cx") == _at_level(low_x, cell, F.col("_at"))) & (F.col("_cy") == _at_level(low_y, cell, F.col("_at")))
+    return a.join(b, ["_at", "_cx", "_cy", *SALTS]).where(home & (low_x < high_x) & (low_y < high_y)).select(
+        *left_cols, *right_cols, F.col("_l__area").alias("left_area"), F.col("_r__area").alias("right_area"),
+        low_x.alias("_low"), high_x.alias("_high"), F.least("_l_min_y", "_r_min_y").alias("_base"))
+
+
 def polygon_overlaps(left: DataFrame, right: DataFrame, left_cols: list[str], right_cols: list[str],
                      cell: float) -> DataFrame:
     """Pairs of polygons with a positive shared area.
 
     Output: the id columns, ``left_area``, ``right_area`` and ``overlap_area``.
-    A pair that meets in several cells is emitted only by the cell that holds
-    the lower corner of the shared box, so no ``distinct`` is needed.
+    Pairs whose boxes overlap meet the edges of both polygons strip by strip
+    (``cell`` feet wide), and the signed areas of the strips are summed. The id
+    columns must tell the polygons of a table apart and have different names.
     """
-    a = _cells_of_box(left.select(*left_cols, F.col("ring")), cell)
-    b = _cells_of_box(right.select(*right_cols, F.col("ring")), cell)
-    shape = ["ring", "min_x", "min_y", "max_x", "max_y"]
-    a = a.select(*left_cols, "_cx", "_cy", *[F.col(c).alias(f"_l_{c}") for c in shape])
-    b = b.select(*right_cols, "_cx", "_cy", *[F.col(c).alias(f"_r_{c}") for c in shape])
-    a, b = split_hot_keys(a, b, ["_cx", "_cy"], left_cols, right_cols)
-    low_x, low_y = F.greatest("_l_min_x", "_r_min_x"), F.greatest("_l_min_y", "_r_min_y")
-    high_x, high_y = F.least("_l_max_x", "_r_max_x"), F.least("_l_max_y", "_r_max_y")
-    home = (F.col("_cx") == cell_of(low_x, cell)) & (F.col("_cy") == cell_of(low_y, cell))
-    return (
-        a.join(b, ["_cx", "_cy", *SALTS])
-        .where(home & (low_x < high_x) & (low_y < high_y))
-        .select(
-            *left_cols, *right_cols,
-            geo.area(F.col("_l_ring")).alias("left_area"), geo.area(F.col("_r_ring")).alias("right_area"),
-            geo.shared_area(F.col("_l_ring"), F.col("_r_ring")).alias("overlap_area"),
-        )
-        .where(F.col("overlap_area") > 0)
-    )
+    shaped = [_leveled(df.select(*cols, "ring").withColumn("_area", geo.area(F.col("ring"))), cell)
+              for df, cols in ((left, left_cols), (right, right_cols))]
+    strips = [_strips(df, cell).select(*cols, "_strip", F.col("_edges").alias(name))
+              for df, cols, name in zip(shaped, (left_cols, right_cols), ("_left", "_right"))]
+    pairs = _meeting_boxes(shaped[0].drop("ring"), shaped[1].drop("ring"), left_cols, right_cols, cell)
+    pairs = pairs.withColumn("_strip", F.explode(F.sequence(cell_of(F.col("_low"), cell), cell_of(F.col("_high"), cell))))
+    met = pairs.join(strips[0], [*left_cols, "_strip"]).join(strips[1], [*right_cols, "_strip"])
+    low = F.col("_strip") * F.lit(float(cell))
+    part = geo.strip_shared_area(F.col("_left"), F.col("_right"), low, low + float(cell), F.col("_base"))
+    summed = met.groupBy(*left_cols, *right_cols, "left_area", "right_area").agg(F.abs(F.sum(part)).alias("overlap_area"))
+    # What is left of cancelled strips where rings only touch is no area.
+    return summed.where(F.col("overlap_area") > F.lit(1e-9) * F.least("left_area", "right_area"))
+
+
+def polygon_polygon_edges(left: DataFrame, right: DataFrame, left_id: str, right_id: str, metres: float, cell: float) -> DataFrame:
+    """Polygons at most ``metres`` apart: ``(left_id, right_id, dist_m)``, 0 where they touch or one holds the other.
+
+    Edges are cut at the borders of strips of ``cell`` feet and meet in grid
+    cells, those of the right side in all cells within the distance; the
+    least distance of a pair is folded from its edges. Where one polygon
+    holds the other, a corner of the inner one lies in the outer one.
+    """
+    feet = metres * FEET_PER_METRE
+    size = float(max(cell, feet, 1.0))
+
+    def pieces(df: DataFrame, key: str, name: str, reach: float) -> DataFrame:
+        rows = df.select(F.col(key), F.explode(geo.ring_segments(F.col("ring"))).alias("e")).select(key, "e.*")
+        strip = rows.withColumn("_s", F.explode(F.sequence(cell_of(F.col("x0"), size), cell_of(F.col("x1"), size))))
+        at = lambda x: F.col("y0") + F.coalesce(F.try_divide(x - F.col("x0"), F.col("x1") - F.col("x0")), F.lit(0.0)) * (F.col("y1") - F.col("y0"))
+        x0, x1 = F.greatest("x0", F.col("_s") * size), F.least("x1", (F.col("_s") + 1) * size)
+        steep = F.col("x0") == F.col("x1")
+        cut = strip.select(key, x0.alias("x0"), F.when(steep, F.col("y0")).otherwise(at(x0)).alias("y0"),
+                           x1.alias("x1"), F.when(steep, F.col("y1")).otherwise(at(x1)).alias("y1"))
+        low, high = F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach
+        cells = cut.withColumn("_cx", F.explode(F.sequence(cell_of(F.col("x0") - reach, size), cell_of(F.col("x1") + reach, size)))) \
+            .withColumn("_cy", F.explode(F.sequence(cell_of(low, size), cell_of(high, size))))
+        return cells.select(key, "_cx", "_cy", *[F.col(c).alias(f"{name}{c}") for c in ("x0", "y0", "x1", "y1")])
+
+    a, b = pieces(left, left_id, "_l", 0.0), pieces(right, right_id, "_r", feet)
+    a, b = split_hot_keys(a, b, ["_cx", "_cy"], [left_id, "_lx0", "_ly0"], [right_id, "_rx0", "_ry0"])
+    ends = [(F.col(f"_{s}x{k}"), F.col(f"_{s}y{k}")) for s in "lr" for k in "01"]
+    apart = a.join(b, ["_cx", "_cy", *SALTS]).withColumn("_d", geo.segment_distance_squared(*ends)).where(F.col("_d") <= feet * feet)
+    corner = lambda df, key: df.select(key, F.col("ring")[0].x.alias("x"), F.col("ring")[0].y.alias("y"))
+    held = [points_in_polygons(corner(inner, i), outer, [o], cell).select(left_id, right_id, F.lit(0.0).alias("_d"))
+            for inner, i, outer, o in ((left, left_id, right, right_id), (right, right_id, left, left_id))]
+    near = apart.select(left_id, right_id, "_d").unionByName(held[0]).unionByName(held[1])
+    return near.groupBy(left_id, right_id).agg((F.sqrt(F.min("_d")) / FEET_PER_METRE).alias("dist_m"))
 
 
 def largest_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float) -> DataFrame:

@@ -81,14 +81,17 @@ def assemble(labels: DataFrame, tables: dict[str, DataFrame], features: list[tup
              impute: str | None = "median") -> DataFrame:
     """Left-join the chosen features of every table to the labels, columns named ``table_column``.
 
-    Tables keyed only by parcel join on the parcel. Of rows that repeat a key the
+    Tables with both keys are joined first and those keyed only by parcel after
+    them, so the labels are shuffled at most twice, however many tables there are;
+    tables bucketed by their keys are not shuffled (``FeatureStore.set_buckets``). Of rows that repeat a key the
     first in the order of the chosen columns counts, nulls last. Missing values are filled per column from the joined rows.
     """
     grouped: dict[str, list[str]] = {}
     for table, column in features:
         grouped.setdefault(table, []).append(column)
-    out, names = labels, []
-    for table, columns in grouped.items():
+    out = labels
+    names = [f"{t}_{c}" for t, columns in grouped.items() for c in columns]
+    for table, columns in sorted(grouped.items(), key=lambda g: -len([k for k in KEYS if k in tables[g[0]].columns])):
         df = tables[table]
         keys = [k for k in KEYS if k in df.columns]
         missing = [c for c in columns if c not in df.columns]
@@ -97,7 +100,7 @@ def assemble(labels: DataFrame, tables: dict[str, DataFrame], features: list[tup
         picked = F.min(F.struct(*[e for c in columns for e in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c))])).alias("_p")
         part = df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_p.{c}").alias(f"{table}_{c}") for c in columns])
         out = out.join(part, keys, "left")
-        names += [f"{table}_{c}" for c in columns]
+    out = out.select(*labels.columns, *names)
     if impute == "median":
         out = stable(out)       # read by every pass of the exact medians
     return median_fill(out, names, impute) if impute else out

@@ -41,14 +41,15 @@ def last_inspection(store: FeatureStore) -> datetime:
 def run_experiment(config: dict, store: FeatureStore, runs_path: str, predictions_path: str,
                    parcels: DataFrame | None = None, future: FeatureStore | None = None,
                    top: float | None = None, top_path: str | None = None, dump_path: str | None = None,
-                   overwrite: bool = False, seed: int = 0) -> list[str]:
+                   overwrite: bool = False, seed: int = 0, side_by_side: int = 4) -> list[str]:
     """Fit every model of the configuration on the training window and log it on the test window.
 
     ``config``: experiment_name, start_date, fake_today, validation_window,
     features (patterns), models, grid_size, residential_only. An experiment
     name can be used once unless ``overwrite`` is set. With ``future`` the top
     percent of that namespace is written per run, with ``dump_path`` the
-    matrices are written as CSV.
+    matrices are written as CSV. The features are prepared and stored once, and
+    ``side_by_side`` models are fitted at a time.
     """
     spark = store.spark
     name = config["experiment_name"]
@@ -73,16 +74,20 @@ def run_experiment(config: dict, store: FeatureStore, runs_path: str, prediction
                 rows.write.mode("overwrite").option("header", "true").csv(f"{dump_path}/{name}_{part}")
 
     done = []
-    for model, params in models.runnable(models.runs_for(config["models"], config.get("grid_size", "small"))):
+    runs = models.runnable(models.runs_for(config["models"], config.get("grid_size", "small")))
+    # All runs share one preparation and the stored rows; only fits differ.
+    ready = models.prepared(train, columns)
+    judged = ready.features(test, [*dataset.KEYS, dataset.OUTCOME])
+    listed = ready.features(ahead, dataset.KEYS) if ahead is not None and top is not None else None
+    for (model, params), fitted in zip(runs, models.fit_many(ready, runs, seed, side_by_side)):
         run = uuid.uuid4().hex
-        fitted = models.fit(train, columns, model, params, seed=seed)
-        scored = models.score(fitted, test, columns, [*dataset.KEYS, dataset.OUTCOME])
+        scored = models.score_features(fitted, judged, [*dataset.KEYS, dataset.OUTCOME])
         write_predictions(scored, predictions_path, run)
         stored = spark.read.parquet(predictions_path).where(F.col("model_id") == run)
         models.log_run(models.run_row(spark, run, name, model, params, config, stored), runs_path,
                        replace=known and not done)
-        if ahead is not None and top is not None:
-            rows = stable(models.score(fitted, ahead, columns, dataset.KEYS))
+        if listed is not None:
+            rows = stable(models.score_features(fitted, listed, dataset.KEYS))
             write_predictions(top_percent(rows, "prediction", "parcel_id", top), top_path, run)
         done.append(run)
     return done

@@ -336,7 +336,12 @@ def register(table: str, build: Callable[[Context], DataFrame], windowed: bool =
 
 
 def generate(store, ctx: Context, names: list[str]) -> list[str]:
-    """Build the named features into the store; windowed ones are named by distance and months."""
+    """Build the named features into the store; windowed ones are named by distance and months.
+
+    The store's tables are bucketed by their keys, in a number that follows the population.
+    """
+    if store.buckets() is None:
+        store.set_buckets(ctx.population.count())
     written = []
     for name in names:
         f = REGISTRY[name]

@@ -5,13 +5,17 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,13 +131,53 @@ def estimator(name: str, params: dict, rows: int, seed: int = 0):
         return LogisticRegression(regParam=strength, elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0,
                                   standardization=False, **common)
     if name == "SVC":
-        return LinearSVC(regParam=strength, standardization=False, **common)
+        return SvmWithChances(LinearSVC(regParam=strength, standardization=False, **common), seed)
     if name == "AdaBoostClassifier":
         return Samme(rounds=params.get("n_estimators", 50), seed=seed,
                      real=params.get("algorithm", "SAMME.R") == "SAMME.R")
     raise ValueError(f"unknown model {name!r}")
 
 
+class SvmWithChances:
+    """A linear SVM on all rows, and a sigmoid from margins to probabilities.
+
+    The sigmoid is fitted on margins of rows that the SVM giving them has not seen: each of
+    ``FOLDS`` parts, dealt by a hash of the features and the seed, is judged by
+    an SVM fitted on the others. With a part of one class only, margins stay margins.
+    """
+
+    FOLDS = 3
+
+    def __init__(self, svm: LinearSVC, seed: int = 0):
+        self.svm, self.seed = svm, seed
+
+    def fit(self, df: DataFrame) -> "SvmWithChances":
+        part = F.pmod(F.xxhash64(vector_to_array("features"), F.lit(self.seed)), F.lit(self.FOLDS))
+        rows = df.withColumn("_part", part)
+        self.model, self.slope, self.offset = self.svm.fit(df), None, 0.0
+        sizes = rows.groupBy("_part").agg(F.count_distinct("label").alias("classes")).collect()
+        if len(sizes) < self.FOLDS or min(r["classes"] for r in sizes) < 2:
+            return self
+        seen = None
+        for k in range(self.FOLDS):
+            judged = self.svm.fit(rows.where(F.col("_part") != k)).transform(rows.where(F.col("_part") == k))
+            margins = judged.select(array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"), "label")
+            seen = margins if seen is None else seen.unionByName(margins)
+        sigmoid = LogisticRegression(featuresCol="features", labelCol="label").fit(stable(seen))
+        self.slope, self.offset = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = self.model.transform(df)
+        margin = vector_to_array("rawPrediction")[1]
+        value = margin if self.slope is None else 1.0 / (1.0 + F.exp(-(margin * self.slope + self.offset)))
+        return rows.withColumn("prediction", value).drop("rawPrediction")
+
+    @property
+    def coefficients(self):
+        return self.model.coefficients
+
+
 class Stump:
     """A fitted tree of one split: feature, threshold and the chance of class 1 on either side."""
 
@@ -228,18 +272,57 @@ def prepare(train: DataFrame, columns: list[str]) -> PipelineModel:
     return PipelineModel(stages=[*fitted.stages, widen])
 
 
-def fit(train: DataFrame, columns: list[str], name: str, params: dict, label: str = "viol_outcome", seed: int = 0):
-    """Fitted ``(preparation, model)``; unlabelled rows are left out of the fit."""
+@dataclass(frozen=True)
+class Prepared:
+    """A training set that many models share: the fitted preparation, and the stored features and labels."""
+
+    prep: PipelineModel
+    columns: list[str]
+    rows: DataFrame
+    count: int
+
+    def features(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Keys and prepared features of other rows, stored once for all models."""
+        return stable(self.prep.transform(_doubles(df, self.columns)).select(*keys, "features"))
+
+
+def prepared(train: DataFrame, columns: list[str], label: str = "viol_outcome") -> Prepared:
+    """Fit the preparation and store the prepared rows; unlabelled rows are left out."""
     rows = train.where(F.col(label).isNotNull())
     prep = prepare(rows, columns)
-    ready = prep.transform(_doubles(rows, columns)).withColumn("label", F.col(label).cast("double"))
-    return prep, estimator(name, used_parameters(name, params), rows.count(), seed).fit(ready)
+    ready = stable(prep.transform(_doubles(rows, columns)).select("features", F.col(label).cast("double").alias("label")))
+    return Prepared(prep, columns, ready, ready.count())
+
+
+def fit_many(ready: Prepared, runs: list[tuple[str, dict]], seed: int = 0, side_by_side: int = 4) -> Iterator:
+    """Models of all runs, in their order, over the same stored rows; that many fits run at a time.
+
+    Each fit is a chain of small jobs that leaves most of a cluster idle, so
+    several driver threads keep it busy; Spark does the work of all of them.
+    """
+    def one(run: tuple[str, dict]):
+        name, params = run
+        return estimator(name, used_parameters(name, params), ready.count, seed).fit(ready.rows)
+
+    with ThreadPoolExecutor(max_workers=max(1, side_by_side)) as pool:
+        yield from pool.map(inheritable_thread_target(ready.rows.sparkSession)(one), runs)
+
+
+def fit(train: DataFrame, columns: list[str], name: str, params: dict, label: str = "viol_outcome", seed: int = 0):
+    """Fitted ``(preparation, model)``; unlabelled rows are left out of the fit."""
+    ready = prepared(train, columns, label)
+    return ready.prep, next(fit_many(ready, [(name, params)], seed, 1))
 
 
 def score(fitted, df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Keys and ``prediction``: the probability of class 1, or the margin where there is none."""
     prep, model = fitted
-    rows = model.transform(prep.transform(_doubles(df, columns)))
+    return score_features(model, prep.transform(_doubles(df, columns)), keys)
+
+
+def score_features(model, ready: DataFrame, keys: list[str]) -> DataFrame:
+    """``score`` for rows that are prepared already."""
+    rows = model.transform(ready)
     if "probability" in rows.columns:
         value = vector_to_array("probability")[1]
     elif "rawPrediction" in rows.columns:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vicinity.operators import evaluate
+from vicinity.operators import evaluate, impute, profile
 from vicinity.queries.roles import LABELLED, SCORED, Tables, rounded
 
 _SHARES = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]
@@ -240,6 +240,58 @@ SELECT round((ay * (ay*(bb*cc-bc*bc) - ab*(by_*cc-bc*cy) + ac*(by_*bc-bb*cy))
   + cy * (aa*(bb*cy-by_*bc) - ab*(ab*cy-by_*ac) + ay*(ab*bc-bb*ac))) / det / yy, 5) AS r2 FROM t"""
 
 
+#: Prices with gaps: every 11th is null, every 13th NaN.
+_GAPPED = """gapped AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS label,
+  CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_totalprice END AS score FROM orders)"""
+
+
+def _gapped(t: Tables):
+    key = F.col("order_id")
+    score = F.when(key % 11 == 0, None).when(key % 13 == 0, F.lit(float("nan"))).otherwise(F.col("price"))
+    return t.inspections.select(key.alias("id"), F.col("viol_outcome").alias("label"), score.alias("score"))
+
+
+def flags_missing(spark, folder):
+    flagged = evaluate.top_flags(_gapped(Tables(spark, folder)), "label", "score").drop("score", "label")
+    return flagged.select("id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in flagged.columns if c != "id"])
+
+
+FLAGS_MISSING = f"""
+WITH {_GAPPED}, n AS (SELECT count(*) AS n FROM gapped), r AS (SELECT score, row_number() OVER (ORDER BY score DESC NULLS LAST) - 1 AS i FROM gapped),
+c AS (SELECT max(CASE WHEN i = greatest(n * 1 // 100 - 1, 0) THEN score END) AS c1, max(CASE WHEN i = greatest(n * 1 // 10 - 1, 0) THEN score END) AS c10 FROM r, n)
+SELECT id, {', '.join(f"coalesce((score >= {c})::INT, 0) AS {n}, coalesce((score >= {c} AND label = 1)::INT, 0) AS tp_{n}, coalesce((score >= {c} AND label = 0)::INT, 0) AS fp_{n}"
+                      for c, n in (("c1", "top_1"), ("c10", "top_10")))} FROM gapped, c"""
+
+
+def medians_missing(spark, folder):
+    return impute.median_fill(_gapped(Tables(spark, folder)), ["label", "score"])
+
+
+MEDIANS_MISSING = f"""
+WITH {_GAPPED} SELECT id, coalesce(label, (SELECT median(label) FROM gapped))::DOUBLE AS label,
+  coalesce(score, (SELECT median(score) FROM gapped))::DOUBLE AS score FROM gapped"""
+
+
+def profile_missing(spark, folder):
+    out = profile.column_profile(_gapped(Tables(spark, folder)), ["score", "label"], [])
+    return rounded(out.drop("top", "freq"), ["mean", "std", "missing"], 3)
+
+
+PROFILE_MISSING = f"""
+WITH {_GAPPED} {' UNION ALL '.join(f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg(({c} IS NULL)::INT), 3) AS missing,
+  count(DISTINCT {c}) AS "distinct", round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+  quantile_cont({c}, 0.25)::DOUBLE AS q25, quantile_cont({c}, 0.5)::DOUBLE AS q50, quantile_cont({c}, 0.75)::DOUBLE AS q75 FROM gapped""" for c in ("score", "label"))}"""
+
+
+def distance_missing(spark, folder):
+    """Customers of each segment, some without a latitude or with a longitude that is not a number."""
+    key = F.col("c_custkey")
+    rows = Tables(spark, folder).customer.select(
+        "c_mktsegment", F.when(key % 11 != 0, F.col("c_nationkey") * 3.0 - 30).alias("lat"),
+        F.when(key % 13 == 0, F.lit(float("nan"))).otherwise(F.col("c_nationkey") * 7.0 % 50 - 25).alias("lon"))
+    return rounded(evaluate.mean_pair_distance(rows, "lat", "lon", ["c_mktsegment"]), ["mean_km"], 5)
+
+
 def pairwise_distance(spark, folder):
     """Mean distance between the customers of each segment, placed by their nation."""
     t = Tables(spark, folder)
@@ -259,7 +311,14 @@ SELECT c_mktsegment, round(t / (n * (n - 1) / 2), 5) AS mean_km FROM d
 JOIN (SELECT c_mktsegment, count(*)::DOUBLE AS n FROM customer GROUP BY 1) USING (c_mktsegment)"""
 
 
+DISTANCE_MISSING = PAIRWISE_DISTANCE.replace("FROM customer GROUP", "FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 GROUP")
+
+
 QUERIES = {
+    "flags_missing": (flags_missing, FLAGS_MISSING),
+    "medians_missing": (medians_missing, MEDIANS_MISSING),
+    "profile_missing": (profile_missing, PROFILE_MISSING),
+    "distance_missing": (distance_missing, DISTANCE_MISSING),
     "precision_at": (precision_at, _precision_sql(LABELLED, "labelled", _INDEX)),
     "precision_at_ignore_nas": (precision_at_ignore_nas, _precision_sql(SCORED, "scored", _INDEX)),
     "precision_at_share": (precision_at_share, _precision_sql(LABELLED, "labelled", _INDEX_B)),

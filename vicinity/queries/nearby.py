@@ -383,14 +383,14 @@ SELECT parcel_id, inspection_date, round(v, 6) AS avg_value FROM days LEFT JOIN
 def weather_moments(spark, folder):
     t = Tables(spark, folder)
     moments = t.events.select(F.col("user_id").alias("parcel_id"), F.date_trunc("hour", "ts").alias("inspection_date")).distinct()
-    series = t.events.select(F.col("ts").alias("date"), F.when(F.col("value") < 5, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    series = t.events.select(F.col("ts").alias("date"), F.when(F.col("value") < 5, F.lit(float("nan"))).otherwise(F.round(F.col("value") * 100)).alias("value"))
     return rounded(asof.lookback_average(moments, series, "inspection_date", "date", {"avg_value": "value"}, weeks=1)
                    .select("parcel_id", "inspection_date", "avg_value"), ["avg_value"])
 
 
 WEATHER_MOMENTS = """
 WITH moments AS (SELECT DISTINCT user_id AS parcel_id, date_trunc('hour', ts)::TIMESTAMP AS inspection_date FROM events),
-hours AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, sum(value) FILTER (value >= 5) AS s, count(*) FILTER (value >= 5) AS c FROM events GROUP BY 1),
+hours AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h, sum(round(value * 100)) FILTER (value >= 5) AS s, count(*) FILTER (value >= 5) AS c FROM events GROUP BY 1),
 m AS (SELECT inspection_date, sum(s) / sum(c) AS v FROM (SELECT DISTINCT inspection_date FROM moments) d
   JOIN hours ON h < inspection_date AND h >= inspection_date - INTERVAL 7 DAY GROUP BY 1)
 SELECT parcel_id, inspection_date, round(v, 6) AS avg_value FROM moments LEFT JOIN m USING (inspection_date)"""

@@ -27,6 +27,11 @@ def _checked(name: str) -> str:
     return name
 
 
+KEY_COLUMNS = ("parcel_id", "inspection_date", "viol_outcome")
+#: Rows of the population in a bucket, and the property that keeps a namespace's number of buckets.
+ROWS_PER_BUCKET, _BUCKETS = 2_000_000, "buckets"
+
+
 class FeatureStore:
     """Tables in catalog databases, one database per namespace."""
 
@@ -35,22 +40,42 @@ class FeatureStore:
         self.space = _checked(space)
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.space}")
 
+    def set_buckets(self, rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
+        """Number of buckets of the namespace, from the rows of its population; kept with the namespace.
+
+        From then on tables are bucketed by the keys they have, all in this number, so that they are joined
+        with each other and with labels without being shuffled. At least as many as shuffle partitions: Spark
+        would shuffle tables in fewer buckets again.
+        """
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_bucket), 1)
+        self.spark.sql(f"ALTER DATABASE {self.space} SET DBPROPERTIES ('{_BUCKETS}' = '{buckets}')")
+        return buckets
+
+    def buckets(self) -> int | None:
+        """The number set for the namespace, if there is one."""
+        rows = self.spark.sql(f"DESCRIBE DATABASE EXTENDED {self.space}").where("info_name = 'Properties'").collect()
+        found = re.search(rf"\({_BUCKETS},(\d+)\)", rows[0]["info_value"]) if rows else None
+        return int(found.group(1)) if found else None
+
     def _full(self, table: str) -> str:
         return f"{self.space}.{_checked(table)}"
 
     def exists(self, table: str) -> bool:
         return self.spark.catalog.tableExists(self._full(table))
 
-    def write(self, df: DataFrame, table: str, bucket_by: str | list[str] | None = None, buckets: int = 64) -> None:
+    def write(self, df: DataFrame, table: str, bucket_by: str | list[str] | None = None, buckets: int | None = None) -> None:
         """Replace a table.
 
-        Tables bucketed by all keys of a join, in the same number of buckets, are joined without a
-        shuffle; bucketing by fewer keys does not spare it.
+        With a number of buckets given, or set for the namespace, the table is bucketed by ``bucket_by`` or
+        by the keys it has, one file a bucket. Tables bucketed by all keys of a join, in the same number, are
+        joined without a shuffle; bucketing by fewer keys does not spare it.
         """
-        writer = df.write.mode("overwrite").format("parquet")
-        if bucket_by:
-            keys = [bucket_by] if isinstance(bucket_by, str) else bucket_by
-            writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+        buckets = buckets or self.buckets()
+        keys = [bucket_by] if isinstance(bucket_by, str) else bucket_by or [k for k in KEY_COLUMNS[:2] if k in df.columns]
+        if buckets and keys:
+            writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+        else:
+            writer = df.write.mode("overwrite").format("parquet")
         writer.saveAsTable(self._full(table))
 
     def drop(self) -> None:
@@ -87,9 +112,6 @@ def _like(pattern: str, text: str) -> bool:
     return re.fullmatch(rule, text, re.DOTALL) is not None
 
 
-KEY_COLUMNS = ("parcel_id", "inspection_date", "viol_outcome")
-
-
 def select_features(available: list[tuple[str, str]], patterns: list[str]) -> list[tuple[str, str]]:
     """``(table, column)`` pairs matched by ``table.column_like`` patterns, in pattern order, once each."""
     out: list[tuple[str, str]] = []

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from vicinity.operators.spatial import point_edges
+from vicinity.session import stable
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, file_format: str = "parquet",
@@ -26,10 +27,48 @@ def load_new_files(stream: DataFrame, target: str, checkpoint: str) -> Streaming
         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def without_redelivery(stream: DataFrame, keys: list[str], event_time: str, late_by: str) -> DataFrame:
-    """Drop rows delivered again within the watermark (back-filled files)."""
-    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, late_by)
-    return timed.dropDuplicatesWithinWatermark(keys)
+def without_redelivery(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key, however late or old it is: keys stay in the state store and are never forgotten.
+
+    For keys that outgrow a state store use :func:`load_once`, which looks them up in the target.
+    """
+    return stream.dropDuplicates(keys)
+
+
+KEY_BUCKETS = "key_bucket"
+
+
+def load_once(stream: DataFrame, keys: list[str], target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Append rows whose key the target does not hold yet, however late or old they are.
+
+    The target is partitioned by batch and by a hash bucket of the key. A batch
+    reads the keys of only those buckets that it touches, and of rows that share a key within a batch the least
+    (in the order of all columns) is taken. A batch that runs again replaces its own rows.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept = stable(batch.groupBy(*keys).agg(F.min(F.struct(*batch.columns)).alias("row")).select("row.*").withColumn(KEY_BUCKETS, place))
+        earlier = _loaded(spark, target, batch_id)
+        if earlier is not None:
+            touched = sorted(r[0] for r in kept.select(KEY_BUCKETS).distinct().collect())  # at most ``buckets`` numbers
+            known_keys = earlier.where(F.col(KEY_BUCKETS).isin(touched)).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+            kept = kept.join(known_keys, same, "left_anti")
+        kept.write.mode("overwrite").partitionBy(KEY_BUCKETS).parquet(f"{target}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _loaded(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
+    """Rows that earlier batches have loaded; None when there are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+    if not any(n.startswith("batch=") and n != f"batch={batch_id}" for n in names):
+        return None
+    return spark.read.option("basePath", target).parquet(target).where(F.col("batch") < batch_id)
 
 
 def extend_edges(stream: DataFrame, parcels: DataFrame, parcel_id: str, event_id: str, metres: float,
@@ -47,5 +86,5 @@ def extend_edges(stream: DataFrame, parcels: DataFrame, parcel_id: str, event_id
 
 
 def not_loaded_before(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch counterpart of :func:`without_redelivery`: rows whose key is not in the target."""
+    """Batch counterpart of :func:`load_once`: rows whose key is not in the target."""
     return rows.join(target.select(*keys).distinct(), keys, "left_anti")
