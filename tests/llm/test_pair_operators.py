@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("zstandard")
 
@@ -248,3 +249,38 @@ def test_audit(spark):
             assert r["offset"] == before and r["bytes"] == sum(len(t.encode()) for t in a[r["number"]])
     assert warc_fixity.audit(records, records).collect() == []
     assert warc_fixity.audit(records.limit(0), records.limit(0)).collect() == []
+
+
+def test_moved_records_are_found(spark):
+    """The same records in another order or file differ, though every digest is there."""
+    rows = [(n, n >> 10, f"record {n}", 100 * n) for n in range(200)] + [(n, n >> 10, f"record {n}", n) for n in range(1024, 1100)]
+    schema = "number long, file long, record string, offset long"
+    first = spark.createDataFrame(rows, schema).repartition(3)
+
+    def found(change):
+        second = spark.createDataFrame([change(*r) for r in rows], schema).repartition(2)
+        return {r["number"]: r["status"] for r in warc_fixity.audit(first, second).collect()}
+
+    assert found(lambda n, f, t, o: (n, f, t, o)) == {}
+    assert found(lambda n, f, t, o: (n, f, t, o + 7)) == {}                      # shifted as a whole, in the same order
+    assert found(lambda n, f, t, o: (n, f, t, {40: 4100, 41: 4000}.get(n, o))) == {40: "moved", 41: "moved"}
+    across = found(lambda n, f, t, o: (n, f, t, {63: 6400, 64: 6300}.get(n, o)))   # between two nodes
+    assert across and set(across.values()) == {"moved"} and across.keys() <= {63, 64, 65}
+    assert found(lambda n, f, t, o: (n, 1 if n == 70 else f, t, 5000 if n == 70 else o)) == {70: "moved"}
+    assert found(lambda n, f, t, o: (n, f, t + "!" if n == 1030 else t, o)) == {1030: "damaged"}
+    short = first.where("number <> 80")
+    assert [(r["number"], r["status"]) for r in warc_fixity.audit(first, short).collect()] == [(80, "missing")]
+    assert [(r["number"], r["status"]) for r in warc_fixity.audit(short, first).collect()] == [(80, "surplus")]
+    none = first.withColumn("file", F.lit(None).cast("long"))
+    assert warc_fixity.audit(none, none).collect() == []
+    assert {r["file"] for r in warc_fixity.audit(none, none.where("number <> 3")).collect()} == {None}
+
+
+def test_only_differing_branches_are_read(spark):
+    rows = [(n, n >> 10, f"record {n}") for n in range(5000)]
+    first = spark.createDataFrame(rows, "number long, file long, record string").repartition(3)
+    second = first.withColumn("record", F.when(F.col("number") == 2500, "x").otherwise(F.col("record")))
+    levels = warc_fixity.trees(first, second)
+    assert all(lv.count() == 1 for lv in levels[-1])
+    assert [(r["file"], r["node"]) for r in warc_fixity.suspect_nodes(levels).collect()] == [(2, 2500 >> 5)]
+    assert warc_fixity.suspect_nodes(warc_fixity.trees(first, first)).count() == 0

@@ -1,21 +1,28 @@
 """Operator 7: Merkle fixity audit of WARC replicas.
 
-Records are numbered in the order in which they lie in their files, so a range of
-numbers is a range of offsets. A leaf is the digest of a record's bytes; a node
-is the digest of up to ``FANOUT`` neighbouring nodes below, with their places.
-Both replicas' trees are built level by level up to one root; then roots are
-compared and only the children of nodes that differ are looked at, down to the
-records that are damaged, missing or surplus. A node gathers at most ``FANOUT``
-digests, whatever the sizes of files.
-
-Rows: null urls and bodies are empty; records without a number take no part.
-Rows that repeat a number make one leaf of all their digests, and lie one behind
-the other. Two empty replicas agree. Other columns are not read.
+A replica is a set of files with records at offsets. A leaf is the digest of a
+record's bytes. A node covers a range of record numbers of one file, which in an
+intact file is a range of offsets: its digest is made of those below it in the order
+in which they lie in the file, with their numbers and with how many records of other
+nodes lie between them. So a record that is damaged, lost, added or moved changes
+all digests above it. Above the nodes of a file are ranges of files, up to one root.
+
+Each replica's tree is built on its own, leaves inside the lowest nodes. Then
+roots are compared, and of nodes that differ only the children are read, down to
+the records. A node gathers at most ``FANOUT`` digests; records of a file are laid
+in order by one task, as WARC files are cut at about a gigabyte.
+
+Rows: null urls and bodies are empty; records without a number take no part, and
+those without a file are one file. Rows that repeat a number in a file make one
+leaf of all their digests at the first of their offsets. Records without a column ``offset``
+lie in the order of their numbers. Of a moved record all that lie between its old and new
+place in their node are reported too; one that lies in another file is reported once, in the first
+replica's file. Two empty replicas agree. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.llm.common import text_of
@@ -23,7 +30,10 @@ from vicinity.session import stable
 
 #: Bits of the fanout and of the records in a file.
 FANOUT_BITS, FILE_BITS = 5, 10
-DAMAGED, MISSING, SURPLUS = "damaged", "missing", "surplus"
+FANOUT = 1 << FANOUT_BITS
+DAMAGED, MISSING, SURPLUS, MOVED = "damaged", "missing", "surplus", "moved"
+#: Stands for the file of records that have none.
+NO_FILE = -(1 << 62)
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -38,70 +48,110 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """number, bytes and digest of each number's records."""
+    """file, number, bytes, digest, offset and place of each record, rows of a file in one partition."""
+    given = F.col("offset").cast("long") if "offset" in records.columns else F.lit(None).cast("long")
     read = records.where("number is not null").select(
-        "number", F.octet_length("record").cast("long").alias("size"), F.sha2(F.coalesce("record", F.lit("")), 256).alias("d"))
-    return read.groupBy("number").agg(
+        F.coalesce(F.col("file").cast("long"), F.lit(NO_FILE)).alias("file"), "number", given.alias("given"),
+        F.octet_length("record").cast("long").alias("size"), F.sha2(F.coalesce("record", F.lit("")), 256).alias("d"))
+    one = read.repartition("file").groupBy("file", "number").agg(
         F.sum(F.coalesce("size", F.lit(0))).alias("bytes"), F.count("*").alias("rows"), F.min("d").alias("least"),
-        F.max("d").alias("most"), F.bit_xor(F.xxhash64("d")).alias("mixed")).select(
-        "number", "bytes", F.when(F.col("rows") == 1, F.col("least")).otherwise(
-            F.sha2(F.concat_ws("|", F.lit("several"), "rows", "least", "most", "mixed"), 256)).alias("digest"))
-
-
-def both(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Leaves of two replicas side by side: number, bytes_a, bytes_b, a, b."""
-    sides = leaves(first).withColumn("second", F.lit(False)).unionByName(leaves(second).withColumn("second", F.lit(True)))
-    pick = lambda c, side: F.max(F.when(F.col("second") == side, F.col(c)))
-    return sides.groupBy("number").agg(pick("bytes", False).alias("bytes_a"), pick("bytes", True).alias("bytes_b"),
-                                       pick("digest", False).alias("a"), pick("digest", True).alias("b"))
-
-
-def differ() -> Column:
-    return ~F.col("a").eqNullSafe(F.col("b"))
-
-
-def parent_level(level: DataFrame) -> DataFrame:
-    """Nodes one level up: node, a, b."""
-    def digest(side: str) -> Column:
-        kids = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("node", side))))
-        text = F.transform(kids, lambda k: F.concat_ws(":", k["node"].cast("string"), k[side]))
-        return F.when(F.size(kids) > 0, F.sha2(F.concat_ws(",", text), 256)).alias(side)
-    return level.groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(digest("a"), digest("b"))
-
-
-def damaged_leaves(sides: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The numbers whose leaves differ, found from the root down; and the levels, leaves first."""
-    levels = [sides.select(F.col("number").alias("node"), "a", "b")]
-    while True:
-        ends = levels[-1].agg(F.min("node").alias("low"), F.max("node").alias("high")).first()
-        if ends["low"] is None or ends["low"] == ends["high"]:
-            break
-        if ends["low"] < 0 <= ends["high"] and ends["high"] - ends["low"] == 1:
-            break  # -1 and 0 never share an ancestor: two roots
-        levels.append(stable(parent_level(levels[-1])))
-    found = levels[-1].where(differ())
-    for level in reversed(levels[:-1]):
-        below = level.withColumn("parent", F.shiftright("node", FANOUT_BITS))
-        found = below.join(found.select(F.col("node").alias("parent")), "parent", "left_semi").where(differ()).drop("parent")
-    return found, levels
+        F.max("d").alias("most"), F.bit_xor(F.xxhash64("d")).alias("mixed"), F.min("given").alias("given"))
+    digest = F.when(F.col("rows") == 1, F.col("least")).otherwise(
+        F.sha2(F.concat_ws("|", F.lit("several"), "rows", "least", "most", "mixed"), 256))
+    order = Window.partitionBy("file").orderBy(F.col("given").asc_nulls_last(), "number")
+    laid = F.coalesce("given", F.sum("bytes").over(order) - F.col("bytes"))
+    return one.select("file", "number", "bytes", digest.alias("digest"), laid.alias("offset"), (F.row_number().over(order) - 1).alias("place"))
+
+
+def lowest_nodes(records: DataFrame) -> DataFrame:
+    """file, node, digest, place and the leaves (``kids``) of each range of ``FANOUT`` numbers."""
+    node = F.shiftright("number", FANOUT_BITS)
+    kids = F.sort_array(F.collect_list(F.struct("place", "number", "digest", "bytes", "offset")))
+    nodes = leaves(records).groupBy("file", node.alias("node")).agg(kids.alias("kids"))
+    between = F.transform("kids", lambda k, i: F.when(i == 0, 0).otherwise(k["place"] - F.get("kids", i - 1)["place"] - 1))
+    kids = F.zip_with("kids", between, lambda k, gap: F.struct(*[k[c].alias(c) for c in ("place", "number", "digest", "bytes", "offset")], gap.alias("gap")))
+    return stable(nodes.select("file", "node", F.col("kids")[0]["place"].alias("place"), kids.alias("kids")).withColumn(
+        "digest", F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["number"], k["gap"], k["digest"])), ","), 256)))
+
+
+def above(level: DataFrame, keys: list[str], node: Column) -> DataFrame:
+    """The level above: nodes by ``keys``, in the order of their places."""
+    kids = F.sort_array(F.collect_list(F.struct("place", "node", "digest")))
+    text = F.array_join(F.transform(kids, lambda k: F.concat_ws(":", k["node"], k["digest"])), ",")
+    return stable(level.withColumn("_up", node).groupBy(*keys, "_up").agg(F.min("place").alias("place"), F.sha2(text, 256).alias("digest"))
+                  .withColumnRenamed("_up", "node"))
+
+
+def widest(levels: list[DataFrame], keys: list[str]) -> int:
+    """Most nodes, by their numbers, that one more level would have to gather."""
+    spans = [lv.groupBy(*keys).agg((F.max("node") - F.min("node")).alias("n")).agg(F.max("n")).first()[0] for lv in levels]
+    return max((s for s in spans if s is not None), default=0)
+
+
+def trees(first: DataFrame, second: DataFrame) -> list[list[DataFrame]]:
+    """Levels of both replicas' trees, lowest first: nodes of files, the files, ranges of files, and the root."""
+    up = F.shiftright("node", FANOUT_BITS)
+    levels = [[lowest_nodes(side) for side in (first, second)]]
+    while widest(levels[-1], ["file"]) >= FANOUT:
+        levels.append([above(lv, ["file"], up) for lv in levels[-1]])
+    levels.append([above(lv, ["file"], F.lit(0)).select(F.col("file").alias("node"), F.col("file").alias("place"), "digest") for lv in levels[-1]])
+    while widest(levels[-1], []) >= FANOUT:
+        levels.append([above(lv.withColumn("place", F.col("node")), [], up) for lv in levels[-1]])
+    levels.append([above(lv.withColumn("place", F.col("node")), [], F.lit(0)) for lv in levels[-1]])
+    return levels
+
+
+def side_by_side(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows of both replicas with the same keys: ``<column>_a`` and ``<column>_b``, null where a replica has none."""
+    left, right = (df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in columns]) for df, s in ((a, "a"), (b, "b")))
+    return left.join(right, keys, "full")
+
+
+def differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return stable(side_by_side(a, b, keys, ["digest"]).where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).select(*keys))
+
+
+def suspect_nodes(levels: list[list[DataFrame]]) -> DataFrame:
+    """file and node of the lowest nodes that differ, found from the root down; children of equal nodes are not read."""
+    in_file = [k for k, (lv, _) in enumerate(levels) if "file" in lv.columns]
+    found = differing(*levels[-1], ["node"])
+    for k in range(len(levels) - 2, in_file[-1], -1):
+        parent = F.lit(0) if k == len(levels) - 2 else F.shiftright("node", FANOUT_BITS)
+        parents = found.withColumnRenamed("node", "_up")
+        found = differing(*[lv.withColumn("_up", parent.cast("long")).join(parents.withColumn("_up", F.col("_up").cast("long")), "_up", "left_semi")
+                            for lv in levels[k]], ["node"])
+    files = found.withColumnRenamed("node", "file")
+    found = differing(*[lv.join(files, "file", "left_semi") for lv in levels[in_file[-1]]], ["file", "node"])
+    for k in reversed(in_file[:-1]):
+        parents = found.withColumnRenamed("node", "_up")
+        found = differing(*[lv.withColumn("_up", F.shiftright("node", FANOUT_BITS)).join(parents, ["file", "_up"], "left_semi") for lv in levels[k]],
+                          ["file", "node"])
+    return found
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """One row per record that differs: file, number, offset and bytes in the first replica, status, both digests.
 
-    ``first`` and ``second`` have number, file and record. The offset is null for surplus records.
+    ``first`` and ``second`` have number, file and record, and may have offset. The offset is null for surplus records.
     """
-    sides = stable(both(first, second))
-    found, _ = damaged_leaves(sides)
-    file = F.shiftright("number", FILE_BITS)
-    # Offsets only in files with a finding: a running sum over the at most 2**FILE_BITS numbers of a file.
-    found = stable(found.select(F.col("node").alias("number"), F.col("a").alias("digest_a"), F.col("b").alias("digest_b")))
-    touched = found.select(file.alias("file")).distinct()
-    laid = sides.where("a is not null").withColumn("file", file).join(touched, "file", "left_semi").selectExpr(
-        "number", "bytes_a as bytes", "sum(bytes_a) over (partition by file order by number) - bytes_a as offset")
-    status = F.when(F.col("digest_b").isNull(), MISSING).when(F.col("digest_a").isNull(), SURPLUS).otherwise(DAMAGED)
-    return found.join(laid, "number", "left").select(
-        file.alias("file"), "number", "offset", "bytes", status.alias("status"), "digest_a", "digest_b")
+    levels = trees(first, second)
+    suspects = suspect_nodes(levels)
+    sides = [lv.join(suspects, ["file", "node"], "left_semi").select("file", "node", F.inline("kids")) for lv in levels[0]]
+    both = side_by_side(*sides, ["file", "node", "number"], ["place", "digest", "bytes", "offset", "gap"])
+    # A node has at most FANOUT leaves on either side.
+    common = F.col("place_a").isNotNull() & F.col("place_b").isNotNull()
+    rank = lambda side: F.sum(common.cast("int")).over(Window.partitionBy("file", "node").orderBy(F.col(f"place_{side}").asc_nulls_last()))
+    moved = common & ((rank("a") != rank("b")) | (F.col("gap_a") != F.col("gap_b")))
+    status = (F.when(F.col("digest_b").isNull(), MISSING).when(F.col("digest_a").isNull(), SURPLUS)
+              .when(F.col("digest_a") != F.col("digest_b"), DAMAGED).when(moved, MOVED))
+    found = both.withColumn("status", status).where("status is not null")
+    # The same record missing in one file and surplus in another has been moved.
+    same = Window.partitionBy("number", F.coalesce("digest_a", "digest_b"))
+    elsewhere = (F.count(F.when(F.col("status") == MISSING, 1)).over(same) > 0) & (F.count(F.when(F.col("status") == SURPLUS, 1)).over(same) > 0)
+    found = found.withColumn("elsewhere", elsewhere).where(~(F.col("elsewhere") & (F.col("status") == SURPLUS)))
+    return found.select(
+        F.when(F.col("file") != NO_FILE, F.col("file")).alias("file"), "number", F.col("offset_a").alias("offset"), F.col("bytes_a").alias("bytes"),
+        F.when(F.col("elsewhere") & (F.col("status") == MISSING), MOVED).otherwise(F.col("status")).alias("status"), "digest_a", "digest_b")
 
 
 def aged_replica(records: DataFrame) -> DataFrame:
