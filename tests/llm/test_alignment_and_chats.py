@@ -91,7 +91,7 @@ def test_small_books(monkeypatch):
     """The function of a task by itself, with texts over many books."""
     import pyarrow as pa
     import pyspark
-    monkeypatch.setattr(token_alignment, "BOOK_PAIRS", 60)
+    monkeypatch.setattr(token_alignment, "BOOK_GROUPS", 60)
     monkeypatch.setattr(token_alignment, "PART_CHARS", 20)
     monkeypatch.setattr(token_alignment, "ROW_PARTS", 3)
     monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 2})()))
@@ -116,7 +116,8 @@ def test_small_books(monkeypatch):
         pairs = [divmod(code, token_alignment.PAIR) for code in n["pairs"]]
         n["answers"] = [{"count": counts.get(p, 0), "best": counts.get(p, 0) == most.get(p[1])} for p in pairs]
     schema = pa.schema([("book", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
-                        ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.binary()),
+                        ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.binary()),
+                        ("starts", pa.binary()), ("links", pa.binary()),
                         ("answers", pa.list_(pa.struct([("count", pa.int64()), ("best", pa.bool_())])))])
     ordered = sorted(notes, key=lambda n: (n["book"], n["row"] is not None, n["row"] or 0))
     fields = [{k: n.get(k) for k in schema.names} for n in ordered]

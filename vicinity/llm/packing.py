@@ -134,6 +134,14 @@ def word_encoder(path: str, tokenizer):
     return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def byte_level(tokenizer) -> bool:
+    """Whether a tokenizer only cuts the bytes of a text, by the usual pattern and merges."""
+    parts = json.loads(tokenizer.to_str())
+    cutter = parts["pre_tokenizer"] or {}
+    return (parts["normalizer"] is None and parts["post_processor"] is None and cutter.get("type") == "ByteLevel"
+            and not cutter.get("add_prefix_space") and cutter.get("use_regex", True))
+
+
 #: White space before a space: only there a space may belong to the match before it.
 DOUBLE = re.compile(r"\s ")
 
@@ -150,19 +158,21 @@ class Encoder:
     The vocabulary's pattern always ends a match between a character that is not
     white space and a space, so the words between single spaces have ids of their
     own and can be remembered. Texts with doubled white space or with a special
-    string inside are encoded whole by the file's library.
+    string inside are encoded whole by the file's library, as are all texts where
+    the file is not a plain byte-level vocabulary.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordIds(word_encoder(path, self.tokenizer))
+        self.by_words = byte_level(self.tokenizer)
+        self.words = WordIds(word_encoder(path, self.tokenizer)) if self.by_words else None
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if DOUBLE.search(text) or any(s in text for s in self.special):
+        if not self.by_words or DOUBLE.search(text) or any(s in text for s in self.special):
             return packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         first, *others = text.split(" ")
         words = self.words

@@ -6,9 +6,9 @@ id lists go into two dictionaries from end to index; the intersection of their
 keys, sorted, cuts both lists into groups, and inside a group the tokens whose
 byte ranges overlap are linked.
 
-How often a pair of ids is linked is counted by *books*: a task numbers the pairs
-it meets and keeps for each text the numbers of its links. A full book is handed
-over with its pairs and their totals, and a new one begins. Totals are summed over
+How often a pair of ids is linked is counted by *books*: a task numbers the groups
+it meets, with their links, and keeps for each text the numbers of its groups. A full
+book is handed over with its pairs of ids and their totals, and a new one begins. Totals are summed over
 books; a book asks once for each of its pairs, and the answers go to the book, not
 to its documents. So a task holds one book and one text, and what is shuffled for
 the counts are pairs, not links.
@@ -27,8 +27,8 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain, count
 
@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm.common import text_of, tokenizer_path
-from vicinity.llm.packing import byte_signs, word_encoder
+from vicinity.llm.packing import byte_level, byte_signs, word_encoder
 from vicinity.llm.token_counts import SPACE_MARK, splits_at_spaces
 from vicinity.session import stable
 
-#: Pairs of a full book, and groups that a task remembers before it starts anew.
-BOOK_PAIRS, REMEMBERED = 1 << 20, 1 << 17
+#: Groups of a full book.
+BOOK_GROUPS = 1 << 18
 #: Characters of a part that is encoded at once, and parts of a text that go into one row.
 PART_CHARS, ROW_PARTS = 1 << 15, 64
 #: A single space between characters that are neither white space nor the mark of one.
@@ -51,7 +51,7 @@ BETWEEN = re.compile(rf"(?<=[^\s{SPACE_MARK}]) (?=[^\s{SPACE_MARK}])")
 #: A pair of ids as one number: a * PAIR + b.
 PAIR = 1 << 32
 NOTES = ("book long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-         "links binary, pairs array<long>, totals array<long>")
+         "groups binary, pairs array<long>, totals array<long>, starts binary, links binary")
 SUMS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -80,14 +80,6 @@ def overlapping(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]
     return pairs
 
 
-def byte_level(tokenizer) -> bool:
-    """Whether a tokenizer only cuts the bytes of a text, by the usual pattern and merges."""
-    parts = json.loads(tokenizer.to_str())
-    cutter = parts["pre_tokenizer"] or {}
-    return (parts["normalizer"] is None and parts["post_processor"] is None and cutter.get("type") == "ByteLevel"
-            and not cutter.get("add_prefix_space") and cutter.get("use_regex", True))
-
-
 class Pair:
     """Two tokenizers with the bytes of their ids."""
 
@@ -104,8 +96,7 @@ class Pair:
         self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.a_lengths, self.b_lengths = np.array(self.a_sizes), np.array(self.b_sizes)
         # Parts may be taken one by one where no piece crosses a border and the model only puts a space in front.
-        self.by_parts = splits_at_spaces(self.b) and self.b.encode("a  b", out_type=str) == self.b.encode("a", out_type=str) + [
-            SPACE_MARK, SPACE_MARK + "b"] and byte_level(self.a)
+        self.by_parts = splits_at_spaces(self.b) and byte_level(self.a)
         encode = word_encoder(bytes_path, self.a) if self.by_parts else None
         self.a_encode = encode or (lambda text: self.a.encode(text, add_special_tokens=False).ids)
 
@@ -136,80 +127,76 @@ class Pair:
         return common_ends(self.a_lengths[a_ids], self.b_lengths[b_ids])
 
 
-class Groups(dict):
-    """What is written and linked for a group: by its pair number where both sides have one id, else by both sides' ids."""
+class Book(dict):
+    """Numbers of groups, in the order in which they were met: by pair number where both sides have one id, else by both sides' ids."""
 
-    def __init__(self, pair: Pair):
+    def __init__(self, number: int, pair: Pair):
         super().__init__()
-        self.pair = pair
+        self.number, self.pair = number, pair
+        self.texts: list[str] = []
+        self.sizes: list[int] = []
+        self.links, self.starts = array("q"), array("q", [0])
+        self.seen = np.zeros(1024, np.int64)
+
+    def full(self) -> bool:
+        return len(self) >= BOOK_GROUPS or len(self.links) >= 4 * BOOK_GROUPS
 
-    def __missing__(self, group: int | tuple) -> str | tuple[str, list[int]]:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def __missing__(self, group: int | tuple) -> int:
         if isinstance(group, int):
-            self[group] = found = "{}|{}".format(*divmod(group, PAIR))
+            self.texts.append("{}|{}".format(*divmod(group, PAIR)))
+            self.links.append(group)
         else:
             a, b = group
-            links = overlapping([self.pair.a_sizes[i] for i in a], [self.pair.b_sizes[i] for i in b])
-            self[group] = found = f"{','.join(map(str, a))}|{','.join(map(str, b))}", [a[x] * PAIR + b[y] for x, y in links]
-        return found
+            self.texts.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+            pairs = overlapping([self.pair.a_sizes[i] for i in a], [self.pair.b_sizes[i] for i in b])
+            self.links.extend(a[x] * PAIR + b[y] for x, y in pairs)
+        self.sizes.append(len(self.links) - self.starts[-1])
+        self.starts.append(len(self.links))
+        self[group] = number = len(self)
+        return number
 
-    def of(self, a_ids: list[int], b_ids: list[int]) -> tuple[int, str, list[int]]:
-        """Number of groups, their text, and the links, each list sliced at the common ends."""
+    def groups(self, a_ids: list[int], b_ids: list[int]) -> list[int]:
+        """Numbers of the groups: both lists sliced at their common ends."""
         a, b = np.array(a_ids), np.array(b_ids)
         p, q = self.pair.cuts(a, b)
-        single = (np.diff(p) == 1) & (np.diff(q) == 1)
-        links = (a[p[:-1]] * PAIR + b[q[:-1]]).tolist()
-        many = np.flatnonzero(~single)
-        if not len(many):
-            return len(links), ";".join(map(self.__getitem__, links)), links
-        slices = [self[tuple(a_ids[i:e]), tuple(b_ids[j:f])] for i, e, j, f in zip(
-            p[many].tolist(), p[many + 1].tolist(), q[many].tolist(), q[many + 1].tolist())]
-        texts, own, at = [], [], 0
-        for k, (text, found) in zip(many.tolist(), slices):
-            texts += map(self.__getitem__, links[at:k])
-            texts.append(text)
-            own += links[at:k]
-            own += found
-            at = k + 1
-        texts += map(self.__getitem__, links[at:])
-        return len(links), ";".join(texts), own + links[at:]
-
-
-class Book(dict):
-    """Numbers of pairs, in the order in which they were met, and how often each was linked."""
-
-    def __init__(self, number: int):
-        super().__init__()
-        self.number, self.seen = number, np.zeros(1024, np.int64)
-
-    def __missing__(self, pair: int) -> int:
-        self[pair] = number = len(self)
-        return number
-
-    def take(self, links: list[int]) -> bytes:
-        """The numbers of the links, counted: two bytes each while they suffice, else four."""
-        numbers = np.fromiter(map(self.__getitem__, links), np.int64, len(links))
+        keys = (a[p[:-1]] * PAIR + b[q[:-1]]).tolist()
+        many = np.flatnonzero((np.diff(p) > 1) | (np.diff(q) > 1))
+        for k, i, e, j, f in zip(many.tolist(), *(x.tolist() for x in (p[many], p[many + 1], q[many], q[many + 1]))):
+            keys[k] = tuple(a_ids[i:e]), tuple(b_ids[j:f])
+        return list(map(self.__getitem__, keys))
+
+    def take(self, numbers: list[int]) -> tuple[int, bytes]:
+        """How many links the groups have, and their numbers, counted: two bytes each while they suffice, else four."""
+        found = np.array(numbers, np.int64)
         if len(self) > len(self.seen):
             self.seen = np.concatenate([self.seen, np.zeros(2 * len(self) - len(self.seen), np.int64)])
-        np.add.at(self.seen, numbers, 1)
-        return numbers.astype(np.uint16 if len(self) <= 1 << 16 else np.uint32).tobytes()
+        np.add.at(self.seen, found, 1)
+        return sum(map(self.sizes.__getitem__, numbers)), found.astype(np.uint16 if len(self) <= 1 << 16 else np.uint32).tobytes()
 
     def note(self) -> dict:
-        return {"book": self.number, "pairs": list(self), "totals": self.seen[:len(self)].tolist()}
+        """The book's own row: each pair once with its total, and each group's links as places among the pairs."""
+        links, starts = np.array(self.links, np.int64), np.array(self.starts, np.int64)
+        pairs, places = np.unique(links, return_inverse=True)
+        totals = np.zeros(len(pairs), np.int64)
+        np.add.at(totals, places, np.repeat(self.seen[:len(self)], np.diff(starts)))
+        return {"book": self.number, "pairs": pairs.tolist(), "totals": totals.tolist(),
+                "starts": starts.tobytes(), "links": places.astype(np.int32).tobytes()}
 
 
 def take_notes(bytes_path: str, pieces_path: str):
     """mapInArrow function: rows of documents, or of their parts, with numbered links, and rows of books."""
     schema = pa.schema([("book", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
-                        ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.binary()),
-                        ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
+                        ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.binary()),
+                        ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64())), ("starts", pa.binary()), ("links", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         pair = Pair(bytes_path, pieces_path)
-        groups = Groups(pair)
-        book = Book(TaskContext.get().partitionId() << 32)
+        book = Book(TaskContext.get().partitionId() << 32, pair)
+
+        def part(row: int, doc_id: int | None, n_a: int, n_b: int, groups: list[int], sha: str) -> dict:
+            n_links, numbers = book.take(groups)
+            return dict(zip(schema.names, (book.number, row, doc_id, n_a, n_b, len(groups), n_links, sha, numbers)))
 
         def aligned(row: int, doc_id: int | None, text: str) -> Iterator[dict]:
             """Rows of one text; the last one has its digest. Nothing is counted before all of the text is known to fit."""
@@ -217,40 +204,44 @@ def take_notes(bytes_path: str, pieces_path: str):
             parts = pair.parts(text)
             if len(parts) > ROW_PARTS and not all(pair.ids(part) for part in parts):
                 parts = []
-            digest, numbers, links = hashlib.sha256(), [0, 0, 0, 0], []
-            for k, part in enumerate(parts):
+            digest, n_a, n_b, groups = hashlib.sha256(), 0, 0, []
+            for k, some in enumerate(parts):
                 if k and k % ROW_PARTS == 0:
-                    yield dict(zip(schema.names, (book.number, row, doc_id, *numbers, "", book.take(links))))
-                    numbers, links = [0, 0, 0, 0], []
-                    if len(book) >= BOOK_PAIRS:
+                    yield part(row, doc_id, n_a, n_b, groups, "")
+                    n_a, n_b, groups = 0, 0, []
+                    if book.full():
                         yield book.note()
-                        book = Book(book.number + 1)
-                ids = pair.ids(part)
+                        book = Book(book.number + 1, pair)
+                ids = pair.ids(some)
                 if ids is None:
-                    parts, numbers, links = [], [0, 0, 0, 0], []
+                    parts, n_a, n_b, groups = [], 0, 0, []
                     break
-                n_groups, written, found = groups.of(*ids)
-                digest.update(((";" if k else "") + written).encode())
-                numbers = [n + more for n, more in zip(numbers, (len(ids[0]), len(ids[1]), n_groups, len(found)))]
-                links += found
-            sha = digest.hexdigest() if parts else ""
-            yield dict(zip(schema.names, (book.number, row, doc_id, *numbers, sha, book.take(links))))
+                found = book.groups(*ids)
+                digest.update(((";" if k else "") + ";".join(map(book.texts.__getitem__, found))).encode())
+                n_a, n_b, groups = n_a + len(ids[0]), n_b + len(ids[1]), groups + found if groups else found
+            yield part(row, doc_id, n_a, n_b, groups, digest.hexdigest() if parts else "")
 
         for batch in batches:
             out = []
             for row, doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 out += aligned(row, doc_id, cell.as_py())
-                if len(book) >= BOOK_PAIRS:
+                if book.full():
                     out.append(book.note())
-                    book = Book(book.number + 1)
+                    book = Book(book.number + 1, pair)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
         yield pa.RecordBatch.from_pylist([book.note()], schema)
     return run
 
 
+def per_segment(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of values between neighbouring starts."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values)])
+    return total[starts[1:]] - total[starts[:-1]]
+
+
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A book's answers come before its documents, whose links are looked up in them."""
+    """A book's answers come before its documents: the sums of each group, then those of each document."""
     of = counts = best = None
     names = ("book", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     for batch in batches:
@@ -258,14 +249,16 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (book, row, doc_id, *numbers, sha) in enumerate(zip(*columns)):
             if row is None:
                 answers = batch.column("answers")[k].values
-                of, counts, best = book, answers.field("count").to_numpy(), answers.field("best").to_numpy(zero_copy_only=False).astype(np.int64)
+                each, sure = answers.field("count").to_numpy(), answers.field("best").to_numpy(zero_copy_only=False).astype(np.int64)
+                starts, links = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("starts", np.int64), ("links", np.int32)))
+                of, counts, best = book, per_segment(each[links], starts), per_segment(sure[links], starts)
                 continue
             n_best = count_sum = 0
-            if numbers[-1]:
+            if numbers[2]:
                 assert of == book, "the book of a document must come before it"
-                data = batch.column("links")[k].as_py()
-                links = np.frombuffer(data, np.uint16 if len(data) == 2 * numbers[-1] else np.uint32)
-                n_best, count_sum = int(best[links].sum()), int(counts[links].sum())
+                data = batch.column("groups")[k].as_py()
+                groups = np.frombuffer(data, np.uint16 if len(data) == 2 * numbers[2] else np.uint32)
+                n_best, count_sum = int(best[groups].sum()), int(counts[groups].sum())
             out.append((row, doc_id, *numbers, n_best, count_sum, sha))
         if out:
             kinds = [pa.int64()] * 8 + [pa.string()]

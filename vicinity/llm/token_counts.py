@@ -33,8 +33,10 @@ SAFE = re.compile(r"[!-~] (?=[!-~])")
 
 
 def splits_at_spaces(processor) -> bool:
-    """Whether no piece of the vocabulary has a space after another character."""
-    return all(SPACE_MARK not in processor.id_to_piece(i).lstrip(SPACE_MARK) for i in range(processor.get_piece_size()))
+    """Whether no piece of the vocabulary has a space after another character, and a space is all that is put before a text."""
+    one = processor.encode("a", out_type=str)
+    plain = processor.encode("a  a", out_type=str) == one + [SPACE_MARK] + one and one[0].startswith(SPACE_MARK)
+    return plain and all(SPACE_MARK not in processor.id_to_piece(i).lstrip(SPACE_MARK) for i in range(processor.get_piece_size()))
 
 
 def parts_of(text: str, most: int = LONG_TEXT) -> list[str]:
