@@ -227,9 +227,43 @@ def test_plane_projection_against_the_zone_origin(spark):
     assert (p["x"], p["y"]) == (pytest.approx(1968500.0, abs=1e-3), pytest.approx(0.0, abs=1e-3))
 
 
+def test_forests_keep_small_nodes_whole(spark):
+    """No node with fewer rows than asked is split, and what lies above such nodes is as it was."""
+    rows = spark.range(400).select((F.col("id") % 7).cast("double").alias("a"), ((F.col("id") * 13) % 11).cast("double").alias("b"),
+                                   ((F.col("id") % 7 + F.col("id") % 3) > 5).cast("int").alias("viol_outcome"))
+    ready = models.prepared(rows, ["a", "b"])
+    runs = [("RandomForestClassifier", {"n_estimators": 4, "max_depth": 6, "min_samples_split": n}) for n in (2, 60, 10_000)]
+    grown, cut, roots = models.fit_many(ready, runs, seed=5, side_by_side=3)
+
+    def nodes(node, count):
+        yield node.numDescendants(), count(node)
+        if node.numDescendants():
+            yield from nodes(node.leftChild(), count)
+            yield from nodes(node.rightChild(), count)
+
+    count = lambda node: sum(node.impurityStats().stats())
+    for whole, part, root in zip(*([t._call_java("rootNode") for t in m.trees] for m in (grown, cut, roots))):
+        assert root.numDescendants() == 0
+        assert all(n >= 60 for inner, n in nodes(part, count) if inner)
+        assert sum(1 for inner, n in nodes(part, count) if inner) == sum(1 for inner, n in nodes(whole, count) if inner and n >= 60)
+    scores = [models.score_features(m, ready.rows, ["label"]).agg(F.avg("prediction")).first()[0] for m in (grown, cut)]
+    assert 0 < scores[0] < 1 and abs(scores[0] - scores[1]) < 0.2
+
+
+def test_svm_gives_chances(spark):
+    rows = spark.range(300).select((F.col("id") % 50).cast("double").alias("a"), F.when(F.col("id") % 50 + F.col("id") % 9 > 28, 1).otherwise(0).alias("viol_outcome"))
+    fitted = models.fit(rows, ["a"], "SVC", {"C": 1.0})
+    scored = models.score(fitted, rows, ["a"], ["a", "viol_outcome"]).collect()
+    assert all(0 <= r["prediction"] <= 1 for r in scored)
+    mean = lambda y: [r["prediction"] for r in scored if r["viol_outcome"] == y]
+    assert sum(mean(1)) / len(mean(1)) > 0.8 and sum(mean(0)) / len(mean(0)) < 0.2
+    alone = models.fit(rows.where("viol_outcome = 1").limit(30).unionByName(rows.where("viol_outcome = 0").limit(1)), ["a"], "SVC", {"C": 1.0})
+    assert alone[1].slope is None
+
+
 def test_runs_are_logged_as_they_are_run():
     deep = [("RandomForestClassifier", {"max_depth": d, "min_samples_split": m}) for d in (20, 50, 100) for m in (2, 5)]
-    assert models.runnable(deep) == [("RandomForestClassifier", {"max_depth": 20}), ("RandomForestClassifier", {"max_depth": 30})]
+    assert models.runnable(deep) == [("RandomForestClassifier", {"max_depth": d, "min_samples_split": m}) for d in (20, 30) for m in (2, 5)]
     with pytest.raises(ValueError):
         models.estimator("RandomForestClassifier", {"max_depth": 50}, 10)
     assert models.estimator("RandomForestClassifier", {}, 10).getMaxDepth() == 30

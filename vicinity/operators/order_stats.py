@@ -205,8 +205,8 @@ def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     rows = stable(df).withColumn("_row", F.monotonically_increasing_id())
     cells = F.array(*[F.struct(F.lit(i).alias("metric"), known(df, c).cast("double").alias("v")) for i, c in enumerate(columns)])
-    long = rows.select("_row", F.struct(*[F.col(c) for c in df.columns]).alias("_whole"), F.inline(cells)).select(
-        "metric", "v", "_row", F.when(F.col("metric") == 0, F.col("_whole")).alias("_whole"))
+    # Only numbers are laid out; the rows themselves meet their ranks once, by row.
+    long = rows.select("_row", F.inline(cells))
     placed = _placed(long, [F.col("metric"), F.col("v").asc_nulls_last(), F.col("_row")])
     run = Window.partitionBy("_part", "metric", "v")
     runs = placed.withColumn("_run", F.min("_seq").over(run))
@@ -227,9 +227,9 @@ def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         .select("metric", "_part", "lead", "before", "goes_on", "carried")
     own = F.col("before") + F.col("_run") - F.col("lead")
     place = F.when(F.col("goes_on") & (F.col("_run") == F.col("lead")), F.col("carried")).otherwise(own) + 1
-    ranked = runs.join(parts, ["metric", "_part"]).select("_row", "metric", "_whole", place.alias("_rank"))
+    ranked = runs.join(parts, ["metric", "_part"]).select("_row", "metric", place.alias("_rank"))
     ranks = [F.max(F.when(F.col("metric") == i, F.col("_rank"))).alias(f"{c}_rank") for i, c in enumerate(columns)]
-    return ranked.groupBy("_row").agg(F.first("_whole", ignorenulls=True).alias("_whole"), *ranks).select("_whole.*", *[f"{c}_rank" for c in columns])
+    return rows.join(ranked.groupBy("_row").agg(*ranks), "_row").drop("_row")
 
 
 def percentile_of_score(df: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.session import stable
+
+#: Lists that meet as many others in one task.
+BLOCK_LISTS = 1000
+
 
 def list_overlap(lists: DataFrame, list_id: str, member: str, jaccard: bool = False) -> DataFrame:
     """Overlap of every pair of lists: ``(list_a, list_b, shared, similarity)``, both ways.
@@ -21,14 +26,15 @@ def list_overlap(lists: DataFrame, list_id: str, member: str, jaccard: bool = Fa
         .select("list_a", F.explode("_lists").alias("list_b"))
         .groupBy("list_a", "list_b").agg(F.count(F.lit(1)).alias("shared"))
     )
-    named = sizes.select(list_id)
-    grid = named.groupBy().agg(F.array_sort(F.collect_set(list_id)).alias("_all")) \
-        .select(F.explode("_all").alias("list_a"), "_all").select("list_a", F.explode("_all").alias("list_b"))
-    full = (
-        grid.join(pairs, ["list_a", "list_b"], "left").fillna(0, subset=["shared"])
-        .join(sizes.select(F.col(list_id).alias("list_a"), F.col("_n").alias("_na")), "list_a")
-        .join(sizes.select(F.col(list_id).alias("list_b"), F.col("_n").alias("_nb")), "list_b")
-    )
+    sizes = stable(sizes)
+    blocks = -(-sizes.count() // BLOCK_LISTS)
+    own = F.pmod(F.xxhash64(list_id), F.lit(max(blocks, 1))).cast("int")
+    # All pairs are the result: blocks of lists meet blocks of lists.
+    left = sizes.select(F.col(list_id).alias("list_a"), F.col("_n").alias("_na"), own.alias("_i"),
+                        F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("_j"))
+    right = sizes.select(F.col(list_id).alias("list_b"), F.col("_n").alias("_nb"), own.alias("_j"),
+                         F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("_i"))
+    full = left.join(right, ["_i", "_j"]).join(pairs, ["list_a", "list_b"], "left").fillna(0, subset=["shared"])
     first = F.when(F.col("list_a") <= F.col("list_b"), F.col("_na")).otherwise(F.col("_nb"))
     whole = F.col("_na") + F.col("_nb") - F.col("shared") if jaccard else first
     return full.select("list_a", "list_b", "shared", (F.col("shared") / whole).alias("similarity"))

@@ -303,7 +303,7 @@ def quarter(ctx: Context) -> DataFrame:
 
 def crime_agg(ctx: Context) -> DataFrame:
     """Monthly event rates per tract over one and three years, for all events and gun events."""
-    who = ctx.population.select(*KEYS).join(ctx.tables["parcel_areas"].select("parcel_id", "tract"), "parcel_id")
+    who = ctx.population.select(*KEYS).distinct().join(ctx.tables["parcel_areas"].select("parcel_id", "tract"), "parcel_id")
     out = None
     for suffix, rule in (("", F.lit(True)), ("_guns", F.col("weapon").like("%GUN%"))):
         for years in (1, 3):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from datetime import datetime
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vicinity.operators.evaluate import precision_at
 from vicinity.operators.order_stats import numbered, top_per_group
-from vicinity.session import stable
+from vicinity.session import checkpoint_dir, stable
 
 # Parameter grids per size.
 GRIDS: dict[str, dict[str, dict[str, list]]] = {
@@ -89,12 +90,10 @@ def used_parameters(name: str, params: dict) -> dict:
     """The parameters as Spark ML will really use them, which is what the run log must say.
 
     A forest without a depth grows as deep as Spark allows, and so does one asked to go deeper.
-    Spark has no least number of rows for a split; that parameter is left out.
     """
     used = dict(params)
     if name == "RandomForestClassifier":
         used["max_depth"] = min(used.get("max_depth") or DEEPEST, DEEPEST)
-        used.pop("min_samples_split", None)
     if name == "GradientBoostingClassifier":
         used["max_depth"] = min(used.get("max_depth") or 3, DEEPEST)
     return used
@@ -115,14 +114,16 @@ def estimator(name: str, params: dict, rows: int, seed: int = 0):
 
     Takes parameters that Spark can follow (``used_parameters``) and refuses others.
     """
-    if params != {**params, **used_parameters(name, params)} and ("max_depth" in params or "min_samples_split" in params):
+    if "max_depth" in params and params != {**params, **used_parameters(name, params)}:
         raise ValueError(f"Spark cannot follow {params} for {name}; see used_parameters")
     params = used_parameters(name, params)
     common = {"featuresCol": "features", "labelCol": "label"}
     if name == "RandomForestClassifier":
-        return RandomForestClassifier(
+        forest = RandomForestClassifier(
             numTrees=params.get("n_estimators", 10), maxDepth=params["max_depth"], impurity=params.get("criterion", "gini"),
             featureSubsetStrategy=params.get("max_features", "sqrt"), seed=seed, **common)
+        least = params.get("min_samples_split", 2)
+        return SplitSize(forest, least) if least > 2 else forest
     if name == "GradientBoostingClassifier":
         return GBTClassifier(maxIter=params.get("n_estimators", 100), stepSize=params.get("learning_rate", 0.1),
                              subsamplingRate=params.get("subsample", 1.0), maxDepth=params["max_depth"], seed=seed, **common)
@@ -138,6 +139,56 @@ def estimator(name: str, params: dict, rows: int, seed: int = 0):
     raise ValueError(f"unknown model {name!r}")
 
 
+class SplitSize:
+    """A forest whose nodes are split only with ``least`` rows of their tree's sample or more.
+
+    Trees grow from the top and a node's split does not depend on what lies
+    below, so cutting the grown trees back to the rule gives the trees that would have been grown under it.
+    """
+
+    def __init__(self, forest: RandomForestClassifier, least: int):
+        self.forest, self.least = forest, least
+
+    def fit(self, df: DataFrame) -> RandomForestClassificationModel:
+        return cut_back(df.sparkSession, self.forest.fit(df), self.least)
+
+
+def cut_back(spark: SparkSession, model: RandomForestClassificationModel, least: int) -> RandomForestClassificationModel:
+    """The forest with leaves in place of nodes that hold fewer than ``least`` rows, by way of its stored form.
+
+    The driver holds a fitted forest anyway; its nodes are rewritten there, tree by tree.
+    """
+    home = f"{checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
+    model.write().save(f"{home}/grown")
+    stored = spark.read.parquet(f"{home}/grown/data")
+    trees: dict[int, dict[int, dict]] = {}
+    for r in stored.collect():
+        trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"].asDict(recursive=True)
+    rows = []
+    for tree, nodes in sorted(trees.items()):
+        todo, kept = [(0, None, "")], []
+        while todo:
+            old, parent, side = todo.pop()
+            node, new = nodes[old], len(kept)
+            kept.append(node)
+            node["id"] = new
+            if parent is not None:
+                parent[side] = new
+            left, right = node["leftChild"], node["rightChild"]
+            if left >= 0 and node["rawCount"] >= least:
+                todo += [(right, node, "rightChild"), (left, node, "leftChild")]  # numbered from the left
+            else:
+                node.update(leftChild=-1, rightChild=-1, gain=-1.0, split={"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1})
+        rows += [(tree, node) for node in kept]
+    spark.createDataFrame(rows, stored.schema).coalesce(1).write.parquet(f"{home}/cut/data")
+    spark.read.parquet(f"{home}/grown/treesMetadata").coalesce(1).write.parquet(f"{home}/cut/treesMetadata")
+    spark.read.text(f"{home}/grown/metadata").coalesce(1).write.text(f"{home}/cut/metadata")
+    cut = RandomForestClassificationModel.load(f"{home}/cut")
+    place = spark._jvm.org.apache.hadoop.fs.Path(home)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return cut
+
+
 class SvmWithChances:
     """A linear SVM on all rows, and a sigmoid from margins to probabilities.
 
@@ -272,6 +323,10 @@ def prepare(train: DataFrame, columns: list[str]) -> PipelineModel:
     return PipelineModel(stages=[*fitted.stages, widen])
 
 
+#: Rows from which a fit's data has one more task.
+ROWS_PER_TASK = 20_000
+
+
 @dataclass(frozen=True)
 class Prepared:
     """A training set that many models share: the fitted preparation, and the stored features and labels."""
@@ -291,7 +346,9 @@ def prepared(train: DataFrame, columns: list[str], label: str = "viol_outcome")
     rows = train.where(F.col(label).isNotNull())
     prep = prepare(rows, columns)
     ready = stable(prep.transform(_doubles(rows, columns)).select("features", F.col(label).cast("double").alias("label")))
-    return Prepared(prep, columns, ready, ready.count())
+    count = ready.count()
+    # Iterations over few rows should not pay for many tasks.
+    return Prepared(prep, columns, ready.coalesce(max(1, -(-count // ROWS_PER_TASK))), count)
 
 
 def fit_many(ready: Prepared, runs: list[tuple[str, dict]], seed: int = 0, side_by_side: int = 4) -> Iterator:
@@ -392,6 +449,11 @@ def flatten(nested: dict, prefix: str = "") -> dict:
     return out
 
 
+def parameters_text(params: dict) -> str:
+    """Settings as the run log holds them."""
+    return json.dumps(flatten(params), sort_keys=True)
+
+
 def run_row(spark: SparkSession, run_id: str, experiment: str, name: str, params: dict, config: dict,
             scored: DataFrame) -> DataFrame:
     """One log row: settings as JSON and precision and cut-off at 1, 5, 10 and 20 percent."""
@@ -400,8 +462,7 @@ def run_row(spark: SparkSession, run_id: str, experiment: str, name: str, params
         F.max(F.when(F.col("share") == p / 100, F.col(c))).alias(f"{n}_at_{p}")
         for p in (1, 5, 10, 20) for c, n in (("precision", "prec"), ("cutoff", "cutoff"))])
     fixed = {"run_id": run_id, "experiment": experiment, "name": name,
-             "parameters": json.dumps(flatten(params), sort_keys=True),
-             "config": json.dumps(flatten(config), sort_keys=True),
+             "parameters": parameters_text(params), "config": parameters_text(config),
              "start_date": config.get("start_date"), "fake_today": config.get("fake_today")}
     return wide.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *wide.columns)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nearby", "history", "ranking", "evaluation", "cleaning", "datasets", "shapes", "stores")
+MODULES = ("nearby", "history", "ranking", "evaluation", "cleaning", "datasets", "shapes", "stores", "experiments")
 
 
 def catalogue() -> dict:

@@ -321,7 +321,7 @@ def parcel_info(spark, folder):
     areas = t.customer.select(F.col("c_custkey").alias("parcel_id"), F.lower("c_mktsegment").alias("addrst"),
                               F.col("c_nationkey").cast("string").alias("addrno"), F.lit(None).cast("string").alias("addrsf"),
                               F.col("c_nationkey").alias("tract"))
-    events = t.orders.where("o_orderstatus = 'F'").select(
+    events = t.orders.select(
         F.col("o_custkey").alias("parcel_id"), F.col("o_orderdate").alias("date"),
         F.col("o_orderstatus").alias("comp_type"), F.col("o_orderpriority").alias("event"))
     return population.parcel_info(parcels, areas, events).withColumn("residential", F.col("residential").cast("int"))
@@ -329,7 +329,7 @@ def parcel_info(spark, folder):
 
 PARCEL_INFO = """
 WITH l AS (SELECT o_custkey, o_orderdate, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
-  ORDER BY o_orderdate DESC, o_orderpriority) AS rn FROM orders WHERE o_orderstatus = 'F') WHERE rn = 1)
+  ORDER BY o_orderdate DESC, o_orderpriority) AS rn FROM orders) WHERE rn = 1)
 SELECT c_custkey AS parcel_id, CASE WHEN c_custkey % 200 + 400 = 423 OR c_custkey % 200 + 400 >= 500 THEN 1 ELSE 0 END AS residential,
   c_nationkey AS tract, c_nationkey || ' ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || '  ' AS address,
   o_orderdate AS last_interaction, o_orderstatus AS last_interaction_type, o_orderpriority AS last_interaction_event

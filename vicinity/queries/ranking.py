@@ -327,13 +327,13 @@ def address_backfill(spark, folder):
     t = Tables(spark, folder)
     rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"),
                            F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("address_id"))
-    lookup = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), (-F.col("c_custkey")).alias("address_id"))
+    lookup = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, -F.col("c_custkey")).alias("address_id"))
     return dedupe.backfill(rows, lookup, ["k"], "address_id").withColumn("address_id", F.coalesce("address_id", F.lit(0)))
 
 
 ADDRESS_BACKFILL = """
-SELECT o_orderkey, o_custkey AS k, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END, -c_custkey, 0) AS address_id
-FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0"""
+SELECT o_orderkey, o_custkey AS k, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END, CASE WHEN c_acctbal > 0 THEN -c_custkey END, 0) AS address_id
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
 
 
 def surrogate_keys(spark, folder):
