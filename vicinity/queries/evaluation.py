@@ -274,13 +274,13 @@ WITH {_GAPPED} SELECT id, coalesce(label, (SELECT median(label) FROM gapped))::D
 
 def profile_missing(spark, folder):
     out = profile.column_profile(_gapped(Tables(spark, folder)), ["score", "label"], [])
-    return rounded(out.drop("top", "freq"), ["mean", "std", "missing"], 3)
+    return rounded(rounded(out.drop("top", "freq"), ["mean", "std", "missing"], 3), ["q25", "q50", "q75"], 5)
 
 
 PROFILE_MISSING = f"""
 WITH {_GAPPED} {' UNION ALL '.join(f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg(({c} IS NULL)::INT), 3) AS missing,
   count(DISTINCT {c}) AS "distinct", round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
-  quantile_cont({c}, 0.25)::DOUBLE AS q25, quantile_cont({c}, 0.5)::DOUBLE AS q50, quantile_cont({c}, 0.75)::DOUBLE AS q75 FROM gapped""" for c in ("score", "label"))}"""
+  round(quantile_cont({c}, 0.25)::DOUBLE, 5) AS q25, round(quantile_cont({c}, 0.5)::DOUBLE, 5) AS q50, round(quantile_cont({c}, 0.75)::DOUBLE, 5) AS q75 FROM gapped""" for c in ("score", "label"))}"""
 
 
 def distance_missing(spark, folder):
