@@ -20,6 +20,7 @@ from vicinity.operators.asof import Measure
 from vicinity.operators.levels import group_code, level_of
 from vicinity.operators.order_stats import with_ranks
 from vicinity.operators.pivot import classes_of, clean_name, level_measures, text_categories
+from vicinity.operators.spatial import NearPoints
 from vicinity.sources.store import table_name
 
 KEYS = ["parcel_id", "inspection_date"]
@@ -31,8 +32,8 @@ class Context:
 
     population: DataFrame                     # parcel_id, inspection_date
     tables: dict[str, DataFrame] = field(default_factory=dict)
-    edges: DataFrame | None = None            # parcel_id, address_id, dist_m
-    event_edges: DataFrame | None = None      # parcel_id, event_id, dist_m
+    edges: DataFrame | NearPoints | None = None        # parcel_id, address_id, dist_m, or the points
+    event_edges: DataFrame | NearPoints | None = None  # parcel_id, event_id, dist_m, or the points
     months: int = 3
     metres: float = 1000
     empty: str = "drop"
@@ -59,7 +60,7 @@ class Mean:
         return F.try_divide(F.col(f"_s_{self.name}").cast("double"), F.col(f"_n_{self.name}")).alias(self.name)
 
 
-def event_features(ctx: Context, events: DataFrame, place: str, when: str, edges: DataFrame,
+def event_features(ctx: Context, events: DataFrame, place: str, when: str, edges: DataFrame | NearPoints,
                    means: list[Mean] | None = None, sums: list[Measure] | None = None,
                    categories: dict[str, Column] | None = None, levels_from: DataFrame | None = None,
                    deviation: dict[str, Column] | None = None, bounded: bool = True,
@@ -232,8 +233,8 @@ def neighborhood_score(population: DataFrame, inspections: DataFrame, parcels: D
     plain = ["violations", "non_violations", "inspections"]
     later = Window.partitionBy("parcel_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
     single = single.withColumns({f"_next_{c}": F.min(F.when(F.col(c) > 0, F.col("at"))).over(later) for c in plain})
-    last = lambda c: (F.col(c) > 0) & (F.col(f"_next_{c}").isNull() | (F.col(f"_next_{c}") >= F.col("_d")))
-    measures = [*[Measure(c, F.col(c)) for c in plain], *[Measure(f"unique_{c}", last(c).cast("int")) for c in plain]]
+    last = lambda c: Measure(f"unique_{c}", (F.col(c) > 0).cast("int"), until=F.col(f"_next_{c}"))
+    measures = [*[Measure(c, F.col(c)) for c in plain], *[last(c) for c in plain]]
     counts = asof.totals_around(population.join(known, "parcel_id"), single.join(known, "parcel_id"), "parcel_id",
                                 "inspection_date", "at", measures, months, metres)
     who = known.join(population.select("parcel_id").distinct(), "parcel_id", "left_semi")
