@@ -93,3 +93,22 @@ def test_neighbourhood_counts_no_pairs(spark, monkeypatch):
                               "x long, y long, t timestamp_ntz, u timestamp_ntz")
     got = A.totals_around(v, e, "id", "d", "t", [Measure("n", F.lit(1)), Measure("last", F.lit(1), until=F.col("u"))], 1, 20)
     assert sorted(tuple(r)[2:] for r in got.collect()) == [(2, 1)] * 9
+
+
+def test_polygon_edges_measure_a_place_once(spark, monkeypatch):
+    """Fifty points of one place are one distance; what lies outside the grown box is not measured."""
+    asked = []
+    monkeypatch.setattr(spatial, "with_distance_to", lambda df, real=spatial.with_distance_to: asked.append(df) or real(df))
+    square = spark.createDataFrame([("s", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)])], "name string, ring array<struct<x:double,y:double>>")
+    points = [(i, 12, 5) for i in range(50)] + [(50, 5, 5), (51, 40, 40), (52, None, 5), (50, 5, 5)]
+    got = spatial.polygon_point_edges(square, spark.createDataFrame(points, "id long, x long, y long"), "name", "id", 2, 100)
+    got = sorted((r["id"], round(r["dist_m"], 6)) for r in got.collect())
+    assert got == [(i, round(2 / 3.281, 6)) for i in range(50)] + [(50, 0.0)] * 2
+    assert asked[0].count() == 2
+
+
+def test_cells_are_spread_over_all_partitions(spark):
+    """Few bytes may be much work: the meeting of cells is not put into one task."""
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "id % 20 * 100 AS x", "id * 7 % 20 * 100 AS y")
+    met = spatial.point_edges(df, df.selectExpr("id AS other", "x", "y"), ["id"], ["other"], 20)
+    assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 1
