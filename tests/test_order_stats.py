@@ -116,3 +116,20 @@ def test_ranks_of_runs_over_partitions(spark):
     key = lambda v: float("inf") if v is None or v != v else v
     vs, ws = sorted(key(v) for _, v, _ in rows), sorted(w for *_, w in rows)
     assert got == {i: (bisect.bisect_left(vs, key(v)) + 1, bisect.bisect_left(ws, w) + 1) for i, v, w in rows}
+
+
+def test_ranks_bring_no_run_together(spark, rows):
+    """One value fills several partitions and Arrow batches; runs are marked where they lie, without a window over them."""
+    df = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, None).when(F.col("id") % 10 < 9, 5.0).otherwise(
+        F.when(F.col("id") % 7 == 0, float("nan")).otherwise((F.col("id") % 13).cast("double"))).alias("a"), (F.col("id") % 2).alias("b"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        ranked = O.with_ranks(df, ["a", "b"])
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        got = rows(ranked, "id", "a_rank", "b_rank")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "windowspecdefinition(_part" not in plan
+    known = {r["id"]: (float("inf") if r["a"] is None or r["a"] != r["a"] else r["a"], r["b"]) for r in df.collect()}
+    lower = [sorted(v[i] for v in known.values()) for i in (0, 1)]
+    assert got == [(i, *[bisect.bisect_left(lower[k], known[i][k]) + 1 for k in (0, 1)]) for i in range(4000)]

@@ -194,6 +194,36 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], grou
     )
 
 
+def _run_begins():
+    """Batch function that adds ``_run``, the place where the run of a row's value begins in its partition.
+
+    It reads a partition in its order and keeps nothing of it but the last value.
+    It brings all it needs with it, so executors need no package of ours.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["metric", "v", "_row", "_part", "_seq", "_run"]
+        last, begun = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            metric, seq = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("metric", "_seq"))
+            missing = batch.column("v").is_null().to_numpy(zero_copy_only=False)
+            v = batch.column("v").fill_null(0.0).to_numpy(zero_copy_only=False)
+            new = np.r_[True, (np.diff(metric) != 0) | (v[1:] != v[:-1]) | (missing[1:] != missing[:-1])]
+            first = (metric[0], v[0], missing[0])
+            if last is None or first != last:
+                begun = int(seq[0])
+            starts = np.where(new, seq, -1)
+            starts[0] = begun
+            starts = np.maximum.accumulate(starts)
+            begun, last = int(starts[-1]), (metric[-1], v[-1], missing[-1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(starts)], names=names)
+    return run
+
+
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<column>_rank``: SQL ``rank()`` ascending, missing values last, over the whole table, per column.
 
@@ -201,15 +231,15 @@ def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     spreads equal values over partitions, so no value is hot. The rank of a row is
     the place where the run of its value begins: inside its partition, or, for the
     run that goes on from the partition before, in an earlier one; where that is
-    follows from one row per partition and column.
+    follows from one row per partition and column. Runs are marked while the ordered
+    rows are read, so neither a hot value nor its run is brought together.
     """
     rows = stable(df).withColumn("_row", F.monotonically_increasing_id())
     cells = F.array(*[F.struct(F.lit(i).alias("metric"), known(df, c).cast("double").alias("v")) for i, c in enumerate(columns)])
     # Only numbers are laid out; the rows themselves meet their ranks once, by row.
     long = rows.select("_row", F.inline(cells))
-    placed = _placed(long, [F.col("metric"), F.col("v").asc_nulls_last(), F.col("_row")])
-    run = Window.partitionBy("_part", "metric", "v")
-    runs = placed.withColumn("_run", F.min("_seq").over(run))
+    placed = _placed(long, [F.col("metric"), F.col("v").asc_nulls_last(), F.col("_row")]).select("metric", "v", "_row", "_part", "_seq")
+    runs = placed.mapInArrow(_run_begins(), "metric int, v double, _row long, _part long, _seq long, _run long")
     # One row per partition and column from here.
     per_part = placed.groupBy("metric", "_part").agg(
         F.count(F.lit(1)).alias("n"), F.min("_seq").alias("lead"),
