@@ -113,3 +113,22 @@ def test_organisation_years(spark, year, want):
     df = spark.createDataFrame([(datetime(year, 5, 1), *owners.values())],
                                "d timestamp_ntz, " + ", ".join(f"{k} string" for k in owners))
     assert panel.organisation_years(df, "d").first()["owner_ner"] == want
+
+
+def test_panel_years_are_read_once_a_year(spark, monkeypatch, rows):
+    """Many dates of a year share what the years before it give; only years meet the panel."""
+    asof = spark.sql("SELECT id % 3 AS p, timestamp_ntz '2012-06-30' + make_dt_interval(cast(id AS int)) AS d FROM range(600)") \
+        .unionByName(spark.sql("SELECT 1L AS p, CAST(NULL AS timestamp_ntz) AS d UNION ALL SELECT NULL, timestamp_ntz '2013-01-01'"))
+    paid = spark.createDataFrame([(p, y, p * 100 + y, y % 2 == 0) for p in (0, 1) for y in (2009, 2011, 2012)] + [(None, 2012, 1, True)],
+                                 "p long, year int, v long, f boolean")
+    met, plain = [], panel.prior_years
+    monkeypatch.setattr(panel, "prior_years", lambda wanted, *a: met.append(wanted.count()) or plain(wanted, *a))
+    got = panel.panel_features(asof, paid, "p", "d", "year", {"v": "v"})
+    flags = rows(panel.flagged_years(asof, paid, "p", "d", "year", "f", "n"))
+    assert met == [11, 11]  # three parcels in three years, and two rows with nulls
+    assert got.columns == ["p", "d", "mean_v", "change_v", "rel_change_v"]
+    dates = sorted({(r["p"], r["d"]) for r in asof.where("p < 2 AND d IS NOT NULL").collect()})
+    known = {2012: (2009, 2011), 2013: (2011, 2012), 2014: (2011, 2012)}
+    want = [(p, d, p * 100 + sum(known[d.year]) / 2, known[d.year][1] - known[d.year][0]) for p, d in dates]
+    assert rows(got, "p", "d", "mean_v", "change_v") == want
+    assert flags == [(p, d, float(sum(y % 2 == 0 for y in known[d.year]))) for p, d in dates]

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from vicinity.operators.asof import prior_years
 
 
+def _once_a_year(asof: DataFrame, panel: DataFrame, entity: str, asof_time: str, year: str, measures: list[Column],
+                 years: int) -> DataFrame:
+    """Measures of the prior years per distinct (entity, as-of date), made once per (entity, as-of year)."""
+    dates = asof.select(entity, asof_time).distinct().withColumn("_year", F.year(asof_time))
+    wanted = asof.select(entity, F.make_date(F.year(asof_time), F.lit(1), F.lit(1)).alias("_new_year")).distinct()
+    made = prior_years(wanted, panel, entity, "_new_year", year, years).groupBy(entity, F.year("_new_year").alias("_year")).agg(*measures)
+    return dates.join(made, [entity, "_year"]).drop("_year")
+
+
 def panel_features(asof: DataFrame, panel: DataFrame, entity: str, asof_time: str, year: str,
                    values: dict[str, str], years: int = 3) -> DataFrame:
     """Mean, last-minus-first change and relative change over the prior years.
@@ -15,7 +24,6 @@ def panel_features(asof: DataFrame, panel: DataFrame, entity: str, asof_time: st
     ``values`` maps panel columns to output stems. Changes are null when only
     one year is known; a zero first value gives a null relative change.
     """
-    rows = prior_years(asof, panel, entity, asof_time, year, years)
     single = F.min(year) == F.max(year)
     out = []
     for column, stem in values.items():
@@ -26,14 +34,14 @@ def panel_features(asof: DataFrame, panel: DataFrame, entity: str, asof_time: st
             F.when(~single, F.try_divide((last - first).cast("double"), first.cast("double")))
             .alias(f"rel_change_{stem}"),
         ]
-    return rows.groupBy(entity, asof_time).agg(*out)
+    return _once_a_year(asof, panel, entity, asof_time, year, out, years)
 
 
 def flagged_years(asof: DataFrame, panel: DataFrame, entity: str, asof_time: str, year: str, flag: str,
                   name: str, years: int = 3) -> DataFrame:
     """Number of prior years with the flag set."""
-    rows = prior_years(asof, panel, entity, asof_time, year, years)
-    return rows.groupBy(entity, asof_time).agg(F.sum(F.col(flag).cast("int").cast("double")).alias(name))
+    total = F.sum(F.col(flag).cast("int").cast("double")).alias(name)
+    return _once_a_year(asof, panel, entity, asof_time, year, [total], years)
 
 
 # Years an owner count exists for; 2005 to 2007 have no owner data yet.
