@@ -59,6 +59,24 @@ def test_pairs_agree_with_totals(spark):
     assert {(r["parcel_id"], r["d"]): r["n"] for r in totals.collect()} == want
 
 
+@pytest.mark.parametrize("metres, max_dist", [(50, 50), (50, 20), (20, 50)])
+def test_pairs_of_points_are_those_of_edges(spark, monkeypatch, rows, metres, max_dist):
+    """Points give the rows of the edge table without making it, also with repeated and null keys, places and dates."""
+    rng = random.Random(7)
+    spot = lambda: (rng.randrange(-300, 300), rng.randrange(-300, 300))
+    visits = spark.createDataFrame([(rng.randrange(9), day(rng)) for _ in range(60)] + [(None, day(rng)), (1, None)], "parcel_id long, d timestamp_ntz")
+    parcels = spark.createDataFrame([(p, *spot()) for p in range(8)] + [(1, 0, 0), (2, None, 1), (None, 0, 0)], "parcel_id long, x long, y long")
+    places = spark.createDataFrame([(a, *spot()) for a in range(12)] + [(3, 5, 5), (4, None, None), (None, 1, 1)], "a long, x long, y long")
+    events = spark.createDataFrame([(i % 380, rng.randrange(13), day(rng)) for i in range(400)] + [(1, None, day(rng)), (2, 3, None), (None, 3, day(rng))],
+                                   "id long, a long, t timestamp_ntz")
+    near = spatial.NearPoints(parcels, places, metres)
+    args = (events, "parcel_id", "a", "id", "t", "d", 2, max_dist)
+    want = rows(A.events_in_window(visits, near.edges(["parcel_id"], ["a"]), *args))
+    monkeypatch.setattr(spatial, "point_edges", lambda *a: pytest.fail("pairs of places became rows"))
+    got = rows(A.events_in_window(visits, near, *args))
+    assert len(got) > 100 and got == want
+
+
 def test_event_edges_agree_with_place_edges(spark):
     rng = random.Random(9)
     visits = spark.createDataFrame([(rng.randrange(4), day(rng)) for _ in range(30)], "parcel_id long, d timestamp_ntz")
