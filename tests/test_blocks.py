@@ -1,8 +1,10 @@
 """Totals of events near visits, block against block, without rows for pairs."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from dateutil.relativedelta import relativedelta
 from pyspark.sql import functions as F
@@ -112,3 +114,50 @@ def test_cells_are_spread_over_all_partitions(spark):
     df = spark.range(0, 400, 1, 1).selectExpr("id", "id % 20 * 100 AS x", "id * 7 % 20 * 100 AS y")
     met = spatial.point_edges(df, df.selectExpr("id AS other", "x", "y"), ["id"], ["other"], 20)
     assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def walked(visits, events, months, lasts=()):
+    """Totals of a block, asked of its function alone: ``{(id, moment): (n, v, ...)}``."""
+    stamp = lambda rows, i: pa.array([r[i] for r in rows], pa.timestamp("us"))
+    real = lambda rows, i: pa.array([float(r[i]) for r in rows])
+    asked = pa.table({"id": pa.array([r[0] for r in visits]), "_x": real(visits, 1), "_y": real(visits, 2), "_d": stamp(visits, 3),
+                      "_from": pa.array([r[3] - relativedelta(months=months) for r in visits], pa.timestamp("us"))})
+    held = pa.table({"_x": real(events, 0), "_y": real(events, 1), "_t": stamp(events, 2), "n": pa.array([1] * len(events)),
+                     "v": pa.array([r[3] for r in events]), **{k: pa.array([1] * len(events)) for k in lasts},
+                     **{f"_until_{k}": stamp(events, 4) for k in lasts}})
+    names = ["n", "v", *lasts]
+    schema = pa.schema([("id", pa.int64()), ("_d", pa.timestamp("us")), *[(k, pa.int64()) for k in names]])
+    out = blocks._kernel("id", ["n", "v"], list(lasts), [], FAR, schema)(asked, held)
+    return {(r["id"], r["_d"]): tuple(r[k] for k in names) for r in out.to_pylist()}
+
+
+@pytest.mark.parametrize("moments", ["shared", "own"])
+def test_visits_of_one_moment_and_visits_in_parts_of_days(moments):
+    """Many visits a day: moments that many share, and moments of their own; also at the clamped ends of months."""
+    rng = random.Random(5)
+    day = lambda n: datetime(2016, 2, 25) + timedelta(days=n)
+    late = lambda: timedelta(seconds=rng.randrange(86_400)) if moments == "own" else timedelta(hours=rng.choice([0, 9, 17]))
+    visits = [(i, *place(rng), day(rng.choice([0, 33, 34, 35, 36, 37, 90])) + late()) for i in range(3500)]
+    events = [(*place(rng), day(rng.randrange(-40, 95)) + late(), rng.randrange(-5, 1 << 40), None) for _ in range(700)]
+    events = [(*e[:4], rng.choice([None, e[2] + timedelta(days=rng.randrange(9)), e[2] + late()])) for e in events]
+    got = walked(visits, events, 1, ["last"])
+    want = {}
+    for i, x, y, d in visits:
+        hits = [e for e in events if (x - e[0]) ** 2 + (y - e[1]) ** 2 <= FAR and d - relativedelta(months=1) <= e[2] < d]
+        if hits:
+            want[i, d] = len(hits), sum(e[3] for e in hits), sum(e[4] is None or d <= e[4] for e in hits)
+    assert got == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("hours", [1, 24])
+def test_crowded_days_need_no_table_of_visits_and_events(hours):
+    """What a block holds at a time does not grow with the events of a day."""
+    start, rng = datetime(2016, 3, 1), random.Random(7)
+    visits = [(i, i % 40, i // 40, start + timedelta(days=31, hours=i % hours)) for i in range(1600)]
+    events = [(rng.randrange(40), rng.randrange(40), start + timedelta(hours=i % 24), 1, start + timedelta(days=40)) for i in range(30_000)]
+    tracemalloc.start()
+    got = walked(visits, events, 1, ["last"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0, start + timedelta(days=31)] == (30_000,) * 3 and len(got) == 1600
+    assert peak < 60_000_000
