@@ -40,6 +40,37 @@ def test_assemble_groups_tables_and_fills(spark):
         dataset.assemble(labels, {"size": size}, [("size", "nothing")])
 
 
+def test_many_buckets_are_read_by_few_tasks(spark):
+    """A pass over assembled rows has as many tasks as a shuffle, however many buckets they came from."""
+    keys = spark.range(0, 64, 1, 32).selectExpr("id AS parcel_id", "timestamp_ntz '2015-01-01' AS inspection_date", "1 AS viol_outcome")
+    size = spark.range(1, 4).selectExpr("id AS parcel_id", "CASE id WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 6 END AS area")
+    out = dataset.assemble(keys, {"size": size}, [("size", "area")])
+    assert out.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions")) < 32
+    got = {r["parcel_id"]: r["size_area"] for r in out.collect()}
+    assert got == {i: {1: 4.0, 2: 8.0}.get(i, 6.0) for i in range(64)}
+
+
+def test_fits_have_no_more_tasks_than_keep_the_cores_busy(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 10)
+    rows = spark.range(0, 1200, 1, 60).selectExpr("CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 2 AS INT) AS viol_outcome")
+    busy = 3 * spark.sparkContext.defaultParallelism
+    ready = models.prepared(rows, ["x"])
+    assert (ready.count, ready.rows.rdd.getNumPartitions()) == (1200, busy) and busy < 60
+    monkeypatch.setattr(models, "NUMBERS_PER_TASK", 50)
+    assert models.prepared(rows, ["x"]).rows.rdd.getNumPartitions() == 24
+
+
+def test_labels_read_the_events_once(spark):
+    """A case's outcome is told where its events lie, not by a second reading of them and a join."""
+    events = spark.createDataFrame([(1, "CBHCODE", datetime(2015, 1, 1), "Initial inspection"), (1, "CBHCODE", datetime(2015, 2, 1), "Civil 1"),
+                                    (2, "CBHCODE", datetime(2015, 3, 1), "Civil 2"), (None, "CBHCODE", datetime(2015, 3, 1), "Civil 2")],
+                                   "number_key long, comp_type string, date timestamp_ntz, event string")
+    cases = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "number_key long, parcel_no string")
+    out = population.labels_from_events(events, cases)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", datetime(2015, 1, 1), 1), ("b", datetime(2015, 3, 1), 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_labels_drop_conflicts(spark):
     d = lambda n: datetime(2015, 1, n)
     rows = [("k1", "CBHCODE", d(1), "Initial inspection"), ("k1", "CBHCODE", d(5), "Civil 1"),

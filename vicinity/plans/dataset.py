@@ -102,7 +102,9 @@ def assemble(labels: DataFrame, tables: dict[str, DataFrame], features: list[tup
         out = out.join(part, keys, "left")
     out = out.select(*labels.columns, *names)
     if impute == "median":
-        out = stable(out)       # read by every pass of the exact medians
+        # Read by every pass of the exact medians, each of which merges one sketch a task in one place: buckets
+        # are many and small, so the tasks that read them are as many as a shuffle has.
+        out = stable(out).coalesce(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return median_fill(out, names, impute) if impute else out
 
 
