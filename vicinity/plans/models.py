@@ -323,8 +323,8 @@ def prepare(train: DataFrame, columns: list[str]) -> PipelineModel:
     return PipelineModel(stages=[*fitted.stages, widen])
 
 
-#: Rows from which a fit's data has one more task.
-ROWS_PER_TASK = 20_000
+#: Rows from which a fit's data has one more task, and the numbers that a task holds at least once all cores are busy.
+ROWS_PER_TASK, NUMBERS_PER_TASK = 20_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -347,8 +347,9 @@ def prepared(train: DataFrame, columns: list[str], label: str = "viol_outcome")
     prep = prepare(rows, columns)
     ready = stable(prep.transform(_doubles(rows, columns)).select("features", F.col(label).cast("double").alias("label")))
     count = ready.count()
-    # Iterations over few rows should not pay for many tasks.
-    return Prepared(prep, columns, ready.coalesce(max(1, -(-count // ROWS_PER_TASK))), count)
+    # Iterations should not pay for many tasks: few where there are few rows, and none that is started for a millisecond's work.
+    busy = max(3 * ready.sparkSession.sparkContext.defaultParallelism, -(-count * max(len(columns), 1) // NUMBERS_PER_TASK))
+    return Prepared(prep, columns, ready.coalesce(max(1, min(-(-count // ROWS_PER_TASK), busy))), count)
 
 
 def fit_many(ready: Prepared, runs: list[tuple[str, dict]], seed: int = 0, side_by_side: int = 4) -> Iterator:
