@@ -12,13 +12,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from vicinity.functions import geo
 from vicinity.operators import ring_pairs
+from vicinity.operators.near_sets import kernel as near_kernel
 
 FEET_PER_METRE = 3.281
 HOT_CELL_ROWS = 20_000
+#: A cell's side, in distances, where sets of near points are looked for.
+CELL_REACHES = 2
 
 
 def cell_of(value: Column, size: float) -> Column:
@@ -68,34 +73,54 @@ def split_hot_keys(build: DataFrame, probe: DataFrame, keys: list[str], build_id
 SALTS = ["_salt_b", "_salt_p"]
 
 
-def point_edges(left: DataFrame, right: DataFrame, left_cols: list[str], right_cols: list[str],
-                metres: float, rows_per_split: int = HOT_CELL_ROWS) -> DataFrame:
-    """Pairs of points at most ``metres`` apart: the chosen columns and ``dist_m``.
+def near_sets(left: DataFrame, right: DataFrame, left_cols: list[str], right_cols: list[str],
+              metres: float, rows_per_split: int = HOT_CELL_ROWS) -> DataFrame:
+    """Pairs of points at most ``metres`` apart, as rows of two sets that are near each other as a whole.
 
-    ``right`` is repeated over the 3x3 neighbourhood of its cell, so pass the
-    smaller side there. Dense cells are split, see :func:`split_hot_keys`.
+    ``_left`` holds the chosen columns with ``_lx, _ly``, ``_right`` those with ``_rx, _ry``; each pair lies in
+    one row, see :mod:`near_sets`. :func:`set_pairs` gives the pairs. ``right`` is repeated over the cells
+    it reaches, so pass the smaller side there. Dense cells are split, see :func:`split_hot_keys`.
     """
     feet = metres * FEET_PER_METRE
-    build = left.select(
-        *left_cols, F.col("x").alias("_lx"), F.col("y").alias("_ly"),
-        cell_of(F.col("x"), feet).alias("_cx"), cell_of(F.col("y"), feet).alias("_cy"),
-    )
-    probe = (
-        right.select(
-            *right_cols, F.col("x").alias("_rx"), F.col("y").alias("_ry"),
-            around(cell_of(F.col("x"), feet)).alias("_cx"),
-        )
-        .withColumn("_cy", around(cell_of(F.col("_ry"), feet)))
-    )
+    reach = max(feet, 1.0) * 1.000001
+    size = CELL_REACHES * reach
+
+    def placed(df: DataFrame, cols: list[str], side: str) -> DataFrame:
+        whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+        real = {f.name for f in df.schema if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType)}
+        kind = lambda c: F.col(c).cast("long") if c in whole else F.col(c) if c in real else F.col(c).cast("double")
+        known = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("x", "y"))
+        return df.where(known).select(*cols, kind("x").alias(f"{side}x"), kind("y").alias(f"{side}y"))
+
+    build, probe = placed(left, left_cols, "_l"), placed(right, right_cols, "_r")
+    kinds = [T.ArrayType(df.schema) for df in (build, probe)]
+    build = build.withColumn("_cx", cell_of(F.col("_lx"), size)).withColumn("_cy", cell_of(F.col("_ly"), size))
+    reached = lambda c: F.explode(F.sequence(cell_of(F.col(c) - reach, size), cell_of(F.col(c) + reach, size)))
+    probe = probe.withColumn("_cx", reached("_rx")).withColumn("_cy", reached("_ry"))
     build, probe = split_hot_keys(
         build, probe, ["_cx", "_cy"], ["_lx", "_ly", *left_cols], ["_rx", "_ry", *right_cols], rows_per_split)
-    dx, dy = F.col("_lx") - F.col("_rx"), F.col("_ly") - F.col("_ry")
-    squared = dx * dx + dy * dy
-    return (
-        build.join(probe, ["_cx", "_cy", *SALTS])
-        .where(squared <= F.lit(feet * feet))
-        .select(*left_cols, *right_cols, (F.sqrt(squared.cast("double")) / FEET_PER_METRE).alias("dist_m"))
-    )
+    out = T.StructType([T.StructField("_left", kinds[0]), T.StructField("_right", kinds[1])])
+    run = near_kernel(left_cols, right_cols, feet * feet, to_arrow_schema(out))
+    build, probe = (df.groupBy("_cx", "_cy", *SALTS) for df in (build, probe))
+    return build.cogroup(probe).applyInArrow(run, out)
+
+
+def set_pairs(sets: DataFrame) -> DataFrame:
+    """The pairs that rows of :func:`near_sets` hold: the chosen columns and ``dist_m``."""
+    left, right = ([f.name for f in sets.schema[c].dataType.elementType][:-2] for c in ("_left", "_right"))
+    dx, dy = F.col("_l._lx") - F.col("_r._rx"), F.col("_l._ly") - F.col("_r._ry")
+    return sets.select(F.explode("_left").alias("_l"), "_right").select("_l", F.explode("_right").alias("_r")).select(
+        *[F.col(side).getField(c).alias(c) for side, cols in (("_l", left), ("_r", right)) for c in cols],
+        (F.sqrt((dx * dx + dy * dy).cast("double")) / FEET_PER_METRE).alias("dist_m"))
+
+
+def point_edges(left: DataFrame, right: DataFrame, left_cols: list[str], right_cols: list[str],
+                metres: float, rows_per_split: int = HOT_CELL_ROWS) -> DataFrame:
+    """Pairs of points at most ``metres`` apart: the chosen columns and ``dist_m``.
+
+    Pass the smaller side as ``right``. The pairs become rows only here, see :func:`near_sets`.
+    """
+    return set_pairs(near_sets(left, right, left_cols, right_cols, metres, rows_per_split))
 
 
 @dataclass(frozen=True)

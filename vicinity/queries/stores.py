@@ -146,8 +146,8 @@ def stream_edges(spark, folder):
     stream = incremental.stream_files(spark, f"{path}/in", t.supplier.schema).select(
         F.col("s_suppkey").alias("address_id"), *Tables.at("s_suppkey", 3001))
     incremental.extend_edges(stream, t.parcels.select("parcel_id", "x", "y"), "parcel_id", "address_id", METRES, f"{path}/edges",
-                             f"{path}/mark").awaitTermination()
-    return spark.read.parquet(f"{path}/edges").select("parcel_id", "address_id")
+                             f"{path}/mark", as_sets=True).awaitTermination()
+    return incremental.read_edges(spark, f"{path}/edges").select("parcel_id", "address_id")
 
 
 STREAM_EDGES = f"WITH {PARCELS}, {ADDRESSES}, {edges(METRES)} SELECT parcel_id, address_id FROM edges"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from vicinity.operators.spatial import point_edges
+from vicinity.operators.spatial import near_sets, point_edges, set_pairs
 from vicinity.session import stable
 
 
@@ -72,19 +72,31 @@ def _loaded(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None
 
 
 def extend_edges(stream: DataFrame, parcels: DataFrame, parcel_id: str, event_id: str, metres: float,
-                 target: str, checkpoint: str) -> StreamingQuery:
+                 target: str, checkpoint: str, as_sets: bool = False) -> StreamingQuery:
     """Edges of each micro-batch of new events against the static parcels.
 
     Every batch writes its own partition, so a batch that runs again replaces
-    its rows and does not repeat them.
+    its rows and does not repeat them. With ``as_sets`` the table holds the same
+    edges as sets of points that are near each other as a whole, which are far
+    fewer numbers than the edges; :func:`read_edges` gives them as rows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        edges = point_edges(parcels, batch, [parcel_id], [event_id], metres)
+        find = near_sets if as_sets else point_edges
+        edges = find(parcels, batch, [parcel_id], [event_id], metres)
         edges.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
 
 
+def read_edges(spark: SparkSession, target: str) -> DataFrame:
+    """The edges of a table that :func:`extend_edges` wrote ``as_sets``, one row each, with their distance.
+
+    Few bytes of sets are many edges, so sets are spread over all shuffle partitions and not read by their size.
+    """
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return set_pairs(spark.read.parquet(target).select("_left", "_right").repartition(spread))
+
+
 def not_loaded_before(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Batch counterpart of :func:`load_once`: rows whose key is not in the target."""
     return rows.join(target.select(*keys).distinct(), keys, "left_anti")
