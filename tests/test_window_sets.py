@@ -16,9 +16,10 @@ def test_packs_give_back_what_they_hold():
     pack, unpack = packs.codec()
     columns = [np.array(c) for c in ([3, 3, 3], [0, 1, 255], [-5, 70000, 2], [1 << 62, -(1 << 62), 0], [1.0, 2.0, -9.0],
                                      [0.1, float("nan"), -0.0], [1e300, 2.0, float("inf")], [-7, -7, -7], [-7.0, -7.0, -7.0])]
-    out = unpack(pack([*columns, pa.array(["a", None, "c"])]))
+    out = unpack(pack([*columns, pa.array(["a", None, "c"])])(np.arange(3)))
     assert all(np.array_equal(np.asarray(v, c.dtype), c, equal_nan=c.dtype.kind == "f") for c, v in zip(columns, out))
     assert out[-1].to_pylist() == ["a", None, "c"]
+    assert unpack(pack([*columns, pa.array(["a", None, "c"])])(np.array([2, 0])))[1].tolist() == [255, 0]
 
 
 def near_points(spark, rng, parcels=30, places=20):
@@ -71,7 +72,7 @@ def test_crowded_visits_and_events_meet_as_sets():
     kinds = [pa.list_(pa.struct([(n, t) for n, t in zip("pdfxy", [whole, stamp, stamp, whole, whole])])),
              pa.list_(pa.struct([(n, t) for n, t in zip("itxy", [whole, stamp, whole, whole])]))]
     schema = pa.schema([("_left", kinds[0]), ("_right", kinds[1])])
-    batch = pa.RecordBatch.from_arrays([*[pa.array([0, 0])] * 6, pa.array([1, 0]), pa.array([pack(events), pack(visits)])],
+    batch = pa.RecordBatch.from_arrays([*[pa.array([0, 0])] * 6, pa.array([1, 0]), pa.array([pack(events)(np.arange(3000)), pack(visits)(np.arange(600))])],
                                        names=[*packs.ORDER, "_pack"])
     reach = 400.0
     numbers, pairs = 0, set()
