@@ -81,3 +81,29 @@ def test_points_meet_few_edges_without_interpretation(spark, rows, monkeypatch):
         assert ("filter(_edges" in plan) == (most == 0)
         found[most] = rows(met.select("id", "a"))
     assert found[12] == found[0] and len(found[0]) > 50
+
+
+def test_distances_are_taken_of_polygons_apart_only(monkeypatch):
+    """Of a batch of pairs, those that cross or hold each other are found first and not measured against each edge."""
+    import numpy
+
+    kept = []
+    monkeypatch.setattr(ring_pairs, "_measured", lambda pairs, measure, *a: kept.append(measure))
+    ring_pairs.squared_distances(None, "a", "b", [], "d")
+
+    class Counting:
+        rows = 0
+
+        def __getattr__(self, name):
+            return getattr(numpy, name)
+
+        def clip(self, values, *ends):
+            Counting.rows += len(values)
+            return numpy.clip(values, *ends)
+
+    square = lambda x, size: [(x, 0.0), (x + size, 0.0), (x + size, size), (x, size)]
+    a = numpy.array([square(0.0, 10.0)] * 4)
+    b = numpy.array([square(5.0, 20.0), square(2.0, 3.0), square(-5.0, 40.0), square(13.0, 10.0)])
+    assert kept[0](Counting(), a, b).tolist() == [0.0, 0.0, 0.0, 9.0]
+    assert Counting.rows == 2  # one pair, from both sides
+    assert kept[0](Counting(), a[:2], b[:2]).tolist() == [0.0, 0.0]
